@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, urls
+from . import bpe, mixing, quality, simhash, urls
 from ._support import table
 
 
@@ -13,6 +13,23 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public vocabulary file; it must be readable on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), ["doc_id"])
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+
+
+def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
@@ -23,6 +40,8 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_host_quality": op2_host_quality,
+    "op3_bpe_trie": op3_bpe_trie,
+    "op5_simhash_pigeonring": op5_simhash_pigeonring,
     "op7_url_rules": op7_url_rules,
     "op9_mix_sources": op9_mix_sources,
 }
