@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, urls
+from . import bpe, mixing, quality, simhash, suffix, urls
 from ._support import table
 
 
@@ -30,6 +30,11 @@ def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op2_host_quality": op2_host_quality,
     "op3_bpe_trie": op3_bpe_trie,
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
+    "op6_prefix_doubling": op6_prefix_doubling,
     "op7_url_rules": op7_url_rules,
     "op9_mix_sources": op9_mix_sources,
 }
