@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, suffix, urls
+from . import ann, bpe, mixing, quality, simhash, suffix, toxicity, urls
 from ._support import table
 
 
@@ -25,6 +25,10 @@ def op3_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,6 +43,13 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
+def op8_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.score(docs, model, ["doc_id"])
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("pieces")
 
@@ -46,9 +57,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_host_quality": op2_host_quality,
     "op3_bpe_trie": op3_bpe_trie,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
     "op6_prefix_doubling": op6_prefix_doubling,
     "op7_url_rules": op7_url_rules,
+    "op8_toxic_severity": op8_toxic_severity,
     "op9_mix_sources": op9_mix_sources,
 }
 
