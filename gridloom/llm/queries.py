@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, quality, simhash, suffix, toxicity, urls
+from . import ann, bpe, licenses, mixing, quality, simhash, suffix, toxicity, urls, warc
 from ._support import table
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.page_records(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "url", "time", "refers_to", "state", *[F.col("headers")[h].alias(h.replace("-", "_")) for h in ("etag", "date", "content-length", "last-modified")])
+
+
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -54,7 +59,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("pieces")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_host_quality": op2_host_quality,
     "op3_bpe_trie": op3_bpe_trie,
     "op4_multi_index_hashing": op4_multi_index_hashing,
@@ -63,8 +73,30 @@ QUERIES = {
     "op7_url_rules": op7_url_rules,
     "op8_toxic_severity": op8_toxic_severity,
     "op9_mix_sources": op9_mix_sources,
+    "op10_license_scan": op10_license_scan,
 }
 
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html::VARCHAR, '') AS body, regexp_replace(trim(url), '(?s)#.*$', '') AS u FROM pages),
+h AS (SELECT *, regexp_extract(u, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1) AS head0 FROM p),
+k AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(head0, '(?i):(80|443)$', '')), '^https://', 'http://'), '^http://www\.', 'http://') AS head,
+        substr(u, length(head0) + 1) AS rest FROM h),
+c AS (SELECT page_id, body, head, regexp_replace(regexp_extract(rest, '(?s)^([^?]*)', 1), '(?s)/+$', '') AS path,
+        list_sort(list_filter(string_split(regexp_extract(rest, '(?s)^[^?]*\?(.*)$', 1), '&'),
+            lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[a-z]+|ref|fbclid|gclid|session_?id|sid)(=.*)?$'))) AS q FROM k),
+r AS (SELECT page_id, head || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url, '"' || md5(body) || '"' AS tag,
+        'day ' || (page_id // 1000) AS day, strlen(body)::VARCHAR AS size FROM c),
+asked AS (SELECT page_id * 2 + 1 AS record_id, url, page_id + 20000 AS time, CASE WHEN page_id % 10 = 7 THEN NULL ELSE tag END AS tag, day, page_id FROM r),
+found AS (SELECT a.record_id, a.url, a.time, a.tag, a.day, a.page_id, arg_max(r, r.page_id) AS x FROM asked a LEFT JOIN r ON a.url = r.url AND r.page_id <= a.time GROUP BY ALL),
+judged AS (SELECT *, CASE WHEN x.page_id IS NULL THEN 'missing' WHEN tag IS NOT NULL THEN CASE WHEN tag = x.tag THEN 'matched' ELSE 'mismatched' END
+        WHEN day = x.day THEN 'matched' ELSE 'mismatched' END AS state FROM found)
+SELECT record_id, url, time, state, CASE WHEN state = 'matched' THEN x.page_id * 2 END AS refers_to,
+    CASE WHEN state = 'matched' THEN CASE WHEN tag IS NULL THEN x.tag WHEN page_id % 2 = 0 THEN 'W/' || tag ELSE tag END END AS etag,
+    CASE WHEN state = 'matched' THEN (page_id + 500)::VARCHAR END AS date, CASE WHEN state = 'matched' THEN x.size END AS content_length,
+    CASE WHEN state = 'matched' THEN day END AS last_modified
+FROM judged
+"""
+
 OP2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -102,4 +134,4 @@ fit AS (SELECT r, h || q AS rule, v, row_number() OVER (PARTITION BY r ORDER BY
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN fit ON p.r = fit.r AND k = 1
 """
 
-ORACLE_SQL = {"op2_host_quality": OP2_SQL, "op7_url_rules": OP7_SQL}
+ORACLE_SQL = {"op1_warc_revisits": OP1_SQL, "op2_host_quality": OP2_SQL, "op7_url_rules": OP7_SQL}

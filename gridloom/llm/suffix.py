@@ -10,7 +10,7 @@ that depends on the string alone (see _anchors). Successive positions with one s
    runs meet in one task, which names and ranks the strings in memory; those with many are dealt string by string, with counts added up
    before they are shuffled.
 
-Samples that lie at the ends of a partition are counted again over all partitions. Strings are judged on the input, and matches lie within documents.
+The runs at a partition's ends, two at most, are settled by what others begin and end with. Strings are judged on the input, and matches lie within documents.
 
 Names are 64-bit fingerprints of content in place of dense ranks, so that nothing has to be looked up at position + offset; two names
 must agree, of substrings of different lengths, for two strings to be taken as equal.
@@ -21,11 +21,13 @@ from each; a text shorter than LENGTH keeps all; bytes that remain of a cut char
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +69,17 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def _rank(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:
-    """Marks sorted runs. Samples at a partition's ends stay open: all their runs are given out, with what was counted here."""
-    names = ["sample", "whole", "k1", "k2", "first", "n", "status", "hot", "open", "runs", "wholes"]
+    """Marks sorted runs and drops unique samples.
+
+    Of a sample at a partition's end all is known here but whether its first or last run goes on beyond: a run that has no equal here and
+    is the partition's first or last row stays open. A row of status 0 tells what the partition begins and ends with.
+    """
+    names = ["sample", "whole", "k1", "k2", "first", "n", "status", "hot", "open", "alone", "pid"]
+    pid = TaskContext.get().partitionId()
     held: list[pa.RecordBatch] = []
-    start = True
+    begun = False
 
-    def marked(rows: pa.Table, opened: bool) -> pa.RecordBatch:
+    def marked(rows: pa.Table, starts: bool, ends: bool) -> pa.RecordBatch:
         sample, whole = rows.column("sample").to_numpy(), rows.column("whole").to_numpy()
         new_sample = np.concatenate([[True], sample[1:] != sample[:-1]])
         new_whole = new_sample | np.concatenate([[True], whole[1:] != whole[:-1]])
@@ -80,35 +87,43 @@ def _rank(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.Recor
         runs, equal = np.bincount(of_sample)[of_sample], np.bincount(of_whole)[of_whole]
         wholes = np.bincount(of_sample[new_whole])[of_sample]
         edges = np.bincount(of_sample[new_whole & (equal == 1)], minlength=of_sample[-1] + 1)[of_sample]
-        status = np.where(equal == 1, _EDGE, np.where(new_whole & (edges > 0), _REP, _MANY)).astype(np.int8)
-        if opened:
-            status = np.where(new_whole, _REP, _MANY).astype(np.int8)
+        status = np.where(equal == 1, _EDGE, np.where(new_whole & ((edges > 0) | starts | ends), _REP, _MANY)).astype(np.int8)
+        opened = np.zeros(len(sample), bool)
+        opened[0], opened[-1] = starts and equal[0] == 1, ends and equal[-1] == 1
         keep = np.flatnonzero((runs > 1) | opened)
-        more = (status, (wholes > together) | opened, np.full(len(sample), opened), runs, equal)
+        more = (status, (wholes > together) | starts | ends, opened, runs == 1, np.full(len(sample), pid, np.int32))
         return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks().take(pa.array(keep)) for c in names[:6]), *(pa.array(np.ascontiguousarray(c[keep])) for c in more)], names=names)
 
-    for batch in [*batches, None]:
-        if batch is not None and not batch.num_rows:
-            continue
+    def marker(rows: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        row = rows.slice(at, 1)
+        more = (pa.array([0], pa.int8()), *(pa.array([False]) for _ in range(3)), pa.array([pid], pa.int32()))
+        return pa.RecordBatch.from_arrays([*row.columns[:6], *more], names=names)
+
+    for batch in itertools.chain(batches, [None]):
         if batch is not None:
+            if not batch.num_rows:
+                continue
+            if not held and not begun:
+                yield marker(batch, 0)
             held.append(batch)
+            if held[0].column(0)[0] == held[-1].column(0)[-1]:
+                continue  # one sample so far
         if not held:
             return
-        first, last = (held[0].column(0)[0].as_py(), held[-1].column(0)[-1].as_py()) if held else (0, 0)
-        if batch is not None and first == last:
-            continue  # one sample so far
+        if batch is None:
+            yield marker(held[-1], held[-1].num_rows - 1)
         rows = pa.Table.from_batches(held).combine_chunks()
         sample = rows.column("sample").to_numpy()
-        head = int(np.searchsorted(sample, sample[0], "right")) if start else 0
+        head = 0 if begun else int(np.searchsorted(sample, sample[0], "right"))
         tail = int(np.searchsorted(sample, sample[-1], "left"))
-        if head:
-            yield marked(rows.slice(0, head), True)
-            start = False
+        if head and tail:
+            yield marked(rows.slice(0, head), True, False)
+            begun = True
         if tail > head:
-            yield marked(rows.slice(head, tail - head), False)
-        held = rows.slice(max(head, tail)).to_batches()
-        if batch is None and held:
-            yield marked(pa.Table.from_batches(held), True)
+            yield marked(rows.slice(head, tail - head), False, False)
+        held = rows.slice(tail).to_batches()
+        if batch is None:
+            yield marked(pa.Table.from_batches(held), not begun, True)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -141,7 +156,7 @@ def _strings(rows: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray,
 def _together(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Repeated strings among the runs of each sample; rows are sorted by sample."""
     held: list[pa.RecordBatch] = []
-    for batch in [*batches, None]:
+    for batch in itertools.chain(batches, [None]):
         if batch is not None:
             if not batch.num_rows:
                 continue
@@ -232,15 +247,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) ->
     order = ["sample", "whole", "k1", "k2", "first"]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = runs.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    ranked = store(ranked.mapInArrow(lambda b: _rank(b, together), "sample bigint, whole bigint, k1 bigint, k2 int, first bigint, n int, status tinyint, hot boolean, open boolean, runs bigint, wholes bigint"), "ranked")
-    # samples at partition ends, counted over all partitions
-    ends = ranked.where("open")
-    by_whole = ends.groupBy("sample", "whole").agg(F.count("*").alias("equal"))
-    by_sample = by_whole.groupBy("sample").agg(F.sum("equal").alias("all"))
-    settled = ends.join(by_whole, ["sample", "whole"]).join(by_sample.where("all > 1"), "sample")
-    settled = settled.withColumn("status", F.when(F.col("equal") == 1, F.lit(_EDGE)).otherwise(F.col("status")).cast("tinyint"))
+    ranked = store(ranked.mapInArrow(lambda b: _rank(b, together), "sample bigint, whole bigint, k1 bigint, k2 int, first bigint, n int, status tinyint, hot boolean, open boolean, alone boolean, pid int"), "ranked")
     columns = ["sample", "k1", "k2", "first", "n", "status", "hot"]
-    found = ranked.where("not open").select(columns).union(settled.select(columns))
+    # open runs, two a partition at most: do other partitions begin or end with the same run, or sample
+    ends, opened = ranked.where("status = 0"), ranked.where("open")
+    by_whole = ends.groupBy("sample", "whole").agg(F.min("pid").alias("whole_lo"), F.max("pid").alias("whole_hi"))
+    by_sample = ends.groupBy("sample").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
+    settled = opened.join(by_whole, ["sample", "whole"]).join(by_sample, "sample").where("not alone or lo < pid or hi > pid")
+    settled = settled.withColumn("status", F.when(F.expr("whole_lo < pid or whole_hi > pid"), F.lit(_REP)).otherwise(F.lit(_EDGE)).cast("tinyint"))
+    found = ranked.where("status > 0 and not open").select(columns).union(settled.select(columns))
     # the runs at the borders of repeats, with their bytes
     border = found.where(F.col("status") >= _REP).groupBy("k1", "k2").agg(F.collect_list(F.struct("sample", "first", "n", "status", "hot")).alias("runs"))
     border = store(border, "border")
