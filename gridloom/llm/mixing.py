@@ -153,3 +153,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, sha
     cut = placed.select("row", "size", "source_size", "target", F.flatten(F.transform(passes, pieces)).alias("pieces"))
     taken = F.aggregate(F.filter("pieces", lambda x: x["shard"] < shards), F.lit(0).cast("long"), lambda s, x: s + x["words"])
     return cut.select(*[F.col("row")[c].alias(c) for c in keep], "size", "source_size", "target", taken.alias("taken"), "pieces")
+
+
+def texts(mixed: DataFrame, shards: int = 16) -> DataFrame:
+    """The mix as rows: those of mix() with text, once for each pass it is taken in; the last of a source may be cut behind a word.
+
+    n_chars, where there is one, follows the text.
+    """
+    made = ("size", "source_size", "target", "taken", "pieces")
+    inside = F.filter("pieces", lambda x: x["shard"] < shards)
+    words = lambda p: F.aggregate(F.filter(inside, lambda x: x["pass"] == p), F.lit(0).cast("long"), lambda s, x: s + x["words"])
+    each = F.transform(F.array_distinct(F.transform(inside, lambda x: x["pass"])), words)
+    rows = mixed.select(*[c for c in mixed.columns if c not in made], "size", F.explode(each).alias("_words"))
+    # words with the white space before them: joined they are the text's beginning again
+    begin = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    cut = F.col("_words") < F.col("size")
+    changes = {"text": F.when(cut, begin).otherwise(F.col("text"))}
+    if "n_chars" in mixed.columns:
+        changes["n_chars"] = F.when(cut, F.length(begin)).otherwise(F.col("n_chars")).cast(mixed.schema["n_chars"].dataType)
+    return rows.withColumns(changes).drop("_words", "size")

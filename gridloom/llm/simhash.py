@@ -17,23 +17,26 @@ equal rows share a component; long texts are read whole, in parts that overlap b
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._support import store
-from ._text import BLOCK, blocks, string_buffers
+from ._support import fresh, store
+from ._text import BLOCK, blocks, mix, string_buffers
 
 DISTANCE, SEGMENTS, WIDTH = 3, 4, 16
 #: Fingerprints of a group that one task compares with one another, or with as many others.
 GROUP = 1024
 SEED = 42
+#: For similarity instead of a distance: words of 64 bits in a fingerprint, minima in a key, keys of a text.
+LANES, ROWS, BANDS = 8, 3, 8
 
 _LANES = np.uint64(0x0001000100010001)
 _FULL = 65_535
@@ -200,3 +203,139 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     of = labelled.select("fingerprint", "label").join(ids, "label").select("fingerprint", "component_id")
     return marked.join(of, "fingerprint").select(*keep, "fingerprint", "component_id")
+
+
+def radius(similarity: float, bits: int = 64 * LANES, slack: float = 1.5) -> int:
+    """The distance of fingerprints of texts with this Jaccard similarity of shingles, and slack standard deviations more.
+
+    A bit of two fingerprints differs with the probability angle / pi, the angle being that of the texts' shingle counts.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
+
+
+def _turned(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of many independent hashes that follow from one."""
+    with np.errstate(over="ignore"):
+        return mix(hashes * np.uint64(2 * k + 1) + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
+def sketch(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each range of hashes: a fingerprint of LANES words, and BANDS keys of ROWS minima each (of an empty range: zeros)."""
+    n = len(off) - 1
+    bits = np.stack([majority(_turned(hashes, k), off) for k in range(LANES)], axis=1)
+    keys = np.zeros((n, BANDS), np.uint64)
+    full = np.flatnonzero(np.diff(off))
+    for k in range(BANDS * ROWS if len(full) else 0):
+        least = np.minimum.reduceat(_turned(hashes, LANES + k), off[full])
+        with np.errstate(over="ignore"):
+            keys[full, k // ROWS] = mix(keys[full, k // ROWS] + least + np.uint64(k // ROWS + 1))
+    return bits, keys
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    fixed = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.ravel().view(np.int64)))
+    for batch in batches:
+        data, off = string_buffers(batch.column(batch.num_columns - 1))
+        raw = data.tobytes()
+        for lo, hi in blocks(off):
+            hashes = [shingle_hashes(raw[off[d] : off[d + 1]], words) for d in range(lo, hi)]
+            bits, keys = sketch(np.concatenate(hashes), np.cumsum([0, *map(len, hashes)]))
+            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), fixed(bits), fixed(keys)], names=[*batch.schema.names[:-1], "bits", "keys"])
+
+
+def near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Whether fingerprints (words in the last axis) are within most bits: chains of two words within their budgets, then all bits."""
+    each = np.bitwise_count(x ^ y).astype(np.int16)
+    n = each.shape[-1]
+    chain = (each * n <= most) & ((each + np.roll(each, -1, axis=-1)) * n <= 2 * most)
+    ok = chain.any(axis=-1)
+    at = np.nonzero(ok)
+    ok[at] = each[at].sum(axis=-1) <= most
+    return ok
+
+
+def _wide_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A forest of links within each group of rows, sorted by (key, lo, hi); a group has at most about 2 * GROUP rows."""
+
+    def group(rows: pa.Table) -> pa.RecordBatch:
+        node = rows.column("node").to_numpy()
+        bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        label = np.arange(len(node))
+        within = [near(bits[lo : lo + 64, None, :], bits[None, :, :], most) for lo in range(0, len(node), 64)]
+        while True:
+            least = label[np.concatenate([np.where(m, label[None, :], len(node)).min(axis=1) for m in within])]
+            if (least == label).all():
+                break
+            label = least
+        move = label != np.arange(len(node))
+        return pa.RecordBatch.from_arrays([pa.array(node[move]), pa.array(node[label[move]])], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain((b for b in batches if b.num_rows), [None]):
+        held += [batch] if batch is not None else []
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        key, lo, hi = (rows.column(c).to_numpy() for c in ("key", "lo", "hi"))
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        edges = [0, *cut.tolist(), *([len(key)] if batch is None else [])]
+        for a, b in itertools.pairwise(edges):
+            if b - a > 1:
+                yield group(rows.slice(a, b - a))
+        held = rows.slice(edges[-1]).to_batches()
+
+
+def similar_links(nodes: DataFrame, most: int) -> DataFrame:
+    """a, b: links between the rows of a table with node, bits, keys that join all that share a key and are within most bits.
+
+    Every row of a key is compared with the key's least node. Those near it are connected already; the others are compared with all rows
+    of the key, in pairs of blocks, so that a key of many copies costs no more than its rows.
+    """
+    keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    at = nodes.select(F.col("node").alias("pivot"), F.col("bits").alias("pivot_bits"))
+    members = keyed.join(groups.join(at, "pivot"), "key").join(nodes.select("node", "bits"), "node")
+    apart = F.aggregate(F.zip_with("bits", "pivot_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    members = store(members.select("key", "n", "node", "pivot", (apart > most).alias("far"), "bits"), "members")
+    stars = members.where("not far and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    rest = members.where("far and n > 2").groupBy("key").agg(F.count("*").alias("fars"))
+    blocks_of = lambda n: F.ceil(n / GROUP).cast("int")
+    open_ = members.join(rest, "key").withColumn("far_parts", blocks_of(F.col("fars"))).withColumn("near_parts", blocks_of(F.col("n") - F.col("fars")))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("far"), F.col("far_parts")).otherwise(F.col("near_parts"))).cast("int")
+    # far blocks have the numbers 0, 1, ..., near blocks -1, -2, ...
+    upto = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    with_fars = lambda x: upto(F.col("far_parts"), lambda i: F.struct(F.least(x, i).alias("lo"), F.greatest(x, i).alias("hi")))
+    with_nears = upto(F.col("near_parts"), lambda i: F.struct((-1 - i).alias("lo"), F.col("own").alias("hi")))
+    pairs = F.when(F.col("far"), F.concat(with_fars(F.col("own")), with_nears)).otherwise(with_fars(-1 - F.col("own")))
+    dealt = open_.withColumn("own", own).select("key", F.explode(pairs).alias("pair"), "node", "bits").select("key", "pair.lo", "pair.hi", "node", "bits")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return stars.union(dealt.mapInArrow(lambda b: _wide_links(b, most), "a bigint, b bigint"))
+
+
+def similar(docs: DataFrame, keep: list[str], text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """keep, label of each row: rows whose texts are similar, directly or over others, have equal labels.
+
+    A radius of few bits finds no copies at a similarity like 0.8, and one that does leaves segments of no use as keys. So candidates
+    share a key of minima of their shingles (at 0.8, all but 1 in 300 pairs do), and wide fingerprints decide within radius().
+    """
+    kept = docs.select(*[c for c in keep if c.lower() != "label"], F.col(text).alias("_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "bits array<bigint>, keys array<bigint>"])
+    marked = store(kept.mapInArrow(lambda b: _sketch(b, words), schema).withColumn("node", F.xxhash64("bits")), "sketches")
+    nodes = store(marked.groupBy("node").agg(F.min("bits").alias("bits"), F.min("keys").alias("keys")), "nodes")
+    labels = components(similar_links(nodes, radius(similarity)))
+    own = [c for c in marked.columns if c not in ("bits", "keys", "node")]
+    return marked.join(labels, "node", "left").select(*own, F.coalesce("label", "node").alias("label"))
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row (of the least id; null last) of each class of similar texts."""
+    k1, k2 = fresh(docs, "k1"), fresh(docs, "k2")
+    keyed = docs.withColumn(k1, F.xxhash64(id, text)).withColumn(k2, F.xxhash64(text, id))
+    found = similar(keyed.select(F.col(id).alias("id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(text).alias("text")), ["id", "k1", "k2"], "text", words, similarity)
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")).alias("row"))
+    kept = first.select(F.col("row.k1").alias(k1), F.col("row.k2").alias(k2)).distinct()
+    # rows that agree in id and text are one
+    again = F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1))
+    turn = fresh(keyed, "turn")
+    return keyed.join(kept, [k1, k2], "left_semi").withColumn(turn, again).where(F.col(turn) == 1).select(*docs.columns)

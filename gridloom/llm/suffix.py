@@ -16,7 +16,7 @@ Names are 64-bit fingerprints of content in place of dense ranks, so that nothin
 must agree, of substrings of different lengths, for two strings to be taken as equal.
 
 Defined results: null and empty texts have no bytes; equal rows are copies of one another, so a whole text of at least LENGTH bytes goes
-from each; a text shorter than LENGTH keeps all; bytes that remain of a cut character remain; any other columns are kept as asked.
+from each; a text shorter than LENGTH keeps all; bytes that remain of a cut character remain, unless whole characters are asked for; any other columns are kept as asked.
 """
 
 from __future__ import annotations
@@ -199,7 +199,15 @@ def _apart(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sample", "name", "k1", "k2", "first", "times"])
 
 
-def _remove(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _whole_characters(text: np.ndarray, stay: np.ndarray) -> np.ndarray:
+    """stay without the bytes of characters that lose any of theirs."""
+    begin = np.flatnonzero((text & 0xC0) != 0x80)
+    if not len(begin) or begin[0]:
+        begin = np.append(0, begin)
+    return np.repeat(np.logical_and.reduceat(stay, begin), np.diff(np.append(begin, len(text))))
+
+
+def _remove(batches: Iterator[pa.RecordBatch], length: int, characters: bool = False) -> Iterator[pa.RecordBatch]:
     names = ["n_bytes", "spans", "kept"]
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))
     for batch in batches:
@@ -224,6 +232,8 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             stay = np.ones(len(text), bool)
             for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
                 stay[a:b] = False
+            if characters:
+                stay = _whole_characters(text, stay)
             spans.append([{"first": a, "length": b - a} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
             kept.append(text[stay].tobytes())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(np.diff(off)), pa.array(spans, spans_type), pa.array(kept, pa.binary())], names=[*batch.schema.names[:-2], *names])
@@ -272,8 +282,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) ->
     return starts
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
-    """keep, n_bytes, spans (first, length of each removed run of bytes), kept (the bytes that remain) of each row."""
+def remove_repeats(docs: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", length: int = LENGTH, together: int = TOGETHER, characters: bool = False) -> DataFrame:
+    """keep, n_bytes, spans (first, length of each removed run of bytes), kept (the bytes that remain) of each row.
+
+    characters: kept lacks the rest of a character that was cut, and so is UTF-8 again.
+    """
     keep = [c for c in keep if c.lower() not in ("n_bytes", "spans", "kept")]
     own = {c: f"in_{i}" for i, c in enumerate(keep)}
     keyed = docs.select(*[F.col(c).alias(a) for c, a in own.items()], F.xxhash64(id, text).alias("k1"), F.hash(text, id).alias("k2"), F.col(text).alias("text"))
@@ -283,6 +296,6 @@ def remove_repeats(docs: DataFrame, keep: list[str], id: str = "doc_id", text: s
     near = near.join(starts, ["k1", "k2"], "left").select(columns)
     far = far.withColumn("runs", F.lit(None).cast(starts.schema["runs"].dataType)).select(columns)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in near.schema.fields[:-2]), "n_bytes bigint, spans array<struct<first: bigint, length: bigint>>, kept binary"])
-    done = [x.mapInArrow(lambda b: _remove(b, length), schema) for x in (near, far)]
+    done = [x.mapInArrow(lambda b: _remove(b, length, characters), schema) for x in (near, far)]
     out = done[0].union(done[1])
     return out.select(*[F.col(a).alias(c) for c, a in own.items()], "n_bytes", "spans", "kept")
