@@ -1,6 +1,60 @@
-"""Corpus pipeline."""
-from gridloom.llm import quality
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""Corpus pipeline: from documents to tokens, in stages that are each one operator's work on all its predecessor kept.
+
+quality    documents that fail the base rules, or whose source fails as a whole, go
+near_dups  of each class of similar texts (five-word shingles, 0.8 or more) the document of the least id stays
+repeats    every byte of a passage of LENGTH bytes that also starts elsewhere goes, and what it leaves of a cut character
+mix        documents are taken as often as their source's target asks: once, twice, in part or not at all
+tokens     texts become token ids, and these texts again
+
+Defined results: null and empty texts fail the quality rules; texts that lose all their bytes stay as empty ones until mix, which has no
+words to take of them; n_chars follows the text; an empty table gives an empty result; further columns are carried along up to mix.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import bpe, mixing, quality, simhash, suffix
+from gridloom.llm._support import store, table
+from gridloom.llm.queries import vocabulary
+
+#: Token ids have no SQL; tests/llm compares the stages with brute force.
+ORACLE_SQL = None
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality.judge(docs, docs.columns, scratch=False)
+    return judged.where("kept").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs, words=5, similarity=0.8)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = suffix.remove_repeats(docs, docs.columns, characters=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
+    changes = {"text": text}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changes["n_chars"] = F.when(F.size("spans") > 0, F.length(F.col("kept").cast("string")).cast(kind)).otherwise(F.col("n_chars"))
+    return done.withColumns(changes).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.texts(mixing.mix(docs)).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, vocabulary(), ["doc_id", "lang", "source"])
+
+
+STAGES = [("quality", keep_good), ("near_dups", drop_near_duplicates), ("repeats", cut_repeats), ("mix", mix_sources), ("tokens", tokenize)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
