@@ -58,7 +58,9 @@ def _sweep(rows: pd.DataFrame) -> pd.DataFrame:
             best = max(fits, default=(0, 0, None, None))
             rules.append(best[2])
             verdicts.append(best[3])
-    return rows[rows["kind"] == 1].drop(columns=["pid", "key", "kind"]).assign(rule=rules, verdict=verdicts)
+    out = rows[rows["kind"] == 1].drop(columns=["pid", "key", "kind"]).assign(rule=pd.Series(rules, dtype=object).values, verdict=pd.Series(verdicts, dtype=object).values)
+    # texts as plain objects: Spark takes no empty column of an Arrow-backed type
+    return out.astype({c: object for c in out.columns if isinstance(out[c].dtype, pd.StringDtype)})
 
 
 def judge(urls: DataFrame, rules: DataFrame | None = None, url: str = "url", keep: list[str] | None = None, default: str = "allow", range_rows: int = 100_000) -> DataFrame:
