@@ -40,13 +40,18 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def part_of(length: int) -> int:
+    """The length of the samples of strings of this length."""
+    return max(1, length // 4)
+
+
 def runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each run of strings of this length that share their sample: first start, number of starts, and two names.
 
     A string's sample is the first of its substrings of a quarter of the length whose name is least (by its upper bits), so equal strings have
     equal samples at equal places. The names: of the sample, and of all bytes that the run's strings cover.
     """
-    part = max(1, length // 4)
+    part = part_of(length)
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none.view(np.uint64), none.view(np.uint64)

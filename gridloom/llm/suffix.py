@@ -7,8 +7,8 @@ that depends on the string alone (see _anchors). Successive positions with one s
    runs of one sample may lie over any number of them. Neighbours in this order decide: a sample without an equal is unique, and all its
    strings with it; they drop out. A run with an equal is repeated as a whole. What is left are runs at the borders of repeats.
 2. These are reranked at the threshold: each of their strings by the pair (sample, name of its LENGTH bytes). Samples with few different
-   runs meet in one task, which names and ranks the strings in memory; those with many are dealt string by string, with counts added up
-   before they are shuffled.
+   runs meet in one task, which names and ranks the strings in memory. Those with many are reranked at growing lengths: what the strings of a
+   stretch have in common, then of its quarters, until they are unique or as long as the threshold, with counts added up before they are shuffled.
 
 The runs at a partition's ends, two at most, are settled by what others begin and end with. Strings are judged on the input, and matches lie within documents.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 
 from . import _anchors
 from ._support import release, store
-from ._text import blocks, string_buffers
+from ._text import blocks, span_hashes, string_buffers
 
 LENGTH = 200
-#: Different runs of one sample that one task ranks in memory; more are dealt string by string.
+#: Different runs of one sample that one task ranks in memory; more are ranked by stretches.
 TOGETHER = 2048
 #: Bits of the filter that spares most documents without repeats a shuffle; it only ever lets too many through.
 FILTER_BITS = 1 << 26
@@ -187,16 +188,65 @@ def _together(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([*keys, pa.array(first[run[at]] + begin[at]), pa.array(n.astype(np.int32))], names=["k1", "k2", "first", "n"])
 
 
-def _apart(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """All strings of the runs, a row each."""
+def _places(data: np.ndarray, base: np.ndarray, sample: np.ndarray, length: int) -> np.ndarray:
+    """How many bytes before its sample each run's first string begins."""
+    part = _anchors.part_of(length)
+    names = _anchors.rolling(data, part)
+    return np.argmax(names[base[:, None] + np.arange(length - part + 1)] == sample.view(np.uint64)[:, None], axis=1)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The runs in stretches of strings: those that begin k * width to (k + 1) * width - 1 bytes before the sample.
+
+    core names what all strings of a whole stretch have in common, cover names all bytes of the strings that the run has of it.
+    """
+    names = ["core", "cover", "sample", "k1", "k2", "first", "back", "times", "bytes"]
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            run, name = _strings(part, length)
-            first = part.column("first").to_numpy()[run] + np.arange(len(run)) - np.searchsorted(run, run, "left")
-            times = np.where(part.column("status").to_numpy() == _EDGE, 1, 2).astype(np.int32)[run]
-            columns = [part.column("sample").to_numpy()[run], name.view(np.int64), *(part.column(k).to_numpy()[run] for k in ("k1", "k2")), first, times]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sample", "name", "k1", "k2", "first", "times"])
+            data, off = string_buffers(part.column("bytes").cast(pa.large_binary()).view(pa.large_string()))
+            sample, back = part.column("sample").to_numpy(), part.column("back")
+            high = _places(data, off[:-1], sample, length) if back.null_count else back.to_numpy().astype(np.int64)
+            low = high - (np.diff(off) - length)
+            per = high // width - low // width + 1
+            run = np.repeat(np.arange(len(high)), per)
+            k = high[run] // width - (np.arange(len(run)) - (np.cumsum(per) - per)[run])
+            least, most = np.maximum(k * width, low[run]), np.minimum(k * width + width - 1, high[run])
+            at = off[:-1][run] + high[run]  # the sample
+            begin, end = at - most, at - least + length
+            with np.errstate(over="ignore"):
+                salt = sample.view(np.uint64)[run] * _GOLD + k.astype(np.uint64)
+                core = _anchors.mix(span_hashes(data, at - k * width, at - k * width - width + 1 + length) + salt)
+                cover = _anchors.mix(span_hashes(data, begin, end) + _anchors.mix((least << 32 | most).astype(np.uint64)))
+            pieces = [data[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+            columns = [core.view(np.int64), cover.view(np.int64), *(part.column(c).to_numpy()[run] for c in ("sample", "k1", "k2"))]
+            columns += [part.column("first").to_numpy()[run] + high[run] - most, most.astype(np.int32), part.column("times").to_numpy()[run]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(pieces, pa.binary())], names=names)
+
+
+def _apart(rows: DataFrame, length: int) -> list[DataFrame]:
+    """k1, k2, first, n: repeated strings among the runs of samples that have many different ones, by narrower and narrower stretches.
+
+    A stretch whose cover has an equal is repeated as a whole; one of them goes on, to stand for all. One whose core has no equal has no repeated
+    string. All others, about one or two of a run, go on in quarters; a stretch of one string is its own core and cover.
+    """
+    fields = "core bigint, cover bigint, sample bigint, k1 bigint, k2 int, first bigint, back int, times int, bytes binary"
+    widths = [1]
+    while widths[0] * 12 <= length:
+        widths.insert(0, widths[0] * 4)
+    out = []
+    rows = rows.select("sample", "k1", "k2", "first", F.lit(None).cast("int").alias("back"), F.when(F.col("status") == _EDGE, 1).otherwise(2).alias("times"), "bytes")
+    for width in widths:
+        parts = store(rows.mapInArrow(lambda b, w=width: _stretches(b, length, w), fields), "stretches")
+        covers = parts.groupBy("core", "cover").agg(F.sum("times").alias("all"), F.min(F.struct("k1", "k2", "first")).alias("one"))
+        cores = covers.groupBy("core").agg((F.count("*") > 1).alias("more"))
+        groups = covers.join(cores, "core").where("all > 1 or more")
+        judged = store(parts.join(groups, ["core", "cover"]), "judged")
+        release(parts)
+        out.append(judged.where("all > 1 and times = 1").select("k1", "k2", "first", (F.length("bytes") - (length - 1)).alias("n")))
+        on = judged.where("more and struct(k1, k2, first) = one")
+        rows = on.select("sample", "k1", "k2", "first", "back", F.when(F.col("all") > 1, 2).otherwise(1).alias("times"), "bytes")
+    return out
 
 
 def _whole_characters(text: np.ndarray, stay: np.ndarray) -> np.ndarray:
@@ -273,11 +323,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) ->
     cut = near.dropDuplicates(["k1", "k2"]).join(border, ["k1", "k2"]).select("text", "runs", "k1", "k2")
     cut = store(cut.mapInArrow(lambda b: _cut(b, length), "sample bigint, k1 bigint, k2 int, first bigint, n int, status tinyint, hot boolean, bytes binary"), "cut")
     few = cut.where("not hot").repartition("sample").sortWithinPartitions("sample").mapInArrow(lambda b: _together(b, length), "k1 bigint, k2 int, first bigint, n int")
-    each = cut.where("hot").mapInArrow(lambda b: _apart(b, length), "sample bigint, name bigint, k1 bigint, k2 int, first bigint, times int")
-    times = each.groupBy("sample", "name").agg(F.sum("times").alias("all")).where("all > 1")
-    many = each.where("times = 1").join(times, ["sample", "name"]).select("k1", "k2", "first", F.lit(1).alias("n"))
+    many = cut.where("hot")
+    parts = [few, *([] if many.isEmpty() else _apart(many, length))]
     whole = found.where(F.col("status") < _EDGE).select("k1", "k2", "first", "n")
-    starts = store(whole.union(few).union(many).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "starts")
+    starts = store(reduce(DataFrame.union, parts, whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "starts")
     release(ranked, border, cut)
     return starts
 

@@ -161,6 +161,16 @@ def test_suffix_is_brute_force(spark, texts, together):
         assert sum(s["length"] for s in got[i]["spans"]) == got[i]["n_bytes"] - len(want[i])
 
 
+def test_suffix_passage_with_many_borders(spark):
+    """Runs at the borders of one passage differ in each text, and some agree for a few more bytes."""
+    rng = np.random.default_rng(11)
+    passage = "".join(rng.choice(list("abcdefghij klmnop"), 260))
+    ends = ["".join(rng.choice(list("xy"), n)) for n in rng.integers(0, 180, 120)]
+    every = [ends[i] + passage + ends[-1 - i] for i in range(60)] + [ends[3] + passage[:220], passage[40:] + ends[5], ends[3] + passage[:220]]
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix.remove_repeats(docs_of(spark, every), ["doc_id"], together=8).collect()}
+    assert [got[i] for i in range(len(every))] == brute_repeats(every)
+
+
 def test_suffix_whole_characters(spark):
     shared = "é" * 99 + "ab"  # 200 bytes
     every = ["xä" + shared + "ö", "yäé" + shared + "ü"]
