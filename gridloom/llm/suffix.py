@@ -240,9 +240,9 @@ def _apart(rows: DataFrame, length: int) -> list[DataFrame]:
         parts = store(rows.mapInArrow(lambda b, w=width: _stretches(b, length, w), fields), "stretches")
         covers = parts.groupBy("core", "cover").agg(F.sum("times").alias("all"), F.min(F.struct("k1", "k2", "first")).alias("one"))
         cores = covers.groupBy("core").agg((F.count("*") > 1).alias("more"))
-        groups = covers.join(cores, "core").where("all > 1 or more")
+        groups = store(covers.join(cores, "core").where("all > 1 or more"), "groups")
         judged = store(parts.join(groups, ["core", "cover"]), "judged")
-        release(parts)
+        release(parts, groups)
         out.append(judged.where("all > 1 and times = 1").select("k1", "k2", "first", (F.length("bytes") - (length - 1)).alias("n")))
         on = judged.where("more and struct(k1, k2, first) = one")
         rows = on.select("sample", "k1", "k2", "first", "back", F.when(F.col("all") > 1, 2).otherwise(1).alias("times"), "bytes")
