@@ -36,7 +36,9 @@ DISTANCE, SEGMENTS, WIDTH = 3, 4, 16
 GROUP = 1024
 SEED = 42
 #: For similarity instead of a distance: words of 64 bits in a fingerprint, minima in a key, keys of a text.
-LANES, ROWS, BANDS = 8, 3, 8
+LANES, ROWS, BANDS = 8, 3, 16
+#: Standard deviations by which fingerprints of candidates may lie beyond their expected distance; shingles of a block of sets.
+LOOSE, SHINGLES = 8.0, 1 << 20
 
 _LANES = np.uint64(0x0001000100010001)
 _FULL = 65_535
@@ -208,7 +210,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 def radius(similarity: float, bits: int = 64 * LANES, slack: float = 1.5) -> int:
     """The distance of fingerprints of texts with this Jaccard similarity of shingles, and slack standard deviations more.
 
-    A bit of two fingerprints differs with the probability angle / pi, the angle being that of the texts' shingle counts.
+    A bit of two fingerprints differs with the probability angle / pi, the angle being that of the texts' sets of shingles.
     """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
@@ -233,15 +235,28 @@ def sketch(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return bits, keys
 
 
+def _shingle_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
+    """Row ranges of a batch, the sorted distinct shingle hashes of each row's text (the last column), and a hash of each such set."""
+    data, off = string_buffers(batch.column(batch.num_columns - 1))
+    raw = data.tobytes()
+    for lo, hi in blocks(off):
+        hashes = [np.unique(shingle_hashes(raw[off[d] : off[d + 1]], words)) for d in range(lo, hi)]
+        yield lo, hi, hashes, np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes], np.uint64).view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     fixed = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.ravel().view(np.int64)))
     for batch in batches:
-        data, off = string_buffers(batch.column(batch.num_columns - 1))
-        raw = data.tobytes()
-        for lo, hi in blocks(off):
-            hashes = [shingle_hashes(raw[off[d] : off[d + 1]], words) for d in range(lo, hi)]
+        for lo, hi, hashes, node in _shingle_sets(batch, words):
             bits, keys = sketch(np.concatenate(hashes), np.cumsum([0, *map(len, hashes)]))
-            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), fixed(bits), fixed(keys)], names=[*batch.schema.names[:-1], "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), fixed(bits), fixed(keys), pa.array(node)], names=[*batch.schema.names[:-1], "bits", "keys", "node"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, hashes, node in _shingle_sets(batch, words):
+            ends = np.cumsum([0, *map(len, hashes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hashes).view(np.int64)))], names=["node", "shingles"])
 
 
 def near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
@@ -255,22 +270,8 @@ def near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     return ok
 
 
-def _wide_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """A forest of links within each group of rows, sorted by (key, lo, hi); a group has at most about 2 * GROUP rows."""
-
-    def group(rows: pa.Table) -> pa.RecordBatch:
-        node = rows.column("node").to_numpy()
-        bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-        label = np.arange(len(node))
-        within = [near(bits[lo : lo + 64, None, :], bits[None, :, :], most) for lo in range(0, len(node), 64)]
-        while True:
-            least = label[np.concatenate([np.where(m, label[None, :], len(node)).min(axis=1) for m in within])]
-            if (least == label).all():
-                break
-            label = least
-        move = label != np.arange(len(node))
-        return pa.RecordBatch.from_arrays([pa.array(node[move]), pa.array(node[label[move]])], names=["a", "b"])
-
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups of more than one row among rows sorted by (key, lo, hi)."""
     held: list[pa.RecordBatch] = []
     for batch in itertools.chain((b for b in batches if b.num_rows), [None]):
         held += [batch] if batch is not None else []
@@ -282,10 +283,76 @@ def _wide_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         edges = [0, *cut.tolist(), *([len(key)] if batch is None else [])]
         for a, b in itertools.pairwise(edges):
             if b - a > 1:
-                yield group(rows.slice(a, b - a))
+                yield rows.slice(a, b - a)
         held = rows.slice(edges[-1]).to_batches()
 
 
+def _wide_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A forest of links within each group of rows, sorted by (key, lo, hi); a group has at most about 2 * GROUP rows."""
+    for rows in _groups(batches):
+        node = rows.column("node").to_numpy()
+        bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        label = np.arange(len(node))
+        within = [near(bits[lo : lo + 64, None, :], bits[None, :, :], most) for lo in range(0, len(node), 64)]
+        while True:
+            least = label[np.concatenate([np.where(m, label[None, :], len(node)).min(axis=1) for m in within])]
+            if (least == label).all():
+                break
+            label = least
+        move = label != np.arange(len(node))
+        yield pa.RecordBatch.from_arrays([pa.array(node[move]), pa.array(node[label[move]])], names=["a", "b"])
+
+
+def set_forest(shingles: np.ndarray, off: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets (ranges of distinct shingles, none empty) that join all whose Jaccard similarity is at least similarity."""
+    code = np.unique(shingles, return_inverse=True)[1]
+    size, has = np.diff(off), np.zeros(len(code), bool)
+    open_ = np.ones(len(size), bool)
+    left, codes, starts = np.arange(len(size)), code, off[:-1]
+    a, b = [], []
+    for first in range(len(size)):
+        queue = [first] if open_[first] else []
+        open_[first] = False
+        while queue:
+            i = queue.pop()
+            if 2 * np.count_nonzero(open_) < len(left):  # those reached already need no more links
+                left = np.flatnonzero(open_)
+                if not len(left):
+                    break
+                codes = np.concatenate([code[off[j] : off[j + 1]] for j in left])
+                starts = np.cumsum(size[left]) - size[left]
+            own = code[off[i] : off[i + 1]]
+            has[own] = True
+            common = np.add.reduceat(has[codes], starts, dtype=np.int64)
+            has[own] = False
+            found = left[(common / (size[left] + size[i] - common) >= similarity) & open_[left]]
+            open_[found] = False
+            a.append(found)
+            b.append(np.full(len(found), i))
+            queue += found.tolist()
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _set_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for rows in _groups(batches):
+        node, sets = rows.column("node").to_numpy(), rows.column("shingles").combine_chunks()
+        off = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        a, b = set_forest(sets.flatten().to_numpy(), off, similarity)
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+
+def _dealt(members: DataFrame, carried: str) -> DataFrame:
+    """key, lo, hi, node, carried: each far row (key, node, far, far_parts, near_parts) meets all rows of its key, in pairs of blocks."""
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("far"), F.col("far_parts")).otherwise(F.col("near_parts"))).cast("int")
+    # far blocks have the numbers 0, 1, ..., near blocks -1, -2, ...
+    upto = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    with_fars = lambda x: upto(F.col("far_parts"), lambda i: F.struct(F.least(x, i).alias("lo"), F.greatest(x, i).alias("hi")))
+    with_nears = upto(F.col("near_parts"), lambda i: F.struct((-1 - i).alias("lo"), F.col("own").alias("hi")))
+    pairs = F.when(F.col("far"), F.concat(with_fars(F.col("own")), with_nears)).otherwise(with_fars(-1 - F.col("own")))
+    dealt = members.withColumn("own", own).select("key", F.explode(pairs).alias("pair"), "node", carried).select("key", "pair.lo", "pair.hi", "node", carried)
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
 def similar_links(nodes: DataFrame, most: int) -> DataFrame:
     """a, b: links between the rows of a table with node, bits, keys that join all that share a key and are within most bits.
 
@@ -302,29 +369,45 @@ def similar_links(nodes: DataFrame, most: int) -> DataFrame:
     rest = members.where("far and n > 2").groupBy("key").agg(F.count("*").alias("fars"))
     blocks_of = lambda n: F.ceil(n / GROUP).cast("int")
     open_ = members.join(rest, "key").withColumn("far_parts", blocks_of(F.col("fars"))).withColumn("near_parts", blocks_of(F.col("n") - F.col("fars")))
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("far"), F.col("far_parts")).otherwise(F.col("near_parts"))).cast("int")
-    # far blocks have the numbers 0, 1, ..., near blocks -1, -2, ...
-    upto = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
-    with_fars = lambda x: upto(F.col("far_parts"), lambda i: F.struct(F.least(x, i).alias("lo"), F.greatest(x, i).alias("hi")))
-    with_nears = upto(F.col("near_parts"), lambda i: F.struct((-1 - i).alias("lo"), F.col("own").alias("hi")))
-    pairs = F.when(F.col("far"), F.concat(with_fars(F.col("own")), with_nears)).otherwise(with_fars(-1 - F.col("own")))
-    dealt = open_.withColumn("own", own).select("key", F.explode(pairs).alias("pair"), "node", "bits").select("key", "pair.lo", "pair.hi", "node", "bits")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return stars.union(dealt.mapInArrow(lambda b: _wide_links(b, most), "a bigint, b bigint"))
+    return stars.union(_dealt(open_, "bits").mapInArrow(lambda b: _wide_links(b, most), "a bigint, b bigint"))
+
+
+def set_links(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between the rows of a table with node, key, shingles that join all of a key whose sets are similar.
+
+    key is one of the key's nodes. Every set is compared with that node's; those similar to it are connected already, and the others are
+    compared with all sets of the key, in pairs of blocks.
+    """
+    pivots = members.where("node = key").select("key", F.col("shingles").alias("pivot"))
+    common = members.join(pivots, "key").select("key", "node", F.size("shingles").alias("n"), F.size("pivot").alias("m"), F.size(F.array_intersect("shingles", "pivot")).alias("both"))
+    judged = store(common.select("key", "node", "n", (F.col("both") / (F.col("n") + F.col("m") - F.col("both")) < similarity).alias("far")), "judged")
+    stars = judged.where("not far and node <> key").select(F.col("node").alias("a"), F.col("key").alias("b"))
+    blocks_of = lambda which: F.greatest(F.ceil(F.count_if(which) / GROUP), F.ceil(F.sum(F.when(which, F.col("n"))) / SHINGLES)).cast("int")
+    rest = judged.groupBy("key").agg(F.count("*").alias("rows"), blocks_of(F.col("far")).alias("far_parts"), blocks_of(~F.col("far")).alias("near_parts"))
+    open_ = judged.join(rest.where("far_parts > 0 and rows > 2"), "key").select("key", "node", "far", "far_parts", "near_parts")
+    dealt = _dealt(open_.join(members.select("node", "shingles"), "node"), "shingles")
+    return stars.union(dealt.mapInArrow(lambda b: _set_links(b, similarity), "a bigint, b bigint"))
 
 
 def similar(docs: DataFrame, keep: list[str], text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """keep, label of each row: rows whose texts are similar, directly or over others, have equal labels.
 
-    A radius of few bits finds no copies at a similarity like 0.8, and one that does leaves segments of no use as keys. So candidates
-    share a key of minima of their shingles (at 0.8, all but 1 in 300 pairs do), and wide fingerprints decide within radius().
+    Texts are similar where the Jaccard similarity of their sets of (hashed) shingles is at least similarity; texts of equal sets are one
+    node. A radius of few bits finds no copies at a similarity like 0.8, and one that does leaves segments of no use as keys. So candidates
+    share a key of minima of their shingles (at 0.8, all but 1 in 90,000 pairs do) and have wide fingerprints within a loose radius; then the
+    sets of all that candidates connect are compared, and only these comparisons link.
     """
-    kept = docs.select(*[c for c in keep if c.lower() != "label"], F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "bits array<bigint>, keys array<bigint>"])
-    marked = store(kept.mapInArrow(lambda b: _sketch(b, words), schema).withColumn("node", F.xxhash64("bits")), "sketches")
+    key = fresh(docs, "text_key")
+    kept = docs.select(*[c for c in keep if c.lower() != "label"], F.xxhash64(text).alias(key), F.col(text).alias("_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "bits array<bigint>, keys array<bigint>, node bigint"])
+    marked = store(kept.mapInArrow(lambda b: _sketch(b, words), schema), "sketches")
     nodes = store(marked.groupBy("node").agg(F.min("bits").alias("bits"), F.min("keys").alias("keys")), "nodes")
-    labels = components(similar_links(nodes, radius(similarity)))
-    own = [c for c in marked.columns if c not in ("bits", "keys", "node")]
+    loose = components(similar_links(nodes, radius(similarity, slack=LOOSE))).select("node", F.col("label").alias("key"))
+    wanted = marked.join(loose, "node", "left_semi").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
+    sets = kept.join(wanted, key, "left_semi").select("_text").mapInArrow(lambda b: _sets(b, words), "node bigint, shingles array<bigint>")
+    members = store(sets.groupBy("node").agg(F.first("shingles").alias("shingles")).join(loose, "node"), "sets")
+    labels = components(set_links(members, similarity))
+    own = [c for c in marked.columns if c not in ("bits", "keys", "node", key)]
     return marked.join(labels, "node", "left").select(*own, F.coalesce("label", "node").alias("label"))
 
 

@@ -120,6 +120,30 @@ def test_keep_one_keeps_one_of_similar_texts(spark):
     assert kept == {i * 6 for i in range(20)}
 
 
+def five_word_sets(every):
+    return [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (split(t.lower()) for t in every)]
+
+
+def test_keep_one_is_exact_at_its_limit(spark, monkeypatch):
+    """Pairs just below and above 0.8, a copy with a passage repeated, and a chain of texts, in large and in small blocks."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    every = []
+    for k in range(120):  # the last words differ: similarity (256 - n) / (256 + n), from 0.70 to 0.86
+        words, n = fresh(260), 20 + k % 25
+        every += [" ".join(words), " ".join(words[: 260 - n] + fresh(n))]
+    for _ in range(10):
+        words = fresh(300)
+        every += [" ".join(words), " ".join(words[:150] + words[126:150] * 10 + words[150:])]
+    words = fresh(2000)
+    every += [" ".join(words[30 * k : 30 * k + 400]) for k in range(40)]
+    sets = five_word_sets(every)
+    label = components(len(every), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    for group in (1024, 4):
+        monkeypatch.setattr(simhash, "GROUP", group)
+        assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, every)).collect()} == set(label)
+
+
 def test_similar_in_groups_of_many(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 4)
     rng = np.random.default_rng(6)
