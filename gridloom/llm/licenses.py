@@ -1,17 +1,21 @@
 """License texts found by conditional compression.
 
-Candidate blocks are the stretches of a text around words that licenses use. A block is compressed with zstandard alone and with each
-template as a raw dictionary; templates are ranked by how much their dictionary spares, and the winner is confirmed by the exact words in
-which the block differs from it. Blocks repeat, so a task keeps the verdicts of the last ones it saw.
-
-Defined results: null and empty texts have no blocks; a text without license words has no rows; long texts are read whole, and a block is
-at most the words of the longest template and as many around; repeated rows are each reported; templates that spare equally rank by name.
+Candidate blocks are the stretches of a text around words that licenses use, wide enough for the longest template on both sides. A block is
+compressed with zstandard alone and with each template as a raw dictionary, and templates are confirmed by the exact words in which a stretch
+of the block differs from them: the one that explains most words first, then, without its words, the next, until none is left. Templates that
+spare bytes but aren't confirmed follow by how much they spare. A task keeps the verdicts of the last blocks it saw.
+
+Defined results: null and empty texts have no blocks; a text without license words has no rows; long texts are read whole, in blocks that
+overlap by more than the longest template, and what two blocks confirm is reported once; repeated rows are each reported; equal templates
+rank by name; first and length are those of the confirmed stretch, or else of the block.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,24 +58,25 @@ TEMPLATES = {
 CUE = re.compile(r"licen[sc]|copyright|hereby granted|redistribut|creative commons|spdx", re.IGNORECASE)
 _WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Share of a template's words by which a confirmed block may differ, and blocks whose verdicts a task keeps.
-MOST_DIFFERENT, KEPT = 0.2, 50_000
+MOST_DIFFERENT, KEPT = 0.2, 2_000
+#: Characters of a license around a word of it: twice the longest template, for line breaks, indents and comment signs.
+AROUND = 2 * max(map(len, TEMPLATES.values()))
 
 _TYPE = "template string, rank int, spared double, confirmed boolean, missing array<string>, added array<string>, first bigint, length bigint"
 
 
-def spans(text: str, around: int = 2000) -> Iterator[tuple[int, int]]:
-    """Stretches of lines with a license word; near ones join, and long lines are cut around the word."""
+def spans(text: str, around: int = AROUND) -> Iterator[tuple[int, int]]:
+    """Stretches of so many characters around license words; near ones join, and long ones are cut into blocks that overlap by as many."""
     start, end = -1, -1
     for cue in CUE.finditer(text):
-        lo = max(text.rfind("\n", 0, cue.start()) + 1, cue.start() - around)
-        hi = text.find("\n", cue.end())
-        hi = min(len(text) if hi < 0 else hi, cue.end() + around)
-        if start >= 0 and lo <= end + 1 and hi - start <= 4 * around:
-            end = max(end, hi)
-            continue
-        if start >= 0:
+        lo, hi = max(0, cue.start() - around), min(len(text), cue.end() + around)
+        if start >= 0 and lo > end:
             yield start, end
-        start, end = max(lo, end), hi
+            start = -1
+        start, end = lo if start < 0 else start, hi
+        while end - start > 4 * around:
+            yield start, start + 4 * around
+            start += 3 * around
     if start >= 0:
         yield start, end
 
@@ -94,36 +99,95 @@ class Scanner:
         return " ".join(some).encode()
 
     def judge(self, block: str) -> list[tuple]:
-        """(template, rank, spared, confirmed, missing, added) of the three templates that spare most of the bytes."""
+        """(template, rank, spared, confirmed, missing, added, first, last) of each confirmed stretch, then of the other templates that spare bytes."""
         if (known := self.seen.get(block)) is not None:
             return known
-        own = words(block)
+        at = [(m.start(), m.end(), m.group().lower()) for m in _WORDS.finditer(block)]
+        own: list[str | None] = [w for _, _, w in at]
         raw = self._plain(own)
         size = len(self.alone.compress(raw))
+        bytes_ = {k: size - len(c.compress(raw)) for k, c in self.given.items()}
         # bytes spared, as a share of what the template could spare at most
-        spared = {k: (size - len(c.compress(raw))) / len(self._plain(self.words[k])) for k, c in self.given.items()}
-        ranked = sorted(spared.items(), key=lambda x: (-round(x[1] * len(self._plain(self.words[x[0]])) / max(1, size), 6), x[0]))
-        # a notice within a longer one spares as much: what fits in fewer differing words goes first
-        best = [(k, s, *self.differences(k, own)) for k, s in ranked[:3] if s > 0]
-        best.sort(key=lambda x: (len(x[2]) + len(x[3])) / len(self.words[x[0]]))
-        out = [(k, rank, s, len(missing) + len(added) <= MOST_DIFFERENT * len(self.words[k]), missing, added) for rank, (k, s, missing, added) in enumerate(best, 1)]
+        spared = {k: bytes_[k] / len(self._plain(w)) for k, w in self.words.items()}
+        best = {k: self.closest(k, own) for k in self.words if bytes_[k] > 0 or self.possible(k, own)}
+        out = []
+        while sure := [k for k, x in best.items() if self.confirmed(k, x)]:
+            k = min(sure, key=lambda k: (len(best[k][0]) + len(best[k][1]) - len(self.words[k]), k))
+            missing, added, lo, hi = best[k]
+            out.append((k, len(out) + 1, spared[k], True, missing, added, at[lo][0], at[hi - 1][1]))
+            own[lo:hi] = [None] * (hi - lo)
+            best = {t: x if x[3] <= lo or x[2] >= hi else self.closest(t, own) for t, x in best.items()}
+        had = {x[0] for x in out}
+        for k in sorted((k for k in best if k not in had and bytes_[k] > 0), key=lambda k: (-bytes_[k], k)):
+            out.append((k, len(out) + 1, spared[k], False, *best[k][:2], 0, len(block)))
         if len(self.seen) >= KEPT:
             self.seen.clear()
         self.seen[block] = out
         return out
 
-    def differences(self, template: str, own: list[str]) -> tuple[list[str], list[str]]:
-        """The template's words that the block lacks, and words of the block between those it has."""
+    def most(self, template: str) -> int:
+        return int(MOST_DIFFERENT * len(self.words[template]))
+
+    def confirmed(self, template: str, found: tuple) -> bool:
+        return len(found[0]) + len(found[1]) <= self.most(template)
+
+    def possible(self, template: str, own: list[str | None]) -> bool:
+        """Whether enough of the template's words are there, in any order."""
+        return (Counter(self.words[template]) - Counter(own)).total() <= self.most(template)
+
+    def closest(self, template: str, own: list[str | None]) -> tuple[list[str], list[str], int, int]:
+        """differences() of the first stretch that they confirm, or else of the one around the longest run of the template's words.
+
+        A confirmed stretch has a run of at least its words over its runs, and lies around that run within the words that may differ.
+        """
+        want, most, first = self.words[template], self.most(template), None
+        shortest = -(-(len(want) - most) // (most + 1))
+        left = list(own)
+        sure = self.possible(template, left)
+        while True:
+            run = difflib.SequenceMatcher(None, want, left, autojunk=False).find_longest_match()
+            if first is not None and run.size < shortest:
+                return first
+            lo, hi = max(0, run.b - run.a - most), min(len(own), run.b + len(want) - run.a + most)
+            found = self.differences(template, own[lo:hi])
+            found = (*found[:2], lo + found[2], lo + found[3])
+            if not sure or run.size < shortest or self.confirmed(template, found):
+                return found
+            first = first or found
+            left[run.b : run.b + run.size] = [None] * run.size
+
+    def differences(self, template: str, own: list[str | None]) -> tuple[list[str], list[str], int, int]:
+        """The template's words that a stretch of own lacks, the stretch's words between those it has, and the stretch, with the fewest of both."""
         want = self.words[template]
         match = [m for m in difflib.SequenceMatcher(None, want, own, autojunk=False).get_matching_blocks() if m.size]
         if not match:
-            return want, []
+            return want, [], 0, 0
+        # the consecutive runs with most words of the template for words between them
+        total, since, top = 0, 0, (0, 0, 0)
+        for i, m in enumerate(match):
+            gap = m.b - match[i - 1].b - match[i - 1].size if i else 0
+            total, since = (m.size, i) if total - gap <= 0 else (total - gap + m.size, since)
+            top = max(top, (total, since, i), key=lambda x: x[0])
+        match = match[top[1] : top[2] + 1]
         has, used = set(), set()
         for m in match:
             has.update(range(m.a, m.a + m.size))
             used.update(range(m.b, m.b + m.size))
-        inner = range(match[0].b, match[-1].b + match[-1].size)
-        return [w for i, w in enumerate(want) if i not in has], [own[i] for i in inner if i not in used]
+        lo, hi = match[0].b, match[-1].b + match[-1].size
+        return [w for i, w in enumerate(want) if i not in has], [own[i] or "" for i in range(lo, hi) if i not in used], lo, hi
+
+    def hits(self, text: str) -> list[tuple]:
+        """(template, rank, spared, confirmed, missing, added, first, length) of a text's blocks, without what overlapping blocks repeat."""
+        every = [(*hit[:6], lo + hit[6], lo + hit[7]) for lo, hi in spans(text) for hit in self.judge(text[lo:hi])]
+        kept, taken = [], []
+        explained = lambda x: len(self.words[x[0]]) - len(x[4]) - len(x[5])
+        for x in sorted((x for x in every if x[3]), key=lambda x: (-explained(x), x[6], x[0])):
+            i = bisect.bisect(taken, x[6:])
+            if (i == 0 or taken[i - 1][1] <= x[6]) and (i == len(taken) or taken[i][0] >= x[7]):
+                taken.insert(i, x[6:])
+                kept.append(x)
+        rows = sorted(kept + [x for x in every if not x[3]], key=lambda x: (x[6], x[1]))
+        return [(*x[:7], x[7] - x[6]) for x in rows]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -132,17 +196,16 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], schema:
         rows, found = [], []
         for row, text in enumerate(batch.column(batch.num_columns - 1)):
             text = text.as_py()
-            for lo, hi in spans(text) if text else ():
-                for hit in scanner.judge(text[lo:hi]):
-                    rows.append(row)
-                    found.append((*hit, lo, hi - lo))
+            for hit in scanner.hits(text) if text else ():
+                rows.append(row)
+                found.append(hit)
         take = pa.array(rows, pa.int64())
         columns = [pa.array([f[k] for f in found], field.type) for k, field in enumerate(schema)]
         yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-1]), *columns], names=[*batch.schema.names[:-1], *schema.names])
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """keep, then template, rank, spared, confirmed, missing, added, first, length for each block (characters first, length) and its best templates."""
+    """keep, then template, rank, spared, confirmed, missing, added, first, length for each confirmed stretch (characters first, length), and for each block's other templates."""
     made = [c.split()[0] for c in _TYPE.split(", ")]
     kept = docs.select(*[c for c in keep if c.lower() not in made], F.col(text).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), _TYPE])

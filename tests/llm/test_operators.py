@@ -1,6 +1,7 @@
 """The dealt operators against SQL, brute force, the tokenizers library and planted cases."""
 
 import hashlib
+import textwrap
 from collections import Counter, defaultdict
 
 import duckdb
@@ -284,6 +285,28 @@ def test_license_blocks(spark):
     assert best == {0: "mit", 1: "cc-by-sa-4.0", 5: "gpl-3.0"}
 
 
+def confirmed_in(spark, every):
+    found = defaultdict(list)
+    for r in licenses.scan(docs_of(spark, every), ["doc_id"]).where("confirmed").orderBy("doc_id", "first").collect():
+        found[r["doc_id"]].append((r["template"], every[r["doc_id"]][r["first"] : r["first"] + r["length"]]))
+    return found
+
+
+def test_wrapped_licenses(spark):
+    """License texts in lines of 75 columns, as comments, with blank lines, and at any place of a long line."""
+    prose = "the use of words that say nothing about it and are to be read by any person "
+    every, want = [], []
+    for k in ("mit-text", "isc", "bsd-notice", "apache-2.0-header", "gpl-3.0-header"):
+        lines = textwrap.wrap(licenses.TEMPLATES[k], 75)
+        every += ["Copyright (c) 2020 A\n\n" + "\n".join(lines) + "\n\n" + prose, prose + "\n" + "\n".join(" * " + x for x in lines), lines[0] + "\n\n" + "\n".join(lines[1:])]
+        every += [prose * n + "copyright " * 300 + licenses.TEMPLATES[k] + " licensed" * 300 + prose * 5 for n in (0, 17, 38)]
+        want += [k] * 6
+    found = confirmed_in(spark, every)
+    assert [[t for t, _ in found[i]] for i in range(len(every))] == [[k] for k in want]
+    for i, k in enumerate(want):
+        assert licenses.words(found[i][0][1]) == licenses.words(licenses.TEMPLATES[k])
+
+
 def test_url_rules_nest(spark):
     rules = spark.createDataFrame([("com", "/", "block"), ("a.com", "/x/", "allow"), ("b.a.com", "/x/y/", "block")], "host string, path string, verdict string")
     pages = [(0, "http://com/"), (1, "https://A.com/x/1"), (2, "http://c.b.a.com/x/y/z?q"), (3, "http://xcom/"), (4, None), (5, "nothing"), (6, "http://b.a.com/x/z"), (7, "http://aa.com#f")]
