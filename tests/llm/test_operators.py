@@ -307,6 +307,15 @@ def test_wrapped_licenses(spark):
         assert licenses.words(found[i][0][1]) == licenses.words(licenses.TEMPLATES[k])
 
 
+def test_many_notices_in_a_block(spark):
+    names = ["cc-by-4.0", "cc-by-sa-4.0", "gpl-3.0", "mit", "gpl-2.0", "apache-2.0", "mit", "mpl-2.0", "cc-by-nc-4.0"]
+    notices = [licenses.TEMPLATES[k] for k in names]
+    changed = licenses.TEMPLATES["gpl-3.0-header"].replace("program", "library")
+    every = ["\n".join(notices), " ".join(notices), "\n".join(notices[:4]), changed + " " + licenses.TEMPLATES["mit"]]
+    found = confirmed_in(spark, every)
+    assert [[t for t, _ in found[i]] for i in range(4)] == [names, names, names[:4], ["gpl-3.0-header", "mit"]]
+
+
 def test_url_rules_nest(spark):
     rules = spark.createDataFrame([("com", "/", "block"), ("a.com", "/x/", "allow"), ("b.a.com", "/x/y/", "block")], "host string, path string, verdict string")
     pages = [(0, "http://com/"), (1, "https://A.com/x/1"), (2, "http://c.b.a.com/x/y/z?q"), (3, "http://xcom/"), (4, None), (5, "nothing"), (6, "http://b.a.com/x/z"), (7, "http://aa.com#f")]
