@@ -66,7 +66,10 @@ def resolve(records: DataFrame) -> DataFrame:
     dealt = store(dealt.withColumn("pid", F.spark_partition_id()), "records")
     response = F.when(~F.col("revisit"), F.struct("record_id", "headers"))
     before = Window.partitionBy("pid", "url").orderBy("time", "revisit", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = dealt.withColumn("last", F.last(response, ignorenulls=True).over(before)).where("revisit")
+    # null urls would be one history in the window
+    near = dealt.where("url is not null").withColumn("last", F.last(response, ignorenulls=True).over(before)).where("revisit")
+    lone = dealt.where("url is null and revisit").withColumn("last", F.lit(None).cast(near.schema["last"].dataType))
+    near = near.unionByName(lone)
     # the last response of each url that lies over a partition's end, carried to the partitions behind
     spread = dealt.groupBy("pid").agg(F.min("url").alias("first"), F.max("url").alias("last"))
     border = spread.select(F.explode(F.array("first", "last")).alias("url")).distinct()

@@ -331,6 +331,14 @@ def test_revisits(spark):
     assert got[4][:2] == (None, "mismatched") and got[5][1] == "missing" and got[6][1] == "missing" and got[7][:2] == (3, "unverified")
 
 
+def test_revisits_without_url_have_no_response(spark):
+    rows = [(k, None, k, "revisit" if k % 2 else "response", {"ETag": '"x"'}) for k in range(40)]
+    rows += [(100, "http://a.org/p", 1, "response", {"ETag": '"x"'}), (101, "http://a.org/p", 2, "revisit", {"ETag": '"x"'})]
+    got = {r["record_id"]: (r["url"], r["refers_to"], r["state"], r["headers"]) for r in warc.resolve(spark.createDataFrame(rows, "record_id long, url string, time long, type string, headers map<string,string>")).collect()}
+    assert got.pop(101)[1:3] == (100, "matched")
+    assert got == {k: (None, None, "missing", None) for k in range(1, 40, 2)}
+
+
 def test_host_verdicts(spark):
     good, poor = "wort " * 1 + " ".join(f"w{i}" for i in range(80)), "# | $ " * 40 + " ".join(f"w{i}" for i in range(60))
     docs = docs_of(spark, [good, poor] * 200, ["good", "bad"])
