@@ -124,6 +124,14 @@ def draw_blocks(sites: DataFrame, edges: DataFrame, blocks: DataFrame, s2: float
     return needed.groupBy("target").applyInPandas(draw, f"ix {sites.schema['ix'].dataType.simpleString()}, w double")
 
 
+def sweep(sites: DataFrame, edges: DataFrame, colors: DataFrame, s2: float, phi: float, tausq: float, seed: Sequence[int], noise: bool = True) -> DataFrame:
+    """sites with w drawn anew (see draw_blocks), colour by colour, each given what the earlier ones drew; cut from its lineage after each."""
+    for color in [r["color"] for r in colors.select("color").distinct().orderBy("color").toLocalIterator()]:
+        new = draw_blocks(sites, edges, colors.where(F.col("color") == color), s2, phi, tausq, seed, noise)
+        sites = cut(sites.withColumnRenamed("w", "_w").join(new, "ix", "left").withColumn("w", F.coalesce("w", "_w")).drop("_w"))
+    return sites
+
+
 @dataclass
 class Priors:
     sigmasq: tuple[float, float] = (3.0, 3.0)
@@ -163,17 +171,13 @@ def fit(sites: DataFrame, edges: DataFrame, colors: DataFrame, x: Sequence[str]
     spark = sites.sparkSession
     priors, s = priors or Priors(), start or State(beta=[0.0] * len(x))
     table = cut(sites.select("ix", "var1", "var2", "block", "y", *x, (F.col("w") if "w" in sites.columns else F.lit(0.0)).cast("double").alias("w")))
-    order = [r["color"] for r in colors.select("color").distinct().orderBy("color").toLocalIterator()]
     n = table.count()
     parameters: list[tuple[int, str, float]] = []
     kept: DataFrame | None = None
     fixed = lambda: sum((F.col(c).cast("double") * b for c, b in zip(x, s.beta, strict=True)), F.lit(0.0))
     for it in range(iterations):
         rng = np.random.default_rng((seed, it))
-        for color in order:
-            given = table.withColumn("e", F.col("y") - fixed())
-            new = draw_blocks(given, edges, colors.where(F.col("color") == color), s.sigmasq, s.phi, s.tausq, (seed, it))
-            table = cut(table.withColumnRenamed("w", "_w").join(new, "ix", "left").withColumn("w", F.coalesce("w", "_w")).drop("_w"))
+        table = sweep(table.withColumn("e", F.col("y") - fixed()), edges, colors, s.sigmasq, s.phi, s.tausq, (seed, it)).drop("e")
         lo, hi = priors.phi
         now = np.log((s.phi - lo) / (hi - s.phi))
         proposal = lo + (hi - lo) / (1 + np.exp(-(now + s.step * rng.normal())))

@@ -522,14 +522,14 @@ def precision_entries(spark, sf_dir):
 
 @query()
 def gibbs_sweep(spark, sf_dir):
-    """The process's conditional means, block by block of the first colour."""
+    """The process's conditional means at all sites, colour by colour, each given those of the earlier ones."""
     blocked, edges, colors = _fitted(spark, sf_dir)
-    return gaussian.draw_blocks(blocked.withColumn("e", F.col("y")), edges, colors.where("color = 0"), 1.0, 4.0, 0.1, (1, 0), noise=False)
+    return gaussian.sweep(blocked.withColumn("e", F.col("y")), edges, colors, 1.0, 4.0, 0.1, (1, 0), noise=False).select("ix", "w")
 
 
 @query()
 def chain_draws(spark, sf_dir):
-    """Parameter draws of two iterations."""
+    """Parameter draws of two iterations: a test of the steps, too short a chain to infer anything from."""
     blocked, edges, colors = _fitted(spark, sf_dir)
     return gaussian.fit(blocked, edges, colors, x=["x2"], iterations=2)[0]
 

@@ -111,6 +111,26 @@ def test_block_draw_is_the_dense_conditional(spark):
         assert np.allclose([got[i] for i in np.flatnonzero(mine)], np.linalg.solve(a, rhs))
 
 
+def test_gibbs_sweep_is_dense_over_all_colours(spark):
+    blocked, edges, colors = Q._fitted(spark, SF)
+    rows = blocked.select("ix", "block", "w", "y").orderBy("ix").collect()
+    place = {r["ix"]: k for k, r in enumerate(rows)}
+    q = np.zeros((len(rows), len(rows)))
+    for i, j, v in gaussian.precision_entries(blocked, edges, 1.0, 4.0).collect():
+        q[place[i], place[j]] = v
+    w, y = (np.array([r[c] if r[c] is not None else np.nan for r in rows], float) for c in ("w", "y"))
+    block, color = np.array([r["block"] for r in rows]), {r["block"]: r["color"] for r in colors.collect()}
+    assert len(set(color.values())) > 1
+    for b in sorted(set(block), key=lambda b: color[b]):
+        mine = block == b
+        seen = np.isfinite(y[mine])
+        rhs = np.where(seen, y[mine], 0) / 0.1 - q[np.ix_(mine, ~mine)] @ w[~mine]
+        w[mine] = np.linalg.solve(q[np.ix_(mine, mine)] + np.diag(seen / 0.1), rhs)
+    got = {r["ix"]: r["w"] for r in Q.gibbs_sweep(spark, SF).collect()}
+    assert set(got) == set(place)
+    assert np.allclose([got[r["ix"]] for r in rows], w, atol=1e-6)
+
+
 def test_failed_factorization_is_data(spark):
     rows = spark.createDataFrame([(0, 0.0, 0.0, 1, 1.0), (1, 0.0, 0.0, 1, 2.0)], "ix long, var1 double, var2 double, block int, w double")
     parts = gaussian.block_logliks(rows, spark.createDataFrame([], "child int, parent int, slot int"), [(1.0, 1.0)])
