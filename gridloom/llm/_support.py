@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: One word: a maximal run of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a new one only where none is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; in local mode, where none is set, a new one."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="gridloom-")
         context.setCheckpointDir(path)
     return path
@@ -55,3 +60,26 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def named(column: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def carried(keep: Iterable[str]) -> Column:
+    """The columns keep in one struct, row: within it no name clashes with what an operator adds."""
+    keep = list(keep)
+    return F.struct(*[named(c) for c in keep], *([] if keep else [F.lit(True).alias("none")])).alias("row")
+
+
+def unpacked(keep: Iterable[str], made: Iterable[str]) -> list[Column]:
+    """The columns that carried() holds; those named like one of made give way to it."""
+    taken = {c.lower() for c in made}
+    return [F.col("row")[c].alias(c) for c in keep if c.lower() not in taken]
+
+
+def read_texts(docs: DataFrame, keep: Iterable[str], text: str, work: Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]], made: str) -> DataFrame:
+    """row, then the columns made (a DDL string), by work over Arrow batches of row, text."""
+    kept = docs.select(carried(keep), named(text).cast("string").alias("text"))
+    return kept.mapInArrow(work, StructType([kept.schema["row"], *StructType.fromDDL(made).fields]))

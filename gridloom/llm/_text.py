@@ -100,7 +100,7 @@ def _prefix(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each span of bytes; starts and ends are each sorted."""
+    """One 64-bit hash for each span of bytes; starts and ends are each sorted. Texts can be made to collide: see classes()."""
     with np.errstate(over="ignore"):
         h = _prefix(data, ends) - _prefix(data, starts)
         far = np.array([pow(pow(_BASE, -1, 1 << 64), k * _SLICE, 1 << 64) for k in range(len(data) // _SLICE + 1)], np.uint64)
@@ -108,6 +108,35 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix(h + (ends - starts).astype(np.uint64))
 
 
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, limit: int = 1 << 20) -> bool:
+    """Whether the bytes from each a equal those from b, size of them; compared about limit bytes at a time."""
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        n = size[lo:hi]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(a[lo:hi], n) + step] != data[np.repeat(b[lo:hi], n) + step]).any():
+            return False
+        lo = hi
+    return True
+
+
+def classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, from 0, equal for equal bytes only, and the first span of each number.
+
+    Spans of equal hashes are compared byte for byte; where texts are made to collide, all spans are told apart by their bytes.
+    """
+    _, first, of = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, chief = ends - starts, first[of]
+    again = np.flatnonzero(chief != np.arange(len(of)))
+    if (size[again] != size[chief[again]]).any() or not _same(data, starts[again], starts[chief[again]], size[again]):
+        seen: dict[bytes, int] = {}
+        of = np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        first = np.unique(of, return_index=True)[1]
+    return of, first
+
+
 def sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of values[off[i]:off[i + 1]] for each i."""
     out = np.add.reduceat(np.append(values, values.dtype.type(0)), off[:-1], dtype=np.int64)

@@ -24,7 +24,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ._support import read_texts, unpacked
 
 BLOCK = 2 << 20
 #: Words whose tokens a task keeps between blocks.
@@ -251,7 +252,6 @@ def _long(encoder: Encoder, text: str, keep: list[pa.Array], names: list[str]) -
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """keep, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (what the ids decode to) of each row."""
-    keep = [c for c in keep if c.lower() not in ("n_tokens", "ids", "decoded")]
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "n_tokens bigint", "ids binary", "decoded string"])
-    return kept.mapInArrow(lambda batches: _encode(batches, path), schema)
+    found = read_texts(docs, keep, text, lambda batches: _encode(batches, path), "n_tokens bigint, ids binary, decoded string")
+    made = ("n_tokens", "ids", "decoded")
+    return found.select(*unpacked(keep, made), *made)

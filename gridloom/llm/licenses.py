@@ -21,7 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ._support import read_texts, unpacked
 
 #: Wording of common licenses and of the notices by which texts name them.
 TEMPLATES = {
@@ -207,8 +208,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], schema:
 def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """keep, then template, rank, spared, confirmed, missing, added, first, length for each confirmed stretch (characters first, length), and for each block's other templates."""
     made = [c.split()[0] for c in _TYPE.split(", ")]
-    kept = docs.select(*[c for c in keep if c.lower() not in made], F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), _TYPE])
     listed = pa.list_(pa.string())
     arrow = pa.schema([("template", pa.string()), ("rank", pa.int32()), ("spared", pa.float64()), ("confirmed", pa.bool_()), ("missing", listed), ("added", listed), ("first", pa.int64()), ("length", pa.int64())])
-    return kept.mapInArrow(lambda batches: _scan(batches, templates, arrow), schema)
+    found = read_texts(docs, keep, text, lambda batches: _scan(batches, templates, arrow), _TYPE)
+    return found.select(*unpacked(keep, made), *made)

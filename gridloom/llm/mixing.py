@@ -1,16 +1,18 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Every source's documents form one stream in a permuted order that depends only on (seed, doc_id, text). The stream is cut into
-blocks of block_words words. A source with target T takes whole passes over its stream and then the first T mod size words of it, so
-its taken words are the target rounded down, exactly. The taken blocks of all sources are dealt to the output shards by a binary tree:
-at each node the left half draws its blocks without replacement, which gives every source a multivariate-hypergeometric quota; quotas
-add up exactly, at every node, to the source's blocks and to the shards' sizes. A shard gets disjoint runs of each permuted stream and
-shuffles them by a keyed hash. All of it is DataFrame expressions; only the table of sources (one row a source) is ever gathered, as an
-array of counts for each tree node.
+Every source's documents form one stream in a permuted order that depends only on (seed, doc_id, text). A source with target T takes whole
+passes over its stream and then the first T mod size words of it, so its taken words are the target rounded down, exactly. What it takes is
+cut into blocks of block_words words; a document is in the block that its first word in a pass falls in. The blocks of all sources are dealt
+to the output shards by a binary tree: at each node the left half draws its blocks without replacement, which gives every source a
+multivariate-hypergeometric quota; quotas add up exactly, at every node, to the source's blocks and to the shards' sizes. A shard gets as many
+next blocks of each permuted stream as its quota says, disjoint from all others', and is sorted by a keyed hash of its documents: the local
+shuffle. All of it is DataFrame expressions; only the table of sources (one row a source, MOST_SOURCES at most, or an error) is ever gathered,
+as an array of counts for each tree node.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a source of no words has target 0; a negative
-or missing id only enters hashes; equal rows get one place each, in an order that can't be told apart; an empty table gives an empty one.
-Documents that straddle the end of a source's last pass are taken in part (their first words), so that taken never exceeds 2 * size.
+or missing id only enters hashes; equal rows get one place each, in an order that can't be told apart; an empty table gives an empty one;
+columns of docs that share a name with a result give way to it, in texts() all stay. Documents that straddle the end of a source's last pass
+are taken in part (their first words), so that taken never exceeds 2 * size; they may straddle the border of a shard, and lie in the first.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._support import WORD, store, unit_hash
+from ._support import WORD, carried, named, store, unit_hash, unpacked
 
 WEIGHTS = (5, 2, 1)
 #: A hypergeometric draw looks at counts within so many standard deviations of the mean: beyond lies less than 1e-30.
 WIDTH = 12.0
+#: Sources of a mix, whose table passes through single rows and windows, and sources times shards (32 MB, which are broadcast). Rows that one window over a source's stream sorts, about.
+MOST_SOURCES, MOST_QUOTAS, BUCKET_ROWS = 10_000, 4_000_000, 20_000
+MADE = ("size", "source_size", "target", "taken", "pieces")
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -106,69 +111,73 @@ def shard_quotas(sources: DataFrame, shards: int, block_words: int, seed: int) -
         right = F.transform("halves", lambda h: F.struct(h["last"].alias("last"), h["source"].alias("source"), h["rest"].alias("n")))
         tree = both.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("at")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("at")))).alias("half")).select("half.*")
     flat = tree.select("node", F.explode("at").alias("q")).select("node", F.col("q.source").alias("source"), F.col("q.n").alias("n"))
-    runs = flat.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "n"))), lambda x: x["n"]).alias("quotas"))
-    ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: F.aggregate(F.slice("quotas", 1, k), F.lit(0).cast("long"), lambda s, n: s + n))
-    return counted.join(runs.select(F.col("source").alias("of"), ends.alias("ends")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("node"))
+    runs = flat.select("source", "node", upto.alias("n")).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "n"))), lambda x: x["n"]).alias("ends"))
+    return counted.join(runs.select(F.col("source").alias("of"), "ends"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, shards: int = 16, block_words: int = 1024, seed: int = 42, buckets: int = 1024, keep: list[str] | None = None) -> DataFrame:
-    """keep (default: all columns of docs) with size, source_size, target, taken, pieces.
-
-    pieces: array of (pass, shard, place, first, words), what the mix takes of the document: words of it from word first on (from 0), to
-    be put at place (a sort key) within shard. Exploding it gives the mix; ordering a shard by place shuffles it block by block.
-    """
-    made = ("size", "source_size", "target", "taken", "pieces")
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+def _pieces(docs: DataFrame, keep: list[str], weights, share: float, most: int, shards: int, block_words: int, seed: int, bucket_rows: int) -> DataFrame:
+    """row (the columns keep), text, size, source_size, target and pieces (see mix) of each row of docs."""
+    buckets = max(64, 1 << (docs.count() // bucket_rows).bit_length())
+    text = named("text").cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    key = F.xxhash64(F.lit(seed), named("doc_id"), text)
     # none and of stand for source in keys: equality of plain columns keeps the join and the window on one shuffle
     names = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("of")]
     bucket = F.pmod(key, F.lit(buckets)).cast("int").alias("bucket")
-    keyed = docs.select(F.struct(*keep).alias("row"), *names, bucket, key.alias("key"), size.alias("size"))
+    sized = docs.select(named("source").cast("string").alias("source"), bucket, size.alias("size"))
+    keyed = docs.select(carried(keep), named("source").cast("string").alias("source"), bucket, key.alias("key"), size.alias("size")).select("row", *names, "bucket", "key", "size")
     # where each bucket of a source's stream starts: sums of buckets, then a window over the buckets alone
-    per = docs.select("source", bucket, size.alias("size")).groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    per = store(per, "mix-buckets")
+    per = store(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
+    found = per.select("source").distinct().count()
+    if found > MOST_SOURCES or found * shards > MOST_QUOTAS:
+        raise ValueError(f"{found} sources in {shards} shards: a mix has at most {MOST_SOURCES} sources and {MOST_QUOTAS} quotas")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = per.select(*names, "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("begin"))
     plan = shard_quotas(source_targets(per, weights, share, most), shards, block_words, seed)
     plan = plan.select(*names, "source_size", "target", "ends")
-    placed = keyed.join(begins.join(plan, ["none", "of"]), ["none", "of", "bucket"])
+    placed = keyed.join(begins, ["none", "of", "bucket"])
     inside = Window.partitionBy("none", "of", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("at", F.col("begin") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.withColumn("at", F.col("begin") + F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(plan), ["none", "of"])
     # pass p of the stream is [p * source_size, (p + 1) * source_size) of what the source takes: [0, target)
     quota = F.floor("target").cast("long")
-    begin = lambda p: p * F.col("source_size") + F.col("at")
-    passes = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda p: F.struct(p.alias("pass"), begin(p).alias("lo"), F.least(begin(p) + F.col("size"), quota).alias("hi")))
-    passes = F.filter(passes, lambda p: p["lo"] < p["hi"])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(shards.bit_length() - 1))]) if shards > 1 else F.array().cast("array<int>")
+
+    def piece(p: Column) -> Column:
+        lo = p * F.col("source_size") + F.col("at")
+        words = F.least(lo + F.col("size"), quota) - lo
+        # the shard whose quota the block of the first word falls in: how many ends are at or under its number
+        shard = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get("ends", n + step - 1) <= F.floor(lo / block_words), step).otherwise(F.lit(0)))
+        return F.struct(p.alias("pass"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "none", "of", "key", p).alias("place"), words.alias("words"))
 
-    def pieces(p: Column) -> Column:
-        def piece(b: Column) -> Column:
-            lo = F.greatest(p["lo"], b * block_words)
-            shard = F.size(F.filter("ends", lambda e: e <= b))
-            place = F.struct(F.xxhash64(F.lit(seed), "none", "of", b).alias("block"), lo.alias("at"))
-            return F.struct(p["pass"].alias("pass"), shard.alias("shard"), place.alias("place"), (lo - p["lo"]).alias("first"), (F.least(p["hi"], (b + 1) * block_words) - lo).alias("words"))
+    pieces = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most)), piece), lambda x: x["words"] > 0)
+    return placed.select("row", "size", "source_size", "target", pieces.alias("pieces"))
 
-        return F.transform(F.sequence(F.floor(p["lo"] / block_words), F.floor((p["hi"] - 1) / block_words)), piece)
 
-    cut = placed.select("row", "size", "source_size", "target", F.flatten(F.transform(passes, pieces)).alias("pieces"))
-    taken = F.aggregate(F.filter("pieces", lambda x: x["shard"] < shards), F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return cut.select(*[F.col("row")[c].alias(c) for c in keep], "size", "source_size", "target", taken.alias("taken"), "pieces")
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, shards: int = 16, block_words: int = 1024, seed: int = 42, keep: list[str] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """keep (default: all columns of docs) with size, source_size, target, taken, pieces.
+
+    pieces: an array of (pass, shard, place, words), what the mix takes of the document: in each pass its first words, which go to the shard
+    that drew the block of the pass's first one, and lie there at place (a sort key: the local shuffle).
+    """
+    keep = docs.columns if keep is None else keep
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["words"])
+    cut = _pieces(docs, keep, weights, share, most, shards, block_words, seed, bucket_rows)
+    return cut.select(*unpacked(keep, MADE), "size", "source_size", "target", taken.alias("taken"), "pieces")
 
 
-def texts(mixed: DataFrame, shards: int = 16) -> DataFrame:
-    """The mix as rows: those of mix() with text, once for each pass it is taken in; the last of a source may be cut behind a word.
+def texts(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, shards: int = 16, block_words: int = 1024, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The mix as rows of docs: a partition for each shard, shuffled by place; a document once for each pass it is taken in.
 
-    n_chars, where there is one, follows the text.
+    The last documents of a source may be cut behind a word; n_chars, where there is one, follows the text.
     """
-    made = ("size", "source_size", "target", "taken", "pieces")
-    inside = F.filter("pieces", lambda x: x["shard"] < shards)
-    words = lambda p: F.aggregate(F.filter(inside, lambda x: x["pass"] == p), F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    each = F.transform(F.array_distinct(F.transform(inside, lambda x: x["pass"])), words)
-    rows = mixed.select(*[c for c in mixed.columns if c not in made], "size", F.explode(each).alias("_words"))
+    cut = _pieces(docs, docs.columns, weights, share, most, shards, block_words, seed, bucket_rows)
+    rows = cut.select("row", "size", F.explode("pieces").alias("piece")).repartitionById(shards, F.col("piece.shard")).sortWithinPartitions("piece.place")
+    text, words = F.col("row")["text"].cast("string"), F.col("piece.words")
     # words with the white space before them: joined they are the text's beginning again
-    begin = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    cut = F.col("_words") < F.col("size")
-    changes = {"text": F.when(cut, begin).otherwise(F.col("text"))}
-    if "n_chars" in mixed.columns:
-        changes["n_chars"] = F.when(cut, F.length(begin)).otherwise(F.col("n_chars")).cast(mixed.schema["n_chars"].dataType)
-    return rows.withColumns(changes).drop("_words", "size")
+    begin = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
+    part = words < F.col("size")
+    changes = {"text": F.when(part, begin).otherwise(text)}
+    if "n_chars" in docs.columns:
+        changes["n_chars"] = F.when(part, F.length(begin)).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changes.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

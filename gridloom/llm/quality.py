@@ -2,7 +2,7 @@
 
 Defined results: null and empty texts have no words and fail the length rule; a null domain is a domain of its own; equal rows are
 judged alike; texts of any length are read whole; an empty table gives an empty one; columns of docs that share a name with a result
-give way to it.
+give way to it, any other column is returned as it is. Counts are exact: words and lines are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._support import store
-from ._text import SPACE, blocks, line_spans, mix, span_hashes, spans, string_buffers, sums
+from ._support import read_texts, store, unpacked
+from ._text import SPACE, blocks, classes, line_spans, spans, string_buffers, sums
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Characters that mark leftover markup.
@@ -37,30 +37,29 @@ def block_features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     out[:, 0] = np.diff(words)
     out[:, 1] = sums((inside & ((data & 0xC0) != 0x80)).view(np.int8), off)
     out[:, 2] = sums(_SYMBOL[data].view(np.int8), off)
-    with np.errstate(over="ignore"):
-        # lines with a word: those between whose ends some word starts
-        lo, hi, _ = line_spans(data, off)
-        full = np.searchsorted(starts, hi) > np.searchsorted(starts, lo)
-        lo, hi = lo[full], hi[full]
-        doc = np.searchsorted(off, lo, "right") - 1
-        out[:, 3] = np.bincount(doc, minlength=n)
-        key = mix(span_hashes(data, lo, hi) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        out[:, 3] -= np.bincount(doc[np.unique(key, return_index=True)[1]], minlength=n)
-        # windows of three words of one document that occur twice or more in it
-        h = span_hashes(data, starts, ends)
+    # lines with a word: those between whose ends some word starts
+    lo, hi, _ = line_spans(data, off)
+    full = np.searchsorted(starts, hi) > np.searchsorted(starts, lo)
+    lo, hi = lo[full], hi[full]
+    doc = np.searchsorted(off, lo, "right") - 1
+    line, first = classes(data, lo, hi)
+    out[:, 3] = np.bincount(doc, minlength=n)
+    out[:, 3] -= np.bincount(np.unique(doc * max(1, len(first)) + line) // max(1, len(first)), minlength=n)
+    # windows of three words of one document that occur twice or more in it
+    if len(starts) > 2:
+        word, first = classes(data, starts, ends)
         doc = np.repeat(np.arange(n), out[:, 0])
-        if len(h) > 2:
-            tri = mix(mix(mix(h[:-2]) + h[1:-1]) + h[2:])
-            tri = mix(tri + doc[2:].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            own = doc[:-2] == doc[2:]
-            order = np.sort(tri[own])
-            again = np.unique(order[1:][order[1:] == order[:-1]])
-            twice = own & np.isin(tri, again, kind="sort") if len(again) else np.zeros(len(tri), bool)
-            covered = np.zeros(len(h), np.int8)
-            covered[:-2] |= twice
-            covered[1:-1] |= twice
-            covered[2:] |= twice
-            out[:, 4] = sums(covered, words)
+        pair = np.unique(word[:-1] * len(first) + word[1:], return_inverse=True)[1]
+        tri = np.unique(pair[:-1] * len(first) + word[2:], return_inverse=True)[1]
+        own = doc[:-2] == doc[2:]
+        order = np.sort((doc[2:] * len(tri) + tri)[own])
+        again = np.unique(order[1:][order[1:] == order[:-1]])
+        twice = own & np.isin(doc[2:] * len(tri) + tri, again, kind="sort") if len(again) else np.zeros(len(tri), bool)
+        covered = np.zeros(len(starts), np.int8)
+        covered[:-2] |= twice
+        covered[1:-1] |= twice
+        covered[2:] |= twice
+        out[:, 4] = sums(covered, words)
     return out
 
 
@@ -74,11 +73,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep of docs, then FEATURES of its texts; the text itself is dropped unless kept."""
-    keep = [c for c in keep if c.lower() not in FEATURES]
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), *(f"{c} bigint" for c in FEATURES)])
-    return kept.mapInArrow(_measure, schema)
+    """row (the columns keep in a struct), then FEATURES of each row's text."""
+    return read_texts(docs, keep, text, _measure, ", ".join(f"{c} bigint" for c in FEATURES))
 
 
 def base_failed(max_repeat: float = 50.0, min_words: int = 50) -> Column:
@@ -96,13 +92,13 @@ def rules() -> dict[str, Column]:
     }
 
 
-def host_verdicts(features: DataFrame, domain: str = "source", most: float = 0.6, sure: float = 3.0) -> DataFrame:
+def host_verdicts(features: DataFrame, domain: Column, most: float = 0.6, sure: float = 3.0) -> DataFrame:
     """domain (null included) and rejected: whether for some rule the shrunk failure rate, less sure deviations, is over most.
 
     For each rule, a beta prior is fitted to the rates of all domains by moments: the variance between domains beyond what binomial
     sampling explains gives its strength. A domain's rate is then the posterior mean (failures + a) / (documents + a + b).
     """
-    counted = features.groupBy(F.col(domain).alias("domain")).agg(F.count("*").alias("n"), *[F.count(F.when(c, 1)).alias(k) for k, c in rules().items()])
+    counted = features.groupBy(domain.alias("domain")).agg(F.count("*").alias("n"), *[F.count(F.when(c, 1)).alias(k) for k, c in rules().items()])
     # one row for a domain and rule
     long = counted.select("domain", "n", F.explode(F.create_map(*[x for k in rules() for x in (F.lit(k), F.col(k))])).alias("rule", "failed"))
     total = long.groupBy("rule").agg(F.sum("n").alias("docs"), F.count("*").alias("domains"), F.sum("failed").alias("bad"), F.sum(F.col("n") * F.col("n").cast("double")).alias("squares"), F.sum(F.col("failed") * F.col("failed").cast("double") / F.col("n")).alias("scaled"))
@@ -124,9 +120,9 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text", domain: str = "s
     scratch: write the features once and read them for both the counts and the join; otherwise (where keep holds the text) the texts
     are measured twice and nothing is written.
     """
-    own = [c for c in dict.fromkeys([*keep, domain])]
+    own = list(dict.fromkeys([*keep, domain]))
     features = store(measure(docs, own, text), "features") if scratch else measure(docs, own, text)
-    verdicts = host_verdicts(features if scratch else measure(docs, [domain], text), domain)
-    joined = features.withColumn("base_failed", base_failed()).join(verdicts, F.col(domain).eqNullSafe(F.col("domain")))
-    kept = [c for c in keep if c.lower() not in (*FEATURES, "base_failed", "kept")]
-    return joined.select(*kept, *FEATURES, "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"))
+    of = F.col("row")[domain]
+    verdicts = host_verdicts(features if scratch else measure(docs, [domain], text), of)
+    joined = features.withColumn("base_failed", base_failed()).join(verdicts, of.eqNullSafe(F.col("domain")))
+    return joined.select(*unpacked(keep, (*FEATURES, "base_failed", "kept")), *FEATURES, "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"))

@@ -50,13 +50,14 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).otherwise(F.col("toxic")).alias("grade"))
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
     return toxicity.score(docs, model, ["doc_id"])
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("pieces")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.withColumn("shards", F.transform("pieces", lambda x: x["shard"])).drop("pieces")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

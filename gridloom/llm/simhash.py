@@ -26,9 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._graph import components
-from ._support import fresh, store
+from ._support import carried, fresh, named, read_texts, store, unpacked
 from ._text import BLOCK, blocks, mix, string_buffers
 
 DISTANCE, SEGMENTS, WIDTH = 3, 4, 16
@@ -100,9 +101,8 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words: int = 3) -> DataFrame:
     """keep and fingerprint (a bigint of the 64 bits) of each row."""
-    kept = docs.select(*[c for c in keep if c.lower() != "fingerprint"], F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "fingerprint bigint"])
-    return kept.mapInArrow(lambda batches: _fingerprint(batches, words), schema)
+    found = read_texts(docs, keep, text, lambda batches: _fingerprint(batches, words), "fingerprint bigint")
+    return found.select(*unpacked(keep, ["fingerprint"]), "fingerprint")
 
 
 def _segment(bits: Column, at: int) -> Column:
@@ -397,18 +397,16 @@ def similar(docs: DataFrame, keep: list[str], text: str = "text", words: int = 5
     share a key of minima of their shingles (at 0.8, all but 1 in 90,000 pairs do) and have wide fingerprints within a loose radius; then the
     sets of all that candidates connect are compared, and only these comparisons link.
     """
-    key = fresh(docs, "text_key")
-    kept = docs.select(*[c for c in keep if c.lower() != "label"], F.xxhash64(text).alias(key), F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "bits array<bigint>, keys array<bigint>, node bigint"])
+    kept = docs.select(carried(keep), F.xxhash64(named(text)).alias("text_key"), named(text).alias("text"))
+    schema = StructType([*kept.schema.fields[:-1], *StructType.fromDDL("bits array<bigint>, keys array<bigint>, node bigint").fields])
     marked = store(kept.mapInArrow(lambda b: _sketch(b, words), schema), "sketches")
     nodes = store(marked.groupBy("node").agg(F.min("bits").alias("bits"), F.min("keys").alias("keys")), "nodes")
     loose = components(similar_links(nodes, radius(similarity, slack=LOOSE))).select("node", F.col("label").alias("key"))
-    wanted = marked.join(loose, "node", "left_semi").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
-    sets = kept.join(wanted, key, "left_semi").select("_text").mapInArrow(lambda b: _sets(b, words), "node bigint, shingles array<bigint>")
+    wanted = marked.join(loose, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key").distinct()
+    sets = kept.join(wanted, "text_key", "left_semi").select("text").mapInArrow(lambda b: _sets(b, words), "node bigint, shingles array<bigint>")
     members = store(sets.groupBy("node").agg(F.first("shingles").alias("shingles")).join(loose, "node"), "sets")
     labels = components(set_links(members, similarity))
-    own = [c for c in marked.columns if c not in ("bits", "keys", "node", key)]
-    return marked.join(labels, "node", "left").select(*own, F.coalesce("label", "node").alias("label"))
+    return marked.join(labels, "node", "left").select(*unpacked(keep, ["label"]), F.coalesce("label", "node").alias("label"))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -421,4 +419,4 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     # rows that agree in id and text are one
     again = F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1))
     turn = fresh(keyed, "turn")
-    return keyed.join(kept, [k1, k2], "left_semi").withColumn(turn, again).where(F.col(turn) == 1).select(*docs.columns)
+    return keyed.join(kept, [k1, k2], "left_semi").withColumn(turn, again).where(F.col(turn) == 1).select(*[named(c) for c in docs.columns])

@@ -1,19 +1,23 @@
 """Repeated strings of a fixed length by distributed prefix doubling, and their removal.
 
 Positions are thinned first: every string of LENGTH bytes has one sample, the least-named of its substrings of LENGTH / 4 bytes, at a place
-that depends on the string alone (see _anchors). Successive positions with one sample make a run. Ranks then double up:
-
-1. Spark sorts all runs by the pair (name of the sample, name of the bytes the run covers) and position, in range partitions, so that the
-   runs of one sample may lie over any number of them. Neighbours in this order decide: a sample without an equal is unique, and all its
-   strings with it; they drop out. A run with an equal is repeated as a whole. What is left are runs at the borders of repeats.
-2. These are reranked at the threshold: each of their strings by the pair (sample, name of its LENGTH bytes). Samples with few different
-   runs meet in one task, which names and ranks the strings in memory. Those with many are reranked at growing lengths: what the strings of a
-   stretch have in common, then of its quarters, until they are unique or as long as the threshold, with counts added up before they are shuffled.
+that depends on the string alone (see _anchors). Successive positions with one sample make a run. Spark sorts all runs by the pair (name of
+the sample, name of the bytes the run covers) and position, in range partitions, so that the runs of one sample may lie over any number of
+them. Neighbours in this order decide: a sample without an equal is unique, and all its strings with it; they drop out. A run with an equal
+is repeated as a whole. What is left are runs at the borders of repeats. Up to 16 successive strings of one share a position, the last start:
+what follows it is common to them. The positions go through the doubling:
+
+1. The rank of the first quarter of the common bytes is their name.
+2. Spark sorts the pairs (rank at p, rank a quarter on); a pair's place in that order is the rank of half the common bytes. Positions whose
+   pair is unique drop out. So do those whose other half is unique.
+3. It sorts the pairs (rank at p, rank half way on), which ranks all common bytes; unique ones drop out.
+4. Positions that agree in every byte of their strings are settled together. Of those left, each single string is ranked at the threshold,
+   by the pair of that rank and its own name: what has an equal here is repeated.
 
 The runs at a partition's ends, two at most, are settled by what others begin and end with. Strings are judged on the input, and matches lie within documents.
 
-Names are 64-bit fingerprints of content in place of dense ranks, so that nothing has to be looked up at position + offset; two names
-must agree, of substrings of different lengths, for two strings to be taken as equal.
+Names are 64-bit fingerprints of content, so that nothing has to be looked up at position + offset for them; at least two, of different bytes,
+must agree for strings to be taken as equal.
 
 Defined results: null and empty texts have no bytes; equal rows are copies of one another, so a whole text of at least LENGTH bytes goes
 from each; a text shorter than LENGTH keeps all; bytes that remain of a cut character remain, unless whole characters are asked for; any other columns are kept as asked.
@@ -23,7 +27,6 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +34,16 @@ import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _anchors
-from ._support import release, store
+from ._support import carried, named, release, store, unpacked
 from ._text import blocks, span_hashes, string_buffers
 
 LENGTH = 200
-#: Different runs of one sample that one task ranks in memory; more are ranked by stretches.
-TOGETHER = 2048
 #: Bits of the filter that spares most documents without repeats a shuffle; it only ever lets too many through.
 FILTER_BITS = 1 << 26
 _MANY, _REP, _EDGE = 1, 2, 3
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _parts(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -69,13 +70,13 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sample", "whole", "k1", "k2", "first", "n"])
 
 
-def _rank(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:
+def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks sorted runs and drops unique samples.
 
     Of a sample at a partition's end all is known here but whether its first or last run goes on beyond: a run that has no equal here and
     is the partition's first or last row stays open. A row of status 0 tells what the partition begins and ends with.
     """
-    names = ["sample", "whole", "k1", "k2", "first", "n", "status", "hot", "open", "alone", "pid"]
+    names = ["sample", "whole", "k1", "k2", "first", "n", "status", "open", "alone", "pid"]
     pid = TaskContext.get().partitionId()
     held: list[pa.RecordBatch] = []
     begun = False
@@ -86,18 +87,18 @@ def _rank(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.Recor
         new_whole = new_sample | np.concatenate([[True], whole[1:] != whole[:-1]])
         of_sample, of_whole = np.cumsum(new_sample) - 1, np.cumsum(new_whole) - 1
         runs, equal = np.bincount(of_sample)[of_sample], np.bincount(of_whole)[of_whole]
-        wholes = np.bincount(of_sample[new_whole])[of_sample]
         edges = np.bincount(of_sample[new_whole & (equal == 1)], minlength=of_sample[-1] + 1)[of_sample]
         status = np.where(equal == 1, _EDGE, np.where(new_whole & ((edges > 0) | starts | ends), _REP, _MANY)).astype(np.int8)
         opened = np.zeros(len(sample), bool)
-        opened[0], opened[-1] = starts and equal[0] == 1, ends and equal[-1] == 1
+        opened[0] |= starts and equal[0] == 1
+        opened[-1] |= ends and equal[-1] == 1  # it may be the first as well
         keep = np.flatnonzero((runs > 1) | opened)
-        more = (status, (wholes > together) | starts | ends, opened, runs == 1, np.full(len(sample), pid, np.int32))
+        more = (status, opened, runs == 1, np.full(len(sample), pid, np.int32))
         return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks().take(pa.array(keep)) for c in names[:6]), *(pa.array(np.ascontiguousarray(c[keep])) for c in more)], names=names)
 
     def marker(rows: pa.RecordBatch, at: int) -> pa.RecordBatch:
         row = rows.slice(at, 1)
-        more = (pa.array([0], pa.int8()), *(pa.array([False]) for _ in range(3)), pa.array([pid], pa.int32()))
+        more = (pa.array([0], pa.int8()), *(pa.array([False]) for _ in range(2)), pa.array([pid], pa.int32()))
         return pa.RecordBatch.from_arrays([*row.columns[:6], *more], names=names)
 
     for batch in itertools.chain(batches, [None]):
@@ -127,126 +128,83 @@ def _rank(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.Recor
             yield marked(pa.Table.from_batches(held), not begun, True)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes covered by each run that is listed for a document."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes that each run covers of those that are listed for a document."""
     for batch in batches:
         text, listed, k1, k2 = (batch.column(c) for c in range(4))
         raw, off = string_buffers(text)
         owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(listed).to_numpy())
         runs = pa.RecordBatch.from_struct_array(listed.flatten())
         begin = off[owner] + runs.column("first").to_numpy()
-        size = runs.column("n").to_numpy() + (length - 1)
         for lo in range(0, len(begin), 10_000):
             part = slice(lo, lo + 10_000)
-            data = [raw[b : b + n].tobytes() for b, n in zip(begin[part].tolist(), size[part].tolist(), strict=True)]
-            columns = [runs.column("sample").slice(lo, 10_000), k1.take(pa.array(owner[part])), k2.take(pa.array(owner[part])), *(runs.column(c).slice(lo, 10_000) for c in ("first", "n", "status", "hot")), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["sample", "k1", "k2", "first", "n", "status", "hot", "bytes"])
+            data = [raw[b : b + n].tobytes() for b, n in zip(begin[part].tolist(), runs.column("bytes").to_numpy()[part].tolist(), strict=True)]
+            columns = [runs.column("sample").slice(lo, 10_000), k1.take(pa.array(owner[part])), k2.take(pa.array(owner[part])), *(runs.column(c).slice(lo, 10_000) for c in ("first", "times")), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["sample", "k1", "k2", "first", "times", "bytes"])
 
 
-def _strings(rows: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The run and the name of every string of the runs."""
-    column = rows.column("bytes")
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    data, off = string_buffers(column.cast(pa.large_binary()).view(pa.large_string()))
-    n = rows.column("n").to_numpy().astype(np.int64)
-    names = _anchors.rolling(data, length)
-    run = np.repeat(np.arange(len(n)), n)
-    return run, names[off[:-1][run] + np.arange(len(run)) - (np.cumsum(n) - n)[run]]
+def _thinned(length: int) -> int:
+    """Strings whose starts share one position of the doubling."""
+    return max(1, min(16, length // 8))
 
 
-def _together(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated strings among the runs of each sample; rows are sorted by sample."""
-    held: list[pa.RecordBatch] = []
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        sample = rows.column("sample").to_numpy()
-        end = len(sample) if batch is None else int(np.searchsorted(sample, sample[-1], "left"))
-        if not end:
-            continue
-        done, held = rows.slice(0, end), rows.slice(end).to_batches()
-        run, name = _strings(done, length)
-        with np.errstate(over="ignore"):
-            key = _anchors.mix(name + sample[:end].view(np.uint64)[run] * _GOLD)
-        edge = done.column("status").to_numpy()[run] == _EDGE
-        _, of, times = np.unique(key, return_inverse=True, return_counts=True)
-        again = np.bincount(of, weights=np.where(edge, 1, 2), minlength=len(times))[of] > 1
-        first = done.column("first").to_numpy()
-        begin = np.arange(len(run)) - np.searchsorted(run, run, "left")
-        # neighbours of one run that repeat make one interval
-        hit = np.flatnonzero(again & edge)
-        if len(hit):
-            new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (run[hit[1:]] != run[hit[:-1]])])
-            at = hit[new]
-            n = np.diff(np.append(np.flatnonzero(new), len(hit)))
-            keys = [pa.array(done.column(k).to_numpy()[run[at]]) for k in ("k1", "k2")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(first[run[at]] + begin[at]), pa.array(n.astype(np.int32))], names=["k1", "k2", "first", "n"])
-
-
-def _places(data: np.ndarray, base: np.ndarray, sample: np.ndarray, length: int) -> np.ndarray:
-    """How many bytes before its sample each run's first string begins."""
-    part = _anchors.part_of(length)
-    names = _anchors.rolling(data, part)
-    return np.argmax(names[base[:, None] + np.arange(length - part + 1)] == sample.view(np.uint64)[:, None], axis=1)
-
-
-def _stretches(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
-    """The runs in stretches of strings: those that begin k * width to (k + 1) * width - 1 bytes before the sample.
-
-    core names what all strings of a whole stretch have in common, cover names all bytes of the strings that the run has of it.
+def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """One position for each stretch of a run's strings: those that begin k * width to (k + 1) * width - 1 bytes before the sample.
+
+    All strings of a stretch have the bytes in common that follow its position, the last start, up to the end of the string of the first. a and
+    b name the quarter of these from the position on and the one behind it, c and d those half way on (overlapping, so that they end where
+    these bytes end). at: the first start; n: starts; cover names all bytes that the run's strings have of the stretch, back: bytes before the sample.
     """
-    names = ["core", "cover", "sample", "k1", "k2", "first", "back", "times", "bytes"]
+    names = ["k1", "k2", "first", "times", "at", "n", "back", "cover", "a", "b", "c", "d"]
+    width, part = _thinned(length), _anchors.part_of(length)
+    common = length - width + 1
+    quarter = -(-common // 4)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            data, off = string_buffers(part.column("bytes").cast(pa.large_binary()).view(pa.large_string()))
-            sample, back = part.column("sample").to_numpy(), part.column("back")
-            high = _places(data, off[:-1], sample, length) if back.null_count else back.to_numpy().astype(np.int64)
+        for rows in (batch.slice(lo, 2_000) for lo in range(0, batch.num_rows, 2_000)):
+            data, off = string_buffers(rows.column("bytes").cast(pa.large_binary()).view(pa.large_string()))
+            sample, first = (rows.column(c).to_numpy() for c in ("sample", "first"))
+            small = _anchors.rolling(data, part)
+            high = np.argmax(small[off[:-1, None] + np.arange(length - part + 1)] == sample.view(np.uint64)[:, None], axis=1)
             low = high - (np.diff(off) - length)
             per = high // width - low // width + 1
             run = np.repeat(np.arange(len(high)), per)
             k = high[run] // width - (np.arange(len(run)) - (np.cumsum(per) - per)[run])
             least, most = np.maximum(k * width, low[run]), np.minimum(k * width + width - 1, high[run])
-            at = off[:-1][run] + high[run]  # the sample
-            begin, end = at - most, at - least + length
+            place = off[:-1][run] + high[run]  # of the sample
+            with np.errstate(over="ignore"):
+                cover = _anchors.mix(span_hashes(data, place - most, place - least + length) + _anchors.mix((least << 32 | most).astype(np.uint64)))
+                salt = _anchors.mix(sample.view(np.uint64)[run] + k.astype(np.uint64))
+            quarters = _anchors.rolling(data, quarter)
+            spots = [place - k * width + step for step in (0, quarter, common - 2 * quarter, common - quarter)]
+            columns = [*(rows.column(c).to_numpy()[run] for c in ("k1", "k2", "first", "times")), first[run] + high[run] - most, (most - least + 1).astype(np.int32), most.astype(np.int32), cover.view(np.int64)]
+            columns += [(quarters[spots[0]] ^ salt).view(np.int64), *(quarters[x].view(np.int64) for x in spots[1:])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=names)
+
+
+def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Every string of the stretches, by its name and the rank of what it has in common with those of its stretch."""
+    for batch in batches:
+        for rows in (batch.slice(lo, 5_000) for lo in range(0, batch.num_rows, 5_000)):
+            data, off = string_buffers(rows.column("bytes").cast(pa.large_binary()).view(pa.large_string()))
+            n, at, back = (rows.column(c).to_numpy() for c in ("n", "at", "back"))
+            row = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            name = _anchors.rolling(data, length)[off[row] + at[row] - rows.column("first").to_numpy()[row] + step]
             with np.errstate(over="ignore"):
-                salt = sample.view(np.uint64)[run] * _GOLD + k.astype(np.uint64)
-                core = _anchors.mix(span_hashes(data, at - k * width, at - k * width - width + 1 + length) + salt)
-                cover = _anchors.mix(span_hashes(data, begin, end) + _anchors.mix((least << 32 | most).astype(np.uint64)))
-            pieces = [data[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
-            columns = [core.view(np.int64), cover.view(np.int64), *(part.column(c).to_numpy()[run] for c in ("sample", "k1", "k2"))]
-            columns += [part.column("first").to_numpy()[run] + high[run] - most, most.astype(np.int32), part.column("times").to_numpy()[run]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(pieces, pa.binary())], names=names)
+                name = _anchors.mix(name + (back[row] - step).astype(np.uint64)).view(np.int64)
+            columns = [rows.column(c).to_numpy()[row] for c in ("k1", "k2", "times", "core")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(at[row] + step), pa.array(name)], names=["k1", "k2", "times", "core", "first", "name"])
 
 
-def _apart(rows: DataFrame, length: int) -> list[DataFrame]:
-    """k1, k2, first, n: repeated strings among the runs of samples that have many different ones, by narrower and narrower stretches.
+def _doubled(positions: DataFrame, left: str, right: str, rank: str) -> DataFrame:
+    """positions with the rank of their pair of names or ranks in place of it; those whose pair is nowhere else drop out.
 
-    A stretch whose cover has an equal is repeated as a whole; one of them goes on, to stand for all. One whose core has no equal has no repeated
-    string. All others, about one or two of a run, go on in quarters; a stretch of one string is its own core and cover.
+    The different pairs are sorted by Spark, and a pair's rank is its place in that order; the table of ranks is written, so that they
+    stay what they are when an executor is lost. Pairs are counted before they are shuffled, so none is hot.
     """
-    fields = "core bigint, cover bigint, sample bigint, k1 bigint, k2 int, first bigint, back int, times int, bytes binary"
-    widths = [1]
-    while widths[0] * 12 <= length:
-        widths.insert(0, widths[0] * 4)
-    out = []
-    rows = rows.select("sample", "k1", "k2", "first", F.lit(None).cast("int").alias("back"), F.when(F.col("status") == _EDGE, 1).otherwise(2).alias("times"), "bytes")
-    for width in widths:
-        parts = store(rows.mapInArrow(lambda b, w=width: _stretches(b, length, w), fields), "stretches")
-        covers = parts.groupBy("core", "cover").agg(F.sum("times").alias("all"), F.min(F.struct("k1", "k2", "first")).alias("one"))
-        cores = covers.groupBy("core").agg((F.count("*") > 1).alias("more"))
-        groups = store(covers.join(cores, "core").where("all > 1 or more"), "groups")
-        judged = store(parts.join(groups, ["core", "cover"]), "judged")
-        release(parts, groups)
-        out.append(judged.where("all > 1 and times = 1").select("k1", "k2", "first", (F.length("bytes") - (length - 1)).alias("n")))
-        on = judged.where("more and struct(k1, k2, first) = one")
-        rows = on.select("sample", "k1", "k2", "first", "back", F.when(F.col("all") > 1, 2).otherwise(1).alias("times"), "bytes")
-    return out
+    pairs = positions.groupBy(left, right).agg(F.sum("times").alias("all")).where("all > 1").select(left, right)
+    ranks = store(pairs.orderBy(left, right).withColumn(rank, F.monotonically_increasing_id()), "ranks")
+    return positions.join(ranks, [left, right]).drop(left, right)
 
 
 def _whole_characters(text: np.ndarray, stay: np.ndarray) -> np.ndarray:
@@ -300,15 +258,15 @@ def _maybe(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tested.where(hit).drop("bucket", "bits"), tested.where(~hit).drop("bucket", "bits")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """k1, k2, first, n: for the documents of a table with k1, k2 (keys), text, the starts of strings that also start elsewhere."""
     spark = docs.sparkSession
     runs = docs.select("k1", "k2", "text").mapInArrow(lambda b: _scan(b, length), "sample bigint, whole bigint, k1 bigint, k2 int, first bigint, n int")
     order = ["sample", "whole", "k1", "k2", "first"]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = runs.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    ranked = store(ranked.mapInArrow(lambda b: _rank(b, together), "sample bigint, whole bigint, k1 bigint, k2 int, first bigint, n int, status tinyint, hot boolean, open boolean, alone boolean, pid int"), "ranked")
-    columns = ["sample", "k1", "k2", "first", "n", "status", "hot"]
+    ranked = store(ranked.mapInArrow(_rank, "sample bigint, whole bigint, k1 bigint, k2 int, first bigint, n int, status tinyint, open boolean, alone boolean, pid int"), "ranked")
+    columns = ["sample", "k1", "k2", "first", "n", "status"]
     # open runs, two a partition at most: do other partitions begin or end with the same run, or sample
     ends, opened = ranked.where("status = 0"), ranked.where("open")
     by_whole = ends.groupBy("sample", "whole").agg(F.min("pid").alias("whole_lo"), F.max("pid").alias("whole_hi"))
@@ -316,35 +274,43 @@ def repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) ->
     settled = opened.join(by_whole, ["sample", "whole"]).join(by_sample, "sample").where("not alone or lo < pid or hi > pid")
     settled = settled.withColumn("status", F.when(F.expr("whole_lo < pid or whole_hi > pid"), F.lit(_REP)).otherwise(F.lit(_EDGE)).cast("tinyint"))
     found = ranked.where("status > 0 and not open").select(columns).union(settled.select(columns))
-    # the runs at the borders of repeats, with their bytes
-    border = found.where(F.col("status") >= _REP).groupBy("k1", "k2").agg(F.collect_list(F.struct("sample", "first", "n", "status", "hot")).alias("runs"))
+    # the runs at the borders of repeats; one that stands for several equal ones counts twice
+    times = F.when(F.col("status") == _EDGE, 1).otherwise(2).alias("times")
+    border = found.where(F.col("status") >= _REP).groupBy("k1", "k2").agg(F.collect_list(F.struct("sample", "first", (F.col("n") + (length - 1)).alias("bytes"), times)).alias("runs"))
     border = store(border, "border")
     near, _ = _maybe(docs.select("k1", "k2", "text"), border)
     cut = near.dropDuplicates(["k1", "k2"]).join(border, ["k1", "k2"]).select("text", "runs", "k1", "k2")
-    cut = store(cut.mapInArrow(lambda b: _cut(b, length), "sample bigint, k1 bigint, k2 int, first bigint, n int, status tinyint, hot boolean, bytes binary"), "cut")
-    few = cut.where("not hot").repartition("sample").sortWithinPartitions("sample").mapInArrow(lambda b: _together(b, length), "k1 bigint, k2 int, first bigint, n int")
-    many = cut.where("hot")
-    parts = [few, *([] if many.isEmpty() else _apart(many, length))]
+    cut = store(cut.mapInArrow(_cut, "sample bigint, k1 bigint, k2 int, first bigint, times int, bytes binary"), "cut")
+    positions = store(cut.mapInArrow(lambda b: _stretches(b, length), "k1 bigint, k2 int, first bigint, times int, at bigint, n int, back int, cover bigint, a bigint, b bigint, c bigint, d bigint"), "positions")
+    # ranks of a quarter are names; pairs of them rank halves, pairs of these rank all that the strings of a stretch have in common
+    halves = _doubled(_doubled(positions, "a", "b", "r"), "c", "d", "s")
+    cores = store(_doubled(store(halves, "halves"), "r", "s", "core"), "cores")
+    # a stretch that has an equal is repeated as a whole; one of each, where others differ, goes on to its single strings
+    equal = cores.groupBy("core", "cover").agg(F.sum("times").alias("all"), F.min(F.struct("k1", "k2", "at")).alias("one"))
+    differ = equal.groupBy("core").agg((F.count("*") > 1).alias("more"), (F.min("all") == 1).alias("open"))
+    judged = store(cores.join(equal.join(differ, "core"), ["core", "cover"]), "judged")
+    on = judged.where("more and open and struct(k1, k2, at) = one").select("k1", "k2", "first", "at", "n", "back", "core", F.when(F.col("all") > 1, 2).otherwise(1).alias("times"))
+    strings = on.join(cut.select("k1", "k2", "first", "bytes"), ["k1", "k2", "first"]).mapInArrow(lambda b: _strings(b, length), "k1 bigint, k2 int, times int, core bigint, first bigint, name bigint")
+    last = _doubled(store(strings, "strings"), "core", "name", "rank").where("times = 1").select("k1", "k2", "first", F.lit(1).alias("n"))
     whole = found.where(F.col("status") < _EDGE).select("k1", "k2", "first", "n")
-    starts = store(reduce(DataFrame.union, parts, whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "starts")
-    release(ranked, border, cut)
-    return starts
+    stretches = judged.where("all > 1 and times = 1").select("k1", "k2", F.col("at").alias("first"), "n")
+    listed = store(whole.union(stretches).union(last).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "repeats")
+    release(ranked, border, cut, positions, cores, judged)
+    return listed
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", length: int = LENGTH, together: int = TOGETHER, characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", length: int = LENGTH, characters: bool = False) -> DataFrame:
     """keep, n_bytes, spans (first, length of each removed run of bytes), kept (the bytes that remain) of each row.
 
     characters: kept lacks the rest of a character that was cut, and so is UTF-8 again.
     """
-    keep = [c for c in keep if c.lower() not in ("n_bytes", "spans", "kept")]
-    own = {c: f"in_{i}" for i, c in enumerate(keep)}
-    keyed = docs.select(*[F.col(c).alias(a) for c, a in own.items()], F.xxhash64(id, text).alias("k1"), F.hash(text, id).alias("k2"), F.col(text).alias("text"))
-    starts = repeats(keyed, length, together)
+    key, whole = named(id), named(text).cast("string")
+    keyed = docs.select(carried(keep), F.xxhash64(key, whole).alias("k1"), F.hash(whole, key).alias("k2"), whole.alias("text"))
+    starts = repeats(keyed, length)
     near, far = _maybe(keyed, starts)
-    columns = [*own.values(), "text", "runs"]
-    near = near.join(starts, ["k1", "k2"], "left").select(columns)
-    far = far.withColumn("runs", F.lit(None).cast(starts.schema["runs"].dataType)).select(columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in near.schema.fields[:-2]), "n_bytes bigint, spans array<struct<first: bigint, length: bigint>>, kept binary"])
+    near = near.join(starts, ["k1", "k2"], "left").select("row", "text", "runs")
+    far = far.select("row", "text", F.lit(None).cast(starts.schema["runs"].dataType).alias("runs"))
+    made = ("n_bytes", "spans", "kept")
+    schema = StructType([keyed.schema["row"], *StructType.fromDDL("n_bytes bigint, spans array<struct<first: bigint, length: bigint>>, kept binary").fields])
     done = [x.mapInArrow(lambda b: _remove(b, length, characters), schema) for x in (near, far)]
-    out = done[0].union(done[1])
-    return out.select(*[F.col(a).alias(c) for c, a in own.items()], "n_bytes", "spans", "kept")
+    return done[0].union(done[1]).select(*unpacked(keep, made), *made)

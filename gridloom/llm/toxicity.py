@@ -5,7 +5,8 @@ all its forms. On a sample of at most SAMPLE labelled rows, taken by a hash of t
 label and keeps those that clearly tell toxic texts (log odds over MIN_Z standard errors, at most FEATURES of them). One weight vector w
 and ordered thresholds t_1 < ... < t_K are fitted to the sample's grades on the driver: P(grade >= k) = logistic(w.x - t_k). Every document
 is then scored on the executors: expected severity is the sum of these probabilities, the grade the number of them over one half; toxic is
-whether P(grade >= 1) is over the value that parts the sample's toxic and clean rows best.
+whether P(grade >= 1) is over the value that parts the sample's toxic and clean rows best. Grades are whatever the labels give: with 0 and 1
+only there is one threshold. The table of labels has no severity, so the query grades a toxic row 2 where it is labelled of low quality too.
 
 Defined results: null and empty texts have no features; whole texts count, of any length; rows without a label, or whose label is null,
 are scored but not learned from; without any toxic or any clean labelled row there are no weights and every severity is 0; repeated rows
@@ -20,10 +21,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import blocks, span_hashes, spans, string_buffers
+from ._support import read_texts, unpacked
+from ._text import blocks, classes, spans, string_buffers
 
 SAMPLE, FEATURES, MIN_Z, MIN_DOCS = 8000, 2000, 4.0, 4
 STEMS = (4, 5, 6, 7, 8)
@@ -44,15 +47,34 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -700, 700)))
 
 
-def block_features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row and key of each occurrence of each feature, for one kind of feature after the other."""
+def _keys(word: bytes) -> list[int]:
+    """The features of a word: itself and its stems."""
+    return [xxhash.xxh64_intdigest(word), *(xxhash.xxh64_intdigest(word[:k], k) for k in STEMS if len(word) > k)]
+
+
+def block_features(data: np.ndarray, off: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, key, count of each feature of each text; known: of these (sorted) keys only."""
     starts, ends = spans(_WORD[data], off)
-    row = np.searchsorted(off, starts, "right") - 1
-    yield row, span_hashes(data, starts, ends)
-    for k in STEMS:
-        longer = ends - starts > k
-        with np.errstate(over="ignore"):
-            yield row[longer], span_hashes(data, starts[longer], starts[longer] + k) + np.uint64(k)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none
+    word, first = classes(data, starts, ends)
+    own = [_keys(data[a:b].tobytes()) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    key, of = np.array([k for keys in own for k in keys], np.uint64), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    if known is not None:
+        hit = np.isin(key, known)
+        key, of = key[hit], of[hit]
+    begin = np.searchsorted(of, np.arange(len(own) + 1))
+    pair, times = np.unique((np.searchsorted(off, starts, "right") - 1) * len(own) + word, return_counts=True)
+    row, word = np.divmod(pair, len(own))
+    n = np.diff(begin)[word]
+    at = np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    row, key, times = np.repeat(row, n), key[at], np.repeat(times, n)
+    # words of one stem add up
+    order = np.lexsort((key, row))
+    row, key, times = row[order], key[order], times[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])) if len(row) else np.zeros(0, np.int64)
+    return row[new], key[new], np.add.reduceat(times, new) if len(new) else times
 
 
 def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,38 +85,35 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = _lower(batch.column(2))
         for lo, hi in blocks(off):
-            part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-            for row, key in block_features(part, at):
-                order = np.lexsort((key, row))
-                row, key = row[order], key[order]
-                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])) if len(row) else np.zeros(0, np.int64)
-                count = np.diff(np.append(new, len(row)))
-                take = pa.array(row[new] + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(key[new].view(np.int64)), pa.array(count)], names=["id", "grade", "key", "count"])
-
-
-def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from rows of id, text and toxic (a grade of 0, 1, ...; with 0 and 1 only, toxic rows that are dense in telling words get 2)."""
-    rows = labelled.where(F.col(toxic).isNotNull()).select(F.col(id).cast("string").alias("id"), F.col(toxic).cast("int").alias("grade"), F.col(text).alias("text"))
+            row, key, count = block_features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            take = pa.array(row + lo)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(key.view(np.int64)), pa.array(count)], names=["id", "grade", "key", "count"])
+
+
+def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = SAMPLE) -> Model:
+    """A model from rows of id, text and grade: 0 for clean texts, then 1, 2, ... by severity; as many grades as there are."""
+    rows = labelled.where(F.col(grade).isNotNull()).select(F.col(id).cast("string").alias("id"), F.col(grade).cast("int").alias("grade"), F.col(text).alias("text"))
     order = F.xxhash64("id")
     bound = rows.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).head()[0]
     if bound is None:
         return Model()
-    seen = rows.where(order <= bound).mapInArrow(_occurrences, "id string, grade int, key bigint, count bigint").persist()
+    seen = rows.where(order <= bound)
+    totals = {r["grade"]: r["n"] for r in seen.groupBy("grade").agg(F.count_distinct("id").alias("n")).collect()}
+    found = seen.mapInArrow(_occurrences, "id string, grade int, key bigint, count bigint").persist()
     try:
-        return _fit(seen)
+        return _fit(found, totals)
     finally:
-        seen.unpersist()
+        found.unpersist()
 
 
-def _fit(seen: DataFrame) -> Model:
-    totals = seen.select("id", "grade").distinct().agg(F.count(F.when(F.col("grade") > 0, 1)), F.count("*")).head()
-    bad, clean = totals[0], totals[1] - totals[0]
+def _fit(seen: DataFrame, totals: dict[int, int]) -> Model:
+    """From the features of the sample (id, grade, key, count) and the number of its rows by grade."""
+    bad, clean = sum(n for g, n in totals.items() if g > 0), sum(n for g, n in totals.items() if g <= 0)
     if not bad or not clean:
         return Model()
     counted = seen.groupBy("key").agg(F.count(F.when(F.col("grade") > 0, 1)).alias("a"), F.count(F.when(F.col("grade") <= 0, 1)).alias("b")).where(F.col("a") >= MIN_DOCS)
-    odds = F.ln((F.col("a") + 0.5) / (bad - F.col("a") + 0.5)) - F.ln((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (bad - F.col("a") + 0.5) + 1 / (F.col("b") + 0.5) + 1 / (clean - F.col("b") + 0.5))
+    odds = F.ln((F.col("a") + 0.5) / (F.greatest(bad - F.col("a"), F.lit(0)) + 0.5)) - F.ln((F.col("b") + 0.5) / (F.greatest(clean - F.col("b"), F.lit(0)) + 0.5))
+    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.greatest(bad - F.col("a"), F.lit(0)) + 0.5) + 1 / (F.col("b") + 0.5) + 1 / (F.greatest(clean - F.col("b"), F.lit(0)) + 0.5))
     keys = counted.withColumn("z", odds / error).where((F.col("z") >= MIN_Z) & (odds > 2)).orderBy(F.desc("z"), "key").limit(FEATURES).select("key")
     told = seen.join(F.broadcast(keys), "key").groupBy("id", "grade").agg(F.collect_list(F.struct("key", "count")).alias("x")).toPandas()
     found = np.array(sorted({r["key"] for x in told["x"] for r in x}), np.int64)
@@ -103,13 +122,29 @@ def _fit(seen: DataFrame) -> Model:
     at = np.searchsorted(keys, np.array([r["key"] for x in told["x"] for r in x], np.int64).view(np.uint64))
     row = np.repeat(np.arange(n), [len(x) for x in told["x"]])
     value = 1 + np.log(np.array([r["count"] for x in told["x"] for r in x], float))
-    grade = told["grade"].to_numpy()
-    if len(keys) and grade.max() == 1:  # two labels: the denser half of the toxic rows is the graver
-        dense = np.bincount(row, value, n)
-        grade = np.where((grade == 1) & (dense > np.median(dense[grade == 1])), 2, grade)
+    grade = np.maximum(told["grade"].to_numpy(int), 0)
     # rows without any telling feature are alike: they count as often as there are of them
-    bare = {0: clean - int((grade == 0).sum()), 1: bad - int((grade > 0).sum())}
-    return ordinal(keys, row, at, value, np.concatenate([grade, [0, 1]]), np.concatenate([np.ones(n), [bare[0], bare[1]]]))
+    seen_of, whole = np.bincount(grade), np.zeros(max(totals) + 1, int)
+    for g, k in totals.items():
+        whole[max(g, 0)] += k
+    bare = np.maximum(whole - np.pad(seen_of, (0, len(whole) - len(seen_of))), 0)
+    return ordinal(keys, row, at, value, np.concatenate([grade, np.arange(len(whole))]), np.concatenate([np.ones(n), bare]))
+
+
+def likelihood(w: np.ndarray, t: np.ndarray, gap: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, times: np.ndarray, ridge: float) -> tuple[float, list[np.ndarray]]:
+    """The log likelihood less ridge / 2 times the squared weights, and its gradient by w, t (first threshold) and gap (logs of the gaps behind it)."""
+    n, k = len(grade), len(gap) + 1
+    cuts = t[0] + np.concatenate([[0], np.cumsum(np.exp(gap))])
+    score = np.bincount(row, w[at] * value, n)
+    p = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -700, 700)))
+    # likelihood of grade g: p_g - p_(g + 1), with p_0 = 1 and p_(K + 1) = 0
+    edge = np.column_stack([np.ones(n), p, np.zeros(n)])
+    each = np.maximum(edge[np.arange(n), grade] - edge[np.arange(n), grade + 1], 1e-12)
+    slope = p * (1 - p)
+    own = np.stack([((grade == j + 1).astype(float) - (grade == j)) * slope[:, j] / each * times for j in range(k)], axis=1)
+    to_score = own.sum(axis=1)
+    grads = [np.bincount(at, to_score[row] * value, len(w)) - ridge * w, np.array([-own.sum()]), -np.array([own[:, j:].sum() for j in range(1, k)]) * np.exp(gap)]
+    return float(times @ np.log(each) - ridge / 2 * w @ w), grads
 
 
 def ordinal(keys: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, times: np.ndarray, ridge: float = 0.02, rounds: int = 1500) -> Model:
@@ -117,27 +152,16 @@ def ordinal(keys: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray
 
     row, at, value: the sparse matrix; grade and times (weight) of each row. Thresholds are a first one and positive gaps.
     """
-    n, k = len(grade), int(grade.max())
-    w, t, gap = np.zeros(len(keys)), np.zeros(1), np.zeros(max(0, k - 1))
-    params = [w, t, gap]
+    n = len(grade)
+    params = [np.zeros(len(keys)), np.zeros(1), np.zeros(max(0, int(grade.max()) - 1))]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, rounds + 1):
-        cuts = t[0] + np.concatenate([[0], np.cumsum(np.exp(gap))])
-        score = np.bincount(row, w[at] * value, n)
-        p = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -700, 700)))
-        # likelihood of grade g: p_g - p_(g + 1), with p_0 = 1 and p_(K + 1) = 0
-        edge = np.column_stack([np.ones(n), p, np.zeros(n)])
-        each = np.maximum(edge[np.arange(n), grade] - edge[np.arange(n), grade + 1], 1e-12)
-        slope = p * (1 - p)
-        own = np.zeros((n, k))
-        for j in range(k):
-            own[:, j] = ((grade == j + 1).astype(float) - (grade == j)) * slope[:, j] / each * times
-        to_score = own.sum(axis=1)
-        grads = [np.bincount(at, to_score[row] * value, len(keys)) - ridge * w, np.array([-own.sum()]), -np.array([own[:, j:].sum() for j in range(1, k)]) * np.exp(gap)]
+        _, grads = likelihood(*params, row, at, value, grade, times, ridge)
         for q, g, a, b in zip(params, grads, m, v, strict=True):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
             q += 0.1 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-9)
+    w, t, gap = params
     model = Model(keys, w, t[0] + np.concatenate([[0], np.cumsum(np.exp(gap))]))
     # the cut that gains most: toxic rows over it less clean rows over it
     p = model.probabilities(np.bincount(row, w[at] * value, n))[:, 0]
@@ -150,25 +174,18 @@ def ordinal(keys: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    near = np.zeros(1 << 16, bool)
-    near[(model.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
     for batch in batches:
-        data, off = _lower(batch.column(batch.num_columns - 1))
+        data, off = _lower(batch.column(1))
         score = np.zeros(batch.num_rows)
         for lo, hi in blocks(off) if len(model.keys) else ():
-            part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-            for row, key in block_features(part, at):
-                maybe = np.flatnonzero(near[(key & np.uint64(0xFFFF)).astype(np.int64)])
-                place = np.minimum(np.searchsorted(model.keys, key[maybe]), len(model.keys) - 1)
-                hit = model.keys[place] == key[maybe]
-                pairs, count = np.unique(row[maybe][hit] * len(model.keys) + place[hit], return_counts=True)
-                score[lo:hi] += np.bincount(pairs // len(model.keys), model.weights[pairs % len(model.keys)] * (1 + np.log(count)), hi - lo)
+            row, key, count = block_features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], model.keys)
+            score[lo:hi] += np.bincount(row, model.weights[np.searchsorted(model.keys, key)] * (1 + np.log(count)), hi - lo)
         p = model.probabilities(score)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p.sum(axis=1)), pa.array((p > 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] > model.cut)], names=[*batch.schema.names[:-1], "severity", "grade", "toxic"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array((p > 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] > model.cut)], names=["row", "severity", "grade", "toxic"])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """keep, severity (expected grade), grade, toxic of each row."""
-    kept = docs.select(*[c for c in keep if c.lower() not in ("severity", "grade", "toxic")], F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "severity double, grade int, toxic boolean"])
-    return kept.mapInArrow(lambda batches: _score(batches, model), schema)
+    scored = read_texts(docs, keep, text, lambda batches: _score(batches, model), "severity double, grade int, toxic boolean")
+    made = ("severity", "grade", "toxic")
+    return scored.select(*unpacked(keep, made), *made)

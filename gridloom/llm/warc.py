@@ -9,7 +9,7 @@ takes the last response of the nearest of them, found in a table of one row for
 
 Defined results: a record without url (null) is in no url's history, so its revisits have no response; records of equal time count in the
 order response, revisit, then id, so a revisit sees a response of its own time; a null time sorts first; repeated records are each
-resolved; null headers are an empty map; header names compare in lower case; revisits without validators are unverified.
+resolved; null headers are an empty map; header names compare in lower case, of names that differ in case only the last by code points counts; revisits without validators are unverified.
 """
 
 from __future__ import annotations
@@ -37,7 +37,10 @@ def canonical(url: Column) -> Column:
 
 
 def lower_keys(headers: Column) -> Column:
-    return F.transform_keys(F.coalesce(headers, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
+    """headers with names in lower case; of names that differ in case only, the last by code points ("etag" after "ETag") counts."""
+    pairs = F.array_sort(F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["key"].alias("own"), e["value"].alias("value"))))
+    last = F.transform(F.array(pairs), lambda every: F.filter(every, lambda e, i: ~F.coalesce(F.get(every, i + 1)["name"] == e["name"], F.lit(False))))[0]
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["name"], e["value"])))
 
 
 def merge_headers(stored: Column, update: Column) -> Column:

@@ -174,11 +174,10 @@ def brute_repeats(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("together", [2048, 1])
-def test_suffix_is_brute_force(spark, texts, together):
+def test_suffix_is_brute_force(spark, texts):
     passage = "a passage that many texts share, " * 12
     every = [t for _, t in texts][:120] + ["", None, "é" * 150 + passage, "head " + passage + "tail", passage, "ab" * 300, passage + " x " + passage]
-    got = {r["doc_id"]: r for r in suffix.remove_repeats(docs_of(spark, every), ["doc_id"], together=together).collect()}
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(docs_of(spark, every), ["doc_id"]).collect()}
     want = brute_repeats(every)
     assert [hashlib.sha256(bytes(got[i]["kept"])).hexdigest() for i in range(len(every))] == [hashlib.sha256(w).hexdigest() for w in want]
     for i, t in enumerate(every):
@@ -192,7 +191,7 @@ def test_suffix_passage_with_many_borders(spark):
     passage = "".join(rng.choice(list("abcdefghij klmnop"), 260))
     ends = ["".join(rng.choice(list("xy"), n)) for n in rng.integers(0, 180, 120)]
     every = [ends[i] + passage + ends[-1 - i] for i in range(60)] + [ends[3] + passage[:220], passage[40:] + ends[5], ends[3] + passage[:220]]
-    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix.remove_repeats(docs_of(spark, every), ["doc_id"], together=8).collect()}
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix.remove_repeats(docs_of(spark, every), ["doc_id"]).collect()}
     assert [got[i] for i in range(len(every))] == brute_repeats(every)
 
 
