@@ -1,13 +1,15 @@
-"""Corpus pipeline: from documents to tokens, in stages that are each one operator's work on all its predecessor kept.
+"""Corpus pipeline: from documents to tokens, in stages that each work on all that the one before kept.
 
 quality    documents that fail the base rules, or whose source fails as a whole, go
-near_dups  of each class of similar texts (five-word shingles, 0.8 or more) the document of the least id stays
+near_dups  of each class of similar texts (five-word shingles, 0.8 or more) the document of the least id stays; candidates share keys of
+           minima and have near fingerprints, links are exact (simhash.keep_one; the README says why 64 bits can't do this)
 repeats    every byte of a passage of LENGTH bytes that also starts elsewhere goes, and what it leaves of a cut character
-mix        documents are taken as often as their source's target asks: once, twice, in part or not at all
+mix        documents are taken as often as their source's target asks: once, twice, in part or not at all; a file for each shard
 tokens     texts become token ids, and these texts again
 
 Defined results: null and empty texts fail the quality rules; texts that lose all their bytes stay as empty ones until mix, which has no
-words to take of them; n_chars follows the text; an empty table gives an empty result; further columns are carried along up to mix.
+words to take of them; n_chars follows the text; an empty table gives an empty result; further columns, of any name, are carried along
+up to mix as they are.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, mixing, quality, simhash, suffix
-from gridloom.llm._support import store, table
+from gridloom.llm._support import carried, store, table
 from gridloom.llm.queries import vocabulary
 
 #: Token ids have no SQL; tests/llm compares the stages with brute force.
@@ -24,8 +26,8 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judge(docs, docs.columns, scratch=False)
-    return judged.where("kept").select(*docs.columns)
+    whole = docs.select(carried(docs.columns), "text", "source")
+    return quality.judge(whole, ["row"], scratch=False).where("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +35,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = suffix.remove_repeats(docs, docs.columns, characters=True)
-    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
-    changes = {"text": text}
+    done = suffix.remove_repeats(docs.select(carried(docs.columns), "doc_id", "text"), ["row"], characters=True)
+    left, cut = F.col("kept").cast("string"), F.size("spans") > 0
+    changes = {"text": F.when(F.col("row")["text"].isNotNull(), left)}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changes["n_chars"] = F.when(F.size("spans") > 0, F.length(F.col("kept").cast("string")).cast(kind)).otherwise(F.col("n_chars"))
-    return done.withColumns(changes).select(*docs.columns)
+        changes["n_chars"] = F.when(cut, F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return done.select(*[changes.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.texts(mixing.mix(docs)).select(*docs.columns)
+    return mixing.texts(docs, shards=min(1024, 1 << max(4, (docs.count() // mixing.BUCKET_ROWS).bit_length())))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
