@@ -1,8 +1,8 @@
 """License texts found by conditional compression.
 
 Candidate blocks are the stretches of a text around words that licenses use, wide enough for the longest template on both sides. A block is
-compressed with zstandard alone and with each template as a raw dictionary, and templates are confirmed by the exact words in which a stretch
-of the block differs from them: the one that explains most words first, then, without its words, the next, until none is left. Templates that
+compressed with zstandard alone and with each template as a raw dictionary, and templates are confirmed by the exact words in which some stretch
+of the block, of all of them the closest, differs from them: the one that explains most words first, then, without its words, the next, until none is left. Templates that
 spare bytes but aren't confirmed follow by how much they spare. A task keeps the verdicts of the last blocks it saw.
 
 Defined results: null and empty texts have no blocks; a text without license words has no rows; long texts are read whole, in blocks that
@@ -13,11 +13,11 @@ rank by name; first and length are those of the confirmed stretch, or else of th
 from __future__ import annotations
 
 import bisect
-import difflib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,6 +33,23 @@ TEMPLATES = {
         'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either '
         "express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
+    "bsd-conditions": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions "
+        "in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution."
+    ),
+    "bsd-3-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."
+    ),
+    "bsd-warranty": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+        "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
@@ -47,6 +64,12 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         "above copyright notice and this permission notice appear in all copies."
     ),
+    "isc-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
     "mit": "Released under the MIT License.",
     "mit-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
@@ -54,19 +77,40 @@ TEMPLATES = {
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
         "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "mit-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 CUE = re.compile(r"licen[sc]|copyright|hereby granted|redistribut|creative commons|spdx", re.IGNORECASE)
 _WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Share of a template's words by which a confirmed block may differ, and blocks whose verdicts a task keeps.
 MOST_DIFFERENT, KEPT = 0.2, 2_000
-#: Characters of a license around a word of it: twice the longest template, for line breaks, indents and comment signs.
-AROUND = 2 * max(map(len, TEMPLATES.values()))
+#: Words of a section of a longer text, about.
+SECTION = 150
 
 _TYPE = "template string, rank int, spared double, confirmed boolean, missing array<string>, added array<string>, first bigint, length bigint"
 
 
-def spans(text: str, around: int = AROUND) -> Iterator[tuple[int, int]]:
+def sections(name: str, text: str, size: int = SECTION) -> dict[str, str]:
+    """Templates of a whole license text: its sentences in stretches of about so many words, numbered from 1. All of a text's sections, in order, are the text."""
+    out, held = [], []
+    for part in re.split(r"(?<=[.;:])\s+", text):
+        held.append(part)
+        if len(words(" ".join(held))) >= size:
+            out.append(" ".join(held))
+            held = []
+    if held and out and len(words(" ".join(held))) < size // 3:
+        out[-1] += " " + " ".join(held)
+    elif held:
+        out.append(" ".join(held))
+    return {f"{name}#{i}": x for i, x in enumerate(out, 1)}
+
+
+def spans(text: str, around: int) -> Iterator[tuple[int, int]]:
     """Stretches of so many characters around license words; near ones join, and long ones are cut into blocks that overlap by as many."""
     start, end = -1, -1
     for cue in CUE.finditer(text):
@@ -86,6 +130,35 @@ def words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+def align(want: np.ndarray, own: np.ndarray) -> tuple[int, list[int], list[int], int, int]:
+    """The fewest words to leave out of want and of some stretch of own for both to be equal: their number, which of want, which of own, and the stretch.
+
+    Row by row over own: the least number for each beginning of want and the best stretch that ends here.
+    """
+    m = len(want)
+    place = np.arange(m + 1, dtype=np.int32)
+    rows = np.empty((len(own) + 1, m + 1), np.int32)
+    rows[0] = place
+    for j, w in enumerate(own.tolist(), 1):
+        now = rows[j - 1] + 1
+        if w >= 0:
+            np.minimum(now[1:], np.where(want == w, rows[j - 1, :-1], m + 1), out=now[1:])
+        now[0] = 0
+        rows[j] = np.minimum.accumulate(now - place) + place
+    end = j = int(np.argmin(rows[:, m]))
+    i, missing, added = m, [], []
+    while i:
+        if j and want[i - 1] == own[j - 1] and rows[j - 1, i - 1] == rows[j, i]:
+            i, j = i - 1, j - 1
+        elif rows[j, i - 1] + 1 == rows[j, i]:
+            i -= 1
+            missing.append(i)
+        else:
+            j -= 1
+            added.append(j)
+    return int(rows[end, m]), missing[::-1], added[::-1], j, end
+
+
 class Scanner:
     """Ranks and confirms blocks; one lives as long as its task."""
 
@@ -94,6 +167,8 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
         self.given = {k: zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(self._plain(w), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items()}
         self.seen: dict[str, list[tuple]] = {}
+        # characters around a word of a license: twice the longest template, for line breaks, indents and comment signs
+        self.around = 2 * max(map(len, templates.values()))
 
     @staticmethod
     def _plain(some: list[str]) -> bytes:
@@ -109,77 +184,51 @@ class Scanner:
         size = len(self.alone.compress(raw))
         bytes_ = {k: size - len(c.compress(raw)) for k, c in self.given.items()}
         # bytes spared, as a share of what the template could spare at most
-        spared = {k: bytes_[k] / len(self._plain(w)) for k, w in self.words.items()}
-        best = {k: self.closest(k, own) for k in self.words if bytes_[k] > 0 or self.possible(k, own)}
+        spared = {k: bytes_[k] / max(1, len(self._plain(w))) for k, w in self.words.items()}
+        best = {k: found for k in self.words if (found := self.closest(k, own))}
         out = []
-        while sure := [k for k, x in best.items() if self.confirmed(k, x)]:
-            k = min(sure, key=lambda k: (len(best[k][0]) + len(best[k][1]) - len(self.words[k]), k))
+        while best:
+            k = min(best, key=lambda k: (len(best[k][0]) + len(best[k][1]) - len(self.words[k]), k))
             missing, added, lo, hi = best[k]
             out.append((k, len(out) + 1, spared[k], True, missing, added, at[lo][0], at[hi - 1][1]))
             own[lo:hi] = [None] * (hi - lo)
-            best = {t: x if x[3] <= lo or x[2] >= hi else self.closest(t, own) for t, x in best.items()}
-        had = {x[0] for x in out}
-        for k in sorted((k for k in best if k not in had and bytes_[k] > 0), key=lambda k: (-bytes_[k], k)):
-            out.append((k, len(out) + 1, spared[k], False, *best[k][:2], 0, len(block)))
+            again = {t: x if x[3] <= lo or x[2] >= hi else self.closest(t, own) for t, x in best.items()}
+            best = {t: x for t, x in again.items() if x}
+        had, there = {x[0] for x in out}, Counter(w for _, _, w in at)
+        for k in sorted((k for k in self.words if k not in had and bytes_[k] > 0), key=lambda k: (-bytes_[k], k)):
+            out.append((k, len(out) + 1, spared[k], False, list((Counter(self.words[k]) - there).elements()), [], 0, len(block)))
         if len(self.seen) >= KEPT:
             self.seen.clear()
         self.seen[block] = out
         return out
 
-    def most(self, template: str) -> int:
-        return int(MOST_DIFFERENT * len(self.words[template]))
-
-    def confirmed(self, template: str, found: tuple) -> bool:
-        return len(found[0]) + len(found[1]) <= self.most(template)
-
-    def possible(self, template: str, own: list[str | None]) -> bool:
-        """Whether enough of the template's words are there, in any order."""
-        return (Counter(self.words[template]) - Counter(own)).total() <= self.most(template)
-
-    def closest(self, template: str, own: list[str | None]) -> tuple[list[str], list[str], int, int]:
-        """differences() of the first stretch that they confirm, or else of the one around the longest run of the template's words.
+    def closest(self, template: str, own: list[str | None]) -> tuple[list[str], list[str], int, int] | None:
+        """The template's words that a stretch of own lacks, the stretch's words that the template lacks, and the stretch: the first of those
+        with the fewest of both over all stretches, or None where even they are too many.
 
-        A confirmed stretch has a run of at least its words over its runs, and lies around that run within the words that may differ.
+        Such a stretch has most of the template's words within few more words than it has: only places like that are aligned.
         """
-        want, most, first = self.words[template], self.most(template), None
-        shortest = -(-(len(want) - most) // (most + 1))
-        left = list(own)
-        sure = self.possible(template, left)
-        while True:
-            run = difflib.SequenceMatcher(None, want, left, autojunk=False).find_longest_match()
-            if first is not None and run.size < shortest:
-                return first
-            lo, hi = max(0, run.b - run.a - most), min(len(own), run.b + len(want) - run.a + most)
-            found = self.differences(template, own[lo:hi])
-            found = (*found[:2], lo + found[2], lo + found[3])
-            if not sure or run.size < shortest or self.confirmed(template, found):
-                return found
-            first = first or found
-            left[run.b : run.b + run.size] = [None] * run.size
-
-    def differences(self, template: str, own: list[str | None]) -> tuple[list[str], list[str], int, int]:
-        """The template's words that a stretch of own lacks, the stretch's words between those it has, and the stretch, with the fewest of both."""
         want = self.words[template]
-        match = [m for m in difflib.SequenceMatcher(None, want, own, autojunk=False).get_matching_blocks() if m.size]
-        if not match:
-            return want, [], 0, 0
-        # the consecutive runs with most words of the template for words between them
-        total, since, top = 0, 0, (0, 0, 0)
-        for i, m in enumerate(match):
-            gap = m.b - match[i - 1].b - match[i - 1].size if i else 0
-            total, since = (m.size, i) if total - gap <= 0 else (total - gap + m.size, since)
-            top = max(top, (total, since, i), key=lambda x: x[0])
-        match = match[top[1] : top[2] + 1]
-        has, used = set(), set()
-        for m in match:
-            has.update(range(m.a, m.a + m.size))
-            used.update(range(m.b, m.b + m.size))
-        lo, hi = match[0].b, match[-1].b + match[-1].size
-        return [w for i, w in enumerate(want) if i not in has], [own[i] or "" for i in range(lo, hi) if i not in used], lo, hi
+        most = int(MOST_DIFFERENT * len(want))
+        width, some = len(want) + most, set(want)
+        has = np.fromiter((w in some for w in own), bool, len(own))
+        upto = np.concatenate([[0], np.cumsum(has)])
+        enough = np.flatnonzero(upto[np.minimum(np.arange(len(own)) + width, len(own))] - upto[:-1] >= max(1, len(want) - most))
+        if not len(enough):
+            return None
+        found, code = None, {w: i for i, w in enumerate(dict.fromkeys(want))}
+        ids = np.array([code[w] for w in want])
+        begins = enough[np.concatenate([[True], np.diff(enough) > width])]
+        ends = np.minimum(enough[np.concatenate([np.diff(enough) > width, [True]])] + width, len(own))
+        for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True):
+            new = align(ids, np.array([code.get(w, -1) for w in own[lo:hi]]))
+            if new[0] <= most and (found is None or new[0] < found[0]):
+                found = (new[0], [want[i] for i in new[1]], [own[lo + j] or "" for j in new[2]], lo + new[3], lo + new[4])
+        return found and found[1:]
 
     def hits(self, text: str) -> list[tuple]:
         """(template, rank, spared, confirmed, missing, added, first, length) of a text's blocks, without what overlapping blocks repeat."""
-        every = [(*hit[:6], lo + hit[6], lo + hit[7]) for lo, hi in spans(text) for hit in self.judge(text[lo:hi])]
+        every = [(*hit[:6], lo + hit[6], lo + hit[7]) for lo, hi in spans(text, self.around) for hit in self.judge(text[lo:hi])]
         kept, taken = [], []
         explained = lambda x: len(self.words[x[0]]) - len(x[4]) - len(x[5])
         for x in sorted((x for x in every if x[3]), key=lambda x: (-explained(x), x[6], x[0])):
@@ -206,7 +255,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], schema:
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """keep, then template, rank, spared, confirmed, missing, added, first, length for each confirmed stretch (characters first, length), and for each block's other templates."""
+    """templates: further ones, of whole license texts too, come from sections(). Returns keep, then template, rank, spared, confirmed, missing, added, first, length for each confirmed stretch (characters first, length), and for each block's other templates."""
     made = [c.split()[0] for c in _TYPE.split(", ")]
     listed = pa.list_(pa.string())
     arrow = pa.schema([("template", pa.string()), ("rank", pa.int32()), ("spared", pa.float64()), ("confirmed", pa.bool_()), ("missing", listed), ("added", listed), ("first", pa.int64()), ("length", pa.int64())])
