@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.kernels import Family
+
 
 def _decay(x: Column, c: float) -> Column:
     return F.exp(-F.lit(float(c)) * x)
@@ -77,6 +81,28 @@ def ard(deltas: list[Column], scales: list[float], s2: float) -> Column:
     return F.lit(float(s2)) * F.exp(-d) + F.when(d == 0, F.lit(1e-3)).otherwise(F.lit(0.0))
 
 
+def with_nugget(c: Column, same: Column, nugget: float) -> Column:
+    """A covariance with a nugget where the sites are the same."""
+    return c + F.when(same, F.lit(float(nugget))).otherwise(F.lit(0.0))
+
+
+def unpack(params: Column, dims: int, q: int, several_outcomes: bool = False) -> dict[str, Column]:
+    """The named parts of an array of parameters, by the kernels' order: the family's own and the latent distances."""
+    names = Family(dims, q, several=several_outcomes).names()
+    return {n: F.get(params, F.lit(k)) for k, n in enumerate(names)}
+
+
+def component_pairs(pairs: DataFrame, latent: Sequence[Sequence[float]]) -> DataFrame:
+    """pairs with r, s (components from 0) and v, their latent distance: every pair of sites for each pair of components."""
+    rows = [(r, s, float(latent[r][s])) for r in range(len(latent)) for s in range(len(latent))]
+    return pairs.crossJoin(F.broadcast(pairs.sparkSession.createDataFrame(rows, "r int, s int, v double")))
+
+
+def model(kind: int, dims: int, q: int, h: Column, u: Column, v: Column, deltas: list[Column], params: list[float], twonu: int = 1) -> Column:
+    """Kind 0: the families of space and time; 1: the squared exponential with a scale for each input (params: variance, scales)."""
+    return ard(deltas, params[1:], params[0]) if kind else covariance(dims, q, h, u, v, params, twonu)
+
+
 def covariance(dims: int, q: int, h: Column, u: Column, v: Column, params: list[float], twonu: int = 1) -> Column:
     """The family for this many coordinates and outcomes; params as in the functions above, the variance first."""
     if dims == 2:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,46 @@ def log_jacobian(old: Column, new: Column, lower: float, upper: float) -> Column
     return part(old) - part(new)
 
 
+def logits(x: Column, bounds: Sequence[tuple[float, float]]) -> Column:
+    """logit() of each element of an array by its own bounds."""
+    return F.array(*[logit(F.get(x, F.lit(k)), lo, hi) for k, (lo, hi) in enumerate(bounds)])
+
+
+def logistics(x: Column, bounds: Sequence[tuple[float, float]]) -> Column:
+    return F.array(*[logistic(F.get(x, F.lit(k)), lo, hi) for k, (lo, hi) in enumerate(bounds)])
+
+
+def lognormal_proposal(old: Column, new: Column) -> Column:
+    """What a random walk on the log scale adds to the log acceptance."""
+    return F.ln(new) - F.ln(old)
+
+
+def prior_log_ratio(old: Column, new: Column, priors: Sequence[tuple[float, float]]) -> Column:
+    """Of arrays of parameters with inverse gamma priors, each element by its own."""
+    each = [invgamma_logdens(F.get(new, F.lit(k)), a, b) - invgamma_logdens(F.get(old, F.lit(k)), a, b) for k, (a, b) in enumerate(priors)]
+    return sum(each, F.lit(0.0))
+
+
+def accepted(log_ratio: Column, u: Column) -> Column:
+    """Whether a proposal of this log acceptance is taken at the uniform number u."""
+    return F.exp(log_ratio) > u
+
+
+def asymmetry(entries: DataFrame, i: str = "i", j: str = "j", v: str = "v") -> DataFrame:
+    """One row: the sum of the absolute differences between each entry under the diagonal and its mirror image (0 where there is none)."""
+    lower = entries.where(F.col(i) > F.col(j)).select(F.col(i).alias("a"), F.col(j).alias("b"), F.col(v).alias("x"))
+    upper = entries.where(F.col(i) < F.col(j)).select(F.col(j).alias("a"), F.col(i).alias("b"), F.col(v).alias("y"))
+    apart = F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))
+    return lower.join(upper, ["a", "b"], "full").agg(F.coalesce(F.sum(apart), F.lit(0.0)).alias("asymmetry"))
+
+
+def multiset_except(a: Column, b: Column) -> Column:
+    """The elements of a sorted array without as many of each as another holds."""
+    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
+    each = F.transform(F.array_distinct(a), lambda x: F.array_repeat(x, F.greatest(F.lit(0), count(a, x) - count(b, x))))
+    return F.array_sort(F.flatten(each))
+
+
 def gamma_logdens(x: Column, a: float, b: float) -> Column:
     return F.lit(a * math.log(b) - math.lgamma(a)) + F.lit(a - 1) * F.ln(x) - F.lit(b) * x
 

@@ -1,80 +1,102 @@
-"""Gaussian processes on the mesh: block likelihoods, blocked Gibbs steps, Metropolis for the covariance, kriging.
+"""Gaussian processes on the mesh: block likelihoods, Gibbs and Metropolis steps, kriging, as Spark jobs over blocks.
 
-sites: ix, var1, var2, block, and y (null: to be predicted), w. A block's process given its parents is Gaussian, so the likelihood is a sum
-over blocks, and blocks of one colour can be drawn at once. A block's task gets its own rows and those of the blocks it depends on, never
-more; the sums over blocks or rows are aggregates, and only p x p matrices and counts reach the driver. A factorization that fails is
+sites: ix, var1, var2 (and var3), block, and y (null: to be predicted), w (a number, or an array of one for each process), z (array, one for
+each process; without it ones), comp (the outcome, from 0, with several). A block's process given its parents is Gaussian, so the likelihood
+is a sum over blocks, and blocks of one colour can be drawn at once. A block's task gets its own rows and those of the blocks it depends on,
+never more; the sums over blocks or rows are aggregates, and only p x p matrices and counts reach the driver. A factorization that fails is
 data (ok is false), not an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from . import mesh
-from .tables import cut
-
-
-def exponential_matrix(a: np.ndarray, b: np.ndarray, s2: float, phi: float) -> np.ndarray:
-    d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    return s2 * np.exp(-phi * d)
-
-
-def conditional(own: np.ndarray, parents: np.ndarray, s2: float, phi: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """H, the inverse of R's Cholesky factor, and its diagonal's logs: own rows given the parents' are N(H w_parents, R)."""
-    k = exponential_matrix(own, own, s2, phi)
-    if len(parents):
-        cross = exponential_matrix(own, parents, s2, phi)
-        h = np.linalg.solve(exponential_matrix(parents, parents, s2, phi), cross.T).T
-        k = k - h @ cross.T
-    else:
-        h = np.zeros((len(own), 0))
-    half = np.linalg.inv(np.linalg.cholesky(k))
-    return h, half, np.log(np.diag(half))
-
-
-def with_relatives(sites: DataFrame, edges: DataFrame, children: bool = False) -> DataFrame:
-    """target, then the sites' rows, of each target block, its parents, and with children its children and their other parents; and parents
-    (array) of the row's block."""
-    of = edges.groupBy("child").agg(F.sort_array(F.collect_list("parent")).alias("parents"))
-    own = sites.select("block").distinct().select(F.col("block").alias("target"), "block")
-    pairs = own.union(edges.select(F.col("child").alias("target"), F.col("parent").alias("block")))
+from pyspark.sql.types import ArrayType
+
+from . import mesh, sampler
+from .kernels import Block, Family, blanket_terms, conditional, covariance, draw, joined, normals, observe
+from .sampler import Settings, State
+from .tables import cut, release, scratch
+from .tessellation import block_counts, is_observed
+
+PLANE = Family()
+
+
+def standard(sites: DataFrame, family: Family = PLANE, x: Sequence[str] = ()) -> DataFrame:
+    """ix, block, at, component, x, z, y, w of sites, in arrays."""
+    names, one = sites.columns, F.lit(1.0)
+    listed = lambda c: F.col(c).cast("array<double>") if isinstance(sites.schema[c].dataType, ArrayType) else F.array(F.col(c).cast("double"))
+    n = family.per_site
+    return sites.select(
+        "ix",
+        "block",
+        F.array(*[F.col(f"var{k}").cast("double") for k in range(1, family.dims + 1)]).alias("at"),
+        (F.col("comp") if family.several else F.lit(0)).cast("int").alias("component"),
+        (F.array(*[F.col(c).cast("double") for c in x]) if x else F.array().cast("array<double>")).alias("x"),
+        (listed("z") if "z" in names else F.array(*[one] * n)).alias("z"),
+        (F.when(is_observed(F.col("y")), F.col("y").cast("double")) if "y" in names else F.lit(None).cast("double")).alias("y"),
+        (listed("w") if "w" in names else F.array(*[F.lit(0.0)] * n)).alias("w"),
+    )
+
+
+def _observed(sites: DataFrame) -> DataFrame:
+    """The blocks with observations."""
+    return sites.where("y is not null").select("block").distinct()
+
+
+def with_relatives(sites: DataFrame, edges: DataFrame, targets: DataFrame | None = None, children: bool = False) -> DataFrame:
+    """target, then the sites' rows, of each target block (default: all), its parents, and with children its children and their other parents;
+    and parents (array) of the row's block."""
+    of = edges.groupBy("child").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "parent"))), lambda x: x["parent"]).alias("parents"))
+    own = sites.select("block").distinct() if targets is None else targets.select("block")
+    pairs = own.select(F.col("block").alias("target"), "block").union(edges.select(F.col("child").alias("target"), F.col("parent").alias("block")))
     if children:
         down = edges.select(F.col("parent").alias("target"), F.col("child").alias("block"))
         beside = edges.select(F.col("parent").alias("target"), "child").join(edges.select("child", F.col("parent").alias("block")), "child").select("target", "block")
         pairs = pairs.union(down).union(beside)
     rows = sites.join(of.withColumnRenamed("child", "block"), "block", "left")
-    return pairs.distinct().join(rows, "block")
+    wanted = pairs.distinct().join(own.select(F.col("block").alias("target")), "target", "left_semi")
+    return wanted.join(rows, "block")
 
 
-def _points(rows: pd.DataFrame) -> np.ndarray:
-    return rows[["var1", "var2"]].to_numpy(float)
+class _Group:
+    """The blocks among a group's rows."""
 
+    def __init__(self, rows: pd.DataFrame, family: Family):
+        self.family, self.rows = family, {b: g for b, g in rows.sort_values(["block", "ix"]).groupby("block")}
+        self.blocks = {b: Block(family, g["ix"].to_numpy(), np.array(g["at"].tolist(), float), g["component"].to_numpy()) for b, g in self.rows.items()}
 
-def block_logliks(sites: DataFrame, edges: DataFrame, thetas: Sequence[tuple[float, float]]) -> DataFrame:
-    """theta, block, n, logdet, quad, ok: parts of each block's log density of w for each (variance, decay)."""
+    def parents(self, b: int) -> list[int]:
+        listed = self.rows[b]["parents"].iloc[0]
+        return [p for p in (listed if listed is not None else ()) if p in self.blocks]
+
+    def conditional(self, b: int, theta: Sequence[float]) -> tuple:
+        return conditional(self.family, self.blocks[b], joined([self.blocks[p] for p in self.parents(b)], self.family), theta)
+
+    def w(self, blocks: Sequence[int], name: str = "w") -> np.ndarray:
+        return np.concatenate([np.array(self.rows[b][name].tolist(), float).ravel() for b in blocks]) if blocks else np.zeros(0)
+
+
+def block_logliks(sites: DataFrame, edges: DataFrame, thetas: Sequence[Sequence[float]], family: Family = PLANE, targets: DataFrame | None = None) -> DataFrame:
+    """theta, block, n, logdet, quad, ok: parts of each block's log density of w for each theta."""
     thetas = [tuple(map(float, t)) for t in thetas]
 
     def parts(rows: pd.DataFrame) -> pd.DataFrame:
-        target = rows["target"].iloc[0]
-        rows = rows.sort_values(["block", "ix"])
-        own, up = rows[rows["block"] == target], rows[rows["block"] != target]
-        out = []
-        for k, (s2, phi) in enumerate(thetas):
+        target, group, out = int(rows["target"].iloc[0]), _Group(rows, family), []
+        for k, theta in enumerate(thetas):
             try:
-                h, half, logs = conditional(_points(own), _points(up), s2, phi)
-                e = half @ (own["w"].to_numpy(float) - h @ up["w"].to_numpy(float))
-                out.append((k, int(target), len(own), float(logs.sum()), float(e @ e), True))
+                h, half, logs = group.conditional(target, theta)
+                e = half @ (group.w([target]) - h @ group.w(group.parents(target)))
+                out.append((k, target, len(e), logs, float(e @ e), True))
             except np.linalg.LinAlgError:
-                out.append((k, int(target), len(own), 0.0, 0.0, False))
+                out.append((k, target, len(group.blocks[target]), 0.0, 0.0, False))
         return pd.DataFrame(out, columns=["theta", "block", "n", "logdet", "quad", "ok"])
 
-    needed = with_relatives(sites.select("ix", "var1", "var2", "block", "w"), edges).drop("parents")
+    needed = with_relatives(standard(sites, family) if "at" not in sites.columns else sites, edges, targets)
     return needed.groupBy("target").applyInPandas(parts, "theta int, block int, n int, logdet double, quad double, ok boolean")
 
 
@@ -84,70 +106,71 @@ def loglik(parts: DataFrame) -> DataFrame:
     return parts.groupBy("theta").agg(F.when(F.min("ok"), F.sum(each)).alias("loglik"))
 
 
-def draw_blocks(sites: DataFrame, edges: DataFrame, blocks: DataFrame, s2: float, phi: float, tausq: float, seed: Sequence[int], noise: bool = True) -> DataFrame:
-    """ix, w: a draw (or without noise the mean) of the process of the given blocks, given all others and e, the rest y - x beta (null: unseen)."""
-    seed = tuple(map(int, seed))
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        target = int(rows["target"].iloc[0])
-        rows = rows.sort_values(["block", "ix"])
-        groups = {b: g for b, g in rows.groupby("block")}
-        own = groups[target]
-        parents = lambda b: [p for p in (groups[b]["parents"].iloc[0] if groups[b]["parents"].iloc[0] is not None else ())]
-        stack = lambda bs: pd.concat([groups[b] for b in bs]) if bs else rows.iloc[:0]
-        up = stack(parents(target))
-        h, half, _ = conditional(_points(own), _points(up), s2, phi)
-        precision = half.T @ half
-        shift = precision @ (h @ up["w"].to_numpy(float))
-        for c in groups:
-            ps = parents(c) if c != target else []
-            if target not in ps:
-                continue
-            above, child = stack(ps), groups[c]
-            h, half, _ = conditional(_points(child), _points(above), s2, phi)
-            mine = (above["block"] == target).to_numpy()
-            a = half @ h[:, mine]
-            rest = half @ (child["w"].to_numpy(float) - h[:, ~mine] @ above["w"].to_numpy(float)[~mine])
-            precision = precision + a.T @ a
-            shift = shift + a.T @ rest
-        e = own["e"].to_numpy(float)
-        seen = np.isfinite(e)
-        precision = precision + np.diag(seen / tausq)
-        shift = shift + np.where(seen, e, 0.0) / tausq
-        lower = np.linalg.cholesky(precision)
-        z = np.random.default_rng((*seed, target)).normal(size=len(own)) if noise else np.zeros(len(own))
-        w = np.linalg.solve(lower.T, np.linalg.solve(lower, shift) + z)
-        return pd.DataFrame({"ix": own["ix"], "w": w})
-
-    needed = with_relatives(sites.select("ix", "var1", "var2", "block", "w", "e"), edges, children=True)
-    needed = needed.join(blocks.select(F.col("block").alias("target")), "target", "left_semi")
-    return needed.groupBy("target").applyInPandas(draw, f"ix {sites.schema['ix'].dataType.simpleString()}, w double")
-
-
-def sweep(sites: DataFrame, edges: DataFrame, colors: DataFrame, s2: float, phi: float, tausq: float, seed: Sequence[int], noise: bool = True) -> DataFrame:
+def draw_blocks(sites: DataFrame, edges: DataFrame, blocks: DataFrame, theta: Sequence[float], tausq: float | Sequence[float], seed: Sequence[int], noise: bool = True, family: Family = PLANE) -> DataFrame:
+    """ix, w: a draw (or without noise the mean) of the process of the given blocks, given all others and e, the rest y - x beta (null: unseen).
+
+    sites: those of standard() with e; edges whose children have observations.
+    """
+    seed, theta = tuple(map(int, seed)), tuple(map(float, theta))
+    taus = np.array([tausq] if isinstance(tausq, (int, float)) else list(tausq), float)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        target, group = int(rows["target"].iloc[0]), _Group(rows, family)
+        children = []
+        for c in group.blocks:
+            if c != target and target in group.parents(c):
+                mine = np.concatenate([np.full(len(group.blocks[p]), p == target) for p in group.parents(c)])
+                children.append((c, group.conditional(c, theta), mine))
+        precision, maps = blanket_terms(group.conditional(target, theta), [x[1:] for x in children])
+        shift = maps[0] @ group.w(group.parents(target))
+        for m, (c, _, _) in zip(maps[1:], children, strict=True):
+            shift = shift + m @ group.w([c, *group.parents(c)])
+        own = group.rows[target]
+        at = taus[own["component"].to_numpy()] if family.several else np.full(len(own), taus[0])
+        precision, shift = observe(precision, shift, np.array(own["z"].tolist(), float).reshape(len(own), -1), own["e"].to_numpy(float), at)
+        w = draw(precision, shift, normals(seed, target, len(shift)) if noise else np.zeros(len(shift)))
+        return pd.DataFrame({"ix": own["ix"], "w": list(w.reshape(len(own), -1))})
+
+    needed = with_relatives(sites.drop("x", "y"), edges, blocks, children=True)
+    return needed.groupBy("target").applyInPandas(one, f"ix {sites.schema['ix'].dataType.simpleString()}, w array<double>")
+
+
+def draw_alone(sites: DataFrame, edges: DataFrame, blocks: DataFrame, theta: Sequence[float], seed: Sequence[int], noise: bool = True, family: Family = PLANE) -> DataFrame:
+    """ix, w: a draw (or the mean) of the process of blocks without observations, given their parents'."""
+    seed, theta = tuple(map(int, seed)), tuple(map(float, theta))
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        target, group = int(rows["target"].iloc[0]), _Group(rows, family)
+        h, half, _ = group.conditional(target, theta)
+        z = normals(seed, target, len(h)) if noise else np.zeros(len(h))
+        w = h @ group.w(group.parents(target)) + np.linalg.solve(half, z)
+        return pd.DataFrame({"ix": group.rows[target]["ix"], "w": list(w.reshape(group.blocks[target].sites, -1))})
+
+    needed = with_relatives(sites.drop("x", "y", "z"), edges, blocks)
+    return needed.groupBy("target").applyInPandas(one, f"ix {sites.schema['ix'].dataType.simpleString()}, w array<double>")
+
+
+def _with_w(sites: DataFrame, new: DataFrame) -> DataFrame:
+    """sites with the new w where there is one, cut from its lineage."""
+    return cut(sites.withColumnRenamed("w", "_w").join(new, "ix", "left").withColumn("w", F.coalesce("w", "_w")).drop("_w"), "sites")
+
+
+def sweep(sites: DataFrame, edges: DataFrame, colors: DataFrame, theta: Sequence[float], tausq: float | Sequence[float], seed: Sequence[int], noise: bool = True, family: Family = PLANE) -> DataFrame:
     """sites with w drawn anew (see draw_blocks), colour by colour, each given what the earlier ones drew; cut from its lineage after each."""
+    before = None
     for color in [r["color"] for r in colors.select("color").distinct().orderBy("color").toLocalIterator()]:
-        new = draw_blocks(sites, edges, colors.where(F.col("color") == color), s2, phi, tausq, seed, noise)
-        sites = cut(sites.withColumnRenamed("w", "_w").join(new, "ix", "left").withColumn("w", F.coalesce("w", "_w")).drop("_w"))
+        sites = _with_w(sites, draw_blocks(sites, edges, colors.where(F.col("color") == color), theta, tausq, seed, noise, family))
+        if before is not None:
+            release(before)
+        before = sites
     return sites
 
 
-@dataclass
-class Priors:
-    sigmasq: tuple[float, float] = (3.0, 3.0)
-    tausq: tuple[float, float] = (2.01, 1.0)
-    beta_precision: float = 0.01
-    phi: tuple[float, float] = (0.1, 30.0)
-
-
-@dataclass
-class State:
-    sigmasq: float = 1.0
-    tausq: float = 0.1
-    phi: float = 1.0
-    beta: list[float] = field(default_factory=list)
-    step: float = 0.3
-    accepted: int = 0
+def gibbs_means(sites: DataFrame, edges: DataFrame, colors: DataFrame, theta: Sequence[float], tausq: float, family: Family = PLANE) -> DataFrame:
+    """ix, w: one sweep of conditional means over all blocks."""
+    rows = standard(sites, family)
+    done = sweep(cut(rows.withColumn("e", F.col("y"))), edges, colors, theta, tausq, (0, 0), noise=False, family=family)
+    return done.select("ix", "w")
 
 
 def beta_posterior(df: DataFrame, x: Sequence[str], rest: str, tausq: float, precision: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
@@ -162,89 +185,208 @@ def beta_posterior(df: DataFrame, x: Sequence[str], rest: str, tausq: float, pre
     return cov @ (xy / tausq), cov
 
 
-def fit(sites: DataFrame, edges: DataFrame, colors: DataFrame, x: Sequence[str] = (), iterations: int = 10, burn: int = 0, seed: int = 1, start: State | None = None, priors: Priors | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """draws of parameters (draw, name, value), of the process (draw, ix, w, yhat), and the last state of the sites, by Gibbs and Metropolis steps.
+def _dot(a: str, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+class SparkEngine:
+    """The sites as a table; each step of a chain is a few jobs over blocks or rows. See sampler.MemoryEngine for what the steps do."""
+
+    def __init__(self, sites: DataFrame, edges: DataFrame, colors: DataFrame, family: Family, x: Sequence[str] = ()):
+        self.family, self.p = family, len(x)
+        self.table = cut(standard(sites, family, x), "sites")
+        seen = cut(_observed(self.table), "observed")
+        self.seen, self.edges = seen, edges
+        self.alone = cut(self.table.select("block").distinct().join(seen, "block", "left_anti"), "alone")
+        self.real = cut(edges.join(seen.withColumnRenamed("block", "child"), "child", "left_semi"), "edges")
+        self.colors = cut(colors.join(seen, "block", "left_semi"), "colors")
+        self.any_alone = not self.alone.isEmpty()
+        self.points = self.table.join(seen, "block", "left_semi").count() * family.per_site
+
+    def _swap(self, table: DataFrame) -> None:
+        release(self.table)
+        self.table = table
+
+    def _fixed(self, state: State) -> Column:
+        if not self.p:
+            return F.lit(0.0)
+        beta = F.array(*[F.array(*[F.lit(float(b)) for b in row]) for row in state.beta])
+        return _dot("x", F.get(beta, F.col("component") if self.family.several else F.lit(0)))
+
+    def _fitted(self) -> Column:
+        return _dot("z", F.col("w"))
+
+    def sweep(self, state: State, seed: Sequence[int]) -> None:
+        rows = self.table.withColumn("e", F.col("y") - self._fixed(state))
+        done = sweep(rows, self.real, self.colors, state.theta, state.tausq, seed, family=self.family)
+        self._swap(cut(done.drop("e"), "sites"))
+        release(done)
+
+    def predict(self, state: State, seed: Sequence[int]) -> None:
+        if self.any_alone:
+            self._swap(_with_w(self.table, draw_alone(self.table, self.edges, self.alone, state.theta, seed, family=self.family)))
+
+    def logliks(self, state: State, thetas: Sequence[Sequence[float]]) -> list[float | None]:
+        found = {r["theta"]: r["loglik"] for r in loglik(block_logliks(self.table, self.real, thetas, self.family, self.seen)).collect()}
+        return [found.get(k) for k in range(len(thetas))]
 
-    An iteration: the process colour by colour, then the decay (bounded logit random walk), variance, coefficients and noise. The state is a
-    table, cut from its lineage after each colour; a lost executor only repeats the blocks it had.
+    def quad(self, state: State) -> float:
+        unit = sampler.split_scale(state.theta, self.family)[1]
+        return block_logliks(self.table, self.real, [unit], self.family, self.seen).agg(F.sum("quad")).head()[0] or 0.0
+
+    def _by_outcome(self, state: State, rows: DataFrame, *sums: Column) -> list:
+        key = F.col("component") if self.family.several else F.lit(0)
+        found = {r["k"]: r for r in rows.where("y is not null").groupBy(key.alias("k")).agg(*sums).collect()}
+        return [found.get(k) for k in range(len(state.tausq))]
+
+    def beta_sums(self, state: State) -> list[tuple[np.ndarray, np.ndarray]]:
+        p, x = self.p, lambda i: F.get("x", F.lit(i))
+        rows = self.table.withColumn("rest", F.col("y") - self._fitted())
+        sums = [F.sum(x(i) * x(j)).alias(f"m{i}_{j}") for i in range(p) for j in range(p)] + [F.sum(x(i) * F.col("rest")).alias(f"v{i}") for i in range(p)]
+        found = self._by_outcome(state, rows, *sums)
+        zero = (np.zeros((p, p)), np.zeros(p))
+        return [zero if r is None else (np.array([[r[f"m{i}_{j}"] for j in range(p)] for i in range(p)]), np.array([r[f"v{i}"] for i in range(p)])) for r in found]
+
+    def rss(self, state: State) -> list[tuple[int, float]]:
+        e = F.col("y") - self._fixed(state) - self._fitted()
+        return [(0, 0.0) if r is None else (r["n"], r["rss"]) for r in self._by_outcome(state, self.table, F.count("*").alias("n"), F.sum(e * e).alias("rss"))]
+
+
+def normal_of(*key: Column) -> Column:
+    """A standard normal number that follows from the key alone."""
+    unit = lambda salt: (F.shiftrightunsigned(F.xxhash64(F.lit(salt), *key), 11) + 0.5) / F.lit(float(1 << 53))
+    return F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * np.pi * unit(2))
+
+
+def _named(settings: Settings, state: State, x: Sequence[str]) -> list[tuple[str, float]]:
+    tag = lambda name, k: name if settings.outcomes == 1 else f"{name}_{k + 1}"
+    out = list(zip(settings.family.names(), state.theta, strict=True))
+    out += [(tag("tausq", k), t) for k, t in enumerate(state.tausq)]
+    return out + [(tag(f"beta_{c}", k), b) for k, row in enumerate(state.beta) for c, b in zip(x, row, strict=True)]
+
+
+def fit(sites: DataFrame, edges: DataFrame, colors: DataFrame, settings: Settings, x: Sequence[str] = (), state: State | None = None, stop: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, State]:
+    """draws of parameters (draw, name, value), of the process (draw, ix, w, yhat), the last table of the sites, and the last state.
+
+    The state of the process is a table, written after each colour; a lost executor only repeats the blocks it had. Draws are written as they
+    are made. With the returned table and state a fit goes on where it stopped.
     """
-    spark = sites.sparkSession
-    priors, s = priors or Priors(), start or State(beta=[0.0] * len(x))
-    table = cut(sites.select("ix", "var1", "var2", "block", "y", *x, (F.col("w") if "w" in sites.columns else F.lit(0.0)).cast("double").alias("w")))
-    n = table.count()
-    parameters: list[tuple[int, str, float]] = []
-    kept: DataFrame | None = None
-    fixed = lambda: sum((F.col(c).cast("double") * b for c, b in zip(x, s.beta, strict=True)), F.lit(0.0))
-    for it in range(iterations):
-        rng = np.random.default_rng((seed, it))
-        table = sweep(table.withColumn("e", F.col("y") - fixed()), edges, colors, s.sigmasq, s.phi, s.tausq, (seed, it)).drop("e")
-        lo, hi = priors.phi
-        now = np.log((s.phi - lo) / (hi - s.phi))
-        proposal = lo + (hi - lo) / (1 + np.exp(-(now + s.step * rng.normal())))
-        found = {r["theta"]: r["loglik"] for r in loglik(block_logliks(table, edges, [(s.sigmasq, s.phi), (s.sigmasq, proposal)])).collect()}
-        jacobian = lambda v: np.log(v - lo) + np.log(hi - v)  # noqa: B023, E731
-        if found.get(0) is not None and found.get(1) is not None and np.log(rng.uniform()) < found[1] - found[0] + jacobian(proposal) - jacobian(s.phi):
-            s.phi, s.accepted = float(proposal), s.accepted + 1
-        quad = block_logliks(table, edges, [(1.0, s.phi)]).agg(F.sum("quad")).head()[0] or 0.0
-        s.sigmasq = float(1 / rng.gamma(priors.sigmasq[0] + n / 2, 1 / (priors.sigmasq[1] + quad / 2)))
-        if x:
-            mean, cov = beta_posterior(table.withColumn("rest", F.col("y") - F.col("w")), x, "rest", s.tausq, priors.beta_precision)
-            s.beta = rng.multivariate_normal(mean, cov).tolist()
-        e = F.col("y") - F.col("w") - fixed()
-        rss = table.where(F.col("y").isNotNull()).agg(F.count("*"), F.sum(e * e)).head()
-        s.tausq = float(1 / rng.gamma(priors.tausq[0] + rss[0] / 2, 1 / (priors.tausq[1] + (rss[1] or 0.0) / 2)))
-        if it >= burn:
-            draw = it - burn
-            parameters += [(draw, "sigmasq", s.sigmasq), (draw, "phi", s.phi), (draw, "tausq", s.tausq), *((draw, f"beta_{c}", b) for c, b in zip(x, s.beta, strict=True))]
-            noise = F.randn(seed * 1_000_003 + it) * float(np.sqrt(s.tausq))
-            one = table.select(F.lit(draw).alias("draw"), "ix", "w", (F.col("w") + fixed() + noise).alias("yhat"))
-            kept = one if kept is None else kept.union(one)
-    made = spark.createDataFrame(parameters, "draw int, name string, value double")
-    return made, kept, table
-
-
-def predict(new: DataFrame, sites: DataFrame, edges: DataFrame, thetas: Sequence[tuple[float, float]]) -> DataFrame:
-    """ix, draw, mean, var at new sites (ix, var1, var2, block: that of the nearest site): kriging from the block's and its parents' rows.
-
-    sites have w_draws, an array of the process's draws in the order of thetas (variance, decay of each draw).
+    spark, engine = sites.sparkSession, SparkEngine(sites, edges, colors, settings.family, x)
+    state = state or settings.start(len(x))
+    path, parameters, begun = scratch(spark, "draws"), [], False
+    schema = f"draw int, ix {sites.schema['ix'].dataType.simpleString()}, w array<double>, yhat double"
+    for k, now in sampler.iterate(engine, settings, state, stop):
+        parameters += [(k, name, float(v)) for name, v in _named(settings, now, x)]
+        taus = F.array(*[F.lit(float(t)) for t in now.tausq])
+        tau = F.get(taus, F.col("component") if settings.family.several else F.lit(0))
+        noise = normal_of(F.lit(settings.seed), F.lit(now.iteration), F.col("ix")) * F.sqrt(tau)
+        engine.table.select(F.lit(k).alias("draw"), "ix", "w", (engine._fixed(now) + engine._fitted() + noise).alias("yhat")).write.mode("append").parquet(path)
+        begun = True
+    draws = spark.read.schema(schema).parquet(path) if begun else spark.createDataFrame([], schema)
+    last = sites.drop("w").join(engine.table.select("ix", "w"), "ix", "left")
+    return spark.createDataFrame(parameters, "draw int, name string, value double"), draws, last, state
+
+
+def fit_chains(sites: DataFrame, edges: DataFrame, colors: DataFrame, settings: Settings, x: Sequence[str] = (), chains: int = 1, collapsed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """parameters (chain, draw, name, value) and process (chain, draw, ix, w, yhat) of several chains over a small table, one task for each.
+
+    For tables of at most sampler.MOST_SITES sites, a bound that is checked: a chain's iterations are then loops over blocks in memory instead of
+    jobs. Chain k draws what fit() draws with the seed settings.seed + k. collapsed: the process is integrated out, and not returned.
+    """
+    n = sites.count()
+    if n > sampler.MOST_SITES:
+        raise ValueError(f"{n} sites: fit_chains takes at most {sampler.MOST_SITES}, fit() any number")
+    family, spark, names = settings.family, sites.sparkSession, tuple(x)
+    each = lambda: spark.range(chains).select(F.col("id").cast("int").alias("chain"))
+    rows = each().crossJoin(F.broadcast(standard(sites, family, x)))
+    graph = each().crossJoin(F.broadcast(edges.select(F.col("child"), "parent", "slot", F.lit(0).alias("color")).union(colors.select(F.col("block").alias("child"), F.lit(None).cast("int"), F.lit(None).cast("int"), "color"))))
+    kind = sites.schema["ix"].dataType.simpleString()
+
+    def run(key: tuple, own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        from dataclasses import replace
+
+        mine = replace(settings, seed=settings.seed + int(key[0]))
+        lines = near[near["parent"].notna()].astype({"parent": int, "slot": int})
+        engine = sampler.MemoryEngine(own, lines, near[near["parent"].isna()].rename(columns={"child": "block"}), family)
+        out = []
+        for k, state in sampler.iterate_collapsed(engine, mine) if collapsed else sampler.iterate(engine, mine):
+            values = [float(v) for _, v in _named(mine, state, names)]
+            if collapsed:
+                out.append((int(key[0]), k, values, [], [], []))
+                continue
+            fitted = engine.fitted() + (engine.x * np.array(state.beta)[engine.outcome]).sum(axis=1)
+            noise = np.random.default_rng([mine.seed, state.iteration, 1]).normal(size=engine.sites) * np.sqrt(np.array(state.tausq)[engine.outcome])
+            out.append((int(key[0]), k, values, engine.ix.tolist(), engine.w.tolist(), (fitted + noise).tolist()))
+        return pd.DataFrame(out, columns=["chain", "draw", "values", "ix", "w", "yhat"])
+
+    made = rows.groupBy("chain").cogroup(graph.groupBy("chain")).applyInPandas(run, f"chain int, draw int, values array<double>, ix array<{kind}>, w array<double>, yhat array<double>")
+    made = cut(made, "chains")
+    listed = F.array(*[F.lit(n) for n, _ in _named(settings, settings.start(len(x)), x)])
+    parameters = made.select("chain", "draw", F.explode(F.arrays_zip(listed.alias("name"), F.col("values").alias("value"))).alias("p")).select("chain", "draw", "p.name", "p.value")
+    q = family.per_site
+    process = made.select("chain", "draw", "w", "yhat", F.posexplode("ix").alias("at", "ix"))
+    process = process.select("chain", "draw", "ix", F.slice("w", F.col("at") * q + 1, F.lit(q)).alias("w"), F.get("yhat", F.col("at")).alias("yhat"))
+    return parameters, process
+
+
+def predict(new: DataFrame, sites: DataFrame, edges: DataFrame, thetas: Sequence[Sequence[float]], family: Family = PLANE, tausq: Sequence[float] | None = None, seed: int = 1) -> DataFrame:
+    """ix, draw, mean, var, and with tausq (of each draw) y, at new sites (ix, coordinates, block: that of the nearest site; comp, z).
+
+    Kriging from the block's and its parents' rows. sites have w_draws, an array of the process's draws in the order of thetas: numbers, or
+    arrays of one for each process. mean and var are of the sum of z times the process; factors are used again while theta stays. y adds noise.
     """
     thetas = [tuple(map(float, t)) for t in thetas]
 
     def krige(key: tuple, points: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(points) and len(rows):
-            w = np.array(rows["w_draws"].tolist(), float)
-            at, known = _points(points), _points(rows)
-            for k, (s2, phi) in enumerate(thetas):
-                cross = exponential_matrix(at, known, s2, phi)
-                h = np.linalg.solve(exponential_matrix(known, known, s2, phi), cross.T).T
-                mean, var = h @ w[:, k], np.maximum(0.0, s2 - (h * cross).sum(axis=1))
-                out.append(pd.DataFrame({"ix": points["ix"], "draw": k, "mean": mean, "var": var}))
+            w = np.array([[np.ravel(d) for d in r] for r in rows["w_draws"]], float)  # sites x draws x processes
+            make = lambda f: Block(family, f["ix"].to_numpy(), np.array(f["at"].tolist(), float), f["component"].to_numpy())
+            at, known, done = make(points), make(rows), None
+            z = np.array(points["z"].tolist(), float).reshape(len(points), -1)
+            for k, theta in enumerate(thetas):
+                if done is None or done[0] != theta:
+                    cross = covariance(family, at, known, theta)
+                    h = np.linalg.solve(covariance(family, known, known, theta), cross.T).T
+                    n = family.per_site
+                    own = [slice(i * n, i * n + n) for i in range(len(points))]
+                    var = [z[i] @ (covariance(family, b, b, theta) - h[s] @ cross[s].T) @ z[i] for i, (s, b) in enumerate(zip(own, (make(points.iloc[[i]]) for i in range(len(points))), strict=True))]
+                    done = (theta, h, np.maximum(0.0, var))
+                mean = ((done[1] @ w[:, k].ravel()).reshape(z.shape) * z).sum(axis=1)
+                out.append(pd.DataFrame({"ix": points["ix"], "draw": k, "mean": mean, "var": done[2]}))
         return pd.concat(out) if out else pd.DataFrame({"ix": [], "draw": [], "mean": [], "var": []})
 
-    near = with_relatives(sites.select("ix", "var1", "var2", "block", "w_draws"), edges).drop("parents").withColumnRenamed("block", "of")
-    left = new.select(F.col("block").alias("target"), "ix", "var1", "var2").groupBy("target")
-    return left.cogroup(near.groupBy("target")).applyInPandas(krige, f"ix {new.schema['ix'].dataType.simpleString()}, draw int, mean double, var double")
+    flat = standard(sites, family).drop("w").join(sites.select("ix", "w_draws"), "ix")
+    near = with_relatives(flat, edges).drop("parents").withColumnRenamed("block", "of")
+    left = standard(new, family).select(F.col("block").alias("target"), "ix", "at", "component", "z").groupBy("target")
+    found = left.cogroup(near.groupBy("target")).applyInPandas(krige, f"ix {new.schema['ix'].dataType.simpleString()}, draw int, mean double, var double")
+    if tausq is None:
+        return found
+    tau = F.get(F.array(*[F.lit(float(t)) for t in tausq]), F.col("draw"))
+    return found.withColumn("y", F.col("mean") + F.sqrt(F.col("var") + tau) * normal_of(F.lit(seed), F.col("draw"), F.col("ix")))
 
 
-def precision_entries(sites: DataFrame, edges: DataFrame, s2: float, phi: float) -> DataFrame:
-    """i, j, v: the sparse precision of the process over all sites, by ix."""
+def precision_entries(sites: DataFrame, edges: DataFrame, theta: Sequence[float], family: Family = PLANE) -> DataFrame:
+    """i, j, v: the sparse precision of the process over all sites, by ix; with several processes also r, s, the components from 0."""
+    theta = tuple(map(float, theta))
 
     def entries(rows: pd.DataFrame) -> pd.DataFrame:
-        target = rows["target"].iloc[0]
-        rows = rows.sort_values(["block", "ix"])
-        own, up = rows[rows["block"] == target], rows[rows["block"] != target]
-        h, half, _ = conditional(_points(own), _points(up), s2, phi)
-        a = half @ np.hstack([np.eye(len(own)), -h])
-        q, ids = a.T @ a, np.concatenate([own["ix"], up["ix"]])
-        return pd.DataFrame({"i": np.repeat(ids, len(ids)), "j": np.tile(ids, len(ids)), "v": q.ravel()})
-
-    needed = with_relatives(sites.select("ix", "var1", "var2", "block"), edges).drop("parents")
+        target, group = int(rows["target"].iloc[0]), _Group(rows, family)
+        h, half, _ = group.conditional(target, theta)
+        a = half @ np.hstack([np.eye(len(h)), -h])
+        blocks = [group.blocks[b] for b in [target, *group.parents(target)]]
+        ids = np.repeat(np.concatenate([b.ix for b in blocks]), family.per_site)
+        comp = np.concatenate([b.component for b in blocks])
+        q, n = a.T @ a, len(ids)
+        return pd.DataFrame({"i": np.repeat(ids, n), "j": np.tile(ids, n), "r": np.repeat(comp, n), "s": np.tile(comp, n), "v": q.ravel()})
+
+    needed = with_relatives(standard(sites, family).select("ix", "block", "at", "component"), edges)
     kind = sites.schema["ix"].dataType.simpleString()
-    return needed.groupBy("target").applyInPandas(entries, f"i {kind}, j {kind}, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    found = needed.groupBy("target").applyInPandas(entries, f"i {kind}, j {kind}, r int, s int, v double").groupBy("i", "j", "r", "s").agg(F.sum("v").alias("v"))
+    return found if family.q > 1 else found.drop("r", "s")
 
 
-def multivariate_normal(spark, n: int, mean: Sequence[float], cov: Sequence[Sequence[float]], seed: int = 1) -> DataFrame:
+def multivariate_normal(spark: SparkSession, n: int, mean: Sequence[float], cov: Sequence[Sequence[float]], seed: int = 1) -> DataFrame:
     """draw, k, value: n draws, made on the executors."""
     lower = np.linalg.cholesky(np.asarray(cov, float))
     mu = np.asarray(mean, float)
@@ -258,12 +400,57 @@ def multivariate_normal(spark, n: int, mean: Sequence[float], cov: Sequence[Sequ
     return spark.range(n).mapInPandas(make, "draw long, k int, value double")
 
 
-def mesh_of(blocked: DataFrame, dims: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """blocks, edges, colors of blocked sites; all blocks take part."""
-    from .tessellation import block_counts
+def simulated(sites: DataFrame, theta: Sequence[float], tausq: float, seed: int = 1, family: Family = PLANE, most: int = 4_000) -> DataFrame:
+    """sites with w, a draw of the dense process, and y = w + noise; for at most so many sites, which one task holds."""
+    if (n := sites.count()) > most:
+        raise ValueError(f"{n} sites: at most {most} are simulated densely")
+    theta = tuple(map(float, theta))
+
+    def make(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ix")
+        block = Block(family, rows["ix"].to_numpy(), np.array(rows["at"].tolist(), float), np.zeros(len(rows), int))
+        lower = np.linalg.cholesky(covariance(family, block, block, theta) + 1e-9 * np.eye(len(block)))
+        rng = np.random.default_rng(seed)
+        w = lower @ rng.normal(size=len(block))
+        return pd.DataFrame({"ix": rows["ix"], "w": w, "y": w + np.sqrt(tausq) * rng.normal(size=len(block))})
+
+    made = standard(sites.withColumn("block", F.lit(0)), family).select("ix", "block", "at").groupBy("block").applyInPandas(make, f"ix {sites.schema['ix'].dataType.simpleString()}, w double, y double")
+    return sites.drop("w", "y").join(made, "ix")
+
+
+def save_fit(path: str, spark: SparkSession, sites: DataFrame, parameters: DataFrame, draws: DataFrame, settings: Settings, state: State) -> None:
+    """A bundle from which load_fit() goes on: sites with their w, draws so far, settings and state, in one folder."""
+    import json
+    from dataclasses import asdict
+
+    adaptive = type(state.proposal).__name__ if state.proposal else ""
+    plain = lambda o: o.tolist() if isinstance(o, np.ndarray) else o
+    texts = [json.dumps({k: v for k, v in asdict(settings).items()}), json.dumps(asdict(state), default=plain), adaptive]
+    sites.write.mode("overwrite").parquet(f"{path}/sites")
+    parameters.write.mode("overwrite").parquet(f"{path}/parameters")
+    draws.write.mode("overwrite").parquet(f"{path}/draws")
+    spark.createDataFrame([tuple(texts)], "settings string, state string, proposal string").write.mode("overwrite").parquet(f"{path}/state")
+
+
+def load_fit(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, Settings, State]:
+    """sites, parameters, draws, settings and state of a bundle."""
+    import json
+
+    row = spark.read.parquet(f"{path}/state").head()
+    known, held = json.loads(row["settings"]), json.loads(row["state"])
+    family = Family(**known.pop("family"))
+    settings = Settings(family=family, **{k: tuple(map(tuple, v)) if k == "bounds" else tuple(v) if isinstance(v, list) else v for k, v in known.items()})
+    proposal = held.pop("proposal")
+    if proposal:
+        arrays = {k: np.array(v) if isinstance(v, list) else v for k, v in proposal.items()}
+        proposal = getattr(sampler, row["proposal"])(**arrays)
+    return spark.read.parquet(f"{path}/sites"), spark.read.parquet(f"{path}/parameters"), spark.read.parquet(f"{path}/draws"), settings, State(proposal=proposal, **held)
+
 
+def mesh_of(blocked: DataFrame, dims: int = 2, all_observed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """blocks, edges, colors of blocked sites; blocks without observations are predicted from others, unless all count as observed."""
     blocks = cut(block_counts(blocked, dims))
-    edges = cut(mesh.mesh_edges(blocks, dims, all_observed=True))
-    everything = blocks.withColumn("n_obs", F.lit(1))
-    colors = mesh.greedy_colors(mesh.blanket(edges, everything), everything)
-    return blocks, edges, colors
+    if all_observed:
+        blocks = blocks.withColumn("n_obs", F.greatest("n_obs", F.lit(1)))
+    edges = cut(mesh.mesh_edges(blocks, dims))
+    return blocks, edges, mesh.greedy_colors(mesh.blanket(edges, blocks), blocks)

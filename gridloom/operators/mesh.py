@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 
 def _line(axis: int, dims: int):
     """A window along an axis: the blocks that agree in all other levels."""
@@ -104,9 +106,108 @@ def parent_offsets(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     return sized.select("child", "slot", "parent", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"), "n")
 
 
-def congruence_keys(blocked: DataFrame, axes: list[str], step: float = 1e-4) -> DataFrame:
-    """block, representative: blocks whose rows lie alike up to a shift, by coordinates relative to the first row in steps of step."""
+def congruence_keys(blocked: DataFrame, axes: list[str], tolerance: float = 1e-4) -> DataFrame:
+    """block, representative: the least of the blocks whose rows lie alike up to a shift, within tolerance.
+
+    Shapes (coordinates relative to the first row, in order) that agree when rounded are one; blocks that rounding parts are compared once more,
+    one of each shape: those of as many rows whose sums of coordinates lie in the same or neighbouring cells, coordinate by coordinate.
+    """
     first = Window.partitionBy("block").orderBy(*axes, "ix").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    apart = [F.round((F.col(c).cast("double") - F.first(F.col(c).cast("double")).over(first)) / step).cast("long").alias(c) for c in axes]
-    shape = blocked.select("block", F.struct(*apart).alias("p")).groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("shape"))
-    return shape.select("block", F.min("block").over(Window.partitionBy("shape")).alias("representative"))
+    apart = [(F.col(c).cast("double") - F.first(F.col(c).cast("double")).over(first)).alias(c) for c in axes]
+    shapes = blocked.select("block", F.struct(*apart).alias("p")).groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("shape"))
+    rounded = F.transform("shape", lambda p: F.struct(*[F.round(p[c] / tolerance).cast("long").alias(c) for c in axes]))
+    each = shapes.withColumn("rounded", rounded)
+    classes = cut(each.groupBy("rounded").agg(F.min_by("shape", "block").alias("shape"), F.min("block").alias("own")))
+    n = F.size("shape")
+    sums = [F.floor(F.aggregate(F.col("shape")[c], F.lit(0.0), lambda s, x: s + x) / (n * tolerance)) for c in axes]
+    cells = classes.select("own", "shape", n.alias("n"), *[x.alias(f"cell{k}") for k, x in enumerate(sums)])
+    near = cells
+    for k in range(len(axes)):
+        near = near.withColumn(f"cell{k}", F.explode(F.array(*[F.col(f"cell{k}") + d for d in (-1, 0, 1)])))
+    keys = ["n", *[f"cell{k}" for k in range(len(axes))]]
+    pairs = cells.join(near.select(F.col("own").alias("other"), F.col("shape").alias("that"), *keys), keys).where("other < own")
+    same = F.forall(F.zip_with("shape", "that", lambda p, q: F.greatest(*[F.abs(p[c] - q[c]) for c in axes]) < tolerance), lambda x: x)
+    earlier = pairs.where(same).groupBy("own").agg(F.min("other").alias("earlier"))
+    mapped = classes.join(earlier, "own", "left").select("rounded", F.coalesce("earlier", "own").alias("representative"))
+    return each.select("block", "rounded").join(mapped, "rounded").select("block", "representative")
+
+
+def cache_hits(keys: DataFrame) -> DataFrame:
+    """blocks, shapes, hits: the percentage of blocks that use another's factors."""
+    counts = keys.agg(F.count("*").alias("blocks"), F.count_distinct("representative").alias("shapes"))
+    return counts.withColumn("hits", 100 - 100 * F.col("shapes") / F.col("blocks"))
+
+
+def from_representatives(keys: DataFrame, made: DataFrame) -> DataFrame:
+    """What was made for each representative (a table by block), for every block that it stands for."""
+    return keys.join(made.withColumnRenamed("block", "representative"), "representative").drop("representative")
+
+
+def compute_block(predicting: bool, n_obs: Column, all_observed: bool = False) -> Column:
+    """Whether a block takes part: all do if all count as observed or in a prediction, else those with observations."""
+    return F.lit(True) if all_observed or predicting else n_obs > 0
+
+
+def reference_summary(blocks: DataFrame) -> DataFrame:
+    """blocks, reference (blocks with observations), reference_rows (their rows), observed (rows with y)."""
+    seen = F.col("n_obs") > 0
+    return blocks.agg(F.count("*").alias("blocks"), F.count_if(seen).alias("reference"), F.coalesce(F.sum(F.when(seen, F.col("n_rows"))), F.lit(0)).alias("reference_rows"), F.coalesce(F.sum("n_obs"), F.lit(0)).alias("observed"))
+
+
+def colors_apart(edges: DataFrame, colors: DataFrame) -> DataFrame:
+    """block, color without equal colours of a child and its parent: each of a group's blocks that has a parent in it moves behind.
+
+    Groups are repaired until no child is in its parent's group; a block's new group is the number of steps on the longest path of such equal
+    colours that leads to it, so groups stay few where the graph is shallow, and in the worst case are one for each block, as in a sequence.
+    """
+    spark = colors.sparkSession
+    color = {r["block"]: r["color"] for r in colors.select("block", "color").toLocalIterator()}
+    parents: dict[int, list[int]] = {}
+    for r in edges.select("child", "parent").toLocalIterator():
+        parents.setdefault(r["child"], []).append(r["parent"])
+    groups: dict[tuple[int, int], int] = {}
+    depth: dict[int, int] = {}
+    order, waiting = [], {b: [p for p in parents.get(b, ()) if color.get(p) == color[b]] for b in color}
+    children: dict[int, list[int]] = {}
+    for b, ps in waiting.items():
+        for p in ps:
+            children.setdefault(p, []).append(b)
+    left = {b: len(ps) for b, ps in waiting.items()}
+    order = [b for b, n in left.items() if not n]
+    for b in order:
+        depth[b] = max((depth[p] + 1 for p in waiting[b]), default=0)
+        for c in children.get(b, ()):
+            left[c] -= 1
+            if not left[c]:
+                order.append(c)
+    for key in sorted({(depth[b], color[b]) for b in color}):
+        groups[key] = len(groups)
+    return spark.createDataFrame([(b, groups[depth[b], color[b]]) for b in sorted(color)], "block int, color int")
+
+
+def axis_recolor(blocks: DataFrame, dims: int, sweeps: int = 20) -> DataFrame:
+    """blocks with color changed where a block and the next one of its grid line have the same: the later takes the colour after the largest.
+
+    A line's blocks are compared by a window, axis after axis, until nothing changes or sweeps are over.
+    """
+    for _ in range(sweeps):
+        changed = blocks
+        for axis in range(1, dims + 1):
+            same = F.coalesce(F.col("color") == F.lag("color").over(_line(axis, dims)), F.lit(False))
+            run = F.row_number().over(_line(axis, dims))
+            changed = changed.withColumn("_same", same & (F.pmod(run, F.lit(2)) == 0))
+            top = F.broadcast(changed.agg(F.max("color").alias("_top")))
+            changed = changed.crossJoin(top).withColumn("color", F.when(F.col("_same"), F.col("_top") + 1).otherwise(F.col("color"))).drop("_same", "_top")
+        changed = cut(changed)
+        if changed.join(blocks.select("block", F.col("color").alias("_was")), "block").where("color <> _was").isEmpty():
+            return changed
+        blocks = changed
+    return blocks
+
+
+def sampling_graph(blocked: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """blocks (with the checkerboard colour of their levels) and edges of sites that are only to be sampled: all blocks take part."""
+    from .tessellation import block_counts, color
+
+    blocks = block_counts(blocked, dims).withColumn("color", color(dims))
+    return blocks, mesh_edges(blocks, dims, all_observed=True)

@@ -7,33 +7,41 @@ from pyspark.sql import functions as F
 
 from .tables import cut
 
+#: Places of reference rows in a cell to begin with.
+FEW = 32
+
 
 def nearest_site(new: DataFrame, reference: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """ix, near, dist of each row of new (ix, var1, var2): the ix of the nearest row of reference; ties to the smaller one.
 
-    Cells begin at about one reference row each. A new row meets the rows of its cell and the eight around it; what is found within a cell's
-    side is nearest. Rows without an answer try again in cells of twice the side. keep: further columns of reference to return.
+    Cells begin small enough for FEW reference rows each; rows at one place count as one. A new row meets the rows of its cell and the eight
+    around it; what is found within a cell's side is nearest. Rows without an answer try again in cells of twice the side. New rows whose
+    coordinates are null or not finite have no nearest row (nulls); such reference rows are nobody's. keep: further columns of reference.
     """
     keep = keep or []
-    box = reference.agg(F.count("*").alias("n"), *[f(c).alias(f"{g}_{c}") for c in ("var1", "var2") for f, g in ((F.min, "lo"), (F.max, "hi"))]).head()
-    empty = new.select("ix", F.lit(None).cast(reference.schema["ix"].dataType).alias("near"), F.lit(None).cast("double").alias("dist"), *[F.lit(None).cast(reference.schema[c].dataType).alias(c) for c in keep])
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    known, whole = reference.where(finite("var1") & finite("var2")), finite("var1") & finite("var2")
+    box = known.agg(F.count("*").alias("n"), *[f(c).alias(f"{g}_{c}") for c in ("var1", "var2") for f, g in ((F.min, "lo"), (F.max, "hi"))]).head()
+    nothing = lambda rows: rows.select("ix", F.lit(None).cast(reference.schema["ix"].dataType).alias("near"), F.lit(None).cast("double").alias("dist"), *[F.lit(None).cast(reference.schema[c].dataType).alias(c) for c in keep])
     if not box["n"]:
-        return empty
-    spread = max(box["hi_var1"] - box["lo_var1"], box["hi_var2"] - box["lo_var2"])
-    side = max(spread, 1e-9) / max(1.0, box["n"] ** 0.5)
+        return nothing(new)
+    held = cut(known.groupBy(F.col("var1").alias("rx"), F.col("var2").alias("ry")).agg(F.min(F.struct("ix", *keep)).alias("row")))
+    side = max(box["hi_var1"] - box["lo_var1"], box["hi_var2"] - box["lo_var2"], 1e-9) / max(1.0, box["n"] ** 0.5)
+    cell = lambda c: F.floor(F.greatest(F.lit(-4e18), F.least(F.lit(4e18), c / side)))
+    for _ in range(40):
+        if held.groupBy(cell(F.col("rx")), cell(F.col("ry"))).count().agg(F.max("count")).head()[0] <= FEW:
+            break
+        side /= 4
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    held = reference.select(F.struct("ix", *keep).alias("row"), F.col("var1").alias("rx"), F.col("var2").alias("ry"))
-    todo, done = new.select("ix", "var1", "var2"), None
-    while True:
-        cell = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
-        placed = held.withColumn("cx", cell("rx")).withColumn("cy", cell("ry"))
-        asked = todo.withColumn("o", F.explode(around)).withColumn("cx", cell("var1") + F.col("o.a")).withColumn("cy", cell("var2") + F.col("o.b"))
+    todo, done = cut(new.where(whole).select("ix", "var1", "var2")), nothing(new.where(~whole))
+    while not todo.isEmpty():
+        placed = held.withColumn("cx", cell(F.col("rx"))).withColumn("cy", cell(F.col("ry")))
+        asked = todo.withColumn("o", F.explode(around)).withColumn("cx", cell(F.col("var1")) + F.col("o.a")).withColumn("cy", cell(F.col("var2")) + F.col("o.b"))
         apart = (F.col("var1") - F.col("rx")) * (F.col("var1") - F.col("rx")) + (F.col("var2") - F.col("ry")) * (F.col("var2") - F.col("ry"))
         best = F.min(F.struct(apart.alias("d2"), F.col("row.ix").alias("near"), *[F.col("row")[c].alias(c) for c in keep])).alias("best")
-        found = cut(asked.join(placed, ["cx", "cy"], "left").where(F.col("rx").isNotNull()).groupBy("ix").agg(best))
+        found = cut(asked.join(placed, ["cx", "cy"]).groupBy("ix").agg(best))
         sure = found.where(F.col("best.d2") <= F.lit(side * side)).select("ix", F.col("best.near").alias("near"), F.sqrt("best.d2").alias("dist"), *[F.col("best")[c].alias(c) for c in keep])
-        done = sure if done is None else done.union(sure)
+        done = done.union(sure)
         todo = cut(todo.join(sure.select("ix"), "ix", "left_anti"))
-        if todo.isEmpty():
-            return done
         side *= 2
+    return done

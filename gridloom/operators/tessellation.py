@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bins between approximate quantiles by which thresholds are bracketed.
-BINS = 128
+#: How far approximate quantiles are taken from a threshold, as a share of all values: three times their own error.
+SLACK = 3e-4
 
 
 def is_observed(y: Column) -> Column:
@@ -21,34 +21,36 @@ def is_observed(y: Column) -> Column:
     return y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf"))
 
 
-def _axis_values(df: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """axis (from 1), x: the coordinates of all rows, a row each."""
-    values = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(c).cast("double").alias("x")) for a, c in enumerate(axes, 1)])
-    return df.select(F.explode(values).alias("v")).select("v.*")
-
-
 def order_statistics(df: DataFrame, axes: Sequence[str], intervals: Sequence[int]) -> DataFrame:
     """axis (from 1), i, threshold: for i = 1, ..., k - 1 the value that floor(i * n / k) others come before in the axis's order.
 
-    Values are counted once each (ties as one row) and fall into bins between approximate quantiles. Bins are counted first; only the bins
-    that a threshold lies in are ranked, each by itself, so no task sees more than a small share of an axis.
+    Approximate quantiles a little before and behind each threshold's rank bracket it; how many values lie under a bracket is counted, and only
+    the values within brackets, a row for each, are shuffled and ranked. A bracket that turns out not to hold its rank is opened to all values.
     """
-    long = _axis_values(df, axes).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    counted = long.groupBy("axis", "x").agg(F.count("*").alias("n"))
-    bounds = long.groupBy("axis").agg(F.percentile_approx("x", F.array(*[F.lit(b / BINS) for b in range(1, BINS)]), F.lit(10_000)).alias("bounds"), F.count("*").alias("total"))
-    binned = counted.join(F.broadcast(bounds), "axis").withColumn("bin", F.size(F.filter("bounds", lambda b: b <= F.col("x")))).drop("bounds")
-    per_bin = binned.groupBy("axis", "bin", "total").agg(F.sum("n").alias("in_bin"))
-    upto = Window.partitionBy("axis").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_bin.withColumn("before", F.coalesce(F.sum("in_bin").over(upto), F.lit(0)))
-    k = F.element_at(F.array(*[F.lit(m) for m in intervals]), F.col("axis"))
-    wanted = starts.withColumn("k", k).where("k > 1").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).withColumn("rank", F.expr("i * total div k"))
-    wanted = wanted.where("rank >= before and rank < before + in_bin").select("axis", "bin", "i", "rank", "before")
-    needed = binned.join(F.broadcast(wanted.select("axis", "bin").distinct()), ["axis", "bin"], "left_semi")
-    inside = Window.partitionBy("axis", "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = needed.withColumn("end", F.sum("n").over(inside))
-    hit = ranked.join(F.broadcast(wanted), ["axis", "bin"])
-    hit = hit.where((F.col("before") + F.col("end") > F.col("rank")) & (F.col("before") + F.col("end") - F.col("n") <= F.col("rank")))
-    return hit.select("axis", F.col("i").cast("int").alias("i"), F.col("x").alias("threshold"))
+    spark = df.sparkSession
+    x = {a: F.col(c).cast("double") for a, c in enumerate(axes, 1)}
+    x = {a: F.when(~F.isnan(c), c) for a, c in x.items()}  # null where there is no number
+    shares = {a: [min(1.0, max(0.0, i / k + d)) for i in range(1, k) for d in (-SLACK, SLACK)] for a, k in enumerate(intervals, 1) if k > 1}
+    schema = "axis int, i int, threshold double"
+    if not shares:
+        return spark.createDataFrame([], schema)
+    first = df.agg(*[F.count(x[a]).alias(f"n{a}") for a in shares], *[F.percentile_approx(x[a], F.array(*[F.lit(p) for p in ps]), F.lit(10_000)).alias(f"p{a}") for a, ps in shares.items()]).head()
+    wanted = [(a, i, i * first[f"n{a}"] // intervals[a - 1], *first[f"p{a}"][2 * i - 2 : 2 * i]) for a in shares if first[f"n{a}"] for i in range(1, intervals[a - 1])]
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    counts = df.agg(*[f(c).alias(f"{g}{k}") for k, (a, _, _, lo, hi) in enumerate(wanted) for f, g, c in ((F.count_if, "under", x[a] < lo), (F.count_if, "upto", x[a] <= hi))]).head()
+    rows = []
+    for k, (a, i, rank, lo, hi) in enumerate(wanted):
+        sure = counts[f"under{k}"] <= rank < counts[f"upto{k}"]
+        rows.append((a, i, rank, lo if sure else float("-inf"), hi if sure else float("inf"), counts[f"under{k}"] if sure else 0))
+    within = {a: reduce(lambda p, q: p | q, [(x[a] >= lo) & (x[a] <= hi) for b, _, _, lo, hi, _ in rows if b == a]) for a in {r[0] for r in rows}}
+    values = F.array(*[F.when(hit, F.struct(F.lit(a).alias("axis"), x[a].alias("x"))) for a, hit in within.items()])
+    counted = df.select(F.explode(F.array_compact(values)).alias("v")).groupBy("v.axis", "v.x").agg(F.count("*").alias("n"))
+    brackets = F.broadcast(spark.createDataFrame(rows, "axis int, i int, rank long, lo double, hi double, before long"))
+    held = counted.join(brackets, "axis").where("x >= lo and x <= hi")
+    upto = Window.partitionBy("axis", "i").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.withColumn("end", F.col("before") + F.sum("n").over(upto))
+    return ranked.where("end > rank and end - n <= rank").select("axis", "i", F.col("x").alias("threshold"))
 
 
 def collect_thresholds(thresholds: DataFrame, dims: int) -> list[list[float]]:

@@ -9,6 +9,8 @@ from ..functions import covariance as cov
 from ..functions import scalars as sc
 from ..operators import gaussian, mesh, neighbors, summaries
 from ..operators import tessellation as tess
+from ..operators.kernels import Family
+from ..operators.sampler import Settings
 from ..operators.tables import cut
 from ..sources import sites
 
@@ -158,10 +160,12 @@ def missing_blocks(spark, sf_dir):
     return whole.where("ix is null").select(F.col("l1").cast("long").alias("l1"), F.col("l2").cast("long").alias("l2"), six("var1").alias("var1"), six("var2").alias("var2"))
 
 
-@query(f"WITH {SITES_2D}, {thresholds_sql(GRID_2D)}, {levels_sql(2)}, {blocks_sql(2)}, o AS (SELECT ix, block FROM b0 WHERE block % 3 <> 0) SELECT ix, dense_rank() OVER (ORDER BY block)::INTEGER AS block FROM o")
+@query(f"WITH {SITES_2D}, {thresholds_sql((30, 30))}, {levels_sql(2)}, c AS (SELECT ix, (l2 - 1) * 30 + l1 AS block FROM lv) SELECT ix, dense_rank() OVER (ORDER BY block)::INTEGER AS block FROM c")
 def relabelled_blocks(spark, sf_dir):
-    some = tess.tessellate(sites.sites_2d(spark, sf_dir), ["var1", "var2"], GRID_2D).select("ix", "block").where("block % 3 <> 0")
-    return tess.relabel(some).select("ix", F.col("block").cast("int").alias("block"))
+    """Cells of a fine grid, of which many are empty, numbered without gaps."""
+    levelled = tess.tessellate(sites.sites_2d(spark, sf_dir), ["var1", "var2"], (30, 30))
+    cells = levelled.select("ix", ((F.col("l2") - 1) * 30 + F.col("l1")).alias("block"))
+    return tess.relabel(cells).select("ix", F.col("block").cast("int").alias("block"))
 
 
 # --- mesh ----------------------------------------------------------------------------------------------------------------------------
@@ -258,12 +262,42 @@ def mesh_parent_offsets(spark, sf_dir):
     return mesh.parent_offsets(edges, blocks)
 
 
-@query("SELECT * FROM (VALUES (100::BIGINT, 400::BIGINT)) t(blocks, rows)")
+#: Sites on a lattice by their id, 60 a row, in cells of 4 x 4 (the last ones cut by the table's end): congruent where they are whole.
+LATTICE = """s AS (SELECT vec_id AS ix, (vec_id % 60) / 64.0 AS var1, (vec_id // 60) / 64.0 AS var2, ((vec_id // 60 // 4) * 15 + vec_id % 60 // 4)::INTEGER AS block FROM embeddings),
+f AS (SELECT *, first_value(var1) OVER w AS o1, first_value(var2) OVER w AS o2 FROM s WINDOW w AS (PARTITION BY block ORDER BY var1, var2, ix)),
+g AS (SELECT block, list(struct_pack(a := round((var1 - o1) * 10000)::BIGINT, b := round((var2 - o2) * 10000)::BIGINT) ORDER BY var1 - o1, var2 - o2) AS shape FROM f GROUP BY 1),
+rep AS (SELECT block, min(block) OVER (PARTITION BY shape) AS representative FROM g)"""
+
+
+def _lattice(spark, sf_dir):
+    i = F.col("vec_id")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    column, row = i % 60, F.floor(i / 60)
+    return rows.select(i.alias("ix"), (column / 64.0).alias("var1"), (row / 64.0).alias("var2"), (F.floor(row / 4) * 15 + F.floor(column / 4)).cast("int").alias("block"))
+
+
+@query(f"WITH {LATTICE} SELECT block, representative FROM rep")
+def congruent_blocks(spark, sf_dir):
+    return mesh.congruence_keys(_lattice(spark, sf_dir), ["var1", "var2"])
+
+
+@query(f"WITH {LATTICE} SELECT count(*) AS blocks, count(DISTINCT representative) AS shapes, round(100 - 100.0 * count(DISTINCT representative) / count(*), 6) AS hits FROM rep")
 def cache_key_stats(spark, sf_dir):
-    """Congruent blocks of a regular grid share one representative (but for rounding)."""
-    blocked = tess.tessellate(sites.grid(spark, (20, 20)), ["var1", "var2"], (10, 10))
-    keys = mesh.congruence_keys(blocked, ["var1", "var2"])
-    return blocked.join(keys, "block").agg(F.count_distinct("block").alias("blocks"), F.count("*").alias("rows"))
+    """How many blocks use another's factors."""
+    return mesh.cache_hits(mesh.congruence_keys(_lattice(spark, sf_dir), ["var1", "var2"])).withColumn("hits", six("hits"))
+
+
+@query(f"""WITH {LATTICE}, p AS (SELECT a.block, a.ix AS i, b.ix AS j, sqrt((a.var1 - b.var1) ** 2 + (a.var2 - b.var2) ** 2) AS h FROM s a JOIN s b ON a.block = b.block)
+SELECT block, round(sum(2.0 * exp(-3.0 * h)), 5) AS total, count(*) AS n FROM p GROUP BY 1""")
+def cached_block_sums(spark, sf_dir):
+    """Sums of each block's covariances, made once for each shape and joined back to the blocks."""
+    rows = cut(_lattice(spark, sf_dir))
+    keys = cut(mesh.congruence_keys(rows, ["var1", "var2"]))
+    some = rows.join(keys.select(F.col("representative").alias("block")).distinct(), "block", "left_semi")
+    a, b, c = some.alias("a"), some.alias("b"), F.col
+    pairs = a.join(b, c("a.block") == c("b.block")).select(c("a.block").alias("block"), cov.distance(c("a.var1"), c("a.var2"), c("b.var1"), c("b.var2")).alias("h"))
+    sums = pairs.groupBy("block").agg(F.sum(cov.exponential(c("h"), 2.0, 3.0)).alias("total"), F.count("*").alias("n"))
+    return mesh.from_representatives(keys, sums).select("block", F.round("total", 5).alias("total"), "n")
 
 
 # --- covariances: pairs of sites within blocks ---------------------------------------------------------------------------------------
@@ -470,14 +504,15 @@ def cloud_mask(spark, sf_dir):
 
 # --- nearest sites and kriging -------------------------------------------------------------------------------------------------------
 
-NEAR = f"""{SITES_2D}, f AS (SELECT * FROM s WHERE ix % 5 <> 0), n AS (SELECT * FROM s WHERE ix % 5 = 0),
+#: Every tenth row has no y (sites_2d): these are the new sites, the others what is known of them.
+NEAR = f"""{SITES_2D}, f AS (SELECT * FROM s WHERE y0 IS NOT NULL), n AS (SELECT * FROM s WHERE y0 IS NULL),
 c AS (SELECT n.ix, n.y_full, f.ix AS near, f.y_full AS w, (n.var1 - f.var1) * (n.var1 - f.var1) + (n.var2 - f.var2) * (n.var2 - f.var2) AS d2 FROM n, f),
 x AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY ix ORDER BY d2, near) = 1)"""
 
 
 def _near(spark, sf_dir):
     rows = sites.sites_2d(spark, sf_dir)
-    return neighbors.nearest_site(rows.where("ix % 5 = 0"), rows.where("ix % 5 <> 0"), keep=["y_full"])
+    return neighbors.nearest_site(rows.where("y is null"), rows.where("y is not null"), keep=["y_full"])
 
 
 @query(f"WITH {NEAR} SELECT ix, near, round(sqrt(d2), 6) AS dist FROM x")
@@ -487,23 +522,44 @@ def nn_block(spark, sf_dir):
 
 @query(f"WITH {NEAR} SELECT ix, round(exp(-1.5 * sqrt(d2)) * w, 6) + 0.0 AS mean, round(2.0 * (1 - exp(-3.0 * sqrt(d2))), 6) AS var FROM x")
 def krige_1nn(spark, sf_dir):
-    return _near(spark, sf_dir).select("ix", six(F.exp(-1.5 * F.col("dist")) * F.col("y_full")).alias("mean"), six(2.0 * (1 - F.exp(-3.0 * F.col("dist")))).alias("var"))
+    """Kriging from a block of one site: the nearest."""
+    found = cut(_near(spark, sf_dir).withColumn("block", F.col("ix").cast("int")))
+    rows = sites.sites_2d(spark, sf_dir)
+    known = rows.select(F.col("ix").alias("near"), "var1", "var2").join(found.select("near", "block", F.array("y_full").alias("w_draws")), "near")
+    known = known.select(F.col("block").cast("long").alias("ix"), "var1", "var2", "block", "w_draws")
+    new = rows.select("ix", "var1", "var2").join(found.select("ix", "block"), "ix")
+    none = spark.createDataFrame([], "child int, parent int, slot int")
+    return gaussian.predict(new, known, none, [(2.0, 1.5)]).select("ix", six("mean").alias("mean"), six("var").alias("var"))
 
 
-# --- Gaussian process steps (no SQL; tests hold them against dense matrices) ----------------------------------------------------------
+# --- Gaussian process steps (tests hold those without SQL against dense matrices) -----------------------------------------------------
 
+#: Sites of a block on average, from which the grid of the Gaussian queries follows.
+BLOCK_SITES = 64
 
-def _fitted(spark, sf_dir):
-    blocked = tess.tessellate(sites.sites_2d(spark, sf_dir), ["var1", "var2"], GRID_2D)
-    blocked = cut(blocked.withColumn("w", F.col("y_full")))
-    _, edges, colors = gaussian.mesh_of(blocked)
-    return blocked, edges, colors
 
-
-@query()
+def _fitted(spark, sf_dir, masked: bool = False):
+    """Blocked sites with w (the third component), y and z; masked: blocks of a corner without observations."""
+    rows = sites.sites_2d(spark, sf_dir)
+    side = max(2, round((rows.count() / BLOCK_SITES) ** 0.5))
+    blocked = tess.tessellate(rows, ["var1", "var2"], (side, side)).withColumn("w", F.col("y_full"))
+    if masked:
+        blocked = blocked.withColumn("y", F.when(~((F.col("l1") > 0.7 * side) & (F.col("l2") > 0.7 * side)), F.col("y")))
+    blocked = cut(blocked)
+    return blocked, *gaussian.mesh_of(blocked)[1:]
+
+
+@query(f"""WITH {SITES_2D}, r AS (SELECT ix, y_full AS w, row_number() OVER (ORDER BY ix) AS b, lag(y_full) OVER (ORDER BY ix) AS pw,
+    sqrt((var1 - lag(var1) OVER (ORDER BY ix)) ** 2 + (var2 - lag(var2) OVER (ORDER BY ix)) ** 2) AS h FROM s),
+c AS (SELECT b, w, CASE WHEN pw IS NULL THEN 0 ELSE exp(-2.0 * h) END AS k, coalesce(pw, 0) AS pw FROM r)
+SELECT b::INTEGER AS block, round(-0.5 * ln(1.5 * (1 - k * k)), 6) + 0.0 AS logdet, round((w - k * pw) ** 2 / (1.5 * (1 - k * k)), 5) + 0.0 AS quad FROM c""")
 def block_loglik(spark, sf_dir):
-    blocked, edges, _ = _fitted(spark, sf_dir)
-    return gaussian.block_logliks(blocked, edges, [(1.0, 2.0)])
+    """A chain of blocks of one site, each the parent of the next: the density of a block in closed form."""
+    rows = sites.row_ids(sites.sites_2d(spark, sf_dir), ["ix"], "block").withColumn("block", F.col("block").cast("int")).withColumn("w", F.col("y_full"))
+    rows = cut(rows)
+    edges = rows.where("block > 1").select(F.col("block").alias("child"), (F.col("block") - 1).alias("parent"), F.lit(0).alias("slot"))
+    found = gaussian.block_logliks(rows, edges, [(1.5, 2.0)])
+    return found.select("block", six("logdet").alias("logdet"), (F.round("quad", 5) + F.lit(0.0)).alias("quad"))
 
 
 @query()
@@ -514,33 +570,61 @@ def theta_grid_loglik(spark, sf_dir):
     return names.join(gaussian.loglik(gaussian.block_logliks(blocked, edges, grid)), "theta")
 
 
+@query()
+def coefficients_loglik(spark, sf_dir):
+    """Two coefficient processes, on the sites' third and fourth components."""
+    blocked, edges, _ = _fitted(spark, sf_dir)
+    return gaussian.loglik(gaussian.block_logliks(blocked.withColumn("w", F.array("y_full", "x2")), edges, [(0.05, 2.0, 0.5), (0.05, 8.0, 0.5)], Family(q=2)))
+
+
+@query()
+def outcomes_loglik(spark, sf_dir):
+    """Three outcomes, a row each."""
+    blocked, edges, _ = _fitted(spark, sf_dir)
+    theta = (0.2, 0.2, 0.2, 0.1, 0.1, 0.1, 2.0, 2.0, 2.0, 0.5, 0.5, 2.0, 0.3, 0.6, 0.9)
+    return gaussian.loglik(gaussian.block_logliks(blocked.withColumn("comp", F.col("mv_id") - 1), edges, [theta], Family(q=3, several=True)))
+
+
 @query()
 def precision_entries(spark, sf_dir):
     blocked, edges, _ = _fitted(spark, sf_dir)
-    return gaussian.precision_entries(blocked, edges, 1.0, 4.0)
+    return gaussian.precision_entries(blocked, edges, (1.0, 4.0))
 
 
 @query()
 def gibbs_sweep(spark, sf_dir):
     """The process's conditional means at all sites, colour by colour, each given those of the earlier ones."""
     blocked, edges, colors = _fitted(spark, sf_dir)
-    return gaussian.sweep(blocked.withColumn("e", F.col("y")), edges, colors, 1.0, 4.0, 0.1, (1, 0), noise=False).select("ix", "w")
+    return gaussian.gibbs_means(blocked, edges, colors, (1.0, 4.0), 0.1).select("ix", F.get("w", F.lit(0)).alias("w"))
 
 
 @query()
 def chain_draws(spark, sf_dir):
-    """Parameter draws of two iterations: a test of the steps, too short a chain to infer anything from."""
-    blocked, edges, colors = _fitted(spark, sf_dir)
-    return gaussian.fit(blocked, edges, colors, x=["x2"], iterations=2)[0]
+    """Parameter draws of two iterations of jobs: a test of the steps, too short a chain to infer anything from."""
+    blocked, edges, colors = _fitted(spark, sf_dir, masked=True)
+    return gaussian.fit(blocked, edges, colors, Settings(keep=2), x=["x2"])[0]
+
+
+@query()
+def chains_on_tasks(spark, sf_dir):
+    """Means of the parameters over the kept draws of two chains of 300 iterations on a simulated grid of 25 x 25 sites, a task each."""
+    rows = sites.grid(spark, (25, 25)).withColumn("ix", F.col("ix").cast("long"))
+    rows = gaussian.simulated(rows, (1.0, 4.0), 0.1, seed=3)
+    blocked = cut(tess.tessellate(rows, ["var1", "var2"], (5, 5)))
+    _, edges, colors = gaussian.mesh_of(blocked)
+    parameters, _ = gaussian.fit_chains(blocked, edges, colors, Settings(keep=100, burn=200), chains=2)
+    return parameters.groupBy("chain", "name").agg(F.avg("value").alias("mean"), F.count("*").alias("draws"))
 
 
 @query()
 def predict_block(spark, sf_dir):
+    """Kriging of every row without y from its nearest site's block, for two draws."""
     blocked, edges, _ = _fitted(spark, sf_dir)
-    known = blocked.where("ix % 5 <> 0").withColumn("w_draws", F.array("w", F.col("w") * 0.5))
-    near = neighbors.nearest_site(blocked.where("ix % 5 = 0"), known, keep=["block"])
-    new = blocked.where("ix % 5 = 0").select("ix", "var1", "var2").join(near.select("ix", "block"), "ix")
-    return gaussian.predict(new, known, edges, [(1.0, 4.0), (1.0, 2.0)])
+    known = blocked.where("y is not null").withColumn("w_draws", F.array("w", F.col("w") * 0.5))
+    unseen = blocked.where("y is null")
+    near = neighbors.nearest_site(unseen, known, keep=["block"])
+    new = unseen.select("ix", "var1", "var2").join(near.select("ix", "block"), "ix")
+    return gaussian.predict(new, known, edges, [(1.0, 4.0), (1.0, 2.0)], tausq=[0.1, 0.1])
 
 
 @query()

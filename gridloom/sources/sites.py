@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import cut
+
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -63,6 +65,69 @@ def cloud_mask(df: DataFrame, centres: DataFrame, r2: float, x: str = "var1", y:
     return joined.withColumn("masked", F.coalesce(inside, F.lit(False))).select(*df.columns, "masked")
 
 
+def row_ids(df: DataFrame, order: Sequence[str], name: str = "ix") -> DataFrame:
+    """df with the place of each row in a total order, from 1, nulls last: range partitions are numbered by their own windows and the counts before them."""
+    spark = df.sparkSession
+    by = [F.col(c).asc_nulls_last() for c in order]
+    dealt = cut(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("_pid", F.spark_partition_id()))
+    counts = dealt.groupBy("_pid").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = dealt.join(F.broadcast(before), "_pid")  # a row for each partition
+    own = F.row_number().over(Window.partitionBy("_pid").orderBy(*by))
+    return placed.withColumn(name, F.col("_before") + own).drop("_pid", "_n", "_before")
+
+
+def coordinate_join(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
+    """left with the columns of right where all common columns (or on) agree, null with null; repeated matches multiply rows."""
+    on = list(on or [c for c in left.columns if c in right.columns])
+    other = right.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"_{c}"]) for c in on])
+    return left.join(other, same, "left").drop(*[f"_{c}" for c in on])
+
+
+def rescale(df: DataFrame, axes: Sequence[str], by: str) -> DataFrame:
+    """df with each axis divided by the greatest value of one of them: the same value for all, whatever their order."""
+    top = F.broadcast(df.agg(F.max(by).cast("double").alias("_top")))
+    return df.crossJoin(top).withColumns({c: F.col(c) / F.col("_top") for c in axes}).select(*df.columns)
+
+
+def decimate(df: DataFrame, axes: Sequence[str], every: int) -> DataFrame:
+    """The rows whose places (from 1) are the first of each so many, on all axes."""
+    return df.where(reduce(lambda a, b: a & b, [F.pmod(F.col(c) - 1, F.lit(every)) == 0 for c in axes]))
+
+
+def reverse(df: DataFrame, axis: str) -> DataFrame:
+    """df with the places of an axis (from 1 to its greatest) counted from the other end."""
+    top = F.broadcast(df.agg(F.max(axis).alias("_top")))
+    return df.crossJoin(top).withColumn(axis, F.col("_top") + 1 - F.col(axis)).select(*df.columns)
+
+
+def melt(df: DataFrame, keep: Sequence[str], rows: str) -> DataFrame:
+    """keep, i, j, value (from 1) of an array of rows of numbers."""
+    first = df.select(*keep, F.posexplode(rows).alias("i", "row"))
+    return first.select(*keep, (F.col("i") + 1).alias("i"), F.posexplode("row").alias("j", "value")).select(*keep, "i", (F.col("j") + 1).alias("j"), "value")
+
+
+def stack(slices: dict, axis: str) -> DataFrame:
+    """Tables of equal columns, by slice, as one with the slice in a column."""
+    return reduce(lambda a, b: a.unionByName(b), [df.withColumn(axis, F.lit(k)) for k, df in slices.items()])
+
+
+def unstack(df: DataFrame, axis: str, values: Sequence) -> dict:
+    """The slices of a stack."""
+    return {k: df.where(F.col(axis) == F.lit(k)).drop(axis) for k in values}
+
+
+def block_diagonal(df: DataFrame, row: str, z: str) -> DataFrame:
+    """row, col, v: each row's array z in columns of its own, row * q + k (from 0)."""
+    return df.select(F.col(row).alias("row"), (F.col(row) * F.size(z)).alias("_at"), F.posexplode(z).alias("k", "v")).select("row", (F.col("_at") + F.col("k")).alias("col"), "v")
+
+
+def held_out(df: DataFrame, y: str = "y") -> DataFrame:
+    """The rows without a finite y."""
+    return df.where(F.coalesce(F.isnan(y) | (F.abs(y) == float("inf")), F.lit(True)))
+
+
 def simulate(sites: DataFrame, w: str, beta: Sequence[float], tausq: float, seed: int = 1) -> DataFrame:
     """sites with y_full = x beta + w + noise; x is an array column."""
     fixed = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(b)) for b in beta]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)

@@ -7,17 +7,20 @@ import numpy as np
 import pytest
 from gridloom.functions import covariance as cov
 from gridloom.functions import scalars as sc
-from gridloom.operators import gaussian, mesh, neighbors, summaries
+from gridloom.operators import gaussian, mesh, neighbors, sampler, summaries
 from gridloom.operators import tessellation as tess
+from gridloom.operators.kernels import Block, Family, covariance
+from gridloom.operators.sampler import Settings, State
+from gridloom.plans import extra  # noqa: F401
 from gridloom.plans import queries as Q
 from gridloom.sources import sites
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["tess_thresholds_2d", "tess_blocks_2d", "tess_blocks_3d", "tess_ties", "missing_blocks", "mesh_edges_3d", "mesh_blanket", "cov_mv_cross", "cov_st_multi", "draws_quantile", "score_rmse_mae_cov", "xtx_xty", "hex_to_dec", "symmat", "nn_block"]
+SQL = list(Q.ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", SQL)
 def test_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
@@ -83,52 +86,226 @@ def blocked_sites(spark, parts):
     return tess.tessellate(df, ["var1", "var2"], parts), rows
 
 
-def test_one_block_is_the_dense_density(spark):
-    blocked, rows = blocked_sites(spark, (1, 1))
-    _, edges, _ = gaussian.mesh_of(blocked)
-    x, w = np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows])
-    k = gaussian.exponential_matrix(x, x, 1.5, 2.0)
+def whole(df, family):
+    rows = df.orderBy("ix").collect()
+    return Block(family, np.array([r["ix"] for r in rows]), np.array([r["at"] for r in rows]), np.array([r["component"] for r in rows])), rows
+
+
+FAMILIES = [
+    (Family(), (1.5, 2.0)),
+    (Family(twonu=3), (1.5, 2.0)),
+    (Family(twonu=5), (1.5, 4.0)),
+    (Family(q=2), (1.5, 2.0, 0.7)),
+    (Family(q=3), (1.5, 0.8, 0.5, 2.0, 0.3, 0.6, 0.9)),
+    (Family(dims=3), (1.5, 0.8, 0.5, 2.0)),
+    (Family(dims=3, q=2), (1.5, 0.8, 0.5, 2.0, 0.4)),
+    (Family(dims=3, q=3), (1.5, 0.4, 0.6, 0.8, 0.5, 2.0, 0.3, 0.6, 0.9)),
+    (Family(q=2, several=True), (0.9, 0.8, 0.5, 0.6, 2.0, 3.0, 1.5, 0.7)),
+    (Family(q=3, several=True), (0.9, 0.8, 0.7, 0.5, 0.6, 0.4, 2.0, 3.0, 4.0, 0.8, 0.5, 1.5, 0.3, 0.6, 0.9)),
+]
+
+
+@pytest.mark.parametrize("family, theta", FAMILIES)
+def test_families_are_the_column_expressions(spark, family, theta):
+    """The kernels' matrices against the covariances as columns, pair by pair."""
+    rng = np.random.default_rng(1)
+    at, comp = rng.uniform(size=(5, family.dims)), rng.integers(0, family.q, 5)
+    block = Block(family, np.arange(5), at, comp)
+    k = covariance(family, block, block, theta)
+    params, latent = family.unpack(theta)
+    n = len(block)
+    rows = [(i, j, float(np.linalg.norm(block.at[i, :2] - block.at[j, :2])), float(abs(block.at[i, -1] - block.at[j, -1])), float(latent[block.component[i], block.component[j]]), int(block.component[i]), int(block.component[j])) for i in range(n) for j in range(n)]
+    p = spark.createDataFrame(rows, "i int, j int, h double, u double, v double, ci int, cj int")
+    if family.several:
+        q = family.q
+        of = lambda a, c: F.get(F.array(*[F.lit(float(x)) for x in params[a * q : a * q + q]]), F.col(c))
+        c = cov.cross_outcome(p["h"], p["v"], of(0, "ci"), of(0, "cj"), of(1, "ci"), of(2, "ci"), q, params[3 * q :])
+    else:
+        c = cov.covariance(family.dims, family.q, p["h"], p["u"], p["v"], params, family.twonu)
+    got = np.zeros((n, n))
+    for r in p.select("i", "j", c.alias("c")).collect():
+        got[r["i"], r["j"]] = r["c"]
+    assert np.allclose(got, k, atol=1e-12)
+    assert np.linalg.eigvalsh(k).min() > -1e-9
+    assert len(family.names()) == len(theta)
+
+
+def sites_of(spark, family, parts, n=36, empty=(), seed=0):
+    """Blocked sites of a family with w, z and y, those in blocks empty without y."""
+    rng = np.random.default_rng(seed)
+    q = family.per_site
+    rows = []
+    for i in range(n):
+        at = [float(v) for v in rng.uniform(size=3)]
+        rows.append((i, *at, [float(v) for v in rng.normal(size=q)], [float(v) for v in rng.normal(size=q)], float(rng.normal()), int(rng.integers(0, family.q)), float(rng.normal())))
+    df = spark.createDataFrame(rows, "ix long, var1 double, var2 double, var3 double, w array<double>, z array<double>, y double, comp int, x1 double")
+    axes = [f"var{k}" for k in range(1, family.dims + 1)]
+    blocked = tess.tessellate(df, axes, parts)
+    return blocked.withColumn("y", F.when(~F.col("block").isin(list(empty)) & (F.col("ix") % 5 != 0), F.col("y"))).cache()
+
+
+@pytest.mark.parametrize("family, theta", [FAMILIES[1], FAMILIES[3], FAMILIES[6], FAMILIES[8]])
+def test_one_block_is_the_dense_density(spark, family, theta):
+    df = sites_of(spark, family, (1,) * family.dims)
+    _, edges, _ = gaussian.mesh_of(df, family.dims)
+    block, rows = whole(gaussian.standard(df, family), family)
+    w, k = np.concatenate([r["w"] for r in rows]), covariance(family, block, block, theta)
     want = -0.5 * (np.linalg.slogdet(k)[1] + w @ np.linalg.solve(k, w) + len(w) * np.log(2 * np.pi))
-    assert np.isclose(gaussian.loglik(gaussian.block_logliks(blocked, edges, [(1.5, 2.0)])).head()["loglik"], want)
-
-
-def test_block_draw_is_the_dense_conditional(spark):
-    """The mean of a block given all others follows from the mesh's own precision matrix."""
-    blocked, rows = blocked_sites(spark, (2, 2))
-    _, edges, colors = gaussian.mesh_of(blocked)
-    q = np.zeros((40, 40))
-    for i, j, v in gaussian.precision_entries(blocked, edges, 1.5, 2.0).collect():
-        q[i, j] = v
-    place = {r["ix"]: (r["block"], r["y"]) for r in blocked.collect()}
-    got = {r["ix"]: r["w"] for r in gaussian.draw_blocks(blocked.withColumn("e", F.col("y")), edges, colors, 1.5, 2.0, 0.1, (1,), noise=False).collect()}
-    w = np.array([r[3] for r in rows])
-    for b in {p[0] for p in place.values()}:
-        mine = np.array([place[i][0] == b for i in range(40)])
-        e = np.array([place[i][1] if place[i][1] is not None else np.nan for i in range(40)])
-        seen = np.isfinite(e)
-        a = q[np.ix_(mine, mine)] + np.diag(seen[mine] / 0.1)
-        rhs = np.where(seen, e, 0)[mine] / 0.1 - q[np.ix_(mine, ~mine)] @ w[~mine]
-        assert np.allclose([got[i] for i in np.flatnonzero(mine)], np.linalg.solve(a, rhs))
-
-
-def test_gibbs_sweep_is_dense_over_all_colours(spark):
-    blocked, edges, colors = Q._fitted(spark, SF)
-    rows = blocked.select("ix", "block", "w", "y").orderBy("ix").collect()
-    place = {r["ix"]: k for k, r in enumerate(rows)}
-    q = np.zeros((len(rows), len(rows)))
-    for i, j, v in gaussian.precision_entries(blocked, edges, 1.0, 4.0).collect():
-        q[place[i], place[j]] = v
-    w, y = (np.array([r[c] if r[c] is not None else np.nan for r in rows], float) for c in ("w", "y"))
-    block, color = np.array([r["block"] for r in rows]), {r["block"]: r["color"] for r in colors.collect()}
-    assert len(set(color.values())) > 1
-    for b in sorted(set(block), key=lambda b: color[b]):
+    assert np.isclose(gaussian.loglik(gaussian.block_logliks(df, edges, [theta], family)).head()["loglik"], want)
+
+
+def dense_precision(spark, df, edges, theta, family):
+    """Over all points, by the rows' order."""
+    q, n = family.per_site, df.count()
+    out = np.zeros((n * q, n * q))
+    for r in gaussian.precision_entries(df, edges, theta, family).collect():
+        a, b = (r["r"], r["s"]) if family.q > 1 and not family.several else (0, 0)
+        out[r["i"] * q + a, r["j"] * q + b] += r["v"]
+    return out
+
+
+@pytest.mark.parametrize("family, theta", [FAMILIES[0], FAMILIES[3], FAMILIES[5], FAMILIES[8]])
+def test_block_draws_are_the_dense_conditional(spark, family, theta):
+    """Means of each block given all others, on Spark and in memory, follow from the mesh's own precision matrix."""
+    df = sites_of(spark, family, (2, 2) if family.dims == 2 else (2, 2, 1))
+    _, edges, colors = gaussian.mesh_of(df, family.dims)
+    p = dense_precision(spark, df, edges, theta, family)
+    rows = gaussian.standard(df, family).orderBy("ix").collect()
+    q, n = family.per_site, len(rows)
+    design = np.zeros((n, n * q))
+    for i, r in enumerate(rows):
+        design[i, i * q : i * q + q] = r["z"]
+    taus = [0.1, 0.3][: family.q if family.several else 1]
+    weight = np.array([0.0 if r["y"] is None else 1 / taus[r["component"]] for r in rows])
+    y, w = np.array([r["y"] or 0.0 for r in rows]), np.concatenate([r["w"] for r in rows])
+    block, color = np.repeat([r["block"] for r in rows], q), {r["block"]: r["color"] for r in colors.collect()}
+    a = p + design.T @ (weight[:, None] * design)
+    for b in sorted(set(block), key=lambda b: (color[b], b)):
         mine = block == b
-        seen = np.isfinite(y[mine])
-        rhs = np.where(seen, y[mine], 0) / 0.1 - q[np.ix_(mine, ~mine)] @ w[~mine]
-        w[mine] = np.linalg.solve(q[np.ix_(mine, mine)] + np.diag(seen / 0.1), rhs)
-    got = {r["ix"]: r["w"] for r in Q.gibbs_sweep(spark, SF).collect()}
-    assert set(got) == set(place)
-    assert np.allclose([got[r["ix"]] for r in rows], w, atol=1e-6)
+        w[mine] = np.linalg.solve(a[np.ix_(mine, mine)], (design.T @ (weight * y))[mine] - a[np.ix_(mine, ~mine)] @ w[~mine])
+    got = {r["ix"]: r["w"] for r in gaussian.sweep(gaussian.standard(df, family).withColumn("e", F.col("y")), edges, colors, theta, taus, (1, 0), noise=False, family=family).collect()}
+    assert np.allclose(np.concatenate([got[i] for i in range(n)]), w)
+    memory = engine_of(df, edges, colors, family)
+    memory.sweep(State(list(theta), taus), (1, 0), noise=False)
+    order = {ix: k for k, ix in enumerate(memory.ix)}
+    assert np.allclose(np.concatenate([memory.w[order[i] * q : order[i] * q + q] for i in range(n)]), w)
+
+
+def engine_of(df, edges, colors, family, x=()):
+    return sampler.MemoryEngine(gaussian.standard(df, family, x).toPandas(), edges.toPandas(), colors.toPandas(), family)
+
+
+@pytest.mark.parametrize("family, theta", [FAMILIES[0], FAMILIES[3]])
+def test_collapsed_is_the_dense_density(spark, family, theta):
+    df = sites_of(spark, family, (1, 1))
+    _, edges, colors = gaussian.mesh_of(df)
+    block, rows = whole(gaussian.standard(df, family), family)
+    design = np.zeros((len(rows), len(block)))
+    for i, r in enumerate(rows):
+        design[i, i * family.q : (i + 1) * family.q] = r["z"]
+    seen = np.array([r["y"] is not None for r in rows])
+    y = np.array([r["y"] or 0.0 for r in rows])[seen]
+    v = (design @ covariance(family, block, block, theta) @ design.T)[np.ix_(seen, seen)] + 0.2 * np.eye(seen.sum())
+    want = -0.5 * (np.linalg.slogdet(v)[1] + y @ np.linalg.solve(v, y) + len(y) * np.log(2 * np.pi))
+    assert np.isclose(engine_of(df, edges, colors, family).collapsed(theta, 0.2), want)
+
+
+def test_congruent_blocks_share_factors(spark):
+    """On a regular grid most blocks use another's factors, and draws are the same as without sharing."""
+    grid = sites.grid(spark, (12, 12)).withColumn("y", F.sin(F.col("ix").cast("double")))
+    df = tess.tessellate(grid, ["var1", "var2"], (4, 4))
+    _, edges, colors = gaussian.mesh_of(df)
+    one, two = engine_of(df, edges, colors, Family()), engine_of(df, edges, colors, Family())
+    assert one.hits() > 70
+    two.key, two.wide = {b: b for b in two.key}, {b: b for b in two.wide}
+    for engine in (one, two):
+        engine.sweep(State([1.3, 4.0], [0.1]), (1, 2))
+    assert np.allclose(one.w, two.w, atol=1e-8)
+    assert np.allclose(one.logliks(None, [(1.3, 4.0)]), two.logliks(None, [(1.3, 4.0)]))
+
+
+def test_blocks_without_observations_are_predicted(spark):
+    family, theta = Family(), (1.2, 3.0)
+    df = sites_of(spark, family, (2, 2), empty=(4,))
+    blocks, edges, colors = gaussian.mesh_of(df)
+    assert blocks.where("n_obs = 0").count() == 1
+    alone = blocks.where("n_obs = 0").select("block")
+    rows = gaussian.standard(df, family)
+    got = {r["ix"]: r["w"][0] for r in gaussian.draw_alone(rows, edges, alone, theta, (1, 0), noise=False, family=family).collect()}
+    up = [r["parent"] for r in edges.where("child = 4").collect()]
+    own, near = rows.where("block = 4"), rows.where(F.col("block").isin(up))
+    (a, mine), (b, known) = whole(own, family), whole(near, family)
+    want = covariance(family, a, b, theta) @ np.linalg.solve(covariance(family, b, b, theta), [r["w"][0] for r in known])
+    assert np.allclose([got[r["ix"]] for r in mine], want)
+    memory = engine_of(df, edges, colors, family)
+    memory.predict(State(list(theta), [0.1]), (1, 0), noise=False)
+    order = {ix: k for k, ix in enumerate(memory.ix)}
+    assert np.allclose([memory.w[order[r["ix"]]] for r in mine], want)
+
+
+@pytest.mark.parametrize("family", [Family(), Family(q=2, several=True)])
+def test_chains_on_spark_and_in_tasks_are_equal(spark, family):
+    """The same seed gives the same draws, blocks without observations, coefficients and adaptation included; a stored fit goes on alike."""
+    df = sites_of(spark, family, (2, 2), empty=(4,)).drop("z")
+    _, edges, colors = gaussian.mesh_of(df)
+    bounds = ((1e-3, 1e3), (0.1, 30.0)) if not family.several else ((0.1, 3.0),) * 4 + ((0.1, 30.0),) * 3 + ((0.01, 2.0),)
+    settings = Settings(family=family, bounds=bounds, keep=2, burn=1, thin=2 if family.several else 1, seed=5)
+    parameters, draws, last, state = gaussian.fit(df, edges, colors, settings, x=["x1"])
+    one, process = gaussian.fit_chains(df, edges, colors, settings, x=["x1"], chains=1)
+    a, b = ({(r["draw"], r["name"]): r["value"] for r in t.collect()} for t in (parameters, one))
+    assert set(a) == set(b) and all(np.isclose(a[k], b[k]) for k in a)
+    a, b = ({(r["draw"], r["ix"]): r["w"] for r in t.collect()} for t in (draws, process))
+    assert set(a) == set(b) and all(np.allclose(a[k], b[k]) for k in a)
+    if not family.several:
+        path = gaussian.scratch(spark, "bundle")
+        some, few, table, at = gaussian.fit(df, edges, colors, settings, x=["x1"], stop=2)
+        gaussian.save_fit(path, spark, table, some, few, settings, at)
+        table, some, few, again, at = gaussian.load_fit(spark, path)
+        assert again == settings and at.iteration == 2
+        rest = gaussian.fit(table, edges, colors, again, x=["x1"], state=at)[0]
+        joined = {(r["draw"], r["name"]): r["value"] for r in some.union(rest).collect()}
+        want = {(r["draw"], r["name"]): r["value"] for r in parameters.collect()}
+        assert set(joined) == set(want) and all(np.isclose(joined[k], want[k]) for k in want)
+
+
+def test_chain_recovers_what_was_simulated(spark):
+    """Means of a longer chain near the dense posterior's: the process at its sites, for known parameters."""
+    family, theta = Family(), (1.0, 5.0)
+    df = gaussian.simulated(sites.grid(spark, (14, 14)), theta, 0.05, seed=2)
+    df = tess.tessellate(df, ["var1", "var2"], (2, 2)).cache()
+    _, edges, colors = gaussian.mesh_of(df)
+    engine = engine_of(df, edges, colors, family)
+    total = np.zeros(engine.sites)
+    for it in range(400):
+        engine.sweep(State(list(theta), [0.05]), (9, it))
+        total += engine.w
+    p = dense_precision(spark, df.withColumn("ix", F.col("ix") - 1), edges, theta, family)
+    rows = {r["ix"]: r["y"] for r in df.collect()}
+    y = np.array([rows[i + 1] for i in range(196)])
+    want = np.linalg.solve(p + np.eye(196) / 0.05, y / 0.05)
+    assert np.abs(total / 400 - want[engine.ix - 1]).max() < 0.08
+    values = [(s.theta[0], s.theta[1], s.tausq[0]) for _, s in sampler.iterate(engine_of(df, edges, colors, family), Settings(keep=300, burn=300))]
+    means = np.mean(values, axis=0)
+    assert 0.4 < means[0] < 3 and 1.5 < means[1] < 15 and 0.02 < means[2] < 0.3
+    dense = [s.theta for _, s in sampler.iterate_collapsed(engine, Settings(keep=5, burn=5))]
+    assert np.isfinite(dense).all()
+
+
+@pytest.mark.parametrize("kind", [sampler.Ram, sampler.Haario])
+def test_proposals_adapt_to_the_target(kind):
+    """Random walks on a narrow, correlated normal density: the share of accepted steps nears the target."""
+    rng = np.random.default_rng(0)
+    p = np.linalg.inv(np.array([[1.0, 0.9], [0.9, 1.0]]) * 1e-3)
+    walk, x, recent = kind(np.eye(2)), np.zeros(2), []
+    for _ in range(6000):
+        z = rng.normal(size=2)
+        new = x + walk.step(z)
+        chance = float(np.exp(min(0.0, (x @ p @ x - new @ p @ new) / 2)))
+        taken = rng.uniform() < chance
+        x = new if taken else x
+        walk.learn(z, chance, taken, x)
+        recent.append(taken)
+    assert 0.1 < np.mean(recent[-2000:]) < 0.6
 
 
 def test_failed_factorization_is_data(spark):
@@ -137,17 +314,49 @@ def test_failed_factorization_is_data(spark):
     assert gaussian.loglik(parts).head()["loglik"] is None
 
 
-def test_fit_and_predict(spark):
-    blocked, _ = blocked_sites(spark, (2, 2))
-    _, edges, colors = gaussian.mesh_of(blocked)
-    parameters, draws, _ = gaussian.fit(blocked.drop("w"), edges, colors, iterations=2)
-    assert parameters.count() == 6 and draws.count() == 80
-    again = gaussian.fit(blocked.drop("w"), edges, colors, iterations=2)[0]
-    assert np.allclose([r["value"] for r in parameters.orderBy("draw", "name").collect()], [r["value"] for r in again.orderBy("draw", "name").collect()])
-    known = blocked.withColumn("w_draws", F.array("w"))
-    new = blocked.select((F.col("ix") + 100).alias("ix"), "var1", "var2", "block")
-    for r in gaussian.predict(new, known, edges, [(1.0, 2.0)]).collect():
-        assert r["var"] < 1e-6
+@pytest.mark.parametrize("family, theta", [FAMILIES[0], FAMILIES[3], FAMILIES[8]])
+def test_prediction_is_dense_kriging(spark, family, theta):
+    df = sites_of(spark, family, (2, 2))
+    _, edges, _ = gaussian.mesh_of(df)
+    known = df.where("ix % 6 <> 0").withColumn("w_draws", F.array("w", F.transform("w", lambda x: x * 2)))
+    new = df.where("ix % 6 = 0")
+    got = {(r["ix"], r["draw"]): r for r in gaussian.predict(new, known, edges, [theta, theta], family, tausq=[0.1, 0.2]).collect()}
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r["child"], []).append(r["parent"])
+    for row in gaussian.standard(new, family).collect():
+        one, _ = whole(gaussian.standard(new, family).where(F.col("ix") == row["ix"]), family)
+        others, rows = whole(gaussian.standard(known, family).where(F.col("block").isin([row["block"], *near.get(row["block"], [])])), family)
+        w, cross = np.concatenate([r["w"] for r in rows]), covariance(family, one, others, theta)
+        h, z = cross @ np.linalg.inv(covariance(family, others, others, theta)), np.array(row["z"])
+        for draw in (0, 1):
+            r = got[row["ix"], draw]
+            assert np.isclose(r["mean"], z @ h @ w * (draw + 1)) and np.isclose(r["var"], z @ (covariance(family, one, one, theta) - h @ cross.T) @ z) and r["y"] != r["mean"]
+
+
+def test_rows_at_one_place_far_away_or_nowhere(spark):
+    """Dense places, rows far from all others, and rows whose coordinates are null or not finite."""
+    ref = spark.createDataFrame([(i, 0.0, 0.0) for i in range(200)] + [(200 + i, 1e-6 * i, 1e-6) for i in range(50)] + [(900, None, 1.0), (901, float("nan"), 1.0), (902, 1.0, 1.0)], "ix long, var1 double, var2 double")
+    new = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, float("nan"), 0.0), (4, 1e6, 1e6), (5, float("inf"), 0.0), (6, 0.4, 0.4), (7, 1e300, 0.0)], "ix long, var1 double, var2 double")
+    assert {r["ix"]: r["near"] for r in neighbors.nearest_site(new, ref).collect()} == {1: 0, 2: None, 3: None, 4: 902, 5: None, 6: 249, 7: 902}
+    assert [r["near"] for r in neighbors.nearest_site(new, ref.where("var1 is null")).collect()] == [None] * 7
+
+
+def test_congruence_is_a_tolerance(spark):
+    """Blocks that differ by less than the tolerance share a representative, on whatever side of a rounding step they lie."""
+    rows = []
+    for block, off in ((1, 0.0), (2, 0.00004), (3, 0.00006), (4, 0.01)):
+        rows += [(block * 10 + k, block + 0.3 * k + off * k, 2.0 * block + 0.1 * k, block) for k in range(3)]
+    df = spark.createDataFrame(rows, "ix long, var1 double, var2 double, block int")
+    got = {r["block"]: r["representative"] for r in mesh.congruence_keys(df, ["var1", "var2"]).collect()}
+    assert got[1] == got[2] == 1 and got[4] == 4
+
+
+def test_draws_are_stored(spark):
+    draws = spark.createDataFrame([(0, 1, 0.5), (1, 1, 0.7)], "draw int, ix long, value double")
+    path = gaussian.scratch(spark, "draws")
+    sites.write_draws(draws, path)
+    assert sorted(map(tuple, sites.read_sites(spark, path).collect())) == [(0, 1, 0.5), (1, 1, 0.7)]
 
 
 def test_nearest_site_far_and_tied(spark):
