@@ -125,23 +125,19 @@ def blanket_terms(own: tuple, children: Sequence[tuple[tuple, np.ndarray]]) -> t
 
 
 def observe(precision: np.ndarray, shift: np.ndarray, z: np.ndarray, e: np.ndarray, tausq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """precision and shift with the sites' observations: e (nan: none) of z times the site's points, with noise tausq."""
-    sites, q = z.shape
+    """precision and shift with the sites' observations: e (nan: none) of z times the site's points, with noise tausq. Blocks of one size may be stacked."""
+    sites, q = z.shape[-2:]
     weight = np.where(np.isfinite(e), 1 / tausq, 0.0)
-    precision = precision.copy()
-    if q == 1:
-        z = z[:, 0]
-        precision[np.diag_indices(sites)] += z * z * weight
-        return precision, shift + z * np.where(np.isfinite(e), e, 0.0) * weight
     place = np.arange(sites * q).reshape(sites, q)
-    precision[place[:, :, None], place[:, None, :]] += z[:, :, None] * z[:, None, :] * weight[:, None, None]
-    return precision, shift + (z * (np.where(np.isfinite(e), e, 0.0) * weight)[:, None]).ravel()
+    precision = precision.copy()
+    precision[..., place[:, :, None], place[:, None, :]] += z[..., :, None] * z[..., None, :] * weight[..., None, None]
+    return precision, shift + (z * (np.where(np.isfinite(e), e, 0.0) * weight)[..., None]).reshape(shift.shape)
 
 
 def draw(precision: np.ndarray, shift: np.ndarray, noise: np.ndarray) -> np.ndarray:
     """From N(precision^-1 shift, precision^-1), by standard normal noise (zeros: the mean)."""
     half = np.linalg.inv(np.linalg.cholesky(precision))
-    return half.T @ (half @ shift + noise)
+    return (half.swapaxes(-1, -2) @ (half @ shift[..., None] + noise[..., None]))[..., 0]
 
 
 def normals(seed: Sequence[int], block: int, n: int) -> np.ndarray:

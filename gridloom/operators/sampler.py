@@ -207,6 +207,16 @@ class MemoryEngine:
             around = [b, *self.parents[b], *(x for c in self.children[b] for x in (c, *self.parents[c]))]
             marks = tuple(x == b for x in around)
             self.wide[b] = wide.setdefault((self._shape(b, around), marks), b)
+        at_points = lambda blocks: np.concatenate([np.arange(self.span[x].start, self.span[x].stop) for x in blocks]) if blocks else np.zeros(0, int)
+        self.own = {b: at_points([b]) for b in place}
+        self.near = {b: at_points([*self.parents[b], *(x for c in self.children[b] for x in (c, *self.parents[c]))]) for b in self.observed}
+        # blocks of one colour and size are drawn together, blocks of one shape are summed together
+        sizes, alike = {}, {}
+        for b in self.observed:
+            sizes.setdefault((color[b], len(place[b])), []).append(b)
+            alike.setdefault(self.key[b], []).append(b)
+        self.groups = [(g, np.stack([self.own[b] for b in g]), np.stack([place[b] for b in g])) for g in sizes.values()]
+        self.alike = {k: (np.stack([self.own[b] for b in g]), np.stack([at_points(self.parents[b]) for b in g])) for k, g in alike.items()}
         self.factors: dict[tuple, dict] = {}
         self.sums: dict[tuple, float] = {}  # of the present w, by theta
 
@@ -240,7 +250,8 @@ class MemoryEngine:
             for c in self.children[rep]:
                 mine = np.concatenate([np.full(len(self.blocks[x]), x == rep) for x in self.parents[c]])
                 children.append((found["own"][self.key[c]], mine))
-            found["wide"][rep] = blanket_terms(found["own"][self.key[rep]], children)
+            precision, maps = blanket_terms(found["own"][self.key[rep]], children)
+            found["wide"][rep] = precision, np.hstack(maps)
         return found["wide"][rep]
 
     def _w(self, blocks: Sequence[int]) -> np.ndarray:
@@ -254,14 +265,12 @@ class MemoryEngine:
         self.sums.clear()
         scale, found = split_scale(state.theta, self.family)[0], self._at(state.theta)
         e, tausq = self.residual(state), np.array(state.tausq)[self.outcome]
-        for b in self.observed:
-            precision, maps = self._terms(b, found)
-            shift = maps[0] @ self._w(self.parents[b])
-            for m, c in zip(maps[1:], self.children[b], strict=True):
-                shift = shift + m @ self._w([c, *self.parents[c]])
-            r = self.rows[b]
-            precision, shift = observe(precision / scale, shift / scale, self.z[r], e[r], tausq[r])
-            self.w[self.span[b]] = draw(precision, shift, normals(seed, b, len(shift)) if noise else np.zeros(len(shift)))
+        for blocks, own, rows in self.groups:
+            terms = [self._terms(b, found) for b in blocks]
+            precision = np.stack([p for p, _ in terms]) / scale
+            shift = np.stack([m @ self.w[self.near[b]] for b, (_, m) in zip(blocks, terms, strict=True)]) / scale
+            precision, shift = observe(precision, shift, self.z[rows], e[rows], tausq[rows])
+            self.w[own] = draw(precision, shift, np.stack([normals(seed, b, shift.shape[1]) for b in blocks]) if noise else np.zeros(shift.shape))
 
     def predict(self, state: State, seed: Sequence[int], noise: bool = True) -> None:
         """A draw at blocks without observations, given their parents."""
@@ -275,10 +284,10 @@ class MemoryEngine:
         found, unit, total = self._at(theta), split_scale(theta, self.family)[1], 0.0
         if unit in self.sums:
             return self.sums[unit]
-        for b in self.observed:
-            h, half, _ = found["own"][self.key[b]]
-            e = half @ (self.w[self.span[b]] - h @ self._w(self.parents[b]))
-            total += float(e @ e)
+        for key, (own, parents) in self.alike.items():
+            h, half, _ = found["own"][key]
+            e = (self.w[own] - self.w[parents] @ h.T) @ half.T
+            total += float((e * e).sum())
         self.sums[unit] = total
         return total
 
