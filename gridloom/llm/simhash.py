@@ -7,8 +7,9 @@ next one differs in at most 1 bit, with the next two in at most 2. The first two
 one half of the next (one bit can't touch both halves), is the key of a group; within a group the chains' cumulative differences are
 checked before the full Hamming distance.
 
-Equal fingerprints are one node. A group of many fingerprints is dealt in blocks, each pair of blocks to some task, which compares them in
-memory and gives out only a forest of links, so neither tasks nor rows grow with the square of a group.
+Equal fingerprints are one node. A group of many different fingerprints is dealt in blocks, each pair of blocks to some task, which compares
+them in memory and gives out only a forest of links: no task holds more than two blocks of GROUP rows, and links grow with the rows; the rows
+dealt grow with the square of a group over GROUP, that of its comparisons.
 
 Defined results: A-Z are lower-cased and words are runs other than white space; a text of fewer words than a shingle is one shingle; null
 and empty texts have fingerprint zero and are linked like any other; a null id never is a component's id unless all of them are null;
@@ -357,7 +358,7 @@ def similar_links(nodes: DataFrame, most: int) -> DataFrame:
     """a, b: links between the rows of a table with node, bits, keys that join all that share a key and are within most bits.
 
     Every row of a key is compared with the key's least node. Those near it are connected already; the others are compared with all rows
-    of the key, in pairs of blocks, so that a key of many copies costs no more than its rows.
+    of the key, in pairs of blocks: a key of many copies of one text costs no more than its rows, one of many different ones a row for each block.
     """
     keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")

@@ -36,11 +36,34 @@ def canonical(url: Column) -> Column:
     return F.concat(head, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
 
 
+def _by_name(pairs: Column) -> Column:
+    """A map of an array of (name, own, value): of equal names the last in order counts."""
+    last = F.transform(F.array(F.array_sort(pairs)), lambda every: F.filter(every, lambda e, i: ~F.coalesce(F.get(every, i + 1)["name"] == e["name"], F.lit(False))))[0]
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["name"], e["value"])))
+
+
 def lower_keys(headers: Column) -> Column:
     """headers with names in lower case; of names that differ in case only, the last by code points ("etag" after "ETag") counts."""
-    pairs = F.array_sort(F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["key"].alias("own"), e["value"].alias("value"))))
-    last = F.transform(F.array(pairs), lambda every: F.filter(every, lambda e, i: ~F.coalesce(F.get(every, i + 1)["name"] == e["name"], F.lit(False))))[0]
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["name"], e["value"])))
+    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    return _by_name(F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("name"), e["key"].alias("own"), e["value"].alias("value"))))
+
+
+def _fields(block: Column) -> Column:
+    """The fields of a block of header lines, its first line apart, by names in lower case; of repeated names the last line's."""
+    lines = F.filter(F.split(block, "\r?\n"), lambda x, i: (i > 0) & x.contains(":"))
+    pair = lambda x, i: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), i.cast("string").alias("own"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value"))
+    return _by_name(F.transform(lines, lambda x, i: pair(x, F.lpad(i.cast("string"), 9, "0"))))
+
+
+def read_records(raw: DataFrame, record: str = "record") -> DataFrame:
+    """record_id, url, time, type, headers of whole archive records, a row each (text: version, fields, empty line, and of responses and
+    revisits the status line and its header fields). Fields that a record lacks are null; a null or empty record has only nulls."""
+    text = F.coalesce(F.col(record).cast("string"), F.lit(""))
+    parts = F.split(text, "\r?\n\r?\n", 3)
+    own = _fields(F.get(parts, F.lit(0)))
+    http = F.when(F.size(parts) > 1, _fields(F.get(parts, F.lit(1))))
+    fields = raw.select(own.alias("own"), http.alias("http"))
+    return fields.select(F.col("own")["warc-record-id"].alias("record_id"), F.col("own")["warc-target-uri"].alias("url"), F.col("own")["warc-date"].alias("time"), F.col("own")["warc-type"].alias("type"), F.col("http").alias("headers"))
 
 
 def merge_headers(stored: Column, update: Column) -> Column:

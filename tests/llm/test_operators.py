@@ -517,6 +517,25 @@ def test_revisits(spark):
     assert got[4][:2] == (None, "mismatched") and got[5][1] == "missing" and got[6][1] == "missing" and got[7][:2] == (3, "unverified")
 
 
+def test_archive_records_are_read(spark):
+    def record(id, kind, uri, date, *http):
+        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{id}>", *([f"WARC-Target-URI: {uri}"] if uri else []), f"WARC-Date: {date}", "Content-Length: 9"]
+        return "\r\n".join(head) + "\r\n\r\n" + "\r\n".join(http) + ("\r\n\r\nbody: of the page" if kind == "response" else "")
+
+    raw = [
+        record("a", "response", "http://a.org/p", "2020-01-01T00:00:00Z", "HTTP/1.1 200 OK", 'ETag: "x"', "Server: s", "Server: t:1"),
+        record("b", "revisit", "https://www.a.org/p/", "2020-02-01T00:00:00Z", "HTTP/1.1 304 Not Modified", 'etag: W/"x"', "Date: d"),
+        record("c", "revisit", "", "2020-02-01T00:00:00Z", "HTTP/1.1 304 Not Modified"),
+        record("d", "warcinfo", "", "2019-01-01T00:00:00Z"),
+        None,
+        "",
+    ]
+    records = warc.read_records(spark.createDataFrame([(r,) for r in raw], "record string"))
+    assert records.count() == 6
+    got = {r["record_id"]: (r["refers_to"], r["state"], r["headers"]) for r in warc.resolve(records).collect()}
+    assert got == {"<b>": ("<a>", "matched", {"etag": 'W/"x"', "server": "t:1", "date": "d"}), "<c>": (None, "missing", None)}
+
+
 @pytest.mark.parametrize("partitions", ["1", "8"])
 def test_revisits_with_repeated_names_and_rows(spark, partitions):
     rows = [(1, "http://a.org/p", 1, "response", {"ETag": '"x"', "etag": '"y"', "Date": "d1"}), (2, "http://a.org/p", 2, "revisit", {"ETAG": '"x"', "Etag": '"y"', "date": "d2"}), (2, "http://a.org/p", 2, "revisit", {"ETAG": '"x"', "Etag": '"y"', "date": "d2"})]
