@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sites import row_ids
+
 #: How far approximate quantiles are taken from a threshold, as a share of all values: three times their own error.
 SLACK = 3e-4
 
@@ -141,8 +143,8 @@ def complete(df: DataFrame, axes: Sequence[str], intervals: Sequence[int], y: st
 
 def relabel(df: DataFrame, column: str = "block") -> DataFrame:
     """df with the column's distinct values numbered 1, 2, ... in order."""
-    values = df.select(column).distinct().withColumn("_place", F.row_number().over(Window.orderBy(column)))
-    return df.join(F.broadcast(values), column).withColumn(column, F.col("_place")).drop("_place")
+    values = row_ids(df.select(column).distinct(), [column], "_place")
+    return df.join(values, column).withColumn(column, F.col("_place")).drop("_place")
 
 
 def average_block_size(rows: int, intervals: Sequence[int], q: int = 1) -> float:
