@@ -43,8 +43,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select(*[changes.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
+#: Rows of a shard of the mix, about: what a task of the next stage reads at once.
+SHARD_ROWS = 4096
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.texts(docs, shards=min(1024, 1 << max(4, (docs.count() // mixing.BUCKET_ROWS).bit_length())))
+    sources = max(1, docs.select("source").distinct().count())
+    most = 1 << ((mixing.MOST_QUOTAS // sources).bit_length() - 1)
+    return mixing.texts(docs, shards=min(most, 4096, 1 << max(4, (docs.count() // SHARD_ROWS).bit_length())))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
