@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from . import mesh, sampler
-from .kernels import Block, Family, blanket_terms, conditional, covariance, draw, joined, normals, observe
+from .kernels import Block, Family, blanket_terms, conditional, covariance, draw, gaps_of, joined, normals, observe
 from .sampler import Settings, State
 from .tables import cut, release, scratch
 from .tessellation import block_counts, is_observed
@@ -75,7 +75,7 @@ class _Group:
         return [p for p in (listed if listed is not None else ()) if p in self.blocks]
 
     def conditional(self, b: int, theta: Sequence[float]) -> tuple:
-        return conditional(self.family, self.blocks[b], joined([self.blocks[p] for p in self.parents(b)], self.family), theta)
+        return conditional(self.family, gaps_of(self.family, self.blocks[b], joined([self.blocks[p] for p in self.parents(b)], self.family)), theta)
 
     def w(self, blocks: Sequence[int], name: str = "w") -> np.ndarray:
         return np.concatenate([np.array(self.rows[b][name].tolist(), float).ravel() for b in blocks]) if blocks else np.zeros(0)
@@ -128,7 +128,7 @@ def draw_blocks(sites: DataFrame, edges: DataFrame, blocks: DataFrame, theta: Se
         own = group.rows[target]
         at = taus[own["component"].to_numpy()] if family.several else np.full(len(own), taus[0])
         precision, shift = observe(precision, shift, np.array(own["z"].tolist(), float).reshape(len(own), -1), own["e"].to_numpy(float), at)
-        w = draw(precision, shift, normals(seed, target, len(shift)) if noise else np.zeros(len(shift)))
+        w = draw(precision, shift, normals(seed, target, np.arange(len(shift))) if noise else np.zeros(len(shift)))
         return pd.DataFrame({"ix": own["ix"], "w": list(w.reshape(len(own), -1))})
 
     needed = with_relatives(sites.drop("x", "y"), edges, blocks, children=True)
@@ -142,7 +142,7 @@ def draw_alone(sites: DataFrame, edges: DataFrame, blocks: DataFrame, theta: Seq
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         target, group = int(rows["target"].iloc[0]), _Group(rows, family)
         h, half, _ = group.conditional(target, theta)
-        z = normals(seed, target, len(h)) if noise else np.zeros(len(h))
+        z = normals(seed, target, np.arange(len(h))) if noise else np.zeros(len(h))
         w = h @ group.w(group.parents(target)) + np.linalg.solve(half, z)
         return pd.DataFrame({"ix": group.rows[target]["ix"], "w": list(w.reshape(group.blocks[target].sites, -1))})
 

@@ -12,6 +12,16 @@ from dataclasses import dataclass
 import numpy as np
 
 
+@dataclass(frozen=True)
+class Gaps:
+    """What covariances between points depend on beside theta: distances in space and in time (in the plane: none), components."""
+
+    h: np.ndarray
+    u: np.ndarray | None
+    ca: np.ndarray
+    cb: np.ndarray
+
+
 @dataclass(frozen=True)
 class Family:
     """A covariance family: dims coordinates (two of space, then time), q processes or outcomes; smoothness twonu / 2 where q is 1 in the plane.
@@ -43,13 +53,19 @@ class Family:
         """The family's parameters and the matrix of latent distances."""
         pairs = self.q * (self.q - 1) // 2
         latent = np.zeros((self.q, self.q))
+        if not pairs:
+            return list(theta), latent
         latent[np.triu_indices(self.q, 1)] = theta[len(theta) - pairs :]  # row by row of the upper is column by column of the lower triangle
         return list(theta[: len(theta) - pairs]), latent + latent.T
 
-    def matrix(self, a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray, theta: Sequence[float]) -> np.ndarray:
+    def matrix(self, gaps: Gaps, theta: Sequence[float]) -> np.ndarray:
         """Covariances between points."""
         p, latent = self.unpack(theta)
-        h = np.sqrt(((a[:, None, :2] - b[None, :, :2]) ** 2).sum(axis=2))
+        h, u, ca, cb = gaps.h, gaps.u, gaps.ca, gaps.cb
+        if self.dims == 2 and self.q == 1 and not self.several:
+            t = p[1] * h
+            shape = 1 + t + t * t / 3 if self.twonu == 5 else 1 + t if self.twonu == 3 else 1.0
+            return p[0] * (np.exp(-t) * shape + (1e-6 / p[0] * (h == 0) if self.twonu == 3 else 0))
         v = latent[np.ix_(ca, cb)]
         grow = lambda x, a, b: np.exp(0.5 * b * np.log1p(a * x))
         if self.several:
@@ -59,13 +75,8 @@ class Family:
             k = shared[ca][:, None] * shared[cb][None, :] * np.exp(-rest[-1] * h / g) / (g * g)
             return k + (ca[:, None] == cb[None, :]) * own[ca][:, None] ** 2 * np.exp(-decay[ca][:, None] * h)
         if self.dims == 2:
-            if self.q == 1:
-                t = p[1] * h
-                shape = {1: 1.0, 3: 1 + t, 5: 1 + t + t * t / 3}[self.twonu]
-                return p[0] * (np.exp(-t) * shape + (1e-6 / p[0] * (h == 0) if self.twonu == 3 else 0))
             g = grow(v, *p[1:3]) if self.q > 2 else np.sqrt(v + 1)
             return p[0] / (g * g) * np.exp(-p[-1] * h / g)
-        u = np.abs(a[:, None, 2] - b[None, :, 2])
         w = np.sqrt(v + 1) if self.q == 2 else grow(v, *p[1:3]) if self.q > 2 else np.ones_like(v)
         g = grow(u / w, *p[-3:-1])
         return p[0] / (g * g) * np.exp(-p[-1] * h / g) / w
@@ -92,19 +103,30 @@ def joined(blocks: Sequence[Block], family: Family) -> Block:
     return out
 
 
+def between(family: Family, a: Block, b: Block) -> Gaps:
+    h = np.sqrt(((a.at[:, None, :2] - b.at[None, :, :2]) ** 2).sum(axis=2))
+    return Gaps(h, np.abs(a.at[:, None, 2] - b.at[None, :, 2]) if family.dims == 3 else None, a.component, b.component)
+
+
 def covariance(family: Family, a: Block, b: Block, theta: Sequence[float]) -> np.ndarray:
-    return family.matrix(a.at, a.component, b.at, b.component, theta)
+    return family.matrix(between(family, a, b), theta)
+
 
+def gaps_of(family: Family, own: Block, parents: Block) -> tuple[Gaps, Gaps, Gaps]:
+    """Within own points, from them to the parents', and within these."""
+    return between(family, own, own), between(family, own, parents), between(family, parents, parents)
 
-def conditional(family: Family, own: Block, parents: Block, theta: Sequence[float]) -> tuple[np.ndarray, np.ndarray, float]:
+
+def conditional(family: Family, gaps: tuple[Gaps, Gaps, Gaps], theta: Sequence[float]) -> tuple[np.ndarray, np.ndarray, float]:
     """H, the inverse of R's Cholesky factor, and the sum of its diagonal's logs: own points given the parents' are N(H w_parents, R)."""
-    k = covariance(family, own, own, theta)
-    if len(parents):
-        cross = covariance(family, own, parents, theta)
-        h = np.linalg.solve(covariance(family, parents, parents, theta), cross.T).T
+    own, across, parents = gaps
+    k = family.matrix(own, theta)
+    if across.h.shape[1]:
+        cross = family.matrix(across, theta)
+        h = np.linalg.solve(family.matrix(parents, theta), cross.T).T
         k = k - h @ cross.T
     else:
-        h = np.zeros((len(own), 0))
+        h = np.zeros(across.h.shape)
     half = np.linalg.inv(np.linalg.cholesky(k))
     return h, half, float(np.log(np.diag(half)).sum())
 
@@ -118,9 +140,10 @@ def blanket_terms(own: tuple, children: Sequence[tuple[tuple, np.ndarray]]) -> t
     precision = half.T @ half
     maps = [precision @ h]
     for (h, half, _), mine in children:
-        a = half @ h[:, mine]
+        whole = half @ h
+        a = whole[:, mine]
         precision = precision + a.T @ a
-        maps.append(a.T @ half @ np.hstack([np.eye(len(h)), -np.where(mine, 0.0, h)]))
+        maps.append(a.T @ np.hstack([half, np.where(mine, 0.0, -whole)]))
     return precision, maps
 
 
@@ -136,11 +159,28 @@ def observe(precision: np.ndarray, shift: np.ndarray, z: np.ndarray, e: np.ndarr
 
 def draw(precision: np.ndarray, shift: np.ndarray, noise: np.ndarray) -> np.ndarray:
     """From N(precision^-1 shift, precision^-1), by standard normal noise (zeros: the mean)."""
-    half = np.linalg.inv(np.linalg.cholesky(precision))
-    return (half.swapaxes(-1, -2) @ (half @ shift[..., None] + noise[..., None]))[..., 0]
+    half = np.linalg.cholesky(precision)
+    return np.linalg.solve(half.swapaxes(-1, -2), np.linalg.solve(half, shift[..., None]) + noise[..., None])[..., 0]
+
+
+#: Fixed values of SplitMix64 (Steele, Lea and Flood, 2014): its step, and its finalizer's factors.
+_STEP, _FACTORS = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
 
+def _hashed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _FACTORS[0]
+    x = (x ^ (x >> np.uint64(27))) * _FACTORS[1]
+    return x ^ (x >> np.uint64(31))
 
-def normals(seed: Sequence[int], block: int, n: int) -> np.ndarray:
-    """A block's noise in one step (seed, iteration) of a chain: the same wherever it is drawn."""
-    key = np.array([(int(seed[0]) << 32) + int(seed[1]), block], np.uint64)
-    return np.random.Generator(np.random.Philox(key=key)).normal(size=n)
+
+def normals(seed: Sequence[int], block: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Noise of the points at some places of their blocks in one step (seed, iteration) of a chain: the same wherever, and however many together, it is drawn.
+
+    Two uniform numbers by SplitMix64 of (seed, iteration, block, place), and Box and Muller's transform.
+    """
+    with np.errstate(over="ignore"):
+        key = _hashed(np.array([(int(seed[0]) << 32) + int(seed[1])], np.uint64) + _STEP)
+        key = _hashed(key + np.asarray(block).astype(np.uint64) * _STEP)
+        count = key + (2 * np.asarray(place) + 1).astype(np.uint64) * _STEP
+        u, v = ((_hashed(x) >> np.uint64(11)) * 2.0**-53 for x in (count, count + _STEP))
+    return np.sqrt(-2 * np.log1p(-u)) * np.cos(2 * np.pi * v)

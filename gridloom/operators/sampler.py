@@ -13,12 +13,14 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 
-from .kernels import Block, Family, blanket_terms, conditional, covariance, draw, joined, normals, observe
+from .kernels import Block, Family, Gaps, blanket_terms, conditional, draw, gaps_of, joined, normals, observe
 
 #: Sites of a table that a task may hold whole.
 MOST_SITES = 20_000
 #: Coordinates that agree within this are the same for congruent blocks.
 TOLERANCE = 1e-4
+#: Distances that an engine keeps rather than find them again for each theta: 32 MB.
+HELD = 4_000_000
 
 
 @dataclass
@@ -217,6 +219,11 @@ class MemoryEngine:
             alike.setdefault(self.key[b], []).append(b)
         self.groups = [(g, np.stack([self.own[b] for b in g]), np.stack([place[b] for b in g])) for g in sizes.values()]
         self.alike = {k: (np.stack([self.own[b] for b in g]), np.stack([at_points(self.parents[b]) for b in g])) for k, g in alike.items()}
+        # a point's block, and its place there
+        self.of = np.concatenate([np.full(len(self.own[b]), b) for b in sorted(place)])
+        self.place = np.concatenate([np.arange(len(self.own[b])) for b in sorted(place)])
+        self.held: dict[int, tuple[Gaps, Gaps, Gaps]] = {}
+        self.room = HELD
         self.factors: dict[tuple, dict] = {}
         self.sums: dict[tuple, float] = {}  # of the present w, by theta
 
@@ -230,6 +237,16 @@ class MemoryEngine:
         """The share of blocks that use another's factors, in percent."""
         return 100 - 100 * len(set(self.key.values())) / len(self.key)
 
+    def _gaps(self, b: int) -> tuple[Gaps, Gaps, Gaps]:
+        if b in self.held:
+            return self.held[b]
+        found = gaps_of(self.family, self.blocks[b], joined([self.blocks[x] for x in self.parents[b]], self.family))
+        size = sum(g.h.size for g in found) * (1 if self.family.dims == 2 else 2)
+        if size <= self.room:
+            self.room -= size
+            self.held[b] = found
+        return found
+
     def _at(self, theta: Sequence[float]) -> dict:
         """Factors by representative, at unit variance; those of the last two values of theta are kept."""
         unit = split_scale(theta, self.family)[1]
@@ -237,10 +254,10 @@ class MemoryEngine:
             made = {}
             for b in self.key.values():
                 if b not in made:
-                    made[b] = conditional(self.family, self.blocks[b], joined([self.blocks[x] for x in self.parents[b]], self.family), unit)
+                    made[b] = conditional(self.family, self._gaps(b), unit)
             while len(self.factors) > 1:
                 self.factors.pop(next(iter(self.factors)))
-            self.factors[unit] = {"own": made, "wide": {}}
+            self.factors[unit] = {"own": made, "wide": {}, "stacked": {}}
         return self.factors[unit]
 
     def _terms(self, b: int, found: dict) -> tuple:
@@ -265,20 +282,27 @@ class MemoryEngine:
         self.sums.clear()
         scale, found = split_scale(state.theta, self.family)[0], self._at(state.theta)
         e, tausq = self.residual(state), np.array(state.tausq)[self.outcome]
-        for blocks, own, rows in self.groups:
-            terms = [self._terms(b, found) for b in blocks]
-            precision = np.stack([p for p, _ in terms]) / scale
-            shift = np.stack([m @ self.w[self.near[b]] for b, (_, m) in zip(blocks, terms, strict=True)]) / scale
-            precision, shift = observe(precision, shift, self.z[rows], e[rows], tausq[rows])
-            self.w[own] = draw(precision, shift, np.stack([normals(seed, b, shift.shape[1]) for b in blocks]) if noise else np.zeros(shift.shape))
+        z = self._noise(seed, noise)
+        for k, (blocks, own, rows) in enumerate(self.groups):
+            if k not in found["stacked"]:
+                terms = [self._terms(b, found) for b in blocks]
+                found["stacked"][k] = np.stack([p for p, _ in terms]), [m for _, m in terms]
+            precision, maps = found["stacked"][k]
+            shift = np.stack([m @ self.w[self.near[b]] for b, m in zip(blocks, maps, strict=True)]) / scale
+            precision, shift = observe(precision / scale, shift, self.z[rows], e[rows], tausq[rows])
+            self.w[own] = draw(precision, shift, z[own])
+
+    def _noise(self, seed: Sequence[int], noise: bool) -> np.ndarray:
+        """A number for each point, zeros without noise."""
+        return normals(seed, self.of, self.place) if noise else np.zeros(len(self.w))
 
     def predict(self, state: State, seed: Sequence[int], noise: bool = True) -> None:
         """A draw at blocks without observations, given their parents."""
         scale, found = split_scale(state.theta, self.family)[0], self._at(state.theta)
+        z = self._noise(seed, noise) if self.alone else None
         for b in self.alone:
             h, half, _ = found["own"][self.key[b]]
-            z = normals(seed, b, len(h)) if noise else np.zeros(len(h))
-            self.w[self.span[b]] = h @ self._w(self.parents[b]) + np.sqrt(scale) * np.linalg.solve(half, z)
+            self.w[self.span[b]] = h @ self._w(self.parents[b]) + np.sqrt(scale) * np.linalg.solve(half, z[self.own[b]])
 
     def _quads(self, theta: Sequence[float]) -> float:
         found, unit, total = self._at(theta), split_scale(theta, self.family)[1], 0.0
