@@ -5,7 +5,9 @@ rows, one rotation for each stretch of bits, and each coordinate's sign is a bit
 has a row for each substring of each code, dealt by (substring, its first bits, part): as many first bits as keep groups small, and parts
 where one value has very many rows. By the pigeonhole principle a code within the radius r of a query has, over m substrings, one of the first
 r mod m + 1 within floor(r / m) bits, or one of the others within floor(r / m) - 1; probing these values retrieves every such code, and many
-farther ones. Codes found are kept if all their bits are within a second, looser radius, and reranked by exact cosines in double precision.
+farther ones. Codes found are kept if all their bits are within a second, looser radius and they are among the nearest of their group (NEAREST),
+and reranked by exact cosines in double precision. A query for which this leaves out a code within the first radius, as in a crowd of near
+copies, is compared with all rows instead, block by block: no pair of a crowd is written for that.
 
 Both radii are learned: SAMPLED queries are compared with all rows, exactly, and the first radius is the least that retrieves SHARE of their true
 neighbours; so it shrinks as the table gets denser. A query for which fewer rows than asked for are found is compared with all rows instead.
@@ -38,6 +40,8 @@ SAMPLED, SHARE = 128, 0.97
 GROUP, ROW_BLOCK, QUERY_BLOCK = 8_192, 8_192, 1_024
 #: Codes that a query takes from one group: those as near as this many of its nearest there (ties included) go to the exact rerank.
 NEAREST = 256
+#: In place of a node: the query lost codes within the radius.
+CUT = -1
 
 _WEIGHT = np.bitwise_count(np.arange(1 << WIDTH, dtype=np.uint32)).astype(np.uint8)
 #: All values of a substring by their number of bits, and where those of more bits than r begin.
@@ -146,7 +150,7 @@ def _keyed(batches: Iterator[pa.RecordBatch], first_bits: int, reach: np.ndarray
 
 
 def _probe(queries: pd.DataFrame, rows: pd.DataFrame, book: Codebook, first_bits: int) -> pd.DataFrame:
-    """asked, node of the codes of one group that a query retrieves there first, over all substrings in order, and that are within the loose radius."""
+    """asked, node of the codes of one group that a query retrieves there first, over all substrings in order, and that are within the loose radius; or CUT."""
     asked, found = [], []
     if len(queries) and len(rows):
         place, head = int(rows["place"].iloc[0]), int(rows["head"].iloc[0])
@@ -170,7 +174,11 @@ def _probe(queries: pd.DataFrame, rows: pd.DataFrame, book: Codebook, first_bits
                 new = ~(np.bitwise_count(codes[at, :place] ^ wanted[q, :place]) <= reach[:place]).any(axis=1)
                 at, apart = at[new], apart[new]
             if len(at) > NEAREST:
-                at = at[apart <= np.partition(apart, NEAREST - 1)[NEAREST - 1]]
+                last = np.partition(apart, NEAREST - 1)[NEAREST - 1]
+                if ((apart > last) & (apart <= book.radius)).any():
+                    asked.append([node])
+                    found.append([CUT])
+                at = at[apart <= last]
             asked.append(np.full(len(at), node))
             found.append(nodes[at])
     return pd.DataFrame({"asked": np.concatenate(asked), "node": np.concatenate(found)} if asked else {"asked": np.zeros(0, np.int64), "node": np.zeros(0, np.int64)})
@@ -262,10 +270,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", v
     asked = members.select(F.col("asked").alias("node")).distinct()
     n, ids = nodes.agg(F.count("*"), F.sum("n_ids")).head()
     pairs = store(_candidates(nodes, asked, n, sample, k), "pairs")
-    # queries for which too few were found
+    # queries for which too few were found, or too many to keep
     counts = pairs.join(nodes.select("node", "n_ids"), "node").groupBy("asked").agg(F.sum("n_ids").alias("n"))
     short = asked.join(counts.withColumnRenamed("asked", "node"), "node", "left").where(F.coalesce("n", F.lit(0)) < min(k + 1, ids)).select("node")
-    short = store(short, "short")
+    short = store(short.union(pairs.where(F.col("node") == CUT).select("asked")).distinct(), "short")
     if not short.isEmpty():
         pairs = pairs.join(short.withColumnRenamed("node", "asked"), "asked", "left_anti").unionByName(_exact(nodes.select("node", "vector"), short, n, k + 1))
     there = nodes.select("node", "scaled", "norm", "ids")

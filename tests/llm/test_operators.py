@@ -289,10 +289,30 @@ def test_ann_odd_rows(spark):
     assert [v for v, _ in got[50]][:2] == [10, 0] and {v for v, _ in got[50]} == {10, 0, 4, 5, 8}
 
 
-def test_ann_compares_all_rows_where_few_are_found(spark, monkeypatch):
+def test_ann_tells_of_cut_codes(monkeypatch):
+    """Near copies: where a group's nearest do not hold all codes within the radius, the query is marked; else all of them are found."""
+    rng = np.random.default_rng(6)
+    codes = np.zeros((40, ann.BITS // ann.WIDTH), np.uint16)
+    codes[np.arange(40), rng.integers(1, codes.shape[1], 40)] = 1 << rng.integers(0, ann.WIDTH, 40)
+    codes[0] = 0
+    rows = pd.DataFrame({"place": 0, "head": 0, "node": np.arange(40), "code": [c.tobytes() for c in codes]})
+    book = ann.Codebook(np.zeros(2), np.zeros((2, ann.BITS)), radius=8)
+    for nearest, want in ((40, set(range(40))), (2, set(range(40))), (1, {0, ann.CUT})):  # 39 are equally near
+        monkeypatch.setattr(ann, "NEAREST", nearest)
+        assert set(ann._probe(rows.iloc[:1], rows, book, 0)["node"]) == want
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_ann_compares_all_rows_where_few_are_found_or_some_are_cut(spark, monkeypatch, cut):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
-    monkeypatch.setattr(ann, "_candidates", lambda nodes, asked, n, sample, k: asked.select(F.col("node").alias("asked"), "node"))
+
+    def candidates(nodes, asked, n, sample, k):
+        asked = asked.select(F.col("node").alias("asked"))
+        some = asked.crossJoin(nodes.select("node").orderBy("node").limit(10)).union(asked.withColumn("node", F.lit(ann.CUT)))
+        return some if cut else asked.withColumn("node", F.col("asked"))
+
+    monkeypatch.setattr(ann, "_candidates", candidates)
     want = brute_nearest(np.arange(300), np.array([v for _, v in rows]))
     got = defaultdict(list)
     for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("rank").collect():
