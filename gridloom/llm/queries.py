@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, mixing, quality, simhash, suffix, toxicity, urls, warc
+from . import ann, audit, bpe, jaccard, licenses, mixing, prefixes, quality, simhash, suffix, toxicity, urls, warc
 from ._support import table
 
 
@@ -64,6 +64,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op11_prefix_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixes.ordered(table(spark, sf_dir, "conversations"))
+    most = F.crc32(F.col("conv_id").cast("string")) % 6
+    return prefixes.trie(*prefixes.rebuilt(turns, F.col("conv_id") - F.col("conv_id") % 100, most, limit=5))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_host_quality": op2_host_quality,
@@ -75,6 +89,9 @@ QUERIES = {
     "op8_toxic_severity": op8_toxic_severity,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
+    "op11_prefix_refinement": op11_prefix_refinement,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_grouped_prefix_join": op13_grouped_prefix_join,
 }
 
 OP1_SQL = r"""
@@ -135,4 +152,47 @@ fit AS (SELECT r, h || q AS rule, v, row_number() OVER (PARTITION BY r ORDER BY
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN fit ON p.r = fit.r AND k = 1
 """
 
-ORACLE_SQL = {"op1_warc_revisits": OP1_SQL, "op2_host_quality": OP2_SQL, "op7_url_rules": OP7_SQL}
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, list(x ORDER BY i) AS l FROM t GROUP BY c),
+-- crc32 of the decimal id: bytes, then eight shifts each, of the polynomial's reversed bits
+k AS (SELECT c, l, xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT),
+        lambda a, b: list_reduce(range(8), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::BIGINT) ELSE y // 2 END, xor(a, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h FROM v),
+r AS (SELECT k.c, list_concat(coalesce(list_slice(o.l, 1, h), []), coalesce(list_slice(k.l, h + 1, len(k.l)), [])) AS l FROM k LEFT JOIN v AS o ON o.c = k.c - k.c % 100),
+p AS (SELECT c, d, list_slice(l, 1, d) AS b, d = len(l) AS ends FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM r)),
+n AS (SELECT b, d, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '') AS ids FROM p GROUP BY b, d),
+m AS (SELECT n.*, u.conv_id AS up, CASE WHEN n.d > 0 THEN (n.n - 1) * length(n.b[n.d].text) ELSE 0 END AS own,
+        (SELECT count(*) FROM n AS q WHERE q.d = n.d + 1 AND list_slice(q.b, 1, n.d) = n.b) AS kids
+      FROM n LEFT JOIN n AS u ON u.d = n.d - 1 AND u.b = list_slice(n.b, 1, n.d - 1)),
+s AS (SELECT b, d, count(*) FILTER (WHERE kids = 0) AS leaves, sum(own) AS saved
+      FROM (SELECT list_slice(b, 1, e) AS b, e AS d, kids, own FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM m)) GROUP BY b, d)
+SELECT conv_id, m.d AS depth, up AS parent_conv_id, n AS n_convs, kids AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(ids) AS ends_sha256
+FROM m JOIN s ON m.d = s.d AND m.b = s.b
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+g AS (SELECT doc_id AS id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        (CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END)
+        || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END)
+        || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS fails
+      FROM w LEFT JOIN g ON doc_id = id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY 1, 2),
+x(k) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.k || b.k || c.k || d.k || e.k AS o FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+-- the step at which an order removes what fails so: the place of the first of its filters that fails
+fall AS (SELECT part, o, fails, n, good, toxic, coalesce(list_min(list_transform(list_filter(string_split(fails, ''), lambda z: z <> ''), lambda z: strpos(o, z))), 99) AS hit FROM c, o),
+s AS (SELECT part, o, step, o[step] AS k, sum(CASE WHEN hit > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit = step THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN hit < step AND contains(fails, o[step]) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = o[step] THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN hit = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit = step THEN toxic ELSE 0 END) AS toxic_lost
+      FROM fall, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY 1, 2, 3)
+SELECT part, o AS filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
+FROM s
+"""
+
+ORACLE_SQL = {"op1_warc_revisits": OP1_SQL, "op2_host_quality": OP2_SQL, "op7_url_rules": OP7_SQL, "op11_prefix_refinement": OP11_SQL, "op12_filter_audit": OP12_SQL}
