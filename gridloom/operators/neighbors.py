@@ -1,47 +1,121 @@
-"""The nearest reference site of each new site, by a join on grid cells that grow until the answer is certain."""
+"""The nearest reference site of each new site, by a tree of cells over the reference.
+
+Reference places are ordered by the Morton key of their cell in a square (the quadtree's depth-first order), and FAN successive ones are a leaf, FAN
+successive leaves a node, and so on to one root. Every node knows the box of its places. All new sites go down the tree together, a join for
+each level: a site keeps the nodes whose box may hold a place as near as the nearest that some other box is sure to hold. So the number of
+joins is the logarithm of the reference's size to the base FAN, wherever a new site lies and however unevenly the reference is spread.
+
+Distances are found from scaled components (hypot), so that no square overflows or vanishes. A site far from the whole reference can't tell its
+distances apart; there, what a place adds to the distance of the square's middle is compared instead.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sites import row_ids
 from .tables import cut
 
-#: Places of reference rows in a cell to begin with.
-FEW = 32
+#: Places of a leaf, and nodes under a node.
+FAN = 32
+#: Bits of a cell's number on each axis.
+DEPTH = 31
+#: Coordinates are multiplied by this power of two, so that differences of the greatest numbers are finite.
+SCALE = 2.0**-6
+#: A new site is far when it lies so many spans of the reference from its middle.
+FAR = 4.0
+#: Masks that spread 32 bits to every other of 64, from the widest step to the narrowest.
+SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def morton(a: Column, b: Column) -> Column:
+    """The bits of two numbers below 2 ** 31 in turn."""
+
+    def spread(x: Column) -> Column:
+        for shift, mask in SPREAD:
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    return spread(a.cast("long")).bitwiseOR(F.shiftleft(spread(b.cast("long")), 1))
+
+
+def depth(places: int) -> int:
+    """Levels of the tree over so many places."""
+    levels = 1
+    while places > FAN:
+        places, levels = -(-places // FAN), levels + 1
+    return levels
+
+
+def cell_tree(places: DataFrame, low: tuple[float, float], span: float, levels: int) -> list[DataFrame]:
+    """node, kids of each level, the leaves' first: places (x, y, row) there, above the nodes' numbers and boxes. places: x, y, row."""
+    cell = lambda c, lo: F.floor(F.least(F.greatest((F.col(c) - lo) / span, F.lit(0.0)), F.lit(1.0)) * ((1 << DEPTH) - 1))
+    keyed = places.withColumn("key", morton(cell("x", low[0]), cell("y", low[1])))
+    node = F.floor((F.col("place") - 1) / FAN).cast("long").alias("node")
+    box = [f(c).alias(f"{g}_{c}") for c in ("x", "y") for f, g in ((F.min, "lo"), (F.max, "hi"))]
+    leaves = row_ids(keyed, ["key", "x", "y"], "place").select(node, "x", "y", "row")
+    below = cut(leaves.groupBy("node").agg(F.collect_list(F.struct("x", "y", "row")).alias("kids"), *box))
+    tree = [below.select("node", "kids")]
+    for _ in range(levels - 1):
+        up = below.withColumn("up", F.floor(F.col("node") / FAN).cast("long"))
+        boxes = [f(f"{g}_{c}").alias(f"{g}_{c}") for c in ("x", "y") for f, g in ((F.min, "lo"), (F.max, "hi"))]
+        below = cut(up.groupBy(F.col("up").alias("node")).agg(F.collect_list(F.struct("node", "lo_x", "hi_x", "lo_y", "hi_y")).alias("kids"), *boxes))
+        tree.append(below.select("node", "kids"))
+    return tree
 
 
 def nearest_site(new: DataFrame, reference: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """ix, near, dist of each row of new (ix, var1, var2): the ix of the nearest row of reference; ties to the smaller one.
 
-    Cells begin small enough for FEW reference rows each; rows at one place count as one. A new row meets the rows of its cell and the eight
-    around it; what is found within a cell's side is nearest. Rows without an answer try again in cells of twice the side. New rows whose
-    coordinates are null or not finite have no nearest row (nulls); such reference rows are nobody's. keep: further columns of reference.
+    Rows at one place, of new or of reference, count as one. New rows whose coordinates are null or not finite have no nearest row (nulls); such
+    reference rows are nobody's. Distances that are equal as doubles are ties, but for far new sites. keep: further columns of reference.
     """
     keep = keep or []
     finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
-    known, whole = reference.where(finite("var1") & finite("var2")), finite("var1") & finite("var2")
-    box = known.agg(F.count("*").alias("n"), *[f(c).alias(f"{g}_{c}") for c in ("var1", "var2") for f, g in ((F.min, "lo"), (F.max, "hi"))]).head()
-    nothing = lambda rows: rows.select("ix", F.lit(None).cast(reference.schema["ix"].dataType).alias("near"), F.lit(None).cast("double").alias("dist"), *[F.lit(None).cast(reference.schema[c].dataType).alias(c) for c in keep])
+    whole = finite("var1") & finite("var2")
+    scaled = lambda c: (F.col(c).cast("double") * SCALE).alias({"var1": "x", "var2": "y"}[c])
+    kind = lambda c: reference.schema[c].dataType
+    nothing = lambda rows: rows.select("ix", F.lit(None).cast(kind("ix")).alias("near"), F.lit(None).cast("double").alias("dist"), *[F.lit(None).cast(kind(c)).alias(c) for c in keep])
+    places = reference.where(whole).groupBy(scaled("var1"), scaled("var2")).agg(F.min(F.struct("ix", *keep)).alias("row"))
+    places = cut(places, "places")
+    box = places.agg(F.count("*").alias("n"), *[f(c).alias(f"{g}_{c}") for c in ("x", "y") for f, g in ((F.min, "lo"), (F.max, "hi"))]).head()
     if not box["n"]:
         return nothing(new)
-    held = cut(known.groupBy(F.col("var1").alias("rx"), F.col("var2").alias("ry")).agg(F.min(F.struct("ix", *keep)).alias("row")))
-    side = max(box["hi_var1"] - box["lo_var1"], box["hi_var2"] - box["lo_var2"], 1e-9) / max(1.0, box["n"] ** 0.5)
-    cell = lambda c: F.floor(F.greatest(F.lit(-4e18), F.least(F.lit(4e18), c / side)))
-    for _ in range(40):
-        if held.groupBy(cell(F.col("rx")), cell(F.col("ry"))).count().agg(F.max("count")).head()[0] <= FEW:
-            break
-        side /= 4
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    todo, done = cut(new.where(whole).select("ix", "var1", "var2")), nothing(new.where(~whole))
-    while not todo.isEmpty():
-        placed = held.withColumn("cx", cell(F.col("rx"))).withColumn("cy", cell(F.col("ry")))
-        asked = todo.withColumn("o", F.explode(around)).withColumn("cx", cell(F.col("var1")) + F.col("o.a")).withColumn("cy", cell(F.col("var2")) + F.col("o.b"))
-        apart = (F.col("var1") - F.col("rx")) * (F.col("var1") - F.col("rx")) + (F.col("var2") - F.col("ry")) * (F.col("var2") - F.col("ry"))
-        best = F.min(F.struct(apart.alias("d2"), F.col("row.ix").alias("near"), *[F.col("row")[c].alias(c) for c in keep])).alias("best")
-        found = cut(asked.join(placed, ["cx", "cy"]).groupBy("ix").agg(best))
-        sure = found.where(F.col("best.d2") <= F.lit(side * side)).select("ix", F.col("best.near").alias("near"), F.sqrt("best.d2").alias("dist"), *[F.col("best")[c].alias(c) for c in keep])
-        done = done.union(sure)
-        todo = cut(todo.join(sure.select("ix"), "ix", "left_anti"))
-        side *= 2
-    return done
+    span = max(box["hi_x"] - box["lo_x"], box["hi_y"] - box["lo_y"]) or 1.0
+    middle = {c: box[f"lo_{c}"] / 2 + box[f"hi_{c}"] / 2 for c in ("x", "y")}
+    tree = cell_tree(places, (box["lo_x"], box["lo_y"]), span, depth(box["n"]))
+
+    asked = new.where(whole).select(scaled("var1"), scaled("var2")).distinct()
+    reach = F.greatest(*[F.abs(F.col(c) - middle[c]) for c in ("x", "y")])
+    state = asked.withColumn("reach", reach).withColumn("far", F.col("reach") > FAR * span).withColumn("node", F.lit(0).cast("long"))
+
+    def cost(c: str, at: Column) -> Column:
+        """What a place's coordinate adds to its distance; far: to that of the middle, in units of the reach."""
+        own = at - middle[c]
+        return F.when(F.col("far"), own * (own / F.col("reach")) - 2 * own * ((F.col(c) - middle[c]) / F.col("reach"))).otherwise(F.abs(at - F.col(c)))
+
+    both = lambda a, b: F.when(F.col("far"), a + b).otherwise(F.hypot(a, b))
+    per_site = Window.partitionBy("x", "y")
+    as_near = lambda c: F.when(F.col("far"), c + span * 2.0**-48).otherwise(c * (1 + 2.0**-50))  # noqa: E731  beyond rounding
+
+    def sides(k: Column, c: str) -> tuple[Column, Column, Column]:
+        """The costs of a box's nearest coordinate, of its nearer side and of its farther side."""
+        lo, hi = k[f"lo_{c}"], k[f"hi_{c}"]
+        left = F.abs(F.col(c) - lo) <= F.abs(F.col(c) - hi)
+        return cost(c, F.least(F.greatest(F.col(c), lo), hi)), cost(c, F.when(left, lo).otherwise(hi)), cost(c, F.when(left, hi).otherwise(lo))
+
+    def judged(k: Column) -> Column:
+        """Some place of the box is on each of its sides, so the nearest is no farther than a nearer side's farther end."""
+        (x0, x1, x2), (y0, y1, y2) = sides(k, "x"), sides(k, "y")
+        return F.struct(k["node"].alias("node"), both(x0, y0).alias("least"), F.least(both(x1, y2), both(x2, y1)).alias("sure"))
+
+    for level in reversed(tree[1:]):
+        met = state.join(level, "node").withColumn("kids", F.transform("kids", judged)).withColumn("sure", F.array_min(F.transform("kids", lambda k: k["sure"])))
+        met = met.withColumn("best", as_near(F.min("sure").over(per_site)))
+        state = met.select("x", "y", "reach", "far", F.explode(F.filter("kids", lambda k: k["least"] <= F.col("best"))).alias("kid")).select("x", "y", "reach", "far", "kid.node")
+    told = lambda k: F.struct(both(cost("x", k["x"]), cost("y", k["y"])).alias("cost"), k["row"].alias("row"), F.hypot(k["x"] - F.col("x"), k["y"] - F.col("y")).alias("d"))
+    found = state.join(tree[0], "node").groupBy("x", "y").agg(F.min(F.array_min(F.transform("kids", told))).alias("best"))
+    rows = new.where(whole).select("ix", scaled("var1"), scaled("var2")).join(found, ["x", "y"])
+    answers = rows.select("ix", F.col("best.row.ix").alias("near"), (F.col("best.d") / SCALE).alias("dist"), *[F.col("best.row")[c].alias(c) for c in keep])
+    return answers.union(nothing(new.where(~whole)))
