@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sites import row_ids
 from .tables import cut
 
+#: Blocks of successive numbers that one task of settle() holds.
+TILE = 1 << 16
+
 
 def _line(axis: int, dims: int):
     """A window along an axis: the blocks that agree in all other levels."""
@@ -62,25 +67,66 @@ def common_children(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     return a.join(b, "child").where("parent1 < parent2").select("parent1", "parent2", "child").distinct()
 
 
-def greedy_colors(members: DataFrame, blocks: DataFrame) -> DataFrame:
-    """block, color: first fit in block order, so that no block shares its colour with its blanket; blocks without observations come last.
+def settle(waits: DataFrame, rule: str, tile: int = TILE) -> DataFrame:
+    """block, value of each block of waits (block, waiting: the blocks, all in the table, whose values its own follows from).
 
-    Sequential by nature: the graph of blocks (not of rows) is coloured on the driver; its size is the product of the axis partitions.
+    rule: "first_fit", the least number from 0 that no waited-for block has; "longest", one more than the greatest of them, 0 without any.
+    The values are those of going through the blocks one by one, each behind all that it waits for (Jones and Plassmann's rule: a block is
+    settled once those before it are). In a round, each tile of blocks (successive numbers) settles in memory all that follows from
+    what is known; what it settled is joined to those that wait for it in other tiles. Where blocks only wait for smaller ones, the first unfinished tile
+    is always finished, so rounds are at most as many as tiles, and fewer where blocks in the tiles behind can be settled before. A circle is an error.
     """
-    spark = blocks.sparkSession
-    near: dict[int, list[int]] = {}
-    for block, member in members.select("block", "member").toLocalIterator():
-        near.setdefault(block, []).append(member)
-    colors: dict[int, int] = {}
-    rest = []
-    for block, n_obs in blocks.select("block", "n_obs").orderBy("block").toLocalIterator():
-        if n_obs > 0:
-            taken = {colors[m] for m in near.get(block, ()) if m in colors}
-            colors[block] = next(c for c in range(len(taken) + 1) if c not in taken)
-        else:
-            rest.append(block)
-    last = max(colors.values(), default=-1) + 1
-    return spark.createDataFrame([*colors.items(), *((b, last) for b in rest)], "block int, color int")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        blocks = rows["block"].tolist()
+        waiting = {b: set(w) for b, w in zip(blocks, rows["waiting"], strict=True)}
+        taken = {b: set(t) for b, t in zip(blocks, rows["taken"], strict=True)}
+        later: dict[int, list[int]] = {}
+        for b, w in waiting.items():
+            for m in w:
+                if m in waiting:
+                    later.setdefault(m, []).append(b)
+        value, ready = {}, sorted(b for b, w in waiting.items() if not w)
+        for b in ready:
+            have = taken[b]
+            v = next(c for c in range(len(have) + 1) if c not in have) if rule == "first_fit" else max(have, default=-1) + 1
+            value[b] = v
+            for c in later.get(b, ()):
+                taken[c].add(v)
+                waiting[c].discard(b)
+                if not waiting[c]:
+                    ready.append(c)
+        out = rows[["tile", "block"]].copy()
+        out["value"] = pd.array([value.get(b) for b in blocks], dtype="Int32")
+        out["waiting"], out["taken"] = [list(waiting[b]) for b in blocks], [list(taken[b]) for b in blocks]
+        return out
+
+    none = F.array().cast("array<int>")
+    todo = waits.select(F.floor(F.col("block") / tile).cast("int").alias("tile"), F.col("block").cast("int").alias("block"), F.col("waiting").cast("array<int>").alias("waiting"), none.alias("taken"))
+    done, rounds = None, 0
+    while True:
+        met = cut(todo.groupBy("tile").applyInPandas(run, "tile int, block int, value int, waiting array<int>, taken array<int>"), "settled")
+        new, left = met.where("value is not null").select("block", "value"), met.where("value is null").drop("value")
+        done, rounds = new if done is None else done.union(new), rounds + 1
+        if left.isEmpty():
+            done._gridloom_rounds = rounds
+            return done
+        if new.isEmpty():
+            raise ValueError("blocks wait for one another in a circle")
+        known = left.select("block", F.explode("waiting").alias("member")).join(new.select(F.col("block").alias("member"), "value"), "member")
+        known = known.groupBy("block").agg(F.collect_list("member").alias("found"), F.collect_set("value").alias("values"))
+        todo = left.join(known, "block", "left").select("tile", "block", F.array_except("waiting", F.coalesce("found", none)).alias("waiting"), F.array_union("taken", F.coalesce("values", none)).alias("taken"))
+
+
+def greedy_colors(members: DataFrame, blocks: DataFrame, tile: int = TILE) -> DataFrame:
+    """block, color: first fit in block order, so that no block shares its colour with its blanket; blocks without observations come last, in one colour."""
+    seen = blocks.where("n_obs > 0").select("block")
+    before = members.where("member < block").join(seen.withColumnRenamed("block", "member"), "member", "left_semi").groupBy("block").agg(F.collect_set("member").alias("waiting"))
+    waits = seen.join(before, "block", "left").select("block", F.coalesce("waiting", F.array().cast("array<int>")).alias("waiting"))
+    found = settle(waits, "first_fit", tile)
+    last = found.agg((F.coalesce(F.max("value"), F.lit(-1)) + 1).alias("color"))
+    rest = blocks.where("n_obs = 0").select("block").crossJoin(F.broadcast(last))  # one row
+    return found.select("block", F.col("value").alias("color")).union(rest.select(F.col("block").cast("int").alias("block"), F.col("color").cast("int").alias("color")))
 
 
 def color_conflicts(colors: DataFrame, members: DataFrame) -> DataFrame:
@@ -154,35 +200,19 @@ def reference_summary(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.count("*").alias("blocks"), F.count_if(seen).alias("reference"), F.coalesce(F.sum(F.when(seen, F.col("n_rows"))), F.lit(0)).alias("reference_rows"), F.coalesce(F.sum("n_obs"), F.lit(0)).alias("observed"))
 
 
-def colors_apart(edges: DataFrame, colors: DataFrame) -> DataFrame:
+def colors_apart(edges: DataFrame, colors: DataFrame, tile: int = TILE) -> DataFrame:
     """block, color without equal colours of a child and its parent: each of a group's blocks that has a parent in it moves behind.
 
     Groups are repaired until no child is in its parent's group; a block's new group is the number of steps on the longest path of such equal
     colours that leads to it, so groups stay few where the graph is shallow, and in the worst case are one for each block, as in a sequence.
     """
-    spark = colors.sparkSession
-    color = {r["block"]: r["color"] for r in colors.select("block", "color").toLocalIterator()}
-    parents: dict[int, list[int]] = {}
-    for r in edges.select("child", "parent").toLocalIterator():
-        parents.setdefault(r["child"], []).append(r["parent"])
-    groups: dict[tuple[int, int], int] = {}
-    depth: dict[int, int] = {}
-    order, waiting = [], {b: [p for p in parents.get(b, ()) if color.get(p) == color[b]] for b in color}
-    children: dict[int, list[int]] = {}
-    for b, ps in waiting.items():
-        for p in ps:
-            children.setdefault(p, []).append(b)
-    left = {b: len(ps) for b, ps in waiting.items()}
-    order = [b for b, n in left.items() if not n]
-    for b in order:
-        depth[b] = max((depth[p] + 1 for p in waiting[b]), default=0)
-        for c in children.get(b, ()):
-            left[c] -= 1
-            if not left[c]:
-                order.append(c)
-    for key in sorted({(depth[b], color[b]) for b in color}):
-        groups[key] = len(groups)
-    return spark.createDataFrame([(b, groups[depth[b], color[b]]) for b in sorted(color)], "block int, color int")
+    of = colors.select(F.col("block").alias("parent"), F.col("color").alias("same"))
+    clash = edges.join(colors.select(F.col("block").alias("child"), "color"), "child").join(of, "parent").where("color = same")
+    waiting = clash.groupBy(F.col("child").alias("block")).agg(F.collect_set("parent").alias("waiting"))
+    waits = colors.select("block").join(waiting, "block", "left").select("block", F.coalesce("waiting", F.array().cast("array<int>")).alias("waiting"))
+    moved = cut(settle(waits, "longest", tile).join(colors, "block").select("block", F.col("value").alias("depth"), "color"))
+    groups = row_ids(moved.select("depth", "color").distinct(), ["depth", "color"], "place")
+    return moved.join(groups, ["depth", "color"]).select("block", (F.col("place") - 1).cast("int").alias("color"))
 
 
 def axis_recolor(blocks: DataFrame, dims: int, sweeps: int = 20) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import covariance as cov
@@ -163,23 +162,30 @@ def color_groups(spark, sf_dir):
     return found.select("color", F.concat(F.lit("["), F.array_join("blocks", ", "), F.lit("]")).alias("blocks"))
 
 
-@query(f"""WITH {MASKED_2D}, {COUNTS(2)}, {EDGES_2D} SELECT count(*) AS edges, 0::BIGINT AS conflicts FROM edges""")
+@query(f"""WITH RECURSIVE {MASKED_2D}, {COUNTS(2)}, {EDGES_2D}, path AS (SELECT block, 0 AS steps FROM k UNION SELECT child, steps + 1 FROM path JOIN edges ON parent = block)
+SELECT block, max(steps)::INTEGER AS color FROM path GROUP BY 1""")
 def group_repair(spark, sf_dir):
     """Groups of one colour for all blocks, repaired until no child shares its parent's."""
     blocks, edges = _mesh_2d(spark, sf_dir)
-    repaired = mesh.colors_apart(edges, blocks.select("block", F.lit(0).alias("color")))
-    a, b = repaired.select(F.col("block").alias("child"), "color"), repaired.select(F.col("block").alias("parent"), F.col("color").alias("other"))
-    return edges.join(a, "child").join(b, "parent").agg(F.count("*").alias("edges"), F.count_if(F.col("color") == F.col("other")).alias("conflicts"))
+    return mesh.colors_apart(edges, blocks.select("block", F.lit(0).alias("color")))
 
 
-@query(f"WITH {MASKED_2D}, {COUNTS(2)} SELECT count(*) AS blocks, 0::BIGINT AS conflicts FROM k")
+def _sweeps_sql(sweeps: int) -> str:
+    """Steps of a recolouring from one colour, axis after axis; a step of a valid colouring changes nothing."""
+    parts, last = ["r0 AS (SELECT l1, l2, block, 0 AS color FROM k)"], "r0"
+    for n in range(1, 2 * sweeps + 1):
+        along, across = ("l1", "l2") if n % 2 else ("l2", "l1")
+        line = f"OVER (PARTITION BY {across} ORDER BY {along})"
+        same = f"color = lag(color) {line} AND row_number() {line} % 2 = 0"
+        parts.append(f"r{n} AS MATERIALIZED (SELECT l1, l2, block, CASE WHEN {same} THEN (SELECT max(color) FROM {last}) + 1 ELSE color END AS color FROM {last})")
+        last = f"r{n}"
+    return ", ".join(parts)
+
+
+@query(f"WITH {MASKED_2D}, {COUNTS(2)}, {_sweeps_sql(6)} SELECT block, color::INTEGER AS color FROM r12")
 def axis_recolor(spark, sf_dir):
     """One colour for all blocks, changed until no block shares its neighbour's along any axis."""
-    blocks = mesh.axis_recolor(_mesh_2d(spark, sf_dir)[0].withColumn("color", F.lit(0)), 2)
-    same = [F.count_if(F.col(f"s{a}")).alias(f"n{a}") for a in (1, 2)]
-    lines = {1: Window.partitionBy("l2").orderBy("l1"), 2: Window.partitionBy("l1").orderBy("l2")}
-    marked = blocks.select("block", *[(F.col("color") == F.lag("color").over(w)).alias(f"s{a}") for a, w in lines.items()])
-    return marked.agg(F.count("*").alias("blocks"), *same).select("blocks", (F.col("n1") + F.col("n2")).alias("conflicts"))
+    return mesh.axis_recolor(_mesh_2d(spark, sf_dir)[0].withColumn("color", F.lit(0)), 2).select("block", "color")
 
 
 @query(f"""WITH {MASKED_2D}, {COUNTS(2)}, c AS (SELECT block, ((l1 - 1) * 2 + (l2 - 1)) % 4 AS color FROM k), e AS (SELECT block AS child, lag(block) OVER (PARTITION BY l1 ORDER BY l2) AS parent FROM k
