@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..sources.sites import row_ids
 
-#: How far approximate quantiles are taken from a threshold, as a share of all values: three times their own error.
-SLACK = 3e-4
+#: Buckets of an axis whose values are counted: 16 for an interval within these limits.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 10, 1 << 16
 
 
 def is_observed(y: Column) -> Column:
@@ -23,35 +23,50 @@ def is_observed(y: Column) -> Column:
     return y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf"))
 
 
+def ordered_place(x: Column, values: Sequence[float]) -> Column:
+    """How many of the sorted values are at or under x: a binary search whose steps, not values, are evaluated."""
+    if not values:
+        return F.lit(0)
+    steps = F.lit([1 << k for k in reversed(range(len(values).bit_length()))])
+    held = F.lit([float(v) for v in values])
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(held, n + step - 1) <= x, step).otherwise(F.lit(0)))
+
+
 def order_statistics(df: DataFrame, axes: Sequence[str], intervals: Sequence[int]) -> DataFrame:
     """axis (from 1), i, threshold: for i = 1, ..., k - 1 the value that floor(i * n / k) others come before in the axis's order.
 
-    Approximate quantiles a little before and behind each threshold's rank bracket it; how many values lie under a bracket is counted, and only
-    the values within brackets, a row for each, are shuffled and ranked. A bracket that turns out not to hold its rank is opened to all values.
+    Approximate quantiles cut each axis in buckets, many more than intervals; one aggregate counts all buckets of all axes. So the bucket of every
+    rank is known, and only the values of these buckets, a row for each, are shuffled and ranked. Expressions are as many as axes, however
+    many the intervals.
     """
     spark = df.sparkSession
-    x = {a: F.col(c).cast("double") for a, c in enumerate(axes, 1)}
-    x = {a: F.when(~F.isnan(c), c) for a, c in x.items()}  # null where there is no number
-    shares = {a: [min(1.0, max(0.0, i / k + d)) for i in range(1, k) for d in (-SLACK, SLACK)] for a, k in enumerate(intervals, 1) if k > 1}
+    wanted = {a: k for a, k in enumerate(intervals, 1) if k > 1}
     schema = "axis int, i int, threshold double"
-    if not shares:
-        return spark.createDataFrame([], schema)
-    first = df.agg(*[F.count(x[a]).alias(f"n{a}") for a in shares], *[F.percentile_approx(x[a], F.array(*[F.lit(p) for p in ps]), F.lit(10_000)).alias(f"p{a}") for a, ps in shares.items()]).head()
-    wanted = [(a, i, i * first[f"n{a}"] // intervals[a - 1], *first[f"p{a}"][2 * i - 2 : 2 * i]) for a in shares if first[f"n{a}"] for i in range(1, intervals[a - 1])]
     if not wanted:
         return spark.createDataFrame([], schema)
-    counts = df.agg(*[f(c).alias(f"{g}{k}") for k, (a, _, _, lo, hi) in enumerate(wanted) for f, g, c in ((F.count_if, "under", x[a] < lo), (F.count_if, "upto", x[a] <= hi))]).head()
-    rows = []
-    for k, (a, i, rank, lo, hi) in enumerate(wanted):
-        sure = counts[f"under{k}"] <= rank < counts[f"upto{k}"]
-        rows.append((a, i, rank, lo if sure else float("-inf"), hi if sure else float("inf"), counts[f"under{k}"] if sure else 0))
-    within = {a: reduce(lambda p, q: p | q, [(x[a] >= lo) & (x[a] <= hi) for b, _, _, lo, hi, _ in rows if b == a]) for a in {r[0] for r in rows}}
-    values = F.array(*[F.when(hit, F.struct(F.lit(a).alias("axis"), x[a].alias("x"))) for a, hit in within.items()])
-    counted = df.select(F.explode(F.array_compact(values)).alias("v")).groupBy("v.axis", "v.x").agg(F.count("*").alias("n"))
-    brackets = F.broadcast(spark.createDataFrame(rows, "axis int, i int, rank long, lo double, hi double, before long"))
-    held = counted.join(brackets, "axis").where("x >= lo and x <= hi")
-    upto = Window.partitionBy("axis", "i").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = held.withColumn("end", F.col("before") + F.sum("n").over(upto))
+    x = {a: F.col(axes[a - 1]).cast("double") for a in wanted}
+    x = {a: F.when(~F.isnan(c), c) for a, c in x.items()}  # null where there is no number
+    parts = {a: min(MOST_BUCKETS, max(LEAST_BUCKETS, 16 * k)) for a, k in wanted.items()}
+    cuts = df.agg(*[F.percentile_approx(x[a], F.lit([p / n for p in range(1, n)]), F.lit(10_000)).alias(f"p{a}") for a, n in parts.items()]).head()
+    cuts = {a: sorted(set(cuts[f"p{a}"] or [])) for a in wanted}
+    each = F.array(*[F.when(x[a].isNotNull(), F.struct(F.lit(a).alias("axis"), ordered_place(x[a], cuts[a]).alias("bucket"), x[a].alias("x"))) for a in wanted])
+    placed = df.select(F.explode(F.array_compact(each)).alias("v")).select("v.*")
+    counts = placed.groupBy("axis", "bucket").agg(F.count("*").alias("n")).orderBy("axis", "bucket").collect()  # one row a bucket
+    total = {a: sum(r["n"] for r in counts if r["axis"] == a) for a in wanted}
+    ranks = {a: [(i * total[a] // k, i) for i in range(1, k)][::-1] for a, k in wanted.items()}
+    before, sought = {a: 0 for a in wanted}, []
+    for r in counts:
+        a = r["axis"]
+        while ranks[a] and ranks[a][-1][0] < before[a] + r["n"]:
+            rank, i = ranks[a].pop()
+            sought.append((a, r["bucket"], i, rank - before[a]))
+        before[a] += r["n"]
+    if not sought:
+        return spark.createDataFrame([], schema)
+    sought = F.broadcast(spark.createDataFrame(sought, "axis int, bucket int, i int, rank long"))  # one row an interval
+    held = placed.join(sought.select("axis", "bucket").distinct(), ["axis", "bucket"], "left_semi").groupBy("axis", "bucket", "x").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("axis", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.withColumn("end", F.sum("n").over(upto)).join(sought, ["axis", "bucket"])
     return ranked.where("end > rank and end - n <= rank").select("axis", "i", F.col("x").alias("threshold"))
 
 
@@ -64,8 +79,8 @@ def collect_thresholds(thresholds: DataFrame, dims: int) -> list[list[float]]:
 
 
 def level(x: Column, thresholds: Sequence[float]) -> Column:
-    """1 + the number of thresholds at or under x."""
-    return F.aggregate(F.array(*[F.lit(float(t)) for t in thresholds]).cast("array<double>"), F.lit(1), lambda n, t: n + (x >= t).cast("int"))
+    """1 + the number of the sorted thresholds at or under x."""
+    return F.when(x.isNotNull(), 1 + ordered_place(x, thresholds))
 
 
 def with_levels(df: DataFrame, axes: Sequence[str], thresholds: Sequence[Sequence[float]]) -> DataFrame:
@@ -88,7 +103,7 @@ def with_blocks(levelled: DataFrame, dims: int, padded: bool = False) -> DataFra
         ranks = [0] * (max(order, default=0) + 1)
         for rank, v in enumerate(order):
             ranks[v] = rank
-        block, scale = block + F.get(F.array(*[F.lit(r) for r in ranks]), F.col(c)) * scale, scale * len(order)
+        block, scale = block + F.get(F.lit(ranks), F.col(c)) * scale, scale * len(order)
     return levelled.withColumn("block", block.cast("int"))
 
 
