@@ -369,3 +369,104 @@ def test_nearest_site_far_and_tied(spark):
 def test_grid(spark):
     got = sites.grid(spark, (3, 2)).orderBy("ix").collect()
     assert [r["ix"] for r in got] == [1, 2, 3, 4, 5, 6] and got[0]["var1"] == 0.25 and np.isclose(got[5]["var2"], 2 / 3)
+
+
+def test_nearest_site_is_brute_force(spark):
+    """Places, scales and distances of all kinds: clusters, ties, squares that overflow or vanish, new sites far from everything."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(5)
+    sets = [
+        (rng.normal(size=(1500, 2)), rng.normal(size=(300, 2)) * 2),
+        (np.concatenate([rng.normal(size=(900, 2)) * 1e-9, rng.normal(size=(900, 2)) * 1e-9 + 5, [[1e6, 1e6]]]), np.concatenate([rng.normal(size=(100, 2)) * 1e-9, rng.uniform(0, 5, (100, 2)), [[1e9, -1e9], [1e18, 3e18], [-1e300, 1e280]]])),
+        (np.array([[0.0, 0.0], [1e200, 0.0], [0.0, 1e200], [1.7e308, -1.7e308]]), np.array([[9e199, 0.0], [4e199, 4e199], [-1.7e308, 1.7e308], [1.7e308, 0.0]])),
+        (rng.integers(0, 40, (1200, 2)) * 1e-170, rng.integers(0, 80, (200, 2)) * 0.5e-170),
+        (rng.integers(0, 12, (100, 2)) * 1.0, rng.integers(0, 24, (150, 2)) * 0.5),
+    ]
+    for ref, new in sets:
+        known = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(ref)], "ix long, var1 double, var2 double")
+        asked = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(new)], "ix long, var1 double, var2 double")
+        exact = [(Fraction(float(a)), Fraction(float(b))) for a, b in ref]
+        for r in neighbors.nearest_site(asked, known).collect():
+            a, b = Fraction(float(new[r["ix"]][0])), Fraction(float(new[r["ix"]][1]))
+            h = np.hypot((ref[:, 0] - float(a)) * 2.0**-6 if abs(a) < 1e300 else ref[:, 0] * 2.0**-6 - float(a) * 2.0**-6, ref[:, 1] * 2.0**-6 - float(b) * 2.0**-6)
+            close = np.flatnonzero(h <= h.min() * (1 + 1e-12))
+            squares = {int(k): (exact[k][0] - a) ** 2 + (exact[k][1] - b) ** 2 for k in close}
+            best = min(squares.values())
+            assert squares[r["near"]] <= best * (1 + Fraction(1, 1 << 49)), (r, ref[r["near"]])
+            if squares[r["near"]] == best:
+                assert r["near"] == min(k for k, v in squares.items() if v == best)
+    assert [neighbors.depth(n) for n in (1, 32, 33, 1024, 1025, 10**9)] == [1, 1, 2, 2, 3, 6]
+
+
+def first_fit(near, order):
+    colors = {}
+    for b in order:
+        taken = {colors[m] for m in near.get(b, ()) if m in colors}
+        colors[b] = next(c for c in range(len(taken) + 1) if c not in taken)
+    return colors
+
+
+@pytest.mark.parametrize("tile", [3, 50, 1 << 16])
+def test_first_fit_in_rounds_is_first_fit_in_order(spark, tile):
+    rng = np.random.default_rng(tile)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(1, 151, (500, 2)) if a != b}
+    pairs |= {(b, a) for a, b in pairs}
+    blocks = spark.createDataFrame([(b, int(b % 7 > 0)) for b in range(1, 151)], "block int, n_obs int")
+    seen = [b for b in range(1, 151) if b % 7]
+    members = spark.createDataFrame([p for p in pairs if p[0] % 7 and p[1] % 7], "block int, member int")
+    near = {}
+    for a, b in pairs:
+        if a % 7 and b % 7:
+            near.setdefault(a, []).append(b)
+    want = first_fit(near, seen)
+    got = {r["block"]: r["color"] for r in mesh.greedy_colors(members, blocks, tile).collect()}
+    assert {b: got[b] for b in seen} == want
+    assert {got[b] for b in range(1, 151) if not b % 7} == {max(want.values()) + 1}
+    waits = spark.createDataFrame([(b, [m for m in near.get(b, []) if m < b]) for b in seen], "block int, waiting array<int>")
+    assert mesh.settle(waits, "first_fit", tile)._gridloom_rounds <= -(-151 // tile)
+
+
+def test_first_fit_of_many_blocks_takes_few_rounds(spark):
+    """A grid of 250 x 160 blocks, each next to eight others: 40,000 blocks in 10 tiles."""
+    side, rows = 250, 160
+    grid = spark.range(side * rows).select((F.col("id") + 1).cast("int").alias("block"), (F.col("id") % side).alias("i"), F.expr("id div 250").alias("j"))
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1, 0), (-1, -1), (0, -1), (1, -1))])).alias("s")
+    before = grid.select("block", "i", "j", step).where(f"i + s.a between 0 and {side - 1} and j + s.b >= 0")
+    waits = before.groupBy("block").agg(F.collect_list((F.col("block") + F.col("s.a") + side * F.col("s.b")).cast("int")).alias("waiting"))
+    waits = grid.select("block").join(waits, "block", "left").select("block", F.coalesce("waiting", F.array().cast("array<int>")).alias("waiting"))
+    found = mesh.settle(waits, "first_fit", 4096)
+    assert found._gridloom_rounds <= 10
+    near = {j * side + i + 1: [(j + b) * side + i + a + 1 for a, b in ((-1, 0), (-1, -1), (0, -1), (1, -1)) if 0 <= i + a < side and j + b >= 0] for j in range(rows) for i in range(side)}
+    assert dict(map(tuple, found.collect())) == first_fit(near, range(1, side * rows + 1))
+
+
+def test_blocks_in_a_circle_are_an_error(spark):
+    with pytest.raises(ValueError, match="circle"):
+        mesh.settle(spark.createDataFrame([(1, [2]), (2, [1]), (3, [])], "block int, waiting array<int>"), "longest")
+
+
+def test_groups_move_behind_their_parents(spark):
+    edges = spark.createDataFrame([(2, 1, 0), (3, 2, 0), (4, 1, 0), (5, 4, 0)], "child int, parent int, slot int")
+    colors = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1), (5, 1)], "block int, color int")
+    for tile in (1, 2, 100):
+        assert dict(map(tuple, mesh.colors_apart(edges, colors, tile).collect())) == {1: 0, 2: 2, 3: 4, 4: 1, 5: 3}
+
+
+def test_thresholds_of_many_intervals(spark):
+    """A thousand intervals an axis are exact, with ties, nulls and NaN, and take no more expressions than two."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=20_000), np.round(rng.normal(size=20_000), 2)
+    rows = [(float(x), float(y)) for x, y in zip(a, b, strict=True)] + [(None, float("nan"))] * 100
+    df = spark.createDataFrame(rows, "var1 double, var2 double")
+    found = {(r["axis"], r["i"]): r["threshold"] for r in tess.order_statistics(df, ["var1", "var2"], (1000, 1000)).collect()}
+    for axis, x in ((1, np.sort(a)), (2, np.sort(b))):
+        assert [found[axis, i] for i in range(1, 1000)] == [x[i * 20_000 // 1000] for i in range(1, 1000)]
+    thresholds = tess.collect_thresholds(spark.createDataFrame([(k[0], t) for k, t in found.items()], "axis int, threshold double"), 2)
+    levelled = tess.with_levels(df, ["var1", "var2"], thresholds)
+    got = levelled.collect()
+    assert all(r["l1"] == 1 + np.searchsorted(thresholds[0], r["var1"], "right") and r["l2"] == 1 + np.searchsorted(thresholds[1], r["var2"], "right") for r in got[:20_000])
+    assert {(r["l1"], r["l2"]) for r in got[20_000:]} == {(None, 1000)}
+    nodes = lambda t: levelled.sparkSession._jvm.PythonSQLUtils.explainString(tess.with_levels(df, ["var1", "var2"], t)._jdf.queryExecution(), "simple").count("lambdafunction")
+    assert nodes(thresholds) == nodes([[0.0], [0.0]])
+    assert tess.order_statistics(df.limit(0), ["var1", "var2"], (5, 5)).count() == 0
