@@ -108,3 +108,8 @@ def symmetric_entries(df: DataFrame, vector: str, keep: list[str]) -> DataFrame:
     rows = df.select(*keep, vector, side.alias("p"), F.explode(cells).alias("c"))
     value = F.when(F.col("c.i") == F.col("c.j"), F.lit(0.0)).otherwise(F.try_element_at(F.col(vector), place.cast("int")).cast("double"))
     return rows.select(*keep, F.col("c.i").alias("i"), F.col("c.j").alias("j"), value.alias("value"))
+
+
+def inverse_deviation(var: Column) -> Column:
+    """The diagonal of the factor of a diagonal precision: one over the standard deviation; null where there is no variance left."""
+    return F.when(var > 0, 1 / F.sqrt(var))

@@ -371,8 +371,11 @@ class MemoryEngine:
             return None
 
 
-def iterate_collapsed(engine: MemoryEngine, settings: Settings, state: State | None = None) -> Iterator[tuple[int, State]]:
-    """Draws of the covariance and the noise alone, with the process integrated out; bounds end with those of the noise."""
+def iterate_collapsed(engine, settings: Settings, state: State | None = None) -> Iterator[tuple[int, State]]:
+    """Draws of the covariance and the noise alone, with the process integrated out; bounds end with those of the noise.
+
+    engine: what has collapsed(theta, tausq), MemoryEngine or fronts.Dissection.
+    """
     state = state or settings.start(0)
     tuned = replace(settings, bounds=(*settings.bounds[: len(state.theta)], (1e-4, 10.0)))
     joint = State([*state.theta, state.tausq[0]], state.tausq, proposal=state.proposal or Ram(0.3 * np.eye(len(state.theta) + 1)))

@@ -34,8 +34,9 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes a table made by cut() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._gridloom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by cut() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._gridloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

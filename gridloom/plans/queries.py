@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import covariance as cov
 from ..functions import scalars as sc
-from ..operators import gaussian, mesh, neighbors, summaries
+from ..operators import fronts, gaussian, mesh, neighbors, summaries
 from ..operators import tessellation as tess
 from ..operators.kernels import Family
 from ..operators.sampler import Settings
@@ -522,6 +522,10 @@ def nn_block(spark, sf_dir):
 
 @query(f"WITH {NEAR} SELECT ix, round(exp(-1.5 * sqrt(d2)) * w, 6) + 0.0 AS mean, round(2.0 * (1 - exp(-3.0 * sqrt(d2))), 6) AS var FROM x")
 def krige_1nn(spark, sf_dir):
+    return _krige_1nn(spark, sf_dir).select("ix", six("mean").alias("mean"), six("var").alias("var"))
+
+
+def _krige_1nn(spark, sf_dir):
     """Kriging from a block of one site: the nearest."""
     found = cut(_near(spark, sf_dir).withColumn("block", F.col("ix").cast("int")))
     rows = sites.sites_2d(spark, sf_dir)
@@ -529,7 +533,13 @@ def krige_1nn(spark, sf_dir):
     known = known.select(F.col("block").cast("long").alias("ix"), "var1", "var2", "block", "w_draws")
     new = rows.select("ix", "var1", "var2").join(found.select("ix", "block"), "ix")
     none = spark.createDataFrame([], "child int, parent int, slot int")
-    return gaussian.predict(new, known, none, [(2.0, 1.5)]).select("ix", six("mean").alias("mean"), six("var").alias("var"))
+    return gaussian.predict(new, known, none, [(2.0, 1.5)])
+
+
+@query(f"WITH {NEAR} SELECT ix, round(1 / sqrt(2.0 * (1 - exp(-3.0 * sqrt(d2)))), 5) AS half FROM x WHERE d2 > 0")
+def krige_half(spark, sf_dir):
+    """One over the deviation that is left at each new site."""
+    return _krige_1nn(spark, sf_dir).where("var > 0").select("ix", F.round(sc.inverse_deviation(F.col("var")), 5).alias("half"))
 
 
 # --- Gaussian process steps (tests hold those without SQL against dense matrices) -----------------------------------------------------
@@ -562,6 +572,56 @@ def block_loglik(spark, sf_dir):
     return found.select("block", six("logdet").alias("logdet"), (F.round("quad", 5) + F.lit(0.0)).alias("quad"))
 
 
+#: A chain of blocks of one site: the filter's mean m and variance v of each, and the log density so far; then the smoother's, from the end.
+CHAIN = f"""{SITES_2D}, r AS (SELECT ix, y_full AS y, row_number() OVER (ORDER BY ix) AS i, exp(-2.0 * sqrt((var1 - lag(var1) OVER (ORDER BY ix)) ** 2 + (var2 - lag(var2) OVER (ORDER BY ix)) ** 2)) AS k0 FROM s),
+q AS (SELECT i, ix, y, coalesce(k0, 0.0) AS k FROM r),
+f AS (SELECT 0::BIGINT AS i, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v, 0.0::DOUBLE AS ll, 0.0::DOUBLE AS a, 1.5::DOUBLE AS p UNION ALL
+  SELECT q.i, k * m + (k * k * v + 1.5 * (1 - k * k)) / (k * k * v + 1.5 * (1 - k * k) + 0.1) * (y - k * m),
+    (k * k * v + 1.5 * (1 - k * k)) * 0.1 / (k * k * v + 1.5 * (1 - k * k) + 0.1),
+    ll - 0.5 * (ln(2 * pi() * (k * k * v + 1.5 * (1 - k * k) + 0.1)) + (y - k * m) ** 2 / (k * k * v + 1.5 * (1 - k * k) + 0.1)), k * m, k * k * v + 1.5 * (1 - k * k)
+  FROM f JOIN q ON q.i = f.i + 1),
+g AS (SELECT i, m AS x, v AS w FROM f WHERE i = (SELECT max(i) FROM q) UNION ALL
+  SELECT f.i, f.m + f.v * q.k / n.p * (x - n.a), f.v + (f.v * q.k / n.p) ** 2 * (w - n.p) FROM g JOIN f ON f.i = g.i - 1 JOIN f AS n ON n.i = g.i JOIN q ON q.i = g.i WHERE f.i > 0)"""
+
+
+def _chain(spark, sf_dir):
+    """The sites as a chain of blocks of one site, each the parent of the next, dissected by their numbers."""
+    rows = sites.row_ids(sites.sites_2d(spark, sf_dir), ["ix"], "block").withColumn("block", F.col("block").cast("int")).withColumn("y", F.col("y_full"))
+    rows = cut(rows)
+    edges = rows.where("block > 1").select(F.col("block").alias("child"), (F.col("block") - 1).alias("parent"), F.lit(0).alias("slot"))
+    places = rows.select("block", F.col("block").cast("double").alias("var1"), F.lit(0.0).alias("var2"))
+    return fronts.Dissection(rows, edges, places=places, leaf=32)
+
+
+@query(f"WITH RECURSIVE {CHAIN} SELECT round(ll, 5) AS loglik FROM f WHERE i = (SELECT max(i) FROM q)")
+def collapsed_chain(spark, sf_dir):
+    """The log density of a chain's observations, the process integrated out: in SQL, a Kalman filter."""
+    return spark.createDataFrame([(round(_chain(spark, sf_dir).collapsed((1.5, 2.0), 0.1), 5),)], "loglik double")
+
+
+@query(f"WITH RECURSIVE {CHAIN} SELECT ix, round(x, 6) + 0.0 AS mean, round(w, 6) AS var FROM g JOIN q USING (i)")
+def posterior_chain(spark, sf_dir):
+    """The posterior mean and variance at each site of a chain: in SQL, a Kalman smoother."""
+    found = _chain(spark, sf_dir).posterior((1.5, 2.0), 0.1)
+    return found.select("ix", six(F.get("mean", F.lit(0))).alias("mean"), six(F.get("var", F.lit(0))).alias("var"))
+
+
+@query()
+def collapsed_mesh(spark, sf_dir):
+    """The collapsed log density of the sites' mesh for some parameters."""
+    blocked, edges, _ = _fitted(spark, sf_dir, masked=True)
+    whole = fronts.Dissection(blocked, edges)
+    return spark.createDataFrame([(s2, phi, t2, whole.collapsed((s2, phi), t2)) for s2, phi, t2 in ((0.05, 1.0, 0.01), (0.05, 4.0, 0.01), (0.05, 4.0, 0.1))], "sigmasq double, phi double, tausq double, loglik double")
+
+
+@query()
+def posterior_mesh(spark, sf_dir):
+    """The posterior mean and variance of the process at each site of the mesh, by the selected inverse."""
+    blocked, edges, _ = _fitted(spark, sf_dir, masked=True)
+    found = fronts.Dissection(blocked, edges).posterior((0.05, 4.0), 0.01)
+    return found.select("ix", F.get("mean", F.lit(0)).alias("mean"), F.get("var", F.lit(0)).alias("var"))
+
+
 @query()
 def theta_grid_loglik(spark, sf_dir):
     blocked, edges, _ = _fitted(spark, sf_dir)
