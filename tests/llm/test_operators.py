@@ -1,7 +1,10 @@
 """The dealt operators against SQL, brute force, the tokenizers library and planted cases."""
 
 import hashlib
+import itertools
+import math
 import textwrap
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -9,7 +12,8 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
-from gridloom.llm import ann, bpe, licenses, mixing, quality, simhash, suffix, toxicity, urls, warc
+from gridloom.llm import ann, audit, bpe, licenses, mixing, prefixes, quality, simhash, suffix, toxicity, urls, warc
+from gridloom.llm import jaccard as join
 from gridloom.llm import queries as Q
 from pyspark.sql import functions as F
 
@@ -42,7 +46,7 @@ def texts():
 @pytest.mark.parametrize("name", list(Q.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(Q.ORACLE_SQL[name]).fetchall()
     names = [d[0] for d in con.execute(Q.ORACLE_SQL[name]).description]
@@ -657,3 +661,205 @@ def test_pipeline_stages(spark):
     assert abs(sum(len(split(r["text"])) for r in mixed.collect()) / sum(len(split(r["text"])) for r in cut.collect()) - 1.5) < 0.01
     tokens = step["tokens"](spark, mixed, SF)
     assert tokens.count() == mixed.count()
+
+
+def brute_trie(rows, every=100, most=6):
+    """conv_id, depth: parent, members, children, leaves, saved, hash of each node, by sets of members."""
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs[c].append(((turn is not None, turn or 0), (role is not None, role or ""), (text is not None, text or ""), role or "", text or ""))
+    turns = {c: [x[3:] for x in sorted(v)] for c, v in convs.items()}
+    whole = {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % most
+        whole[c] = tuple(turns.get(c - int(math.fmod(c, every)), [])[:h] + own[h:])
+    members = defaultdict(list)
+    for c, t in whole.items():
+        for d in range(len(t) + 1):
+            members[t[:d]].append(c)
+    kids = Counter(k[:-1] for k in members if k)
+    leaves, saved = Counter(), Counter()
+    for k, m in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += not kids[k]
+            saved[k[:d]] += (len(m) - 1) * len(k[-1][1]) if k else 0
+    ends = lambda k, m: hashlib.sha256(",".join(map(str, sorted(c for c in m if whole[c] == k))).encode()).hexdigest()
+    return sorted((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), kids[k], leaves[k], saved[k], ends(k, m)) for k, m in members.items())
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("partitions", ["1", "5"])
+def test_prefix_trie_is_brute_force(spark, partitions, monkeypatch):
+    """Nulls, ties, repeated rows, ids below zero, absent and short donors, many equal conversations, one long one, turnless ones."""
+    monkeypatch.setattr(prefixes, "STRETCH", 3)
+    rng = np.random.default_rng(1)
+    rows = [(int(c), int(t), str(rng.choice(["user", "assistant"])), str(rng.choice(["a", "b", "Ünï \U0001F600"]))) for c in range(0, 330) if c not in (100, 205) for t in range(rng.integers(1, 7))]
+    rows += [(c, t, "user", "same") for c in range(1000, 1100) for t in range(4)]  # copies, but for what they are given
+    rows += [(c, 0, "u", "x") for c in range(2001, 2040)]  # some have no turns left; no donor
+    rows += [(5000, t, "u", str(t)) for t in range(300)]
+    rows += [(7, None, None, None), (7, None, None, "n"), (7, 2, "x", None), (7, 2, "x", None), (-150, 1, "r", ""), (-100, 1, "q", "t"), (None, 1, "r", "t")]
+    conf = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame(rows, TURNS).withColumn("depth", F.lit(1)).withColumn("key", F.lit(2)).repartition(3)
+        made = prefixes.trie(*prefixes.rebuilt(prefixes.ordered(df), F.col("conv_id") - F.col("conv_id") % 100, F.crc32(F.col("conv_id").cast("string")) % 6, limit=5))
+        none = prefixes.ordered(spark.createDataFrame([], TURNS))
+        assert prefixes.trie(*prefixes.rebuilt(none, F.col("conv_id"), F.lit(1), 5)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", conf)
+    assert sorted(map(tuple, made.collect())) == brute_trie(rows)
+
+
+def test_prefix_rounds_follow_what_is_shared(spark, monkeypatch):
+    """Long equal conversations and long tails take no rounds: only what different conversations share does."""
+    levels = []
+    keep = prefixes.store
+    monkeypatch.setattr(prefixes, "store", lambda df, name: levels.append(name) or keep(df, name))
+    rows = [(c, t, "u", f"{t}") for c in (1, 2, 3) for t in range(60)] + [(4, 0, "u", "0"), (4, 1, "u", "other")] + [(4, t, "u", "tail") for t in range(2, 90)]
+    made = prefixes.trie(*prefixes.rebuilt(prefixes.ordered(spark.createDataFrame(rows, TURNS)), F.col("conv_id") + 10_000, F.lit(0), 1))
+    assert levels.count("active") == 2 and made.count() == 1 + 60 + 89
+
+
+def brute_audit(docs, labels):
+    least, good, toxic = {}, set(), set()
+    for d, _, t in docs:
+        if d is not None:
+            least[t or ""] = min(d, least.get(t or "", d))
+    for d, q, x in labels:
+        good |= {d} if q == 1 else set()
+        toxic |= {d} if x == 1 else set()
+    parts = defaultdict(list)
+    for d, source, t in docs:
+        t = t or ""
+        w = split(t)
+        fails = {"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t), "D": any(c in "#$%&*|" for c in t), "E": d is not None and d > least.get(t, d)}
+        parts[source or ""].append(({k for k, v in fails.items() if v}, d is not None and d in good, d is not None and d in toxic))
+    out = []
+    for part, rows in parts.items():
+        total, steps = Counter(), []
+        for order in itertools.permutations("ABCDE"):
+            left = rows
+            for step, k in enumerate(order, 1):
+                gone, after = [r for r in left if k in r[0]], [r for r in left if k not in r[0]]
+                total[k] += len(gone)
+                steps.append((part, "".join(order), step, len(after), len(gone), sum(k in r[0] for r in rows) - len(gone), sum(r[0] == {k} for r in rows), sum(r[1] for r in gone), sum(r[2] for r in gone), k))
+                left = after
+        out += [(*s[:-1], total[s[-1]]) for s in steps]
+    return sorted(out)
+
+
+def test_filter_audit_is_brute_force(spark):
+    """Nulls in any column, repeated rows and ids, several labels, labels of nobody, texts of every kind of failure, no documents."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(200)]
+    texts = odd_texts() + ["A" * 40 + " " + " ".join(words[:60]), " ".join(words[:60]) + " #", "x y " * 40]
+    texts += [" ".join(rng.choice(words, rng.integers(20, 120))) + str(rng.choice(["", " ABCDEFGH" * 8, " $"])) for _ in range(40)]
+    docs = [(i if i % 9 else None, ["s", "t", None, ""][i % 4], t) for i, t in enumerate(texts)] + [(100 + i, "t", texts[i]) for i in range(0, 40, 3)]
+    docs += docs[5:9] + [(7, "s", "another text of the same id")]
+    labels = [(i, int(i % 2), int(i % 3 == 0)) for i in range(60)] + [(4, 1, 1), (9999, 1, 1), (None, 1, 1), (6, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("part", F.lit("x")).withColumn("fails", F.lit(3)).withColumn("digest", F.lit(3)).repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, quality long, toxic long").withColumn("id", F.lit(1))
+    assert sorted(map(tuple, audit.audit(df, marks).collect())) == brute_audit(docs, labels)
+    assert audit.audit(df.limit(0), marks).count() == 0
+    assert audit.word_counts(b"a b a\x0bc \x1f ") == (5, 4)
+
+
+def test_words_of_long_texts_are_counted_over_parts(monkeypatch):
+    text = b" ".join(b"w%d" % (i % 70) for i in range(500))
+    whole = audit.word_counts(text)
+    monkeypatch.setattr(audit, "BLOCK", 16)
+    assert audit.word_counts(text) == whole == (500, 70)
+    hashes = join.word_hashes(text)
+    monkeypatch.setattr(join, "BLOCK", 16)
+    assert (join.word_hashes(text) == hashes).all() and len(hashes) == 500
+
+
+def brute_join(docs, width, percent):
+    sets = []
+    for _, t in docs:
+        w = split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset())
+    near = lambda i, j: bool(sets[i]) and bool(sets[j]) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if find(i) != find(j) and near(i, j):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(docs)), key=repr)
+
+
+@pytest.mark.parametrize("group, bucket", [(1024, 1 << 20), (4, 1 << 9)])
+def test_jaccard_join_is_brute_force(spark, monkeypatch, group, bucket):
+    """Pairs around the limit, chains of near copies, one hot group, equal prefixes, shared passages, odd and repeated rows; small blocks and many buckets."""
+    for module in (join, simhash):
+        monkeypatch.setattr(module, "GROUP", group)
+    monkeypatch.setattr(join, "BUCKET", bucket)
+    rng = np.random.default_rng(group)
+    word = lambda: f"w{rng.integers(4000)}"
+    base = [[word() for _ in range(rng.integers(30, 200))] for _ in range(8)]
+    passage = [word() for _ in range(40)]
+    texts = odd_texts()
+    for b in base:
+        now = list(b)
+        for _ in range(10):  # a chain: neighbours are near, the ends are not
+            now[rng.integers(len(now))] = word()
+            texts.append(" ".join(now))
+        for _ in range(6):  # variants, of which some are around the limit
+            v = list(b)
+            for k in rng.integers(len(v), size=rng.integers(1, 6)):
+                v[k] = word()
+            texts.append(" ".join(v).upper() if rng.integers(2) else "\n".join(v))
+    for _ in range(12):
+        texts.append(" ".join([word() for _ in range(rng.integers(5, 25))] + passage))
+    hot = [word() for _ in range(120)]
+    for k in range(60):
+        v = list(hot)
+        v[k] = word()
+        texts.append(" ".join(v))
+    docs = [(i if i % 10 else None, t) for i, t in enumerate(texts)] + [(3000 + i, texts[-i]) for i in range(1, 30)]
+    docs += docs[20:24] + [(50, "one id with another text " * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    df = df.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("digest", "n", "row", "node", "id", "label", "n_shingles", "component_id")])
+    got = [tuple(r) for r in join.similar(df, ["doc_id"]).collect()]
+    assert sorted(got, key=repr) == brute_join(docs, 4, 85)
+    assert join.similar(df, ["doc_id", "row", "node", "n_shingles"]).columns == ["doc_id", "row", "node", "n_shingles", "component_id"]
+    assert join.similar(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_jaccard_groups_hold_equal_prefixes(spark):
+    """Sets of one prefix and size are one group, and its pairs come from the group, not from each of its keys."""
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join(common[:k] + ["x"] + common[k:]) for k in range(1, 40)] * 2 + [" ".join(f"u{i}" for i in range(50))]
+    nodes = join.prefixes(docs_of(spark, texts), "text", 4, 85, 4000)
+    held = join.grouped(nodes).collect()
+    keys = {r["node"]: (r["n"], tuple(r["keys"])) for r in nodes.where("whole").collect()}
+    assert all(r["chief"] == (min(k for k, v in keys.items() if v == keys[r["node"]]) if r["whole"] else r["node"]) for r in held)
+    for r in held:
+        assert r["apart"] >= 0 and (r["node"] != r["chief"] or r["apart"] == 0)
+
+
+def test_parity_bitmaps_never_leave_out_a_link():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(0.7, 1)], rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64)]))
+        bits = join.parity(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
+        differ = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+        common = len(np.intersect1d(a, b))
+        assert differ <= len(a) + len(b) - 2 * common
+        words, n = bits.view(np.uint64).reshape(2, -1), np.array([len(a), len(b)])
+        if 100 * common >= 85 * (len(a) + len(b) - common):
+            assert join.may_links(n, words, np.zeros(2, np.int64), 0, 2, 85).all()
