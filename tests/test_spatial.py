@@ -1,5 +1,6 @@
 """The spatial operators: SQL on the small tables, hand-made cases, dense matrices."""
 
+import math
 import os
 
 import duckdb
@@ -470,3 +471,34 @@ def test_thresholds_of_many_intervals(spark):
     nodes = lambda t: levelled.sparkSession._jvm.PythonSQLUtils.explainString(tess.with_levels(df, ["var1", "var2"], t)._jdf.queryExecution(), "simple").count("lambdafunction")
     assert nodes(thresholds) == nodes([[0.0], [0.0]])
     assert tess.order_statistics(df.limit(0), ["var1", "var2"], (5, 5)).count() == 0
+
+
+@pytest.mark.parametrize("many", [1_000_000, 2000, 50])
+def test_quantiles_are_selected(spark, many):
+    """Keys of one draw and of many, ties, nulls and NaN; with a low limit, keys are cut in buckets again and again."""
+    rng = np.random.default_rng(6)
+    values = {1: [5.0], 2: list(rng.normal(size=3000)), 3: [1.0] * 900 + [2.0] * 100, 4: list(np.round(rng.normal(size=1500), 1)), 5: [float("inf"), -3.0], None: list(rng.normal(size=400))}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [(2, None), (2, float("nan")), (6, None)]
+    df = spark.createDataFrame(rows, "ix long, value double").repartition(5)
+    probs = (0.0, 0.025, 0.3, 0.5, 0.95, 1.0)
+    for linear in (False, True):
+        got = {(r["ix"], r["prob"]): r["quantile"] for r in summaries.draw_quantiles(df, probs, linear=linear, many=many).collect()}
+        assert len(got) == 6 * len(probs)
+        for k, vs in values.items():
+            x, n = sorted(vs), len(vs)
+            for q in probs:
+                if linear:
+                    at = q * (n - 1)
+                    lo, hi, w = int(at), min(int(at) + 1, n - 1), at - int(at)
+                else:
+                    r = q * n
+                    begin = max(r - 1, 0.0)
+                    lo, hi = (int(begin), min(int(begin) + 1, n - 1)) if r >= n / 2 else (max(math.ceil(begin) - 1, 0), math.ceil(begin))
+                    w = 0.5 + (r - math.floor(r + 0.5))
+                want = (1 - w) * x[lo] + w * x[hi]
+                assert np.isclose(got[k, q], want) or (np.isnan(want) and np.isnan(got[k, q])), (k, q, linear)
+
+
+def test_quantiles_gather_no_lists(spark):
+    plan = summaries.draw_quantiles(spark.range(100).select(F.lit(1).alias("ix"), F.col("id").cast("double").alias("value")), (0.5,))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
