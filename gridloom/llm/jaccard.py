@@ -160,7 +160,7 @@ def _block_tokens(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> I
             bucket = (alone >> np.uint64(48 - bits)).astype(np.int64) if bits else np.zeros(len(alone), np.int64)
             cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
             rows = [(int(bucket[a]), block, _REST, _packed(alone[a:b], docs[a:b], count[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            home = block * 0x9E3779B1 % (1 << bits)
+            home = (block * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - bits)
             info = b"".join([sizes.astype(np.int64).tobytes(), short.astype(np.int64).tobytes(), b"".join(chosen), bitmaps.tobytes()])
             rows += [(home, block, _INFO, info), (home, block, _SHARED, _packed(tokens[several], of[several], np.zeros(several.sum(), np.int64)))]
             yield _rows(rows)
