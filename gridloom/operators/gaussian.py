@@ -9,10 +9,14 @@ data (ok is false), not an error.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -167,10 +171,10 @@ def sweep(sites: DataFrame, edges: DataFrame, colors: DataFrame, theta: Sequence
 
 
 def gibbs_means(sites: DataFrame, edges: DataFrame, colors: DataFrame, theta: Sequence[float], tausq: float, family: Family = PLANE) -> DataFrame:
-    """ix, w: one sweep of conditional means over all blocks."""
-    rows = standard(sites, family)
-    done = sweep(cut(rows.withColumn("e", F.col("y"))), edges, colors, theta, tausq, (0, 0), noise=False, family=family)
-    return done.select("ix", "w")
+    """ix, w: one sweep of conditional means over all blocks with observations; the others keep their w."""
+    engine, state = SparkEngine(sites, edges, colors, family), State(list(theta), [tausq])
+    engine.sweep(state, (0, 0), noise=False)
+    return engine.values(state).select("ix", "w")
 
 
 def beta_posterior(df: DataFrame, x: Sequence[str], rest: str, tausq: float, precision: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
@@ -189,67 +193,297 @@ def _dot(a: str, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _packed(family: Family, rows: DataFrame) -> DataFrame:
+    """color, block, shape, held, points, data: what a block's task needs beside the process, as one binary value; shape: equal for congruent blocks, whose factors take held bytes."""
+
+    def pack(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                at, comp = np.array(r.at, float).reshape(len(r.ix), -1), np.array(r.comp, int)
+                near, lo, hi, up = {}, 0, 0, 0
+                for b, c, n, m in zip(r.near_block, r.near_color, r.near_n, r.near_m, strict=True):
+                    places = np.array(r.near_at[lo * at.shape[1] : (lo + n) * at.shape[1]], float).reshape(n, -1)
+                    near[int(b)] = (int(c), [int(x) for x in r.near_parents[up : up + m]], places, np.array(r.near_comp[lo : lo + n], int))
+                    lo, up = lo + n, up + m
+                parents = [int(x) for x in r.parents]
+                known = {**{b: v[2:] for b, v in near.items()}, int(r.block): (at, comp)}
+                key = _shape(int(r.block), parents, known)
+                keys = {b: _shape(b, v[1], known) for b, v in near.items() if int(r.block) in v[1]}
+                n, m = len(at) * family.per_site, sum(len(known[p][0]) for p in parents) * family.per_site
+                held = {"ix": list(r.ix), "at": at, "comp": comp, "x": np.array(r.x, float).reshape(len(at), -1), "z": np.array(r.z, float).reshape(len(at), -1), "y": np.array(r.y, float)}
+                held |= {"color": int(r.color), "out": [(int(b), int(c)) for b, c in zip(r.out_block, r.out_color, strict=True)], "parents": parents, "near": near, "shape": key, "shapes": keys}
+                out.append((int(r.color), int(r.block), key, 8 * n * (n + m), n, pickle.dumps(held)))
+            yield pd.DataFrame(out, columns=["color", "block", "shape", "held", "points", "data"])
+
+    return rows.mapInPandas(pack, "color int, block int, shape binary, held long, points long, data binary")
+
+
+def _shape(block: int, parents: Sequence[int], known: dict) -> bytes:
+    """What blocks of equal factors have in common: places relative to the block's first, sizes and components."""
+    whole = [known[b] for b in [block, *parents]]
+    apart = np.round((np.concatenate([at for at, _ in whole]) - whole[0][0][0]) / sampler.TOLERANCE).astype(np.int64)
+    sizes, comp = np.array([len(at) for at, _ in whole], np.int64), np.concatenate([c for _, c in whole]).astype(np.int64)
+    return hashlib.sha256(b"".join([sizes.tobytes(), apart.tobytes(), comp.tobytes()])).digest()
+
+
 class SparkEngine:
-    """The sites as a table; each step of a chain is a few jobs over blocks or rows. See sampler.MemoryEngine for what the steps do."""
+    """The sites as a table of blocks; each step of a chain is a job over blocks. See sampler.MemoryEngine for what the steps do.
+
+    What never changes (coordinates of a block and of all that it depends on, observations) is one row a block in a table that is bucketed and
+    sorted by block, so no step shuffles it. The state is a table of messages: each block's values, a row for each block that depends on them.
+    A sweep goes through the colours in one job: a colour's tasks read the messages to them, draw, and send new messages to those of the later
+    colours; only messages are shuffled, and the state is written once, at the end. One more job finds all sums of an iteration.
+
+    Where congruent blocks are many, the factors of each shape are made once for each theta, at unit variance (a new variance only rescales them),
+    and broadcast if they take at most FACTORS bytes; otherwise a block's task makes its own.
+    """
+
+    #: Bytes of factors that are broadcast.
+    FACTORS = 64 << 20
 
     def __init__(self, sites: DataFrame, edges: DataFrame, colors: DataFrame, family: Family, x: Sequence[str] = ()):
-        self.family, self.p = family, len(x)
-        self.table = cut(standard(sites, family, x), "sites")
-        seen = cut(_observed(self.table), "observed")
-        self.seen, self.edges = seen, edges
-        self.alone = cut(self.table.select("block").distinct().join(seen, "block", "left_anti"), "alone")
-        self.real = cut(edges.join(seen.withColumnRenamed("block", "child"), "child", "left_semi"), "edges")
-        self.colors = cut(colors.join(seen, "block", "left_semi"), "colors")
-        self.any_alone = not self.alone.isEmpty()
-        self.points = self.table.join(seen, "block", "left_semi").count() * family.per_site
-
-    def _swap(self, table: DataFrame) -> None:
-        release(self.table)
-        self.table = table
-
-    def _fixed(self, state: State) -> Column:
-        if not self.p:
-            return F.lit(0.0)
-        beta = F.array(*[F.array(*[F.lit(float(b)) for b in row]) for row in state.beta])
-        return _dot("x", F.get(beta, F.col("component") if self.family.several else F.lit(0)))
-
-    def _fitted(self) -> Column:
-        return _dot("z", F.col("w"))
-
-    def sweep(self, state: State, seed: Sequence[int]) -> None:
-        rows = self.table.withColumn("e", F.col("y") - self._fixed(state))
-        done = sweep(rows, self.real, self.colors, state.theta, state.tausq, seed, family=self.family)
-        self._swap(cut(done.drop("e"), "sites"))
-        release(done)
-
-    def predict(self, state: State, seed: Sequence[int]) -> None:
-        if self.any_alone:
-            self._swap(_with_w(self.table, draw_alone(self.table, self.edges, self.alone, state.theta, seed, family=self.family)))
+        self.family, self.p, self.spark = family, len(x), sites.sparkSession
+        rows = standard(sites, family, x)
+        self.kind = rows.schema["ix"].dataType.simpleString()
+        of = lambda c: F.transform("s", lambda r: r[c])
+        listed = F.array_sort(F.collect_list(F.struct("ix", "at", "component", "x", "z", F.coalesce("y", F.lit(float("nan"))).alias("y"), "w")))  # the sites of a block
+        whole = rows.groupBy("block").agg(listed.alias("s"), F.count("y").alias("n_obs")).select("block", "n_obs", of("ix").alias("ix"), *[F.flatten(of(c)).alias(c) for c in ("at", "x", "z", "w")], of("component").alias("comp"), of("y").alias("y"))
+        seen = whole.where("n_obs > 0").select("block")
+        real = edges.join(seen.withColumnRenamed("block", "child"), "child", "left_semi").select("child", "parent", "slot")
+        up = edges.groupBy("child").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "parent"))), lambda r: r["parent"]).alias("parents"))
+        none = F.array().cast("array<int>")
+        blocks = whole.join(up.withColumnRenamed("child", "block"), "block", "left").withColumn("parents", F.coalesce("parents", none))
+        own = colors.join(seen, "block", "left_semi").select(F.col("block").alias("of"), "color")
+        blocks = cut(blocks.join(own, F.col("block") == F.col("of"), "left").withColumn("color", F.coalesce("color", F.lit(-1))).drop("of"), "blocks")
+        pairs = edges.select(F.col("child").alias("target"), F.col("parent").alias("member")).union(real.select("parent", "child"))
+        beside = real.select(F.col("parent").alias("target"), "child").join(real.select("child", F.col("parent").alias("member")), "child").select("target", "member")
+        pairs = cut(pairs.union(beside).where("target <> member").distinct(), "pairs")
+        part = F.struct(F.col("block").alias("member"), "color", "at", "comp", "parents")
+        near = pairs.join(blocks.select(F.col("block").alias("member"), part.alias("m")), "member").groupBy("target").agg(F.array_sort(F.collect_list("m")).alias("m"))
+        out = pairs.join(blocks.select(F.col("block").alias("target"), "color"), "target").groupBy("member").agg(F.array_sort(F.collect_list(F.struct(F.col("target").alias("block"), "color"))).alias("out"))
+        each = lambda f: F.coalesce(F.transform("m", f), none)
+        flat = lambda c: F.coalesce(F.flatten(F.transform("m", lambda r: r[c])), F.array())
+        sent = lambda c: F.coalesce(F.transform("out", lambda r: r[c]), none).alias(f"out_{c}")
+        told = blocks.join(near, F.col("block") == F.col("target"), "left").join(out, F.col("block") == out["member"], "left").select(
+            "block", "color", "ix", "at", "comp", "x", "z", "y", "parents", each(lambda r: r["member"]).alias("near_block"), each(lambda r: r["color"]).alias("near_color"), each(lambda r: F.size(r["comp"])).alias("near_n"),
+            each(lambda r: F.size(r["parents"])).alias("near_m"), flat("at").alias("near_at"), flat("comp").alias("near_comp"), flat("parents").alias("near_parents"), sent("block"), sent("color"),
+        )
+        self.name = f"gridloom_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        _packed(family, told).repartition(buckets, "block").write.partitionBy("color").bucketBy(buckets, "block").sortBy("block").option("path", scratch(self.spark, "static")).format("parquet").saveAsTable(self.name)
+        self.static = self.spark.table(self.name)
+        by_color = {r["color"]: r for r in self.static.groupBy("color").agg(F.count("*").alias("n"), F.sum("points").alias("points")).collect()}
+        self.colors, self.any_alone = sorted(c for c in by_color if c >= 0), -1 in by_color
+        self.blocks, self.points = sum(r["n"] for r in by_color.values()), sum(by_color[c]["points"] for c in self.colors)
+        shapes = self.static.groupBy("shape").agg(F.first("held").alias("held")).agg(F.count("*").alias("n"), F.sum("held").alias("bytes")).head()
+        self.shapes = shapes["n"]
+        self.shared = 2 * self.shapes <= self.blocks and (shapes["bytes"] or 0) <= self.FACTORS
+        both = pairs.union(blocks.select(F.col("block").alias("target"), F.col("block").alias("member")))
+        color_of = blocks.select(F.col("block").alias("target"), F.col("color").alias("tcolor"))
+        values = blocks.select(F.col("block").alias("member"), F.col("color").alias("mcolor"), "w")
+        self.state = cut(both.join(values, "member").join(color_of, "target").select("tcolor", "target", "mcolor", "member", "w"), "state")
+        self.factors: dict[tuple, object] = {}
+        self.sums: dict | None = None
+        release(blocks, pairs)
+
+    def _factors(self, unit: tuple[float, ...]):
+        """The factors of every shape at unit variance, broadcast, or None where each task makes its own."""
+        if not self.shared:
+            return None
+        if unit not in self.factors:
+            family = self.family
+
+            def make(frames):
+                for f in frames:
+                    for r in f.itertuples():
+                        yield pd.DataFrame([(r.shape, pickle.dumps(_own_factor(family, pickle.loads(r.data), unit)))], columns=["shape", "made"])
+
+            one = self.static.groupBy("shape").agg(F.min("block").alias("block"))
+            made = self.static.join(one.select("block"), "block", "left_semi").select("shape", "data").mapInPandas(make, "shape binary, made binary").collect()
+            while len(self.factors) > 2:
+                self.factors.pop(next(iter(self.factors))).unpersist()
+            self.factors[unit] = self.spark.sparkContext.broadcast({bytes(r["shape"]): pickle.loads(r["made"]) for r in made})
+        return self.factors[unit]
+
+    def _to(self, which: Column, table: DataFrame):
+        return table.where(which).select(F.col("target").alias("block"), "member", "w").groupBy("block")
+
+    def sweep(self, state: State, seed: Sequence[int], noise: bool = True) -> None:
+        family, seed = self.family, tuple(map(int, seed))
+        scale, unit = sampler.split_scale(state.theta, family)
+        taus, beta, held = np.array(state.tausq, float), np.array(state.beta, float), self._factors(unit)
+
+        def one(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(own):
+                target, d = int(key[0]), pickle.loads(own["data"].iloc[0])
+                w = _values(told)
+                factor = (lambda b, make: held.value[d["shape"] if b == target else d["shapes"][b]]) if held else (lambda b, make: make())
+                parts = _blocks_of(family, target, d)
+                parents = {target: d["parents"], **{b: v[1] for b, v in d["near"].items()}}
+                made = lambda b: conditional(family, gaps_of(family, parts[b], joined([parts[p] for p in parents[b]], family)), unit)
+                children = [b for b in d["near"] if target in parents[b]]
+                masks = [np.concatenate([np.full(len(parts[p]), p == target) for p in parents[c]]) for c in children]
+                precision, maps = blanket_terms(factor(target, lambda: made(target)), [(factor(c, lambda c=c: made(c)), m) for c, m in zip(children, masks, strict=True)])
+                join = lambda bs: np.concatenate([w[b] for b in bs]) if bs else np.zeros(0)
+                shift = maps[0] @ join(d["parents"])
+                for m, c in zip(maps[1:], children, strict=True):
+                    shift = shift + m @ join([c, *parents[c]])
+                outcome = d["comp"] if family.several else np.zeros(len(d["comp"]), int)
+                e = d["y"] - (d["x"] * beta[outcome]).sum(axis=1) if d["x"].shape[1] else d["y"]
+                precision, shift = observe(precision / scale, shift / scale, d["z"], e, taus[outcome])
+                new = draw(precision, shift, normals(seed, target, np.arange(len(shift))) if noise else np.zeros(len(shift)))
+                out = [(c, b, d["color"], target, new) for b, c in [(target, d["color"]), *d["out"]]]
+            return pd.DataFrame(out, columns=["tcolor", "target", "mcolor", "member", "w"])
+
+        schema = "tcolor int, target int, mcolor int, member int, w array<double>"
+        drawn: dict[int, DataFrame] = {}
+        for color in self.colors:
+            told = self.state.where(~F.col("mcolor").isin(list(drawn)))
+            for piece in drawn.values():
+                told = told.union(piece)
+            found = self.static.where(F.col("color") == color).select("block", "data").groupBy("block").cogroup(self._to(F.col("tcolor") == color, told)).applyInPandas(one, schema)
+            drawn[color] = found.persist(StorageLevel.DISK_ONLY)
+        whole = self.state.where(F.col("mcolor") < 0)
+        for piece in drawn.values():
+            whole = whole.union(piece)
+        after = cut(whole, "state")
+        for piece in drawn.values():
+            piece.unpersist()
+        release(self.state)
+        self.state, self.sums = after, None
+
+    def predict(self, state: State, seed: Sequence[int], noise: bool = True) -> None:
+        """A draw at blocks without observations; nothing depends on it but what is returned."""
+        if not self.any_alone:
+            return
+        family, seed = self.family, tuple(map(int, seed))
+        scale, unit = sampler.split_scale(state.theta, family)
+        held = self._factors(unit)
+
+        def one(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(own):
+                target, d = int(key[0]), pickle.loads(own["data"].iloc[0])
+                w = _values(told)
+                h, half, _ = held.value[d["shape"]] if held else _own_factor(family, d, unit)
+                z = normals(seed, target, np.arange(len(h))) if noise else np.zeros(len(h))
+                known = np.concatenate([w[b] for b in d["parents"]]) if d["parents"] else np.zeros(0)
+                out = [(-1, target, -1, target, h @ known + np.sqrt(scale) * np.linalg.solve(half, z))]
+            return pd.DataFrame(out, columns=["tcolor", "target", "mcolor", "member", "w"])
+
+        found = self.static.where("color < 0").select("block", "data").groupBy("block").cogroup(self._to(F.col("tcolor") < 0, self.state)).applyInPandas(one, "tcolor int, target int, mcolor int, member int, w array<double>")
+        after = cut(self.state.where("mcolor >= 0").union(found), "state")
+        release(self.state)
+        self.state = after
+
+    def _sums(self, thetas: Sequence[Sequence[float]]) -> dict:
+        """All sums of an iteration in one job: of each block's density for each theta, and by outcome those of the rest y - z w and of x."""
+        family, p = self.family, self.p
+        units = list(dict.fromkeys(sampler.split_scale(t, family)[1] for t in thetas))
+        held = []
+        for u in units:
+            try:
+                held.append(self._factors(u))
+            except Exception as e:  # a factor that can't be made is data
+                if "LinAlgError" not in str(e):
+                    raise
+                held.append("fails")
+        outcomes = family.q if family.several else 1
+        names = [f"{n}{k}" for k in range(len(units)) for n in ("ok", "logs", "quad")] + [f"{n}{o}" for o in range(outcomes) for n in ("n", "rr", *(f"v{i}_" for i in range(p)), *(f"m{i}_{j}_" for i in range(p) for j in range(p)))]
+
+        def one(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            if not len(own):
+                return pd.DataFrame([], columns=names)
+            target, d = int(key[0]), pickle.loads(own["data"].iloc[0])
+            w, row = _values(told), []
+            known = np.concatenate([w[b] for b in d["parents"]]) if d["parents"] else np.zeros(0)
+            for u, f in zip(units, held, strict=True):
+                try:
+                    if isinstance(f, str):
+                        raise np.linalg.LinAlgError
+                    h, half, logs = f.value[d["shape"]] if f else _own_factor(family, d, u)
+                    e = half @ (w[target] - h @ known)
+                    row += [1.0, logs, float(e @ e)]
+                except np.linalg.LinAlgError:
+                    row += [0.0, 0.0, 0.0]
+            rest = d["y"] - (d["z"] * w[target].reshape(d["z"].shape)).sum(axis=1)
+            for o in range(outcomes):
+                m = np.isfinite(rest) & (d["comp"] == o if family.several else True)
+                x, r = d["x"][m], rest[m]
+                row += [float(m.sum()), float(r @ r), *(x.T @ r), *(x.T @ x).ravel()]
+            return pd.DataFrame([row], columns=names)
+
+        found = self.static.where("color >= 0").select("block", "data").groupBy("block").cogroup(self._to((F.col("tcolor") >= 0), self.state)).applyInPandas(one, ", ".join(f"{n} double" for n in names))
+        total = found.agg(*[(F.min if n.startswith("ok") else F.sum)(n).alias(n) for n in names]).head()
+        sums = {u: (total[f"logs{k}"] or 0.0, total[f"quad{k}"] or 0.0) if total[f"ok{k}"] != 0 else None for k, u in enumerate(units)}
+        by = []
+        for o in range(outcomes):
+            v = np.array([total[f"v{i}_{o}"] or 0.0 for i in range(p)])
+            by.append((int(total[f"n{o}"] or 0), total[f"rr{o}"] or 0.0, v, np.array([[total[f"m{i}_{j}_{o}"] or 0.0 for j in range(p)] for i in range(p)]).reshape(p, p)))
+        return {"units": sums, "outcomes": by}
+
+    def _at(self, thetas: Sequence[Sequence[float]]) -> dict:
+        units = [sampler.split_scale(t, self.family)[1] for t in thetas]
+        if self.sums is None or any(u not in self.sums["units"] for u in units):
+            made = self._sums(thetas)
+            self.sums = made if self.sums is None else {**made, "units": self.sums["units"] | made["units"]}
+        return self.sums
 
     def logliks(self, state: State, thetas: Sequence[Sequence[float]]) -> list[float | None]:
-        found = {r["theta"]: r["loglik"] for r in loglik(block_logliks(self.table, self.real, thetas, self.family, self.seen)).collect()}
-        return [found.get(k) for k in range(len(thetas))]
+        out, found = [], self._at(thetas)
+        for t in thetas:
+            scale, unit = sampler.split_scale(t, self.family)
+            got = found["units"][unit]
+            out.append(None if got is None else got[0] - self.points / 2 * float(np.log(2 * np.pi * scale)) - got[1] / (2 * scale))
+        return out
 
     def quad(self, state: State) -> float:
-        unit = sampler.split_scale(state.theta, self.family)[1]
-        return block_logliks(self.table, self.real, [unit], self.family, self.seen).agg(F.sum("quad")).head()[0] or 0.0
-
-    def _by_outcome(self, state: State, rows: DataFrame, *sums: Column) -> list:
-        key = F.col("component") if self.family.several else F.lit(0)
-        found = {r["k"]: r for r in rows.where("y is not null").groupBy(key.alias("k")).agg(*sums).collect()}
-        return [found.get(k) for k in range(len(state.tausq))]
+        return self._at([state.theta])["units"][sampler.split_scale(state.theta, self.family)[1]][1]
 
     def beta_sums(self, state: State) -> list[tuple[np.ndarray, np.ndarray]]:
-        p, x = self.p, lambda i: F.get("x", F.lit(i))
-        rows = self.table.withColumn("rest", F.col("y") - self._fitted())
-        sums = [F.sum(x(i) * x(j)).alias(f"m{i}_{j}") for i in range(p) for j in range(p)] + [F.sum(x(i) * F.col("rest")).alias(f"v{i}") for i in range(p)]
-        found = self._by_outcome(state, rows, *sums)
-        zero = (np.zeros((p, p)), np.zeros(p))
-        return [zero if r is None else (np.array([[r[f"m{i}_{j}"] for j in range(p)] for i in range(p)]), np.array([r[f"v{i}"] for i in range(p)])) for r in found]
+        return [(xx, xr) for _, _, xr, xx in self._at([state.theta])["outcomes"]]
 
     def rss(self, state: State) -> list[tuple[int, float]]:
-        e = F.col("y") - self._fixed(state) - self._fitted()
-        return [(0, 0.0) if r is None else (r["n"], r["rss"]) for r in self._by_outcome(state, self.table, F.count("*").alias("n"), F.sum(e * e).alias("rss"))]
+        out = []
+        for (n, rr, xr, xx), beta in zip(self._at([state.theta])["outcomes"], state.beta, strict=True):
+            b = np.array(beta, float)
+            out.append((n, float(rr - 2 * b @ xr + b @ xx @ b)))
+        return out
+
+    def values(self, state: State) -> DataFrame:
+        """ix, component, w, mean (x beta + z w) of all sites."""
+        family, beta = self.family, np.array(state.beta, float)
+
+        def one(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            d = pickle.loads(own["data"].iloc[0])
+            w = _values(told)[int(key[0])].reshape(d["z"].shape)
+            outcome = d["comp"] if family.several else np.zeros(len(d["comp"]), int)
+            mean = (d["z"] * w).sum(axis=1) + ((d["x"] * beta[outcome]).sum(axis=1) if d["x"].shape[1] else 0.0)
+            return pd.DataFrame({"ix": d["ix"], "component": d["comp"], "w": list(w), "mean": mean})
+
+        mine = self._to(F.col("target") == F.col("member"), self.state)
+        return self.static.select("block", "data").groupBy("block").cogroup(mine).applyInPandas(one, f"ix {self.kind}, component int, w array<double>, mean double")
+
+    def close(self) -> None:
+        """Drops the tables."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        release(self.state)
+
+
+def _values(told: pd.DataFrame) -> dict[int, np.ndarray]:
+    return {int(b): np.asarray(w, float) for b, w in zip(told["member"], told["w"], strict=True)}
+
+
+def _blocks_of(family: Family, target: int, d: dict) -> dict[int, Block]:
+    place = lambda at, comp: Block(family, np.arange(len(at)), at, comp)
+    return {target: place(d["at"], d["comp"]), **{b: place(at, comp) for b, (_, _, at, comp) in d["near"].items()}}
+
+
+def _own_factor(family: Family, d: dict, unit: Sequence[float]) -> tuple[np.ndarray, np.ndarray, float]:
+    parts = _blocks_of(family, -1, d)
+    return conditional(family, gaps_of(family, parts[-1], joined([parts[p] for p in d["parents"]], family)), unit)
 
 
 def normal_of(*key: Column) -> Column:
@@ -265,28 +499,52 @@ def _named(settings: Settings, state: State, x: Sequence[str]) -> list[tuple[str
     return out + [(tag(f"beta_{c}", k), b) for k, row in enumerate(state.beta) for c, b in zip(x, row, strict=True)]
 
 
-def fit(sites: DataFrame, edges: DataFrame, colors: DataFrame, settings: Settings, x: Sequence[str] = (), state: State | None = None, stop: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, State]:
+def fit(sites: DataFrame, edges: DataFrame, colors: DataFrame, settings: Settings, x: Sequence[str] = (), state: State | None = None, stop: int | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, State]:
     """draws of parameters (draw, name, value), of the process (draw, ix, w, yhat), the last table of the sites, and the last state.
 
-    The state of the process is a table, written after each colour; a lost executor only repeats the blocks it had. Draws are written as they
-    are made. With the returned table and state a fit goes on where it stopped.
+    The state of the process is a table, written after each sweep; a lost executor only repeats the blocks it had. Draws are written as they
+    are made, each in a folder of its own under path (by default in the shared folder), and count once a record of them is written: a fit
+    that failed and runs again writes its draws anew, and none is there twice (see stored_draws). With the returned table and state a fit goes on where it stopped.
     """
     spark, engine = sites.sparkSession, SparkEngine(sites, edges, colors, settings.family, x)
     state = state or settings.start(len(x))
-    path, parameters, begun = scratch(spark, "draws"), [], False
-    schema = f"draw int, ix {sites.schema['ix'].dataType.simpleString()}, w array<double>, yhat double"
+    path, parameters = path or scratch(spark, "draws"), []
     for k, now in sampler.iterate(engine, settings, state, stop):
-        parameters += [(k, name, float(v)) for name, v in _named(settings, now, x)]
+        named = [(k, name, float(v)) for name, v in _named(settings, now, x)]
+        parameters += named
         taus = F.array(*[F.lit(float(t)) for t in now.tausq])
         tau = F.get(taus, F.col("component") if settings.family.several else F.lit(0))
         noise = normal_of(F.lit(settings.seed), F.lit(now.iteration), F.col("ix")) * F.sqrt(tau)
-        engine.table.select(F.lit(k).alias("draw"), "ix", "w", (engine._fixed(now) + engine._fitted() + noise).alias("yhat")).write.mode("append").parquet(path)
-        begun = True
-    draws = spark.read.schema(schema).parquet(path) if begun else spark.createDataFrame([], schema)
-    last = sites.drop("w").join(engine.table.select("ix", "w"), "ix", "left")
+        commit_draw(path, k, engine.values(now).select(F.lit(k).alias("draw"), "ix", "w", (F.col("mean") + noise).alias("yhat")), named)
+    draws = stored_draws(spark, path, f"draw int, ix {engine.kind}, w array<double>, yhat double")
+    last = sites.drop("w").join(cut(engine.values(state).select("ix", "w"), "last"), "ix", "left")
+    engine.close()
     return spark.createDataFrame(parameters, "draw int, name string, value double"), draws, last, state
 
 
+def commit_draw(path: str, k: int, rows: DataFrame, named: Sequence[tuple]) -> None:
+    """Write draw k: its rows in a folder of their own, in place of any that a failed run left there, and then the record that makes them count."""
+    rows.write.mode("overwrite").parquet(f"{path}/draw={k}")
+    rows.sparkSession.createDataFrame(list(named), "draw int, name string, value double").coalesce(1).write.mode("overwrite").parquet(f"{path}/committed={k}")
+
+
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """The draws under path whose record is whole."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    found = [s.getPath() for s in files.listStatus(at) if s.getPath().getName().startswith("committed=")]
+    whole = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in whole)
+
+
+def stored_draws(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The draws under path that are committed; what a failed run left is not read."""
+    kept = committed(spark, path)
+    return spark.read.schema(schema).parquet(*[f"{path}/draw={k}" for k in kept]) if kept else spark.createDataFrame([], schema)
+
+
 def fit_chains(sites: DataFrame, edges: DataFrame, colors: DataFrame, settings: Settings, x: Sequence[str] = (), chains: int = 1, collapsed: bool = False) -> tuple[DataFrame, DataFrame]:
     """parameters (chain, draw, name, value) and process (chain, draw, ix, w, yhat) of several chains over a small table, one task for each.
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, doubles
 
 #: Rows of a key that one task sorts; keys with more at most; buckets of such a key.
 MANY, HOT, BUCKETS = 1_000_000, 1000, 1024
@@ -51,7 +51,7 @@ def ranked_values(rows: DataFrame, wanted: DataFrame, many: int = MANY) -> DataF
     if hot.isEmpty():
         return found
     plain = rows.join(F.broadcast(hot.select("k")), "k", "left_semi")
-    cuts = plain.groupBy("k").agg(F.array_sort(F.array_distinct(F.percentile_approx("x", F.lit([p / BUCKETS for p in range(1, BUCKETS)]), F.lit(10_000)))).alias("cuts"))
+    cuts = plain.groupBy("k").agg(F.array_sort(F.array_distinct(F.percentile_approx("x", doubles(p / BUCKETS for p in range(1, BUCKETS)), F.lit(10_000)))).alias("cuts"))
     steps = F.lit([1 << b for b in reversed(range(BUCKETS.bit_length()))])
     under = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get("cuts", n + step - 1) <= F.col("x"), step).otherwise(F.lit(0)))
     bucket = F.transform(F.array(under), lambda u: 2 * u - F.when(F.get("cuts", u - 1) == F.col("x"), 1).otherwise(0))[0]

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +43,9 @@ def release(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._gridloom_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def doubles(values: Iterable[float]) -> Column:
+    """An array literal of numbers, however many: one expression of text, not one for each number."""
+    texts = [f"{v!r}D" if abs(v) < float("inf") else f"double('{v}')" for v in map(float, values)]
+    return F.expr(f"array({', '.join(texts)})") if texts else F.array().cast("array<double>")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sites import row_ids
+from .tables import doubles
 
 #: Buckets of an axis whose values are counted: 16 for an interval within these limits.
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 10, 1 << 16
@@ -28,7 +29,7 @@ def ordered_place(x: Column, values: Sequence[float]) -> Column:
     if not values:
         return F.lit(0)
     steps = F.lit([1 << k for k in reversed(range(len(values).bit_length()))])
-    held = F.lit([float(v) for v in values])
+    held = doubles(values)
     return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(held, n + step - 1) <= x, step).otherwise(F.lit(0)))
 
 
@@ -47,7 +48,7 @@ def order_statistics(df: DataFrame, axes: Sequence[str], intervals: Sequence[int
     x = {a: F.col(axes[a - 1]).cast("double") for a in wanted}
     x = {a: F.when(~F.isnan(c), c) for a, c in x.items()}  # null where there is no number
     parts = {a: min(MOST_BUCKETS, max(LEAST_BUCKETS, 16 * k)) for a, k in wanted.items()}
-    cuts = df.agg(*[F.percentile_approx(x[a], F.lit([p / n for p in range(1, n)]), F.lit(10_000)).alias(f"p{a}") for a, n in parts.items()]).head()
+    cuts = df.agg(*[F.percentile_approx(x[a], doubles(p / n for p in range(1, n)), F.lit(10_000)).alias(f"p{a}") for a, n in parts.items()]).head()
     cuts = {a: sorted(set(cuts[f"p{a}"] or [])) for a in wanted}
     each = F.array(*[F.when(x[a].isNotNull(), F.struct(F.lit(a).alias("axis"), ordered_place(x[a], cuts[a]).alias("bucket"), x[a].alias("x"))) for a in wanted])
     placed = df.select(F.explode(F.array_compact(each)).alias("v")).select("v.*")

@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from gridloom.functions import covariance as cov
 from gridloom.functions import scalars as sc
-from gridloom.operators import gaussian, mesh, neighbors, sampler, summaries
+from gridloom.operators import fronts, gaussian, mesh, neighbors, sampler, summaries
 from gridloom.operators import tessellation as tess
-from gridloom.operators.kernels import Block, Family, covariance
+from gridloom.operators.kernels import Block, Family, covariance, observe
 from gridloom.operators.sampler import Settings, State
+from gridloom.operators.tables import cut
 from gridloom.plans import extra  # noqa: F401
 from gridloom.plans import queries as Q
 from gridloom.sources import sites
@@ -190,6 +191,14 @@ def test_block_draws_are_the_dense_conditional(spark, family, theta):
     memory.sweep(State(list(theta), taus), (1, 0), noise=False)
     order = {ix: k for k, ix in enumerate(memory.ix)}
     assert np.allclose(np.concatenate([memory.w[order[i] * q : order[i] * q + q] for i in range(n)]), w)
+    jobs = gaussian.SparkEngine(df, edges, colors, family)
+    state = State(list(theta), taus)
+    jobs.sweep(state, (1, 0), noise=False)
+    got = {r["ix"]: r["w"] for r in jobs.values(state).collect()}
+    assert np.allclose(np.concatenate([got[i] for i in range(n)]), w)
+    memory.sums.clear()
+    assert np.allclose(jobs.logliks(state, [theta]), memory.logliks(state, [theta])) and np.allclose(jobs.rss(State(list(theta), taus, [[]] * len(taus))), memory.rss(state))
+    jobs.close()
 
 
 def engine_of(df, edges, colors, family, x=()):
@@ -502,3 +511,120 @@ def test_quantiles_are_selected(spark, many):
 def test_quantiles_gather_no_lists(spark):
     plan = summaries.draw_quantiles(spark.range(100).select(F.lit(1).alias("ix"), F.col("id").cast("double").alias("value")), (0.5,))._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_factors_are_made_once_for_each_shape(spark, monkeypatch):
+    """On a lattice the engine of jobs makes as many factors as shapes for each theta, and draws what it draws without sharing."""
+    grid = sites.grid(spark, (12, 12)).withColumn("y", F.sin(F.col("ix").cast("double")))
+    df = cut(tess.tessellate(grid, ["var1", "var2"], (4, 4)))
+    _, edges, colors = gaussian.mesh_of(df)
+    shared = gaussian.SparkEngine(df, edges, colors, Family())
+    monkeypatch.setattr(gaussian.SparkEngine, "FACTORS", 0)
+    own = gaussian.SparkEngine(df, edges, colors, Family())
+    assert shared.shared and not own.shared and shared.blocks == 16 and shared.shapes == 4
+    state = State([1.3, 4.0], [0.1])
+    for engine in (shared, own):
+        engine.sweep(state, (1, 2))
+    assert [len(f.value) for f in shared.factors.values()] == [4] and not own.factors
+    state.theta[0] = 2.0  # another variance: the same factors
+    shared.sweep(state, (1, 3))
+    own.sweep(state, (1, 3))
+    assert len(shared.factors) == 1
+    a, b = ({r["ix"]: r["w"][0] for r in e.values(state).collect()} for e in (shared, own))
+    assert set(a) == set(b) and all(np.isclose(a[k], b[k], atol=1e-8) for k in a)
+    assert np.allclose(shared.logliks(state, [(2.0, 4.0), (1.0, 3.0)]), own.logliks(state, [(2.0, 4.0), (1.0, 3.0)]))
+    assert len(shared.factors) == 2
+
+
+def test_a_sweep_shuffles_messages_only(spark):
+    """The blocks' data is read from its buckets as it lies; only the messages between blocks are shuffled."""
+    df = sites_of(spark, Family(), (3, 3))
+    _, edges, colors = gaussian.mesh_of(df)
+    engine = gaussian.SparkEngine(df, edges, colors, Family())
+    plan = engine.values(State([1.0, 3.0], [0.1]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
+def test_failed_fit_writes_no_draw_twice(spark, monkeypatch):
+    """A fit that fails between a draw's rows and its record, run again: every draw is there once, with the values of a fit that never failed."""
+    df = sites_of(spark, Family(), (2, 2), empty=(4,)).drop("z")
+    _, edges, colors = gaussian.mesh_of(df)
+    settings = Settings(keep=3, seed=5)
+    whole = gaussian.fit(df, edges, colors, settings)[1]
+    want = {(r["draw"], r["ix"]): r["w"] for r in whole.collect()}
+    path, schema = gaussian.scratch(spark, "draws"), "draw int, ix long, w array<double>, yhat double"
+    keep = gaussian.commit_draw
+
+    def fails(where, k, rows, named):
+        if k == 1:
+            rows.limit(5).write.mode("overwrite").parquet(f"{where}/draw={k}")
+            raise RuntimeError("lost")
+        keep(where, k, rows, named)
+
+    monkeypatch.setattr(gaussian, "commit_draw", fails)
+    with pytest.raises(RuntimeError, match="lost"):
+        gaussian.fit(df, edges, colors, settings, path=path)
+    assert gaussian.committed(spark, path) == [0]
+    assert {r["draw"] for r in gaussian.stored_draws(spark, path, schema).collect()} == {0}
+    monkeypatch.setattr(gaussian, "commit_draw", keep)
+    again = gaussian.fit(df, edges, colors, settings, path=path)[1].collect()
+    assert gaussian.committed(spark, path) == [0, 1, 2] and len(again) == len(want)
+    assert all(np.allclose(r["w"], want[r["draw"], r["ix"]]) for r in again)
+
+
+def fronts_cases(spark):
+    family = Family()
+    yield family, (0.5, 4.0), (8, 7), "y_full"
+    yield Family(q=2), (0.05, 2.0, 0.5), (5, 5), F.array("y_full", "x2")
+
+
+def test_fronts_are_the_dense_matrices(spark):
+    """The collapsed density, posterior means and variances by nested dissection, with a corner of blocks unseen, at several sizes of parts."""
+    rows = sites.sites_2d(spark, SF)
+    for family, theta, grid, w in fronts_cases(spark):
+        df = tess.tessellate(rows, ["var1", "var2"], grid).withColumn("w", F.col(w) if isinstance(w, str) else w)
+        df = df.withColumn("y", F.when(~((F.col("l1") >= 4) & (F.col("l2") >= 4)), F.col("y")))
+        df = cut(df.withColumn("z", F.array(F.lit(1.0), F.col("x2"))) if family.q == 2 else df)
+        _, edges, colors = gaussian.mesh_of(df)
+        memory = engine_of(df, edges, colors, family, ["x2"])
+        want, found = memory.collapsed(theta, 0.1, [0.3]), memory._at(theta)
+        scale, n = sampler.split_scale(theta, family)[0], family.per_site
+        p = np.zeros((len(memory.w),) * 2)
+        for b in memory.observed:
+            h, half, _ = found["own"][memory.key[b]]
+            at = np.concatenate([np.arange(memory.span[x].start, memory.span[x].stop) for x in [b, *memory.parents[b]]])
+            a = half @ np.hstack([np.eye(len(h)), -h])
+            p[np.ix_(at, at)] += a.T @ a / scale
+        used = np.concatenate([memory.own[b] for b in memory.observed])
+        seen = np.concatenate([memory.rows[b] for b in memory.observed])
+        whole, shift = observe(p[np.ix_(used, used)], np.zeros(len(used)), memory.z[seen], (memory.y - memory.x[:, 0] * 0.3)[seen], np.full(len(seen), 0.1))
+        inverse = np.linalg.inv(whole)
+        mean = inverse @ shift
+        for leaf in (2, 100):
+            parts = fronts.Dissection(df, edges, family, ["x2"], leaf=leaf)
+            assert np.isclose(parts.collapsed(theta, 0.1, [0.3]), want, rtol=0, atol=1e-8) and (parts.depth > 1) == (leaf == 2)
+            got = {r["ix"]: r for r in parts.posterior(theta, 0.1, [0.3]).collect()}
+            assert set(got) == {memory.ix[r] for r in seen}
+            for k, r in enumerate(seen):
+                assert np.allclose(got[memory.ix[r]]["mean"], mean[k * n : k * n + n]) and np.allclose(got[memory.ix[r]]["var"], np.diag(inverse)[k * n : k * n + n])
+    assert parts.collapsed((-1.0, 2.0, 0.5), 0.1, [0.3]) is None
+
+
+def test_dissection_parts_never_touch(spark):
+    rng = np.random.default_rng(8)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 120, (200, 2)) if a != b}
+    near = spark.createDataFrame([q for a, b in pairs for q in ((a, b), (b, a))], "block int, member int")
+    places = spark.createDataFrame([(b, float(b % 4 > 1), 0.0 if b < 60 else float(rng.normal())) for b in range(120)], "block int, var1 double, var2 double")
+    node = dict(map(tuple, fronts.dissected(places, near, leaf=3).collect()))
+    assert set(node) == set(range(120))
+    above = lambda a, b: a <= b and b >> (b.bit_length() - a.bit_length()) == a
+    assert all(above(*sorted((node[a], node[b]), key=lambda h: (h.bit_length(), h))) for a, b in pairs)
+
+
+def test_collapsed_fit_draws_what_a_task_draws(spark):
+    df = sites_of(spark, Family(), (2, 2))
+    _, edges, colors = gaussian.mesh_of(df)
+    settings = Settings(keep=2, burn=1, seed=3)
+    got = {(r["draw"], r["name"]): r["value"] for r in fronts.fit_collapsed(df, edges, settings).collect()}
+    for k, state in sampler.iterate_collapsed(engine_of(df, edges, colors, Family()), settings):
+        assert np.allclose([got[k, "sigmasq"], got[k, "phi"], got[k, "tausq"]], [*state.theta, state.tausq[0]])
