@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from . import mesh, sampler
+from .neighbors import nearest_site
 from .kernels import Block, Family, blanket_terms, conditional, covariance, draw, gaps_of, joined, normals, observe
 from .sampler import Settings, State
 from .tables import cut, release, scratch
@@ -193,7 +194,7 @@ def _dot(a: str, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _packed(family: Family, rows: DataFrame) -> DataFrame:
+def _packed(family: Family, rows: DataFrame, latent: bool = False) -> DataFrame:
     """color, block, shape, held, points, data: what a block's task needs beside the process, as one binary value; shape: equal for congruent blocks, whose factors take held bytes."""
 
     def pack(frames):
@@ -211,7 +212,8 @@ def _packed(family: Family, rows: DataFrame) -> DataFrame:
                 key = _shape(int(r.block), parents, known)
                 keys = {b: _shape(b, v[1], known) for b, v in near.items() if int(r.block) in v[1]}
                 n, m = len(at) * family.per_site, sum(len(known[p][0]) for p in parents) * family.per_site
-                held = {"ix": list(r.ix), "at": at, "comp": comp, "x": np.array(r.x, float).reshape(len(at), -1), "z": np.array(r.z, float).reshape(len(at), -1), "y": np.array(r.y, float)}
+                rows = len(r.y) if latent else len(at)
+                held = {"data": (np.array(r.data_at, float).reshape(rows, at.shape[1]), np.array(r.data_comp, int)) if latent else None, "ix": list(r.data_ix if latent else r.ix), "at": at, "comp": comp, "x": np.array(r.x, float).reshape(rows, -1 if rows else 0), "z": np.array(r.z, float).reshape(rows, family.per_site), "y": np.array(r.y, float)}
                 held |= {"color": int(r.color), "out": [(int(b), int(c)) for b, c in zip(r.out_block, r.out_color, strict=True)], "parents": parents, "near": near, "shape": key, "shapes": keys}
                 out.append((int(r.color), int(r.block), key, 8 * n * (n + m), n, pickle.dumps(held)))
             yield pd.DataFrame(out, columns=["color", "block", "shape", "held", "points", "data"])
@@ -242,13 +244,22 @@ class SparkEngine:
     #: Bytes of factors that are broadcast.
     FACTORS = 64 << 20
 
-    def __init__(self, sites: DataFrame, edges: DataFrame, colors: DataFrame, family: Family, x: Sequence[str] = ()):
-        self.family, self.p, self.spark = family, len(x), sites.sparkSession
-        rows = standard(sites, family, x)
-        self.kind = rows.schema["ix"].dataType.simpleString()
+    def __init__(self, sites: DataFrame, edges: DataFrame, colors: DataFrame, family: Family, x: Sequence[str] = (), data: DataFrame | None = None):
+        """data: rows with y, x and coordinates of their own, and the block of the sites that they follow from: the process lives on the sites, and a
+        row of data has its conditional distribution given those of its block (see latent_mesh). Without data, the sites have y themselves."""
+        self.family, self.p, self.spark, self.latent = family, len(x), sites.sparkSession, data is not None
+        rows = standard(sites, family, () if self.latent else x)
+        told = standard(data, family, x) if self.latent else rows
+        self.kind = told.schema["ix"].dataType.simpleString()
         of = lambda c: F.transform("s", lambda r: r[c])
         listed = F.array_sort(F.collect_list(F.struct("ix", "at", "component", "x", "z", F.coalesce("y", F.lit(float("nan"))).alias("y"), "w")))  # the sites of a block
         whole = rows.groupBy("block").agg(listed.alias("s"), F.count("y").alias("n_obs")).select("block", "n_obs", of("ix").alias("ix"), *[F.flatten(of(c)).alias(c) for c in ("at", "x", "z", "w")], of("component").alias("comp"), of("y").alias("y"))
+        self.own = ["x", "z", "y"]
+        if self.latent:
+            parts = told.groupBy("block").agg(listed.alias("s"), F.count("y").alias("n_obs")).select("block", "n_obs", of("ix").alias("data_ix"), F.flatten(of("at")).alias("data_at"), of("component").alias("data_comp"), F.flatten(of("x")).alias("x"), F.flatten(of("z")).alias("z"), of("y").alias("y"))
+            self.own += ["data_ix", "data_at", "data_comp"]
+            whole = whole.drop("n_obs", "x", "z", "y").join(parts, "block", "left").withColumn("n_obs", F.coalesce("n_obs", F.lit(0)))
+            whole = whole.withColumns({c: F.coalesce(c, F.array().cast(parts.schema[c].dataType)) for c in self.own})
         seen = whole.where("n_obs > 0").select("block")
         real = edges.join(seen.withColumnRenamed("block", "child"), "child", "left_semi").select("child", "parent", "slot")
         up = edges.groupBy("child").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "parent"))), lambda r: r["parent"]).alias("parents"))
@@ -266,12 +277,12 @@ class SparkEngine:
         flat = lambda c: F.coalesce(F.flatten(F.transform("m", lambda r: r[c])), F.array())
         sent = lambda c: F.coalesce(F.transform("out", lambda r: r[c]), none).alias(f"out_{c}")
         told = blocks.join(near, F.col("block") == F.col("target"), "left").join(out, F.col("block") == out["member"], "left").select(
-            "block", "color", "ix", "at", "comp", "x", "z", "y", "parents", each(lambda r: r["member"]).alias("near_block"), each(lambda r: r["color"]).alias("near_color"), each(lambda r: F.size(r["comp"])).alias("near_n"),
+            "block", "color", "ix", "at", "comp", *self.own, "parents", each(lambda r: r["member"]).alias("near_block"), each(lambda r: r["color"]).alias("near_color"), each(lambda r: F.size(r["comp"])).alias("near_n"),
             each(lambda r: F.size(r["parents"])).alias("near_m"), flat("at").alias("near_at"), flat("comp").alias("near_comp"), flat("parents").alias("near_parents"), sent("block"), sent("color"),
         )
         self.name = f"gridloom_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        _packed(family, told).repartition(buckets, "block").write.partitionBy("color").bucketBy(buckets, "block").sortBy("block").option("path", scratch(self.spark, "static")).format("parquet").saveAsTable(self.name)
+        _packed(family, told, self.latent).repartition(buckets, "block").write.partitionBy("color").bucketBy(buckets, "block").sortBy("block").option("path", scratch(self.spark, "static")).format("parquet").saveAsTable(self.name)
         self.static = self.spark.table(self.name)
         by_color = {r["color"]: r for r in self.static.groupBy("color").agg(F.count("*").alias("n"), F.sum("points").alias("points")).collect()}
         self.colors, self.any_alone = sorted(c for c in by_color if c >= 0), -1 in by_color
@@ -312,7 +323,7 @@ class SparkEngine:
     def sweep(self, state: State, seed: Sequence[int], noise: bool = True) -> None:
         family, seed = self.family, tuple(map(int, seed))
         scale, unit = sampler.split_scale(state.theta, family)
-        taus, beta, held = np.array(state.tausq, float), np.array(state.beta, float), self._factors(unit)
+        theta, taus, beta, held = tuple(state.theta), np.array(state.tausq, float), np.array(state.beta, float), self._factors(unit)
 
         def one(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -330,9 +341,14 @@ class SparkEngine:
                 shift = maps[0] @ join(d["parents"])
                 for m, c in zip(maps[1:], children, strict=True):
                     shift = shift + m @ join([c, *parents[c]])
-                outcome = d["comp"] if family.several else np.zeros(len(d["comp"]), int)
+                outcome = _outcomes(family, d)
                 e = d["y"] - (d["x"] * beta[outcome]).sum(axis=1) if d["x"].shape[1] else d["y"]
-                precision, shift = observe(precision / scale, shift / scale, d["z"], e, taus[outcome])
+                if d["data"]:
+                    h, left = _projection(family, d, theta)
+                    weight = np.where(np.isfinite(e), 1 / (taus[outcome] + left), 0.0)
+                    precision, shift = precision / scale + h.T @ (weight[:, None] * h), shift / scale + h.T @ (weight * np.nan_to_num(e))
+                else:
+                    precision, shift = observe(precision / scale, shift / scale, d["z"], e, taus[outcome])
                 new = draw(precision, shift, normals(seed, target, np.arange(len(shift))) if noise else np.zeros(len(shift)))
                 out = [(c, b, d["color"], target, new) for b, c in [(target, d["color"]), *d["out"]]]
             return pd.DataFrame(out, columns=["tcolor", "target", "mcolor", "member", "w"])
@@ -378,10 +394,13 @@ class SparkEngine:
         release(self.state)
         self.state = after
 
-    def _sums(self, thetas: Sequence[Sequence[float]]) -> dict:
-        """All sums of an iteration in one job: of each block's density for each theta, and by outcome those of the rest y - z w and of x."""
+    def _sums(self, state: State, thetas: Sequence[Sequence[float]]) -> dict:
+        """All sums of an iteration in one job, for each theta: of the process's density, of the data's where it depends on theta, and by outcome those of
+        the rest y - z w and of x (weighted, where rows of data have a variance of their own)."""
         family, p = self.family, self.p
-        units = list(dict.fromkeys(sampler.split_scale(t, family)[1] for t in thetas))
+        thetas = list(dict.fromkeys(tuple(map(float, t)) for t in thetas))
+        units = [sampler.split_scale(t, family)[1] for t in thetas]
+        taus, beta = np.array(state.tausq, float), np.array(state.beta, float)
         held = []
         for u in units:
             try:
@@ -391,81 +410,110 @@ class SparkEngine:
                     raise
                 held.append("fails")
         outcomes = family.q if family.several else 1
-        names = [f"{n}{k}" for k in range(len(units)) for n in ("ok", "logs", "quad")] + [f"{n}{o}" for o in range(outcomes) for n in ("n", "rr", *(f"v{i}_" for i in range(p)), *(f"m{i}_{j}_" for i in range(p) for j in range(p)))]
+        names = [f"{n}_{k}" for k in range(len(thetas)) for n in ("ok", "logs", "quad", "told")]
+        names += [f"{n}_{o}_{k}" for k in range(len(thetas)) for o in range(outcomes) for n in ("n", "rr", *(f"v{i}" for i in range(p)), *(f"m{i}_{j}" for i in range(p) for j in range(p)))]
 
         def one(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             if not len(own):
                 return pd.DataFrame([], columns=names)
             target, d = int(key[0]), pickle.loads(own["data"].iloc[0])
-            w, row = _values(told), []
+            w, row, tail = _values(told), [], []
             known = np.concatenate([w[b] for b in d["parents"]]) if d["parents"] else np.zeros(0)
-            for u, f in zip(units, held, strict=True):
+            outcome, plain = _outcomes(family, d), np.ones(len(d["y"]))
+            rest, weight = (np.zeros(0), plain) if d["data"] else (d["y"] - (d["z"] * w[target].reshape(d["z"].shape)).sum(axis=1), plain)
+            for theta, u, f in zip(thetas, units, held, strict=True):
+                fine, logs, quad, dense = 1.0, 0.0, 0.0, 0.0
                 try:
                     if isinstance(f, str):
                         raise np.linalg.LinAlgError
                     h, half, logs = f.value[d["shape"]] if f else _own_factor(family, d, u)
                     e = half @ (w[target] - h @ known)
-                    row += [1.0, logs, float(e @ e)]
+                    quad = float(e @ e)
+                    if d["data"]:
+                        h, left = _projection(family, d, theta)
+                        rest, var = d["y"] - h @ w[target], taus[outcome] + left
+                        fixed = (d["x"] * beta[outcome]).sum(axis=1) if p else 0.0
+                        weight, m = taus[outcome] / var, np.isfinite(rest)
+                        dense = float(-0.5 * (np.log(2 * np.pi * var) + (rest - fixed) ** 2 / var)[m].sum())
                 except np.linalg.LinAlgError:
-                    row += [0.0, 0.0, 0.0]
-            rest = d["y"] - (d["z"] * w[target].reshape(d["z"].shape)).sum(axis=1)
-            for o in range(outcomes):
-                m = np.isfinite(rest) & (d["comp"] == o if family.several else True)
-                x, r = d["x"][m], rest[m]
-                row += [float(m.sum()), float(r @ r), *(x.T @ r), *(x.T @ x).ravel()]
-            return pd.DataFrame([row], columns=names)
+                    fine, logs, quad, dense = 0.0, 0.0, 0.0, 0.0
+                    rest = np.full(len(d["y"]), np.nan) if d["data"] else rest
+                row += [fine, logs, quad, dense]
+                for o in range(outcomes):
+                    m = np.isfinite(rest) & (outcome == o)
+                    x, r, v = d["x"][m], rest[m], weight[m]
+                    tail += [float(m.sum()), float(r @ r), *(x.T @ (v * r)), *(x.T @ (v[:, None] * x)).ravel()]
+            return pd.DataFrame([row + tail], columns=names)
 
         found = self.static.where("color >= 0").select("block", "data").groupBy("block").cogroup(self._to((F.col("tcolor") >= 0), self.state)).applyInPandas(one, ", ".join(f"{n} double" for n in names))
         total = found.agg(*[(F.min if n.startswith("ok") else F.sum)(n).alias(n) for n in names]).head()
-        sums = {u: (total[f"logs{k}"] or 0.0, total[f"quad{k}"] or 0.0) if total[f"ok{k}"] != 0 else None for k, u in enumerate(units)}
-        by = []
-        for o in range(outcomes):
-            v = np.array([total[f"v{i}_{o}"] or 0.0 for i in range(p)])
-            by.append((int(total[f"n{o}"] or 0), total[f"rr{o}"] or 0.0, v, np.array([[total[f"m{i}_{j}_{o}"] or 0.0 for j in range(p)] for i in range(p)]).reshape(p, p)))
-        return {"units": sums, "outcomes": by}
-
-    def _at(self, thetas: Sequence[Sequence[float]]) -> dict:
-        units = [sampler.split_scale(t, self.family)[1] for t in thetas]
-        if self.sums is None or any(u not in self.sums["units"] for u in units):
-            made = self._sums(thetas)
-            self.sums = made if self.sums is None else {**made, "units": self.sums["units"] | made["units"]}
-        return self.sums
+        out = {}
+        for k, theta in enumerate(thetas):
+            by = []
+            for o in range(outcomes):
+                at = lambda n: total[f"{n}_{o}_{k}"] or 0.0  # noqa: B023, E731
+                by.append((int(at("n")), at("rr"), np.array([at(f"v{i}") for i in range(p)]), np.array([[at(f"m{i}_{j}") for j in range(p)] for i in range(p)]).reshape(p, p)))
+            out[theta] = {"ok": total[f"ok_{k}"] != 0, **{n: total[f"{n}_{k}"] or 0.0 for n in ("logs", "quad", "told")}, "outcomes": by}
+        return out
+
+    def _at(self, state: State, thetas: Sequence[Sequence[float]]) -> list[dict]:
+        """The sums for each theta: those of the present process are kept until the next sweep; without data of their own they depend on the unit parameters alone."""
+        key = (lambda t: tuple(map(float, t))) if self.latent else (lambda t: sampler.split_scale(t, self.family)[1])
+        held = self.sums or {}
+        if any(key(t) not in held for t in thetas):
+            held = held | {key(t): v for t, v in self._sums(state, thetas).items()}
+            self.sums = held
+        return [held[key(t)] for t in thetas]
 
     def logliks(self, state: State, thetas: Sequence[Sequence[float]]) -> list[float | None]:
-        out, found = [], self._at(thetas)
-        for t in thetas:
-            scale, unit = sampler.split_scale(t, self.family)
-            got = found["units"][unit]
-            out.append(None if got is None else got[0] - self.points / 2 * float(np.log(2 * np.pi * scale)) - got[1] / (2 * scale))
+        out = []
+        for t, got in zip(thetas, self._at(state, thetas), strict=True):
+            scale = sampler.split_scale(t, self.family)[0]
+            out.append(got["logs"] - self.points / 2 * float(np.log(2 * np.pi * scale)) - got["quad"] / (2 * scale) + got["told"] if got["ok"] else None)
         return out
 
     def quad(self, state: State) -> float:
-        return self._at([state.theta])["units"][sampler.split_scale(state.theta, self.family)[1]][1]
+        return self._at(state, [state.theta])[0]["quad"]
 
     def beta_sums(self, state: State) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [(xx, xr) for _, _, xr, xx in self._at([state.theta])["outcomes"]]
+        return [(xx, xr) for _, _, xr, xx in self._at(state, [state.theta])[0]["outcomes"]]
 
     def rss(self, state: State) -> list[tuple[int, float]]:
+        """Rows and the sum of squares of y - x beta - z w by outcome; with data of their own, of what the process's means leave (its weights are one where p is 0)."""
         out = []
-        for (n, rr, xr, xx), beta in zip(self._at([state.theta])["outcomes"], state.beta, strict=True):
+        for (n, rr, xr, xx), beta in zip(self._at(state, [state.theta])[0]["outcomes"], state.beta, strict=True):
             b = np.array(beta, float)
             out.append((n, float(rr - 2 * b @ xr + b @ xx @ b)))
         return out
 
     def values(self, state: State) -> DataFrame:
-        """ix, component, w, mean (x beta + z w) of all sites."""
-        family, beta = self.family, np.array(state.beta, float)
+        """ix, component, w, mean (x beta + z w) of all sites, or of all rows of data, whose w is their mean given the process."""
+        family, theta, beta = self.family, tuple(state.theta), np.array(state.beta, float)
 
         def one(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             d = pickle.loads(own["data"].iloc[0])
-            w = _values(told)[int(key[0])].reshape(d["z"].shape)
-            outcome = d["comp"] if family.several else np.zeros(len(d["comp"]), int)
-            mean = (d["z"] * w).sum(axis=1) + ((d["x"] * beta[outcome]).sum(axis=1) if d["x"].shape[1] else 0.0)
-            return pd.DataFrame({"ix": d["ix"], "component": d["comp"], "w": list(w), "mean": mean})
+            w, outcome = _values(told)[int(key[0])], _outcomes(family, d)
+            mean = (d["x"] * beta[outcome]).sum(axis=1) if d["x"].shape[1] else np.zeros(len(d["y"]))
+            if d["data"]:
+                found = _projection(family, d, theta)[0] @ w
+                return pd.DataFrame({"ix": d["ix"], "component": d["data"][1], "w": pd.Series([[v] for v in found.tolist()], dtype=object), "mean": mean + found})
+            w = w.reshape(d["z"].shape)
+            return pd.DataFrame({"ix": d["ix"], "component": d["comp"], "w": list(w), "mean": mean + (d["z"] * w).sum(axis=1)})
 
         mine = self._to(F.col("target") == F.col("member"), self.state)
         return self.static.select("block", "data").groupBy("block").cogroup(mine).applyInPandas(one, f"ix {self.kind}, component int, w array<double>, mean double")
 
+    def sites_values(self, sites: DataFrame) -> DataFrame:
+        """ix, w: the process at each of the sites."""
+        n = self.family.per_site
+        listed = sites.groupBy("block").agg(F.array_sort(F.collect_list("ix")).alias("listed"))  # the sites of a block
+        each = listed.join(self.process(), "block").select(F.posexplode("listed").alias("k", "ix"), "w")
+        return each.select("ix", F.slice("w", F.col("k") * n + 1, F.lit(n)).alias("w"))
+
+    def process(self) -> DataFrame:
+        """block, w: the process at the points of each block, its sites in the order of ix."""
+        return self.state.where("target = member").select(F.col("target").alias("block"), "w")
+
     def close(self) -> None:
         """Drops the tables."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -481,6 +529,30 @@ def _blocks_of(family: Family, target: int, d: dict) -> dict[int, Block]:
     return {target: place(d["at"], d["comp"]), **{b: place(at, comp) for b, (_, _, at, comp) in d["near"].items()}}
 
 
+def _outcomes(family: Family, d: dict) -> np.ndarray:
+    """The outcome of each row with a y."""
+    comp = d["data"][1] if d["data"] else d["comp"]
+    return comp if family.several else np.zeros(len(comp), int)
+
+
+def _projection(family: Family, d: dict, theta: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of data: its mean, a row of weights over the block's points, and the variance that these leave."""
+    at, comp = d["data"]
+    rows, own = Block(family, np.arange(len(at)), at, comp), Block(family, np.arange(len(d["at"])), d["at"], d["comp"])
+    if not len(at):
+        return np.zeros((0, len(own))), np.zeros(0)
+    cross = covariance(family, rows, own, theta)
+    h = np.linalg.solve(covariance(family, own, own, theta), cross.T).T
+    n, z = family.per_site, d["z"]
+    mean, left = np.zeros((len(at), len(own))), np.zeros(len(at))
+    for i in range(len(at)):
+        s = slice(i * n, i * n + n)
+        one = Block(family, np.zeros(1, int), at[i : i + 1], comp[i : i + 1])
+        mean[i] = z[i] @ h[s]
+        left[i] = z[i] @ (covariance(family, one, one, theta) - h[s] @ cross[s].T) @ z[i]
+    return mean, np.maximum(0.0, left)
+
+
 def _own_factor(family: Family, d: dict, unit: Sequence[float]) -> tuple[np.ndarray, np.ndarray, float]:
     parts = _blocks_of(family, -1, d)
     return conditional(family, gaps_of(family, parts[-1], joined([parts[p] for p in d["parents"]], family)), unit)
@@ -499,14 +571,14 @@ def _named(settings: Settings, state: State, x: Sequence[str]) -> list[tuple[str
     return out + [(tag(f"beta_{c}", k), b) for k, row in enumerate(state.beta) for c, b in zip(x, row, strict=True)]
 
 
-def fit(sites: DataFrame, edges: DataFrame, colors: DataFrame, settings: Settings, x: Sequence[str] = (), state: State | None = None, stop: int | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, State]:
+def fit(sites: DataFrame, edges: DataFrame, colors: DataFrame, settings: Settings, x: Sequence[str] = (), state: State | None = None, stop: int | None = None, path: str | None = None, data: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, State]:
     """draws of parameters (draw, name, value), of the process (draw, ix, w, yhat), the last table of the sites, and the last state.
 
     The state of the process is a table, written after each sweep; a lost executor only repeats the blocks it had. Draws are written as they
     are made, each in a folder of its own under path (by default in the shared folder), and count once a record of them is written: a fit
-    that failed and runs again writes its draws anew, and none is there twice (see stored_draws). With the returned table and state a fit goes on where it stopped.
+    that failed and runs again writes its draws anew, and none is there twice (see stored_draws). data: see SparkEngine. With the returned table and state a fit goes on where it stopped.
     """
-    spark, engine = sites.sparkSession, SparkEngine(sites, edges, colors, settings.family, x)
+    spark, engine = sites.sparkSession, SparkEngine(sites, edges, colors, settings.family, x, data)
     state = state or settings.start(len(x))
     path, parameters = path or scratch(spark, "draws"), []
     for k, now in sampler.iterate(engine, settings, state, stop):
@@ -517,7 +589,7 @@ def fit(sites: DataFrame, edges: DataFrame, colors: DataFrame, settings: Setting
         noise = normal_of(F.lit(settings.seed), F.lit(now.iteration), F.col("ix")) * F.sqrt(tau)
         commit_draw(path, k, engine.values(now).select(F.lit(k).alias("draw"), "ix", "w", (F.col("mean") + noise).alias("yhat")), named)
     draws = stored_draws(spark, path, f"draw int, ix {engine.kind}, w array<double>, yhat double")
-    last = sites.drop("w").join(cut(engine.values(state).select("ix", "w"), "last"), "ix", "left")
+    last = sites.drop("w").join(cut(engine.sites_values(sites), "last"), "ix", "left")
     engine.close()
     return spark.createDataFrame(parameters, "draw int, name string, value double"), draws, last, state
 
@@ -705,6 +777,17 @@ def load_fit(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     return spark.read.parquet(f"{path}/sites"), spark.read.parquet(f"{path}/parameters"), spark.read.parquet(f"{path}/draws"), settings, State(proposal=proposal, **held)
 
 
+def latent_mesh(grid: DataFrame, data: DataFrame, dims: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """data with the block of its nearest site of grid (blocked, ix, coordinates), and edges, colors of the blocks: observed are those that data with y falls in."""
+    near = nearest_site(data, grid, keep=["block"]).select("ix", "block")
+    placed = cut(data.drop("block").join(near, "ix"), "data")
+    seen = placed.where(is_observed(F.col("y"))).groupBy("block").agg(F.count("*").alias("n"))
+    counted = block_counts(grid.drop("y").withColumn("y", F.lit(None).cast("double")), dims).drop("n_obs", "share_obs")
+    blocks = cut(counted.join(seen, "block", "left").select(*counted.columns, F.coalesce("n", F.lit(0)).alias("n_obs")), "blocks")
+    edges = cut(mesh.mesh_edges(blocks, dims), "edges")
+    return placed, edges, mesh.greedy_colors(mesh.blanket(edges, blocks), blocks)
+
+
 def mesh_of(blocked: DataFrame, dims: int = 2, all_observed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """blocks, edges, colors of blocked sites; blocks without observations are predicted from others, unless all count as observed."""
     blocks = cut(block_counts(blocked, dims))

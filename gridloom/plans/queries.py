@@ -10,7 +10,7 @@ from ..functions import scalars as sc
 from ..operators import fronts, gaussian, mesh, neighbors, summaries
 from ..operators import tessellation as tess
 from ..operators.kernels import Family
-from ..operators.sampler import Settings
+from ..operators.sampler import Settings, State
 from ..operators.tables import cut
 from ..sources import sites
 
@@ -542,6 +542,33 @@ def krige_half(spark, sf_dir):
     return _krige_1nn(spark, sf_dir).where("var > 0").select("ix", F.round(sc.inverse_deviation(F.col("var")), 5).alias("half"))
 
 
+#: Covariances between outcomes a and b at a distance h, as cov_mv_cross has them, for kriging of an outcome from another's nearest site.
+def cross_sql(a: str, b: str, h: str) -> str:
+    return (
+        f"CASE WHEN {a} = {b} THEN (0.5 + {a} * 0.25) ** 2 * exp(-2.0 * {h}) + (0.2 * {a}) ** 2 * exp(-(1.0 + {a}) * {h}) "
+        f"ELSE (0.5 + {a} * 0.25) * (0.5 + {b} * 0.25) / 1.5 * exp(-2.0 * {h} / sqrt(1.5)) END"
+    )
+
+
+OUTCOMES = f"""{NEAR}, o AS (SELECT x.ix, x.w, sqrt(d2) AS h, a.mv_id AS a, b.mv_id AS b FROM x JOIN s a ON a.ix = x.ix JOIN s b ON b.ix = x.near),
+k AS (SELECT *, {cross_sql("a", "b", "h")} AS c, {cross_sql("b", "b", "0.0")} AS kb, {cross_sql("a", "a", "0.0")} AS ka FROM o)"""
+
+
+@query(f"WITH {OUTCOMES} SELECT ix, round(c / kb * w, 6) + 0.0 AS mean, round(greatest(0, ka - c * c / kb), 6) + 0.0 AS var FROM k")
+def outcomes_1nn(spark, sf_dir):
+    """Kriging of an outcome at each new site from the nearest site, whatever its outcome: three outcomes, a block of one site."""
+    found = cut(_near(spark, sf_dir).withColumn("block", F.col("ix").cast("int")))
+    rows = sites.sites_2d(spark, sf_dir).withColumn("comp", F.col("mv_id") - 1)
+    known = rows.select(F.col("ix").alias("near"), "var1", "var2", "comp").join(found.select("near", "block", F.array("y_full").alias("w_draws")), "near")
+    known = known.select(F.col("block").cast("long").alias("ix"), "var1", "var2", "comp", "block", "w_draws")
+    new = rows.select("ix", "var1", "var2", "comp").join(found.select("ix", "block"), "ix")
+    none = spark.createDataFrame([], "child int, parent int, slot int")
+    # shared and own loadings, own decays, the core's decay, latent distances of a half
+    theta = (0.75, 1.0, 1.25, 0.2, 0.4, 0.6, 2.0, 3.0, 4.0, 1.0, 1.0, 2.0, 0.5, 0.5, 0.5)
+    found = gaussian.predict(new, known, none, [theta], Family(q=3, several=True))
+    return found.select("ix", six("mean").alias("mean"), six("var").alias("var"))
+
+
 # --- Gaussian process steps (tests hold those without SQL against dense matrices) -----------------------------------------------------
 
 #: Sites of a block on average, from which the grid of the Gaussian queries follows.
@@ -687,6 +714,37 @@ def predict_block(spark, sf_dir):
     return gaussian.predict(new, known, edges, [(1.0, 4.0), (1.0, 2.0)], tausq=[0.1, 0.1])
 
 
+@query()
+def outcomes_predict(spark, sf_dir):
+    """Kriging of three outcomes at every row without y, from the block of its nearest site and those before it, for two draws of one theta."""
+    blocked, edges, _ = _fitted(spark, sf_dir)
+    blocked = cut(blocked.withColumn("comp", F.col("mv_id") - 1))
+    known = blocked.where("y is not null").withColumn("w_draws", F.array("w", F.col("w") * 0.5))
+    unseen = blocked.where("y is null")
+    near = neighbors.nearest_site(unseen, known, keep=["block"])
+    new = unseen.select("ix", "var1", "var2", "comp").join(near.select("ix", "block"), "ix")
+    theta = (0.2, 0.2, 0.2, 0.1, 0.1, 0.1, 2.0, 2.0, 2.0, 0.5, 0.5, 2.0, 0.3, 0.6, 0.9)
+    return gaussian.predict(new, known, edges, [theta, theta], Family(q=3, several=True), tausq=[0.1, 0.1])
+
+
+@query()
+def latent_means(spark, sf_dir):
+    """Three outcomes whose process lives on a lattice over the sites' range, a node for each outcome: a sweep of conditional means there, and the means at all sites."""
+    rows = sites.sites_2d(spark, sf_dir).withColumn("comp", F.col("mv_id") - 1)
+    box = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{g}_{c}") for c in ("var1", "var2") for f, g in ((F.min, "lo"), (F.max, "hi"))]).head()
+    a_side = max(4, round((box["n"] / 6) ** 0.5))
+    place = {c: F.lit(box[f"lo_{c}"]) + F.col(c) * (box[f"hi_{c}"] - box[f"lo_{c}"]) for c in ("var1", "var2")}
+    nodes = sites.grid(spark, (a_side, a_side)).withColumns(place).withColumn("comp", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    nodes = nodes.select((F.col("ix") * 3 + F.col("comp")).alias("ix"), "var1", "var2", "comp", F.lit(0.0).alias("w"))
+    side = max(2, round((3 * a_side * a_side / BLOCK_SITES) ** 0.5))
+    blocked = cut(tess.tessellate(nodes, ["var1", "var2"], (side, side)))
+    placed, edges, colors = gaussian.latent_mesh(blocked, rows)
+    engine = gaussian.SparkEngine(blocked, edges, colors, Family(q=3, several=True), data=placed)
+    state = State([0.2, 0.2, 0.2, 0.1, 0.1, 0.1, 2.0, 2.0, 2.0, 0.5, 0.5, 2.0, 0.3, 0.6, 0.9], [0.1, 0.1, 0.1])
+    engine.sweep(state, (0, 0), noise=False)
+    return engine.values(state).select("ix", F.get("w", F.lit(0)).alias("w"))
+
+
 @query()
 def mvn_draws(spark, sf_dir):
     return gaussian.multivariate_normal(spark, 1000, [1.0, -1.0], [[2.0, 0.5], [0.5, 1.0]])

@@ -628,3 +628,69 @@ def test_collapsed_fit_draws_what_a_task_draws(spark):
     got = {(r["draw"], r["name"]): r["value"] for r in fronts.fit_collapsed(df, edges, settings).collect()}
     for k, state in sampler.iterate_collapsed(engine_of(df, edges, colors, Family()), settings):
         assert np.allclose([got[k, "sigmasq"], got[k, "phi"], got[k, "tausq"]], [*state.theta, state.tausq[0]])
+
+
+def test_a_latent_grid_is_the_dense_model(spark):
+    """Three outcomes on a grid of sites, data elsewhere: likelihood, sweep and the data's means follow from dense matrices."""
+    family = Family(q=3, several=True)
+    theta = (0.9, 0.8, 0.7, 0.5, 0.6, 0.4, 2.0, 3.0, 2.5, 0.6, 0.5, 2.0, 0.3, 0.6, 0.9)
+    rng, taus, beta = np.random.default_rng(12), [0.1, 0.2, 0.3], [[0.3], [-0.2], [0.5]]
+    places = [(i, j, c) for i in range(6) for j in range(6) for c in range(3)]
+    grid = spark.createDataFrame([(k, i / 6, j / 6, c, float(rng.normal())) for k, (i, j, c) in enumerate(places)], "ix long, var1 double, var2 double, comp int, w double")
+    rows = [(k, float(rng.uniform(0, 0.8)), float(rng.uniform(0, 0.8)), int(rng.integers(3)), float(rng.normal()), None if k % 7 == 0 else float(rng.normal())) for k in range(70)]
+    rows = [r for r in rows if not (r[1] > 0.55 and r[2] > 0.55)]  # a block without data
+    data = spark.createDataFrame(rows, "ix long, var1 double, var2 double, comp int, x1 double, y double")
+    blocked = cut(tess.tessellate(grid, ["var1", "var2"], (3, 3)))
+    placed, edges, colors = gaussian.latent_mesh(blocked, data)
+    engine = gaussian.SparkEngine(blocked, edges, colors, family, ["x1"], data=placed)
+    assert engine.any_alone and len(engine.colors) > 1
+    state = State(list(theta), taus, beta)
+    g = {r["ix"]: r for r in gaussian.standard(blocked, family).collect()}
+    d = [r for r in gaussian.standard(placed, family, ["x1"]).orderBy("ix").collect()]
+    part = lambda rs: Block(family, np.array([r["ix"] for r in rs]), np.array([r["at"] for r in rs]).reshape(len(rs), 2), np.array([r["component"] for r in rs]))
+    by = {}
+    for r in sorted(g.values(), key=lambda r: r["ix"]):
+        by.setdefault(r["block"], []).append(r)
+    h, left = np.zeros((len(d), len(g))), np.zeros(len(d))
+    for k, r in enumerate(d):
+        own = by[r["block"]]
+        cross, one = covariance(family, part([r]), part(own), theta), part([r])
+        weights = cross @ np.linalg.inv(covariance(family, part(own), part(own), theta))
+        h[k, [x["ix"] for x in own]] = weights[0]
+        left[k] = (covariance(family, one, one, theta) - weights @ cross.T)[0, 0]
+    seen = np.array([r["y"] is not None for r in d])
+    e = np.array([r["y"] - r["x"][0] * beta[r["component"]][0] if r["y"] is not None else 0.0 for r in d])
+    var = np.array([taus[r["component"]] for r in d]) + left
+    real = edges.join(engine.static.where("color >= 0").select(F.col("block").alias("child")), "child", "left_semi")
+    observed = {r["block"] for r in engine.static.where("color >= 0").collect()}
+    some = blocked.where(F.col("block").isin(list(observed)))
+    q = np.zeros((len(g), len(g)))
+    for r in gaussian.precision_entries(some, real, theta, family).collect():
+        q[r["i"], r["j"]] += r["v"]
+    w = np.array([g[i]["w"][0] for i in range(len(g))])
+    used = np.array([i for i in range(len(g)) if g[i]["block"] in observed])
+    sub = q[np.ix_(used, used)]
+    want = 0.5 * np.linalg.slogdet(sub)[1] - 0.5 * w[used] @ sub @ w[used] - len(used) / 2 * np.log(2 * np.pi)
+    want += (-0.5 * (np.log(2 * np.pi * var) + (e - h @ w) ** 2 / var))[seen].sum()
+    assert np.isclose(engine.logliks(state, [theta])[0], want)
+    weight = np.where(seen, 1 / var, 0.0)
+    a, color = q + h.T @ (weight[:, None] * h), {r["block"]: r["color"] for r in colors.collect()}
+    for b in sorted(observed, key=lambda b: (color[b], b)):
+        m = np.array([g[i]["block"] == b for i in range(len(g))])
+        rest = np.isin(np.arange(len(g)), used) & ~m
+        w[m] = np.linalg.solve(a[np.ix_(m, m)], (h.T @ (weight * e))[m] - a[np.ix_(m, rest)] @ w[rest])
+    engine.sweep(state, (1, 0), noise=False)
+    got = {r["block"]: r["w"] for r in engine.process().collect()}
+    assert all(np.allclose(got[b], w[[r["ix"] for r in by[b]]]) for b in observed)
+    means = {r["ix"]: (r["w"][0], r["mean"]) for r in engine.values(state).collect()}
+    for k, r in enumerate(d):
+        if r["block"] in observed:
+            assert np.allclose(means[r["ix"]], (h[k] @ w, h[k] @ w + r["x"][0] * beta[r["component"]][0]))
+    x = np.array([r["x"][0] for r in d])
+    for o, (xx, xr) in enumerate(engine.beta_sums(state)):
+        m = seen & np.array([r["component"] == o for r in d])
+        scale = taus[o] / var[m]
+        y = np.array([r["y"] or 0.0 for r in d])[m]
+        assert np.isclose(xx[0, 0], (scale * x[m] ** 2).sum()) and np.isclose(xr[0], (scale * x[m] * (y - (h @ w)[m])).sum())
+    draws = gaussian.fit(blocked, edges, colors, Settings(family=family, bounds=((0.1, 3.0),) * 6 + ((0.1, 30.0),) * 3 + ((0.01, 2.0),) * 2 + ((0.1, 30.0),) + ((0.01, 2.0),) * 3, keep=1), x=["x1"], data=placed)[1]
+    assert draws.count() == len(rows)
