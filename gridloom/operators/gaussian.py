@@ -29,6 +29,8 @@ from .tables import cut, release, scratch
 from .tessellation import block_counts, is_observed
 
 PLANE = Family()
+#: New sites of a block that are predicted at once.
+SLICE = 1024
 
 
 def standard(sites: DataFrame, family: Family = PLANE, x: Sequence[str] = ()) -> DataFrame:
@@ -535,22 +537,25 @@ def _outcomes(family: Family, d: dict) -> np.ndarray:
     return comp if family.several else np.zeros(len(comp), int)
 
 
+def row_weights(family: Family, rows: Block, z: np.ndarray, known: Block, theta: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's sum of z times its points, given the known points: weights over these, and the variance that is left."""
+    n, (count, points) = family.per_site, (len(z), len(known))
+    if not count:
+        return np.zeros((0, points)), np.zeros(0)
+    cross = covariance(family, rows, known, theta)
+    h = np.linalg.solve(covariance(family, known, known, theta), cross.T).T.reshape(count, n, points)
+    # a site's points have the same covariances wherever it is
+    kinds, of = np.unique(rows.component.reshape(count, n), axis=0, return_inverse=True)
+    alone = [Block(family, np.zeros(1, int), rows.at[:1], k) for k in kinds]
+    prior = np.stack([covariance(family, b, b, theta) for b in alone])[of.ravel()]
+    left = np.einsum("ri,rij,rj->r", z, prior - np.einsum("rip,rjp->rij", h, cross.reshape(h.shape)), z)
+    return np.einsum("ri,rip->rp", z, h), np.maximum(0.0, left)
+
+
 def _projection(family: Family, d: dict, theta: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
     """Of each row of data: its mean, a row of weights over the block's points, and the variance that these leave."""
     at, comp = d["data"]
-    rows, own = Block(family, np.arange(len(at)), at, comp), Block(family, np.arange(len(d["at"])), d["at"], d["comp"])
-    if not len(at):
-        return np.zeros((0, len(own))), np.zeros(0)
-    cross = covariance(family, rows, own, theta)
-    h = np.linalg.solve(covariance(family, own, own, theta), cross.T).T
-    n, z = family.per_site, d["z"]
-    mean, left = np.zeros((len(at), len(own))), np.zeros(len(at))
-    for i in range(len(at)):
-        s = slice(i * n, i * n + n)
-        one = Block(family, np.zeros(1, int), at[i : i + 1], comp[i : i + 1])
-        mean[i] = z[i] @ h[s]
-        left[i] = z[i] @ (covariance(family, one, one, theta) - h[s] @ cross[s].T) @ z[i]
-    return mean, np.maximum(0.0, left)
+    return row_weights(family, Block(family, np.arange(len(at)), at, comp), d["z"], Block(family, np.arange(len(d["at"])), d["at"], d["comp"]), theta)
 
 
 def _own_factor(family: Family, d: dict, unit: Sequence[float]) -> tuple[np.ndarray, np.ndarray, float]:
@@ -672,18 +677,14 @@ def predict(new: DataFrame, sites: DataFrame, edges: DataFrame, thetas: Sequence
         if len(points) and len(rows):
             w = np.array([[np.ravel(d) for d in r] for r in rows["w_draws"]], float)  # sites x draws x processes
             make = lambda f: Block(family, f["ix"].to_numpy(), np.array(f["at"].tolist(), float), f["component"].to_numpy())
-            at, known, done = make(points), make(rows), None
-            z = np.array(points["z"].tolist(), float).reshape(len(points), -1)
-            for k, theta in enumerate(thetas):
-                if done is None or done[0] != theta:
-                    cross = covariance(family, at, known, theta)
-                    h = np.linalg.solve(covariance(family, known, known, theta), cross.T).T
-                    n = family.per_site
-                    own = [slice(i * n, i * n + n) for i in range(len(points))]
-                    var = [z[i] @ (covariance(family, b, b, theta) - h[s] @ cross[s].T) @ z[i] for i, (s, b) in enumerate(zip(own, (make(points.iloc[[i]]) for i in range(len(points))), strict=True))]
-                    done = (theta, h, np.maximum(0.0, var))
-                mean = ((done[1] @ w[:, k].ravel()).reshape(z.shape) * z).sum(axis=1)
-                out.append(pd.DataFrame({"ix": points["ix"], "draw": k, "mean": mean, "var": done[2]}))
+            known, done = make(rows), None
+            for lo in range(0, len(points), SLICE):
+                some = points.iloc[lo : lo + SLICE]
+                z, done = np.array(some["z"].tolist(), float).reshape(len(some), -1), None
+                for k, theta in enumerate(thetas):
+                    if done is None or done[0] != theta:
+                        done = (theta, *row_weights(family, make(some), z, known, theta))
+                    out.append(pd.DataFrame({"ix": some["ix"], "draw": k, "mean": done[1] @ w[:, k].ravel(), "var": done[2]}))
         return pd.concat(out) if out else pd.DataFrame({"ix": [], "draw": [], "mean": [], "var": []})
 
     flat = standard(sites, family).drop("w").join(sites.select("ix", "w_draws"), "ix")
