@@ -1,13 +1,17 @@
 """License texts found by conditional compression.
 
-Candidate blocks are the stretches of a text around words that licenses use, wide enough for the longest template on both sides. A block is
-compressed with zstandard alone and with each template as a raw dictionary, and templates are confirmed by the exact words in which some stretch
-of the block, of all of them the closest, differs from them: the one that explains most words first, then, without its words, the next, until none is left. Templates that
-spare bytes but aren't confirmed follow by how much they spare. A task keeps the verdicts of the last blocks it saw.
+Candidate blocks are the stretches of a text around cues, wide enough for the longest template on both sides. Cues are words that licenses use, and runs
+of the templates' own words: a template is cut in one run more than it may differ by words, so that any stretch that is confirmed holds some
+run whole, and no template needs a word of licenses in it. A block is compressed with zstandard alone and with each template as a raw dictionary. Templates are ranked by how
+many bytes they spare; only those that spare any are candidates, and the first of them of which some stretch of the block is near enough wins: its
+closest stretch is confirmed by the exact words in which it differs. Where several candidates fit that stretch, the one that explains most of its words is
+confirmed. Its words leave the block, and the rest is compressed and ranked again, until no candidate fits. Templates that spare bytes but
+aren't confirmed follow by how much they spare. A task keeps the verdicts of the last blocks it saw.
 
-Defined results: null and empty texts have no blocks; a text without license words has no rows; long texts are read whole, in blocks that
+Defined results: null and empty texts have no blocks; a text without cues has no rows; long texts are read whole, in blocks that
 overlap by more than the longest template, and what two blocks confirm is reported once; repeated rows are each reported; equal templates
-rank by name; first and length are those of the confirmed stretch, or else of the block.
+rank by name; first and length are those of the confirmed stretch, or else of the block; an empty table gives an empty result; columns of docs that
+share a name with a result give way to it.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -110,15 +115,53 @@ def sections(name: str, text: str, size: int = SECTION) -> dict[str, str]:
     return {f"{name}#{i}": x for i, x in enumerate(out, 1)}
 
 
-def spans(text: str, around: int) -> Iterator[tuple[int, int]]:
-    """Stretches of so many characters around license words; near ones join, and long ones are cut into blocks that overlap by as many."""
-    start, end = -1, -1
-    for cue in CUE.finditer(text):
-        lo, hi = max(0, cue.start() - around), min(len(text), cue.end() + around)
+class Cues:
+    """Where a text may hold a license: words of licenses, and whole runs of the templates' words."""
+
+    def __init__(self, templates: dict[str, str]):
+        self.around = 2 * max(map(len, templates.values()))  # for line breaks, indents and comment signs
+        runs: dict[str, list[re.Pattern]] = {}
+        for text in templates.values():
+            for run in own_runs(words(text)):
+                if run and not CUE.search(" ".join(run)):
+                    runs.setdefault(max(run, key=len), []).append(re.compile(r"(?<![^\W_])" + r"[\W_]+".join(map(re.escape, run)) + r"(?![^\W_])"))
+        self.anchors = ahocorasick.Automaton()
+        for word, patterns in runs.items():
+            self.anchors.add_word(word, (len(word), patterns))
+        if runs:
+            self.anchors.make_automaton()
+        self.any = bool(runs)
+
+    def find(self, text: str) -> list[tuple[int, int]]:
+        """Starts and ends of all cues, in order."""
+        found = [m.span() for m in CUE.finditer(text)]
+        if self.any:
+            lower = text.lower()
+            if len(lower) != len(text):  # a letter that has two in lower case
+                lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+            for end, (size, patterns) in self.anchors.iter(lower):
+                lo = max(0, end - self.around)
+                if any(m.start() <= end + 1 - size and m.end() > end for p in patterns for m in p.finditer(lower, lo, min(len(lower), end + self.around))):
+                    found.append((end + 1 - size, end + 1))
+        return sorted(found)
+
+
+def own_runs(some: list[str]) -> list[list[str]]:
+    """One run of successive words more than a stretch may differ by: whatever differs, some run is whole."""
+    n = int(MOST_DIFFERENT * len(some)) + 1
+    cuts = [len(some) * k // n for k in range(n + 1)]
+    return [some[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def spans(text: str, cues: Cues) -> Iterator[tuple[int, int]]:
+    """Stretches around cues; near ones join, and long ones are cut into blocks that overlap by more than the longest template."""
+    start, end, around = -1, -1, cues.around
+    for a, b in cues.find(text):
+        lo, hi = max(0, a - around), min(len(text), b + around)
         if start >= 0 and lo > end:
             yield start, end
             start = -1
-        start, end = lo if start < 0 else start, hi
+        start, end = lo if start < 0 else start, max(hi, end)
         while end - start > 4 * around:
             yield start, start + 4 * around
             start += 3 * around
@@ -167,8 +210,7 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
         self.given = {k: zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(self._plain(w), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items()}
         self.seen: dict[str, list[tuple]] = {}
-        # characters around a word of a license: twice the longest template, for line breaks, indents and comment signs
-        self.around = 2 * max(map(len, templates.values()))
+        self.cues = Cues(templates)
 
     @staticmethod
     def _plain(some: list[str]) -> bytes:
@@ -180,28 +222,40 @@ class Scanner:
             return known
         at = [(m.start(), m.end(), m.group().lower()) for m in _WORDS.finditer(block)]
         own: list[str | None] = [w for _, _, w in at]
-        raw = self._plain(own)
-        size = len(self.alone.compress(raw))
-        bytes_ = {k: size - len(c.compress(raw)) for k, c in self.given.items()}
-        # bytes spared, as a share of what the template could spare at most
-        spared = {k: bytes_[k] / max(1, len(self._plain(w))) for k, w in self.words.items()}
-        best = {k: found for k in self.words if (found := self.closest(k, own))}
-        out = []
-        while best:
-            k = min(best, key=lambda k: (len(best[k][0]) + len(best[k][1]) - len(self.words[k]), k))
-            missing, added, lo, hi = best[k]
-            out.append((k, len(out) + 1, spared[k], True, missing, added, at[lo][0], at[hi - 1][1]))
+        first, out, known = self.spared(own), [], {}
+        spared = first
+        explained = lambda k: len(self.words[k]) - len(known[k][0]) - len(known[k][1])
+        while True:
+            # candidates by what they spare of the words that are left; the first that fits wins
+            ranked = sorted((k for k, b in spared.items() if b > 0), key=lambda k: (-spared[k], k))
+            for k in ranked:
+                if k not in known:
+                    known[k] = self.closest(k, own)
+            winner = next((k for k in ranked if known[k]), None)
+            if winner is None:
+                break
+            # of the candidates that fit the winner's stretch, the one that explains most of it
+            lo, hi = known[winner][2:]
+            winner = max((k for k in ranked if known[k] and known[k][2] < hi and known[k][3] > lo), key=lambda k: (explained(k), -ranked.index(k)))
+            missing, added, lo, hi = known[winner]
+            out.append((winner, len(out) + 1, spared[winner] / max(1, len(self._plain(self.words[winner]))), True, missing, added, at[lo][0], at[hi - 1][1]))
             own[lo:hi] = [None] * (hi - lo)
-            again = {t: x if x[3] <= lo or x[2] >= hi else self.closest(t, own) for t, x in best.items()}
-            best = {t: x for t, x in again.items() if x}
+            known = {k: x for k, x in known.items() if x is None or x[3] <= lo or x[2] >= hi}
+            spared = self.spared(own)
         had, there = {x[0] for x in out}, Counter(w for _, _, w in at)
-        for k in sorted((k for k in self.words if k not in had and bytes_[k] > 0), key=lambda k: (-bytes_[k], k)):
-            out.append((k, len(out) + 1, spared[k], False, list((Counter(self.words[k]) - there).elements()), [], 0, len(block)))
+        for k in sorted((k for k in self.words if k not in had and first[k] > 0), key=lambda k: (-first[k], k)):
+            out.append((k, len(out) + 1, first[k] / max(1, len(self._plain(self.words[k]))), False, list((Counter(self.words[k]) - there).elements()), [], 0, len(block)))
         if len(self.seen) >= KEPT:
             self.seen.clear()
         self.seen[block] = out
         return out
 
+    def spared(self, own: list[str | None]) -> dict[str, int]:
+        """Bytes by which each template as a dictionary makes the block's remaining words smaller."""
+        raw = self._plain([w for w in own if w is not None])
+        size = len(self.alone.compress(raw))
+        return {k: size - len(c.compress(raw)) for k, c in self.given.items()}
+
     def closest(self, template: str, own: list[str | None]) -> tuple[list[str], list[str], int, int] | None:
         """The template's words that a stretch of own lacks, the stretch's words that the template lacks, and the stretch: the first of those
         with the fewest of both over all stretches, or None where even they are too many.
@@ -228,7 +282,7 @@ class Scanner:
 
     def hits(self, text: str) -> list[tuple]:
         """(template, rank, spared, confirmed, missing, added, first, length) of a text's blocks, without what overlapping blocks repeat."""
-        every = [(*hit[:6], lo + hit[6], lo + hit[7]) for lo, hi in spans(text, self.around) for hit in self.judge(text[lo:hi])]
+        every = [(*hit[:6], lo + hit[6], lo + hit[7]) for lo, hi in spans(text, self.cues) for hit in self.judge(text[lo:hi])]
         kept, taken = [], []
         explained = lambda x: len(self.words[x[0]]) - len(x[4]) - len(x[5])
         for x in sorted((x for x in every if x[3]), key=lambda x: (-explained(x), x[6], x[0])):

@@ -526,6 +526,47 @@ def test_many_notices_in_a_block(spark):
     assert [[t for t, _ in found[i]] for i in range(4)] == [names, names, names[:4], ["gpl-3.0-header", "mit"]]
 
 
+def test_every_template_is_found(spark):
+    """Each template alone, with changed words, and thousands of words behind a cue of another, whether or not it holds a word of licenses."""
+    prose = " ".join(f"word{i % 313}" for i in range(3000))
+    rng = np.random.default_rng(3)
+    every, want = [], []
+    for k, t in licenses.TEMPLATES.items():
+        w = t.split()
+        changed = list(w)
+        for p in rng.choice(len(w), max(0, int(0.1 * len(w)) - 1), replace=False):
+            changed[p] = "other"
+        every += [t, " ".join(changed), f"Copyright 2020 {prose} {t} {prose}"]
+        want += [k] * 3
+    found = confirmed_in(spark, every)
+    assert [[t for t, _ in found[i]] for i in range(len(every))] == [[k] for k in want]
+    assert licenses.CUE.search(licenses.TEMPLATES["isc-warranty"]) is None
+
+
+def test_runs_survive_all_that_may_differ():
+    rng = np.random.default_rng(5)
+    for n in range(1, 80):
+        some = [f"w{i}" for i in range(n)]
+        runs = licenses.own_runs(some)
+        assert [w for r in runs for w in r] == some
+        for _ in range(20):
+            gone = set(rng.choice(n, int(licenses.MOST_DIFFERENT * n), replace=False).tolist())
+            assert any(r and not gone & {int(w[1:]) for w in r} for r in runs)
+
+
+def test_compression_ranks_what_alignment_confirms(monkeypatch):
+    """Without any reduction nothing is a candidate; other reductions change the order."""
+    t = licenses.TEMPLATES
+    block = f"{t['mpl-2.0']} and then some more words {t['isc']}"
+    order = lambda: [x[0] for x in licenses.Scanner(t).judge(block) if x[3]]
+    assert order() == ["isc", "mpl-2.0"]
+    keep = licenses.Scanner.spared
+    monkeypatch.setattr(licenses.Scanner, "spared", lambda self, own: {k: 500 - b if b > 0 else 0 for k, b in keep(self, own).items()})
+    assert order() == ["mpl-2.0", "isc"]
+    monkeypatch.setattr(licenses.Scanner, "spared", lambda self, own: dict.fromkeys(self.words, 0))
+    assert licenses.Scanner(t).judge(block) == []
+
+
 def test_url_rules_nest(spark):
     rules = spark.createDataFrame([("com", "/", "block"), ("a.com", "/x/", "allow"), ("b.a.com", "/x/y/", "block")], "host string, path string, verdict string")
     pages = [(0, "http://com/"), (1, "https://A.com/x/1"), (2, "http://c.b.a.com/x/y/z?q"), (3, "http://xcom/"), (4, None), (5, "nothing"), (6, "http://b.a.com/x/z"), (7, "http://aa.com#f")]
