@@ -20,7 +20,8 @@ Names are 64-bit fingerprints of content, so that nothing has to be looked up at
 must agree for strings to be taken as equal.
 
 Defined results: null and empty texts have no bytes; equal rows are copies of one another, so a whole text of at least LENGTH bytes goes
-from each; a text shorter than LENGTH keeps all; bytes that remain of a cut character remain, unless whole characters are asked for; any other columns are kept as asked.
+from each; a text shorter than LENGTH keeps all; bytes that remain of a cut character remain, unless whole characters are asked for; any other columns are kept as asked;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -294,7 +295,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     last = _doubled(store(strings, "strings"), "core", "name", "rank").where("times = 1").select("k1", "k2", "first", F.lit(1).alias("n"))
     whole = found.where(F.col("status") < _EDGE).select("k1", "k2", "first", "n")
     stretches = judged.where("all > 1 and times = 1").select("k1", "k2", F.col("at").alias("first"), "n")
-    listed = store(whole.union(stretches).union(last).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "repeats")
+    # rows that agree in id and text have the same runs: each is listed once, however many the rows
+    listed = store(whole.union(stretches).union(last).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", F.col("n").cast("int").alias("n"))).alias("runs")), "repeats")
     release(ranked, border, cut, positions, cores, judged)
     return listed
 
