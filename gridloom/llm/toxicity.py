@@ -9,8 +9,8 @@ whether P(grade >= 1) is over the value that parts the sample's toxic and clean
 only there is one threshold. The table of labels has no severity, so the query grades a toxic row 2 where it is labelled of low quality too.
 
 Defined results: null and empty texts have no features; whole texts count, of any length; rows without a label, or whose label is null,
-are scored but not learned from; without any toxic or any clean labelled row there are no weights and every severity is 0; repeated rows
-get equal scores; columns kept by name are returned unless they clash with results.
+are scored but not learned from; without any toxic or any clean labelled row there are no weights and every severity is 0; rows of one id
+(or of none) are one to learn from, that of the least grade and text; repeated rows get equal scores; an empty table gives an empty one; columns kept by name are returned unless they clash with results.
 """
 
 from __future__ import annotations
@@ -94,10 +94,10 @@ def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", grade: str
     """A model from rows of id, text and grade: 0 for clean texts, then 1, 2, ... by severity; as many grades as there are."""
     rows = labelled.where(F.col(grade).isNotNull()).select(F.col(id).cast("string").alias("id"), F.col(grade).cast("int").alias("grade"), F.col(text).alias("text"))
     order = F.xxhash64("id")
-    bound = rows.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).head()[0]
+    bound = rows.select("id").distinct().select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).head()[0]
     if bound is None:
         return Model()
-    seen = rows.where(order <= bound)
+    seen = rows.where(order <= bound).groupBy("id").agg(F.min(F.struct("grade", "text")).alias("r")).select("id", "r.grade", "r.text")
     totals = {r["grade"]: r["n"] for r in seen.groupBy("grade").agg(F.count_distinct("id").alias("n")).collect()}
     found = seen.mapInArrow(_occurrences, "id string, grade int, key bigint, count bigint").persist()
     try:

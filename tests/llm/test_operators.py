@@ -216,6 +216,19 @@ def test_suffix_over_any_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
+def test_suffix_repeated_rows_are_linear(spark):
+    """A row repeated many times lists its runs once, and loses its text with its copies."""
+    rng = np.random.default_rng(11)
+    text = " ".join(f"w{rng.integers(10**6)}" for _ in range(250))
+    sizes = []
+    for n in (2, 300):
+        docs = spark.createDataFrame([(1, text)] * n + [(2, "short")], "doc_id long, text string")
+        keyed = docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), "text")
+        sizes.append([r["n"] for r in suffix.repeats(keyed).select(F.size("runs").alias("n")).collect()])
+        assert {(r["doc_id"], len(r["kept"])) for r in suffix.remove_repeats(docs, ["doc_id"]).collect()} == {(1, 0), (2, 5)}
+    assert sizes[0] == sizes[1] and len(sizes[0]) == 1
+
+
 def test_suffix_text_longer_than_a_block(spark):
     rng = np.random.default_rng(3)
     fill = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
@@ -431,6 +444,17 @@ def test_toxicity_learns_grades(spark):
         assert abs(sum(g * (least[g] - least[g + 1]) for g in range(4)) - held["severity"].loc[i]) < 1e-9
 
 
+def test_toxicity_learns_from_ids_not_rows(spark):
+    """One id repeated thousands of times is one row of the sample, which holds as many others as without it."""
+    rows = [(i, f"w{i % 7} " + ("zorn grimm" if i % 2 else "fein gut"), i % 2) for i in range(300)]
+    schema = "doc_id long, text string, grade int"
+    plain = spark.createDataFrame(rows, schema)
+    many = plain.union(spark.createDataFrame([rows[7]], schema).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("k"))
+    for sample in (200, 8000):
+        a, b = toxicity.fit(plain, sample=sample), toxicity.fit(many, sample=sample)
+        assert len(a.keys) and a.keys.tolist() == b.keys.tolist() and np.allclose(a.weights, b.weights) and np.allclose(a.thresholds, b.thresholds)
+
+
 def test_ordinal_gradient_is_the_likelihoods():
     rng = np.random.default_rng(3)
     n, f = 12, 5
