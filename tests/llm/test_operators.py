@@ -444,17 +444,6 @@ def test_toxicity_learns_grades(spark):
         assert abs(sum(g * (least[g] - least[g + 1]) for g in range(4)) - held["severity"].loc[i]) < 1e-9
 
 
-def test_toxicity_learns_from_ids_not_rows(spark):
-    """One id repeated thousands of times is one row of the sample, which holds as many others as without it."""
-    rows = [(i, f"w{i % 7} " + ("zorn grimm" if i % 2 else "fein gut"), i % 2) for i in range(300)]
-    schema = "doc_id long, text string, grade int"
-    plain = spark.createDataFrame(rows, schema)
-    many = plain.union(spark.createDataFrame([rows[7]], schema).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("k"))
-    for sample in (200, 8000):
-        a, b = toxicity.fit(plain, sample=sample), toxicity.fit(many, sample=sample)
-        assert len(a.keys) and a.keys.tolist() == b.keys.tolist() and np.allclose(a.weights, b.weights) and np.allclose(a.thresholds, b.thresholds)
-
-
 def test_ordinal_gradient_is_the_likelihoods():
     rng = np.random.default_rng(3)
     n, f = 12, 5
