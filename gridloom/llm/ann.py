@@ -6,12 +6,13 @@ has a row for each substring of each code, dealt by (substring, its first bits,
 where one value has very many rows. By the pigeonhole principle a code within the radius r of a query has, over m substrings, one of the first
 r mod m + 1 within floor(r / m) bits, or one of the others within floor(r / m) - 1; probing these values retrieves every such code, and many
 farther ones. Codes found are kept if all their bits are within a second, looser radius and they are among the nearest of their group (NEAREST),
-and reranked by exact cosines in double precision. A query for which this leaves out a code within the first radius, as in a crowd of near
-copies, is compared with all rows instead, block by block: no pair of a crowd is written for that.
+and reranked by exact cosines in double precision. A query for which a group holds more codes within the looser radius than that, as in a crowd
+of near copies, is compared with all rows instead, block by block: nothing within the radii is left out, and no pair of a crowd is written.
 
 Both radii are learned: SAMPLED queries are compared with all rows, exactly, and the first radius is the least that retrieves SHARE of their true
 neighbours; so it shrinks as the table gets denser. A query for which fewer rows than asked for are found is compared with all rows instead.
-Everything that is shuffled grows with the rows or with what is found, never with queries times rows.
+The index's rows grow with the rows, its probes with the queries times the groups they reach. The exact comparison reads queries times rows: a row
+goes to each block of QUERY_BLOCK queries that need it, so where a share of the queries lies in crowds, its work is that share of a whole scan.
 
 Equal vectors are one node with the k + 1 least of their ids: more of them can't be among the k nearest.
 
@@ -40,7 +41,7 @@ SAMPLED, SHARE = 128, 0.97
 GROUP, ROW_BLOCK, QUERY_BLOCK = 8_192, 8_192, 1_024
 #: Codes that a query takes from one group: those as near as this many of its nearest there (ties included) go to the exact rerank.
 NEAREST = 256
-#: In place of a node: the query lost codes within the radius.
+#: In place of a node: the query lost codes within the loose radius.
 CUT = -1
 
 _WEIGHT = np.bitwise_count(np.arange(1 << WIDTH, dtype=np.uint32)).astype(np.uint8)
@@ -175,7 +176,7 @@ def _probe(queries: pd.DataFrame, rows: pd.DataFrame, book: Codebook, first_bits
                 at, apart = at[new], apart[new]
             if len(at) > NEAREST:
                 last = np.partition(apart, NEAREST - 1)[NEAREST - 1]
-                if ((apart > last) & (apart <= book.radius)).any():
+                if (apart > last).any():
                     asked.append([node])
                     found.append([CUT])
                 at = at[apart <= last]
