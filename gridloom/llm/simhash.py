@@ -100,12 +100,6 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array(found)], names=[*batch.schema.names[:-1], "fingerprint"])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words: int = 3) -> DataFrame:
-    """keep and fingerprint (a bigint of the 64 bits) of each row."""
-    found = read_texts(docs, keep, text, lambda batches: _fingerprint(batches, words), "fingerprint bigint")
-    return found.select(*unpacked(keep, ["fingerprint"]), "fingerprint")
-
-
 def _segment(bits: Column, at: int) -> Column:
     return F.shiftrightunsigned(bits, WIDTH * (at % SEGMENTS)).bitwiseAND((1 << WIDTH) - 1)
 
@@ -197,15 +191,18 @@ def links(bits: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """keep (default: id), fingerprint (bigint), component_id (the least id of all rows that links lead to) of each row."""
+    """keep (default: id), fingerprint (bigint), component_id (the least id of all rows that links lead to) of each row.
+
+    Columns of docs that share a name with a result give way to it.
+    """
     keep = list(dict.fromkeys([id, *(keep or [])]))
-    marked = store(fingerprints(docs, keep, text, words), "fingerprints")
-    distinct = store(marked.groupBy("fingerprint").agg(F.min(id).alias("least")), "distinct")
+    marked = store(read_texts(docs, keep, text, lambda batches: _fingerprint(batches, words), "fingerprint bigint"), "fingerprints")
+    distinct = store(marked.groupBy("fingerprint").agg(F.min(F.col("row")[id]).alias("least")), "distinct")
     labels = components(links(distinct))
     labelled = distinct.join(labels, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("label", "fingerprint").alias("label"))
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     of = labelled.select("fingerprint", "label").join(ids, "label").select("fingerprint", "component_id")
-    return marked.join(of, "fingerprint").select(*keep, "fingerprint", "component_id")
+    return marked.join(of, "fingerprint").select(*unpacked(keep, ["fingerprint", "component_id"]), "fingerprint", "component_id")
 
 
 def radius(similarity: float, bits: int = 64 * LANES, slack: float = 1.5) -> int:
