@@ -1,7 +1,7 @@
 """Toxic severity by cumulative-link ordinal regression on sparse text features.
 
 Features are counts of a text's words (runs of letters and digits, lower-cased) and of their first 4 to 8 bytes, so that a stem counts in
-all its forms. On a sample of at most SAMPLE labelled rows, taken by a hash of their ids, Spark counts the documents of each feature by
+all its forms. On a sample of at most SAMPLE labelled ids, taken by a hash, with one text each, Spark counts the documents of each feature by
 label and keeps those that clearly tell toxic texts (log odds over MIN_Z standard errors, at most FEATURES of them). One weight vector w
 and ordered thresholds t_1 < ... < t_K are fitted to the sample's grades on the driver: P(grade >= k) = logistic(w.x - t_k). Every document
 is then scored on the executors: expected severity is the sum of these probabilities, the grade the number of them over one half; toxic is
@@ -9,8 +9,9 @@ whether P(grade >= 1) is over the value that parts the sample's toxic and clean
 only there is one threshold. The table of labels has no severity, so the query grades a toxic row 2 where it is labelled of low quality too.
 
 Defined results: null and empty texts have no features; whole texts count, of any length; rows without a label, or whose label is null,
-are scored but not learned from; without any toxic or any clean labelled row there are no weights and every severity is 0; repeated rows
-get equal scores; columns kept by name are returned unless they clash with results.
+are scored but not learned from; without any toxic or any clean labelled row there are no weights and every severity is 0; rows of one id
+(or of none) are one to learn from, that of the least grade and hash of the text, however many there are; repeated rows get equal scores; an
+empty table gives an empty one; columns kept by name are returned unless they clash with results.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import read_texts, unpacked
+from ._support import read_texts, release, store, unpacked
 from ._text import blocks, classes, spans, string_buffers
 
 SAMPLE, FEATURES, MIN_Z, MIN_DOCS = 8000, 2000, 4.0, 4
@@ -92,18 +93,28 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = SAMPLE) -> Model:
     """A model from rows of id, text and grade: 0 for clean texts, then 1, 2, ... by severity; as many grades as there are."""
-    rows = labelled.where(F.col(grade).isNotNull()).select(F.col(id).cast("string").alias("id"), F.col(grade).cast("int").alias("grade"), F.col(text).alias("text"))
-    order = F.xxhash64("id")
-    bound = rows.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).head()[0]
+    hashed = F.xxhash64(F.col(id).cast("string"))
+    rows = labelled.where(F.col(grade).isNotNull()).select(hashed.alias("id"), F.col(grade).cast("int").alias("grade"), F.col(text).cast("string").alias("text"))
+    bound = rows.select("id").distinct().orderBy("id").limit(sample).agg(F.max("id")).head()[0]
     if bound is None:
         return Model()
-    seen = rows.where(order <= bound)
-    totals = {r["grade"]: r["n"] for r in seen.groupBy("grade").agg(F.count_distinct("id").alias("n")).collect()}
-    found = seen.mapInArrow(_occurrences, "id string, grade int, key bigint, count bigint").persist()
+    rows = rows.where(F.col("id") <= bound).withColumn("own", F.xxhash64("text"))
+    counted = rows.groupBy("id", "grade", "own").agg(F.count("*").alias("n"))
+    # one row for each id, at most sample of them; n: how often it is there
+    picked = store(counted.groupBy("id").agg(F.min(F.struct("grade", "own", "n")).alias("r")).select("id", "r.*"), "sample")
+    totals = {r["grade"]: r["count"] for r in picked.groupBy("grade").count().collect()}
+
+    def features(some: DataFrame) -> DataFrame:
+        seen = rows.join(F.broadcast(some.drop("n")), ["id", "grade", "own"]).select("id", "grade", "text")
+        return seen.mapInArrow(_occurrences, "id bigint, grade int, key bigint, count bigint")
+
+    # only rows that repeat are compared with one another, by their features: no text is shuffled
+    found = features(picked.where("n = 1")).unionByName(features(picked.where("n > 1")).distinct()).persist()
     try:
         return _fit(found, totals)
     finally:
         found.unpersist()
+        release(picked)
 
 
 def _fit(seen: DataFrame, totals: dict[int, int]) -> Model:
