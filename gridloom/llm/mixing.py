@@ -6,8 +6,8 @@ cut into blocks of block_words words; a document is in the block that its first
 to the output shards by a binary tree: at each node the left half draws its blocks without replacement, which gives every source a
 multivariate-hypergeometric quota; quotas add up exactly, at every node, to the source's blocks and to the shards' sizes. A shard gets as many
 next blocks of each permuted stream as its quota says, disjoint from all others', and is sorted by a keyed hash of its documents: the local
-shuffle. All of it is DataFrame expressions; only the table of sources (one row a source, MOST_SOURCES at most, or an error) is ever gathered,
-as an array of counts for each tree node.
+shuffle. A source's blocks are dealt round from a hashed one on. All of it is DataFrame expressions. Any number of sources can be mixed: a tree node is a row for each group of about 2^FAN_BITS sources,
+which holds their counts that are not zero; only the windows that number and cap the sources (a name and two numbers each) run in one task.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a source of no words has target 0; a negative
 or missing id only enters hashes; equal rows get one place each, in an order that can't be told apart; an empty table gives an empty one;
@@ -18,6 +18,8 @@ are taken in part (their first words), so that taken never exceeds 2 * size; the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +29,9 @@ from ._support import WORD, carried, named, store, unit_hash, unpacked
 WEIGHTS = (5, 2, 1)
 #: A hypergeometric draw looks at counts within so many standard deviations of the mean: beyond lies less than 1e-30.
 WIDTH = 12.0
-#: Sources of a mix, whose table passes through single rows and windows, and sources times shards (32 MB, which are broadcast). Rows that one window over a source's stream sorts, about.
-MOST_SOURCES, MOST_QUOTAS, BUCKET_ROWS = 10_000, 4_000_000, 20_000
+#: Sources (or groups of them) in a group of the tree: 2^FAN_BITS, about. Rows that one window over a source's stream sorts, about.
+FAN_BITS, BUCKET_ROWS = 10, 20_000
+MEMBER = ("last", "source", "sub")
 MADE = ("size", "source_size", "target", "taken", "pieces")
 
 
@@ -81,39 +84,62 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     return levelled.select("source", "source_size", F.least(F.col("cap"), F.coalesce(at * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def shard_quotas(sources: DataFrame, shards: int, block_words: int, seed: int) -> DataFrame:
-    """sources with ends: for each shard, the number of the source's taken blocks in this shard and those before it.
+def _deal(listed: DataFrame, shards: int, seed: int, depth: int, top: bool) -> DataFrame:
+    """last, source, sub (a member of a group), quotas, from rows of group, at (its members with their blocks n) and given (its own quotas).
 
-    shards is a power of two. Each level splits every node's counts in two by one draw a source, the sources in order, each from what
-    the earlier ones left: together a multivariate-hypergeometric draw of exactly half the node's blocks.
+    quotas: for each shard that gets any, in order, how many blocks it gets and how many it and those before it. The top group gives half of
+    its blocks to each half of the shards; another what its quotas say. At each node the members in order draw from what the earlier left.
     """
-    if shards & (shards - 1):
-        raise ValueError("shards must be a power of two")
-    blocks = F.ceil(F.floor("target") / F.lit(float(block_words))).cast("long")
-    counted = sources.withColumn("blocks", blocks)
-    listed = F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), F.col("source").alias("source"), F.col("blocks").alias("n"))))
-    tree = counted.agg(listed.alias("at")).select(F.lit(0).cast("long").alias("node"), "at")
+    tree = listed.select("group", "given", F.lit(0).cast("long").alias("node"), "at")
     for level in range(shards.bit_length() - 1):
+        width, salt = shards >> level, F.lit(level)
         total = F.aggregate("at", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-        start = F.struct(total.alias("left"), F.ceil(total / 2).cast("long").alias("draw"), F.array().cast("array<bigint>").alias("got"))
-
-        salt = F.lit(level)
+        before = lambda shard: F.aggregate("given", F.lit(0).cast("long"), lambda s, r: s + F.when(r["shard"] < shard, r["n"]).otherwise(F.lit(0)))
+        half = F.ceil(total / 2).cast("long") if top else before(F.col("node") * width + width // 2) - before(F.col("node") * width)
+        start = F.struct(total.alias("left"), half.alias("draw"), F.array().cast("array<bigint>").alias("got"))
 
         def split(s: Column, x: Column) -> Column:
-            u = unit_hash(seed, salt, F.col("node"), x["last"], x["source"])  # noqa: B023
+            u = unit_hash(seed, salt, F.col("node"), *([F.lit(depth), x["sub"]] if depth else [x["last"], x["source"]]))  # noqa: B023
             after = lambda got: F.struct((s["left"] - x["n"]).alias("left"), (s["draw"] - got).alias("draw"), F.concat(s["got"], F.array(got)).alias("got"))
             return _let(hypergeometric(s["left"], x["n"], s["draw"], u), after)
 
-        drawn = F.aggregate("at", start, split)["got"]
-        halves = F.transform(F.arrays_zip(F.col("at"), drawn.alias("got")), lambda z: F.struct(z["at"]["last"].alias("last"), z["at"]["source"].alias("source"), z["got"].alias("got"), (z["at"]["n"] - z["got"]).alias("rest")))
-        both = tree.select("node", halves.alias("halves"))
-        left = F.transform("halves", lambda h: F.struct(h["last"].alias("last"), h["source"].alias("source"), h["got"].alias("n")))
-        right = F.transform("halves", lambda h: F.struct(h["last"].alias("last"), h["source"].alias("source"), h["rest"].alias("n")))
-        tree = both.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("at")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("at")))).alias("half")).select("half.*")
-    flat = tree.select("node", F.explode("at").alias("q")).select("node", F.col("q.source").alias("source"), F.col("q.n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("source").orderBy("node"))
-    runs = flat.select("source", "node", upto.alias("n")).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "n"))), lambda x: x["n"]).alias("ends"))
-    return counted.join(runs.select(F.col("source").alias("of"), "ends"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        drawn = tree.select("group", "given", "node", F.arrays_zip("at", F.aggregate("at", start, split)["got"].alias("got")).alias("both"))
+        part = lambda n: F.filter(F.transform("both", lambda z: F.struct(*[z["at"][c].alias(c) for c in MEMBER], n(z).alias("n"))), lambda x: x["n"] > 0)
+        left = F.struct((F.col("node") * 2).alias("node"), part(lambda z: z["got"]).alias("at"))
+        right = F.struct((F.col("node") * 2 + 1).alias("node"), part(lambda z: z["at"]["n"] - z["got"]).alias("at"))
+        tree = drawn.select("group", "given", F.explode(F.array(left, right)).alias("half")).select("group", "given", "half.*").where(F.size("at") > 0)
+    flat = tree.select("node", F.explode("at").alias("q")).select(*[F.col("q")[c].alias(c) for c in MEMBER], F.col("node").alias("shard"), F.col("q")["n"].alias("n"))
+    upto = flat.withColumn("upto", F.sum("n").over(Window.partitionBy(*MEMBER).orderBy("shard")))
+    return upto.groupBy(*MEMBER).agg(F.array_sort(F.collect_list(F.struct("shard", "n", "upto"))).alias("quotas"))
+
+
+def shard_quotas(sources: DataFrame, shards: int, block_words: int, seed: int, fan_bits: int = FAN_BITS) -> DataFrame:
+    """sources with blocks (their number of taken blocks) and quotas: (shard, n, upto) for each shard that gets n > 0 of them.
+
+    shards is a power of two. Each level of the tree splits every node's counts in two: together a multivariate-hypergeometric draw of
+    exactly half the node's blocks. Sources are grouped by a hash, about 2^fan_bits to a group, and groups likewise: what a group draws is
+    drawn first, then divided among its members, so no row holds more than a group.
+    """
+    if shards & (shards - 1):
+        raise ValueError("shards must be a power of two")
+    counted = sources.withColumn("blocks", F.ceil(F.floor("target") / F.lit(float(block_words))).cast("long"))
+    bits = max(0, (counted.count() - 1).bit_length() - fan_bits)
+    group = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << bits))
+    ranks = [counted.where("blocks > 0").select(group.alias("group"), F.col("source").isNull().alias("last"), "source", F.lit(0).cast("long").alias("sub"), F.col("blocks").alias("n"))]
+    while bits:
+        up = min(bits, fan_bits)
+        inner = [F.lit(False).alias("last"), F.lit(None).cast("string").alias("source"), F.col("group").alias("sub")]
+        ranks.append(ranks[-1].groupBy("group").agg(F.sum("n").alias("n")).select(F.shiftright("group", up).alias("group"), *inner, "n"))
+        bits -= up
+    given = None
+    for depth in reversed(range(len(ranks))):
+        listed = ranks[depth].groupBy("group").agg(F.array_sort(F.collect_list(F.struct(*MEMBER, "n"))).alias("at"))
+        listed = listed.withColumn("given", F.lit(None)) if given is None else listed.join(given, "group")
+        dealt = _deal(listed, shards, seed, depth, given is None)
+        given = dealt.select(F.col("sub").alias("group"), F.col("quotas").alias("given"))
+    drawn = dealt.select(F.col("source").alias("of"), "quotas")
+    none = F.array().cast(drawn.schema["quotas"].dataType)
+    return counted.join(drawn, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("quotas", F.coalesce("quotas", none))
 
 
 def _pieces(docs: DataFrame, keep: list[str], weights, share: float, most: int, shards: int, block_words: int, seed: int, bucket_rows: int) -> DataFrame:
@@ -129,25 +155,29 @@ def _pieces(docs: DataFrame, keep: list[str], weights, share: float, most: int,
     keyed = docs.select(carried(keep), named("source").cast("string").alias("source"), bucket, key.alias("key"), size.alias("size")).select("row", *names, "bucket", "key", "size")
     # where each bucket of a source's stream starts: sums of buckets, then a window over the buckets alone
     per = store(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
-    found = per.select("source").distinct().count()
-    if found > MOST_SOURCES or found * shards > MOST_QUOTAS:
-        raise ValueError(f"{found} sources in {shards} shards: a mix has at most {MOST_SOURCES} sources and {MOST_QUOTAS} quotas")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begins = per.select(*names, "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("begin"))
+    begins = per.select(*names, "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("begin"), F.col("size").alias("length"))
     plan = shard_quotas(source_targets(per, weights, share, most), shards, block_words, seed)
-    plan = plan.select(*names, "source_size", "target", "ends")
+    # a source's blocks are dealt from one of them on, by a hash, and round: else the last, shorter ones would fill the last shards
+    turn = F.floor(unit_hash(seed + 2, *names) * F.col("blocks")).cast("long")
+    plan = plan.select(*names, "source_size", "target", "blocks", turn.alias("turn"), "quotas")
+    # of its source's quotas, a bucket carries those that its stretches of the stream meet, one in each pass
+    block = lambda p, at: F.floor((p * F.col("source_size") + at) / block_words) + F.col("turn")
+    ends = [(block(F.lit(p), F.col("begin")) - back, block(F.lit(p), F.col("begin") + F.col("length")) - back) for p in range(most + 1) for back in (F.lit(0), F.col("blocks"))]
+    met = F.filter("quotas", lambda r: reduce(or_, [(r["upto"] > lo) & (r["upto"] - r["n"] <= hi) for lo, hi in ends]))
+    begins = begins.join(plan, ["none", "of"]).select("none", "of", "bucket", "begin", "source_size", "target", "blocks", "turn", met.alias("quotas"))
     placed = keyed.join(begins, ["none", "of", "bucket"])
     inside = Window.partitionBy("none", "of", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("at", F.col("begin") + F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(plan), ["none", "of"])
+    placed = placed.withColumn("at", F.col("begin") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     # pass p of the stream is [p * source_size, (p + 1) * source_size) of what the source takes: [0, target)
     quota = F.floor("target").cast("long")
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(shards.bit_length() - 1))]) if shards > 1 else F.array().cast("array<int>")
 
     def piece(p: Column) -> Column:
         lo = p * F.col("source_size") + F.col("at")
         words = F.least(lo + F.col("size"), quota) - lo
-        # the shard whose quota the block of the first word falls in: how many ends are at or under its number
-        shard = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get("ends", n + step - 1) <= F.floor(lo / block_words), step).otherwise(F.lit(0)))
+        # the shard whose quota the block of the first word falls in
+        number = (F.floor(lo / block_words) + F.col("turn")) % F.greatest("blocks", F.lit(1))
+        shard = F.get(F.filter("quotas", lambda r: r["upto"] > number), F.lit(0))["shard"].cast("int")
         return F.struct(p.alias("pass"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "none", "of", "key", p).alias("place"), words.alias("words"))
 
     pieces = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most)), piece), lambda x: x["words"] > 0)
