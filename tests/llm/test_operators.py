@@ -319,6 +319,36 @@ def test_ann_tells_of_cut_codes(monkeypatch):
         assert set(ann._probe(rows.iloc[:1], rows, book, 0)["node"]) == want
 
 
+def test_ann_leaves_nothing_out_within_the_loose_radius():
+    """A group with more codes between the two radii than a query takes marks the query too."""
+    codes = np.zeros((9, ann.BITS // ann.WIDTH), np.uint16)
+    for i in range(1, 9):
+        codes[i, 1 : i + 1] = 0xFFFF  # 16 * i bits away
+    rows = pd.DataFrame({"place": 0, "head": 0, "node": np.arange(9), "code": [c.tobytes() for c in codes]})
+    book = ann.Codebook(np.zeros(2), np.zeros((2, ann.BITS)), radius=8, loose=64)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ann, "NEAREST", 5)
+        assert set(ann._probe(rows.iloc[:1], rows, book, 0)["node"]) == set(range(5))  # all within the loose radius
+        patch.setattr(ann, "NEAREST", 4)
+        assert ann.CUT in set(ann._probe(rows.iloc[:1], rows, book, 0)["node"])
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.3, None])
+def test_ann_recall_in_clusters(spark, spread):
+    """8,000 rows: clusters of 400, tight, or such that members lie between the two radii, beside lone vectors; or no clusters."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8000, 64))
+    if spread:
+        x[:4000] = np.repeat(rng.normal(size=(10, 64)), 400, axis=0) + spread * x[:4000]
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": rng.permutation(8000), "embedding": x.tolist()}))
+    frame = rows.toPandas()
+    want = brute_nearest(frame["vec_id"].to_numpy(), np.array(frame["embedding"].tolist()))
+    found = defaultdict(set)
+    for r in ann.nearest(rows, F.col("vec_id") % 50 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    assert sum(len(found[q] & {v for v, _ in near}) for q, near in want.items()) / (5 * len(want)) >= 0.9
+
+
 @pytest.mark.parametrize("cut", [False, True])
 def test_ann_compares_all_rows_where_few_are_found_or_some_are_cut(spark, monkeypatch, cut):
     rng = np.random.default_rng(2)
@@ -379,7 +409,8 @@ def test_mix_deals_blocks_by_the_tree(spark):
 def test_quotas_add_up(spark, seed):
     sources = spark.createDataFrame([("a", 5000.0), ("b", 1999.5), (None, 700.0), ("c", 0.0)], "source string, target double")
     rows = mixing.shard_quotas(sources, 8, 10, seed).collect()
-    ends = np.array([r["ends"] for r in rows])
+    ends = np.array([[max([q["upto"] for q in r["quotas"] if q["shard"] <= shard], default=0) for shard in range(8)] for r in rows])
+    assert all(q["n"] > 0 for r in rows for q in r["quotas"])
     blocks = np.array([r["blocks"] for r in rows])
     assert (ends[:, -1] == blocks).all() and (np.diff(ends, axis=1) >= 0).all()
     shards = np.diff(np.concatenate([np.zeros((4, 1), int), ends], axis=1), axis=1).sum(axis=0)
@@ -388,6 +419,92 @@ def test_quotas_add_up(spark, seed):
     assert np.diff(own).std() > 0  # drawn, not cut evenly
 
 
+@pytest.mark.parametrize("fan_bits", [2, 3])
+def test_quotas_of_groups_of_sources_add_up(spark, fan_bits):
+    """Sources in groups of groups: every source and every shard gets exactly its blocks, drawn and not cut evenly."""
+    sources = spark.range(100).select(F.format_string("s%03d", "id").alias("source"), (F.col("id") % 7 * 100).cast("double").alias("target"))
+    rows = mixing.shard_quotas(sources, 8, 10, 3, fan_bits=fan_bits).collect()
+    assert len(rows) == 100
+    shards = Counter()
+    for r in rows:
+        assert r["blocks"] == int(r["source"][1:]) % 7 * 10 == sum(q["n"] for q in r["quotas"])
+        assert [q["upto"] for q in r["quotas"]] == np.cumsum([q["n"] for q in r["quotas"]]).tolist()
+        for q in r["quotas"]:
+            shards[q["shard"]] += q["n"]
+    assert max(shards.values()) - min(shards.values()) <= 3 and len(shards) == 8
+    # a source of 60 blocks gets 7.5 a shard; the variance of a hypergeometric count, not of an even cut
+    got = np.array([q["n"] for r in rows if r["blocks"] == 60 for q in r["quotas"]])
+    assert 1 < got.std() < 4
+
+
+def test_mix_by_host(spark):
+    """20,000 sources, a third of the rows in one of them: targets, sizes and shards hold for each."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("h"), F.col("id") % 30_000)).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 5 + 1).cast("int")).alias("text"))
+    mixed = mixing.mix(docs, keep=["doc_id", "source"], shards=32, block_words=4, bucket_rows=5_000)
+    took = mixed.groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.first("source_size").alias("source_size"))
+    found = took.toPandas()
+    assert len(found) == 20_001 and (found["size"] == found["source_size"]).all()
+    assert (found["taken"] == np.floor(found["target"])).all()
+    pieces = mixed.select(F.explode("pieces").alias("p")).select("p.*")
+    assert pieces.where("shard is null or shard not between 0 and 31").isEmpty()
+    words = pieces.groupBy("shard").agg(F.sum("words").alias("n")).toPandas()["n"]
+    assert len(words) == 32 and words.max() < 1.5 * words.min()
+
+
+def test_mix_is_a_placing_in_python(spark):
+    """The whole operator against lists: targets by filling, exact hypergeometric draws of the same uniform numbers, streams laid out word by word."""
+    from fractions import Fraction
+
+    sizes = [(i, ["x", "y", None, "z"][i * i % 4 if i % 3 else i % 4], 1 + i * 7 % 23) for i in range(300)]
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, s, n in sizes], "doc_id long, source string, text string")
+    shards, words, seed = 8, 16, 42
+    order = sorted({s for _, s, _ in sizes}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for _, t, n in sizes if t == s) for s in order}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, open_, target = Fraction(3, 2) * sum(total.values()), list(order), {}
+    while True:
+        over = [s for s in open_ if left * weight[s] / sum(weight[t] for t in open_) > 2 * total[s]]
+        if not over:
+            target |= {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+            break
+        target |= {s: Fraction(2 * total[s]) for s in over}
+        left, open_ = left - sum(2 * total[s] for s in over), [s for s in open_ if s not in over]
+    blocks = {s: math.ceil(math.floor(target[s]) / words) for s in order}
+    drawn = spark.createDataFrame([(v, k, s) for v in range(3) for k in range(1 << v) for s in order], "level int, node long, source string")
+    u = {(r["level"], r["node"], r["source"]): r["u"] for r in drawn.withColumn("u", mixing.unit_hash(seed, F.col("level"), F.col("node"), F.col("source").isNull(), F.col("source"))).collect()}
+    nodes = {0: dict(blocks)}
+    for level in range(3):
+        below = {}
+        for node, have in nodes.items():
+            n, got = sum(have.values()), {}
+            d = -(-n // 2)
+            for s in order:
+                k, reached = have[s], Fraction(0)
+                for x in range(max(0, d + k - n), min(k, d) + 1):
+                    reached += Fraction(math.comb(k, x) * math.comb(n - k, d - x), math.comb(n, d))
+                    if reached > u[level, node, s]:
+                        break
+                got[s], n, d = x, n - k, d - x
+            below[2 * node], below[2 * node + 1] = got, {s: have[s] - got[s] for s in order}
+        nodes = below
+    place = {s: [shard for shard in range(shards) for _ in range(nodes[shard][s])] for s in order}
+    named = spark.createDataFrame([(s is None, s or "") for s in order], "none boolean, of string")
+    for r in named.withColumn("u", mixing.unit_hash(seed + 2, "none", "of")).collect():
+        s = None if r["none"] else r["of"]
+        turn = math.floor(r["u"] * blocks[s])
+        place[s] = place[s][turn:] + place[s][:turn]
+    keys = {r["doc_id"]: r["key"] for r in docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("key")).collect()}
+    want = {}
+    for s in order:
+        at = 0
+        for i, _, n in sorted((x for x in sizes if x[1] == s), key=lambda x: (keys[x[0]] % 64, keys[x[0]])):
+            firsts = [(p, at + p * total[s]) for p in range(3)]
+            want[i] = [(p, place[s][lo // words], min(n, math.floor(target[s]) - lo)) for p, lo in firsts if lo < math.floor(target[s])]
+            at += n
+    got = {r["doc_id"]: [(p["pass"], p["shard"], p["words"]) for p in r["pieces"]] for r in mixing.mix(docs, keep=["doc_id"], shards=shards, block_words=words, seed=seed).collect()}
+    assert got == want
+
+
 def test_mix_texts_hold_what_is_taken(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     mixed = mixing.mix(docs, shards=4)
@@ -421,6 +538,57 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(model.thresholds) == 2 and (np.diff(model.thresholds) > 0).all()
 
 
+def test_toxicity_sample_is_of_ids(spark):
+    """A row there 20,000 times, under the id that is first by hash, is one of the sample; the model is that of the rows once."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").selectExpr("doc_id", "toxic as grade")
+    once = docs.join(labels, "doc_id")
+    first = once.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(1).withColumn("text", F.substring("text", 1, 500))
+    rest = once.join(first.select("doc_id"), "doc_id", "left_anti")
+    many = rest.unionByName(first.crossJoin(spark.range(20_000)).drop("id"))
+    a, b = toxicity.fit(rest.unionByName(first), sample=400), toxicity.fit(many, sample=400)
+    assert (a.keys == b.keys).all() and len(a.keys) and np.allclose(a.weights, b.weights, atol=1e-9) and a.cut == b.cut
+
+
+def test_toxic_severity_is_a_dense_sum(spark):
+    """The whole query: features counted and chosen with dictionaries, every document's severity summed up from the model's weights."""
+    docs = duckdb.sql("SELECT d.doc_id, text, toxic, quality FROM '/root/testdata/sf0.01/documents.parquet' d LEFT JOIN '/root/testdata/sf0.01/labels.parquet' l USING (doc_id)").fetchall()
+
+    def features(text):
+        out, word = Counter(), bytearray()
+        for c in (text or "").lower().encode() + b" ":
+            if 0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80:
+                word.append(c)
+            elif word:
+                out.update([xxhash.xxh64_intdigest(bytes(word)), *(xxhash.xxh64_intdigest(bytes(word[:k]), k) for k in (4, 5, 6, 7, 8) if len(word) > k)])
+                word = bytearray()
+        return out
+
+    counted = {d: features(t) for d, t, _, _ in docs}
+    bad, good = Counter(), Counter()
+    for d, _, toxic, _ in docs:
+        if toxic is not None:
+            (bad if toxic else good).update(counted[d].keys())
+    n_bad, n_good = sum(x[2] == 1 for x in docs), sum(x[2] == 0 for x in docs)
+    picked = set()
+    for key, a in bad.items():
+        b = good[key]
+        odds = math.log((a + 0.5) / (n_bad - a + 0.5)) - math.log((b + 0.5) / (n_good - b + 0.5))
+        z = odds / math.sqrt(sum(1 / (x + 0.5) for x in (a, n_bad - a, b, n_good - b)))
+        if a >= 4 and z >= 4 and odds > 2:
+            picked.add(key)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").selectExpr("doc_id", "case when toxic = 1 then case when quality = 0 then 2 else 1 end else toxic end as grade")
+    model = toxicity.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").join(labels, "doc_id"))
+    assert set(model.keys.tolist()) == picked and picked
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    rows = {r["doc_id"]: r for r in Q.op8_toxic_severity(spark, "/root/testdata/sf0.01").collect()}
+    assert len(rows) == len(docs)
+    for d, *_ in docs:
+        score = sum(weight[k] * (1 + math.log(n)) for k, n in counted[d].items() if k in weight)
+        p = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert abs(rows[d]["severity"] - sum(p)) < 1e-6 and rows[d]["toxic"] == (p[0] > model.cut)
+
+
 def test_toxicity_learns_grades(spark):
     """Graded rows whose severity follows from the words they hold, and the expected severity of a dense sum over grades."""
     rng = np.random.default_rng(1)
@@ -689,6 +857,14 @@ def test_clashing_columns_stay(spark):
     assert {(r["key"], r["pid"]) for r in urls.judge(pages, keep=["key", "pid"]).collect()} == {(5, 7)}
 
 
+def test_near_duplicates_of_clashing_columns(spark):
+    """Columns that share a name with a result give way to it; others stay."""
+    docs = docs_of(spark, ["a b c d", "a b c d", "x y z"]).selectExpr("*", "'c' as component_id", "'f' as fingerprint", "'n' as node", "'l' as least", "doc_id as row")
+    found = simhash.near_duplicates(docs, keep=["component_id", "fingerprint", "node", "least", "row"])
+    assert found.columns == ["doc_id", "node", "least", "row", "fingerprint", "component_id"]
+    assert {(r["doc_id"], r["component_id"], r["node"], r["least"], r["row"]) for r in found.collect()} == {(0, 0, "n", "l", 0), (1, 0, "n", "l", 1), (2, 2, "n", "l", 2)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
