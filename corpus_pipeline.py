@@ -48,9 +48,7 @@ SHARD_ROWS = 4096
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sources = max(1, docs.select("source").distinct().count())
-    most = 1 << ((mixing.MOST_QUOTAS // sources).bit_length() - 1)
-    return mixing.texts(docs, shards=min(most, 4096, 1 << max(4, (docs.count() // SHARD_ROWS).bit_length())))
+    return mixing.texts(docs, shards=1 << max(4, (docs.count() // SHARD_ROWS).bit_length()))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
