@@ -6,8 +6,8 @@ cut into blocks of block_words words; a document is in the block that its first
 to the output shards by a binary tree: at each node the left half draws its blocks without replacement, which gives every source a
 multivariate-hypergeometric quota; quotas add up exactly, at every node, to the source's blocks and to the shards' sizes. A shard gets as many
 next blocks of each permuted stream as its quota says, disjoint from all others', and is sorted by a keyed hash of its documents: the local
-shuffle. A source's blocks are dealt round from a hashed one on. All of it is DataFrame expressions. Any number of sources can be mixed: a tree node is a row for each group of about 2^FAN_BITS sources,
-which holds their counts that are not zero; only the windows that number and cap the sources (a name and two numbers each) run in one task.
+shuffle. A source's blocks are dealt round from a hashed one on. All of it is DataFrame expressions. Any number of sources can be mixed: a
+tree node is a row for each group of about 2^FAN_BITS sources, which holds their counts that are not zero; only the windows that number and cap the sources (a name and two numbers each) run in one task.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a source of no words has target 0; a negative
 or missing id only enters hashes; equal rows get one place each, in an order that can't be told apart; an empty table gives an empty one;
