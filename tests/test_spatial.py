@@ -610,6 +610,26 @@ def test_fronts_are_the_dense_matrices(spark):
     assert parts.collapsed((-1.0, 2.0, 0.5), 0.1, [0.3]) is None
 
 
+def test_tasks_eliminate_whole_parts_of_the_tree(spark):
+    """However much of the tree a task takes, results agree; and it takes all that fits, so that only what is left of it is shuffled."""
+    df = tess.tessellate(sites.sites_2d(spark, SF), ["var1", "var2"], (8, 7)).withColumn("w", F.col("y_full"))
+    df = cut(df.withColumn("y", F.when(~((F.col("l1") >= 4) & (F.col("l2") >= 4)), F.col("y"))))
+    _, edges, _ = gaussian.mesh_of(df)
+    found, levels = [], []
+    for within in (1, 60, 150, 10**6):
+        parts = fronts.Dissection(df, edges, leaf=2, within=within)
+        levels.append(parts.levels)
+        rows = {r["ix"]: (r["mean"][0], r["var"][0]) for r in parts.posterior((0.5, 4.0), 0.1).collect()}
+        found.append((parts.collapsed((0.5, 4.0), 0.1), sorted(rows), [rows[k] for k in sorted(rows)]))
+        home = parts.nodes.groupBy("home").agg(F.min("whole").alias("whole"), F.min("node").alias("least")).collect()
+        assert all(r["least"] >= r["home"] if r["whole"] else r["least"] == r["home"] for r in home)
+    assert levels == sorted(levels, reverse=True) and levels[0] == parts.depth and levels[-1] == 0 and levels[1] > levels[2] > 0
+    for value, ix, of in found[1:]:
+        assert np.isclose(value, found[0][0], rtol=0, atol=1e-8) and ix == found[0][1] and np.allclose(of, found[0][2])
+    m = np.arange(25.0).reshape(5, 5)
+    assert (fronts._unpack(fronts._pack(m + m.T), 5) == m + m.T).all()
+
+
 def test_dissection_parts_never_touch(spark):
     rng = np.random.default_rng(8)
     pairs = {(int(a), int(b)) for a, b in rng.integers(0, 120, (200, 2)) if a != b}
