@@ -2,6 +2,7 @@
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ from gridloom.operators import tessellation as tess
 from gridloom.operators.kernels import Block, Family, covariance, observe
 from gridloom.operators.sampler import Settings, State
 from gridloom.operators.tables import cut
-from gridloom.plans import extra  # noqa: F401
+from gridloom.plans import extra
 from gridloom.plans import queries as Q
 from gridloom.sources import sites
 from pyspark.sql import functions as F
@@ -572,6 +573,22 @@ def test_failed_fit_writes_no_draw_twice(spark, monkeypatch):
     assert all(np.allclose(r["w"], want[r["draw"], r["ix"]]) for r in again)
 
 
+def test_pairs_of_a_block_are_dealt_to_tasks(spark):
+    """Each pair of a block once, and no task holds all pairs of one."""
+    rows = spark.createDataFrame([(i, i % 7 // 6, float(i), 0.0, 1) for i in range(700)], "ix long, block int, var1 double, var2 double, mv_id int")
+    found = Q._paired(rows, 100).select("i", "j", F.spark_partition_id().alias("task")).collect()
+    want = [(i, j) for i in range(700) for j in range(i, 700) if i % 7 // 6 == j % 7 // 6]
+    assert sorted((r["i"], r["j"]) for r in found) == want
+    tasks = Counter(r["task"] for r in found)
+    assert len(tasks) > 10 and max(tasks.values()) < len(want) / 4
+
+
+def test_values_are_made_distinct_before_they_are_dealt(spark):
+    plan = extra.values_left(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftAnti") :]
+    assert join.count("Aggregate") == 1  # below the join, the right side; the left side's is above it
+
+
 def fronts_cases(spark):
     family = Family()
     yield family, (0.5, 4.0), (8, 7), "y_full"
