@@ -29,7 +29,7 @@ from ._support import read_texts, unpacked
 
 BLOCK = 2 << 20
 #: Words whose tokens a task keeps between blocks.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 #: The vocabulary's words in texts of characters below U+0250: letters, a contraction's end, one digit, or other signs.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -125,7 +125,18 @@ class Vocabulary:
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             for end in range(shared + 1, n + 1):
-                token[end], begin[end] = self._state(word, end, inner, token, follows)
+                # the longest token that ends here is the one for nearly all
+                longest = -1
+                for at in range(end - 1, -1, -1):
+                    t = inner.get(word[at:end])
+                    if t is None:
+                        break
+                    if t >= 0:
+                        longest, start = t, at
+                if longest >= 0 and (not start or follows(token[start], longest)):
+                    token[end], begin[end] = longest, start
+                else:
+                    token[end], begin[end] = self._state(word, end, inner, token, follows)
             depth, before = n, word
             t, at = self._state(word, n + 1, last, token, follows)
             ids = [t]
@@ -188,10 +199,10 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode those of the words that are not known yet, by their trie."""
-        if len(self.ids) > KEPT_WORDS:
-            special = {f"\0{name}" for name in self.vocabulary.special}
-            self.ids = {w: x for w, x in self.ids.items() if w in special}
-            self.text = {w: x for w, x in self.text.items() if w in special}
+        if len(self.ids) > KEPT_WORDS:  # this block's words stay: the frequent ones are among them
+            stay = words | {f"\0{name}" for name in self.vocabulary.special}
+            self.ids = {w: x for w, x in self.ids.items() if w in stay}
+            self.text = {w: x for w, x in self.text.items() if w in stay}
         new = sorted((w.encode(), w) for w in words if w not in self.ids)
         for (_, word), ids in zip(new, self.vocabulary.encode_sorted([raw for raw, _ in new]), strict=True):
             self._add(word, ids)
