@@ -42,13 +42,15 @@ from .simhash import GROUP, _dealt, _groups, set_links
 SEED = 42
 #: Bits of a parity bitmap; shingles of a bucket of counts, about; documents of a block at most.
 BITS, BUCKET, DOCS = 512, 1 << 20, 1 << 15
+#: Words whose hashes a task keeps between texts.
+KEPT_WORDS = 1 << 17
 _SHIFT = np.uint64(16)
 _SEVERAL = (1 << 16) - 1
 _REST, _INFO, _SHARED, _COUNTS = 0, 1, 2, 3
 
 
 class _Hashes(dict):
-    """XXH64 of words, kept for those seen before."""
+    """XXH64 of words, kept for those seen before, up to KEPT_WORDS between texts."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh64_intdigest(word, SEED)
@@ -60,7 +62,7 @@ _HASHES = _Hashes()
 
 def word_hashes(text: bytes) -> np.ndarray:
     """A hash of each word of the text, lower-cased; read in parts of BLOCK bytes, or one longer word."""
-    if len(_HASHES) > 1 << 20:
+    if len(_HASHES) > KEPT_WORDS:
         _HASHES.clear()
     out, at = [], 0
     while at < len(text):
@@ -113,9 +115,10 @@ def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def parity(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """BITS bits for each of n sets: each hash turns one bit of its set's (of)."""
+    """BITS bits for each of n sets: each hash turns one bit of its set's (of, which ascends)."""
     bit = (mix(hashes) & np.uint64(BITS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(of * BITS + bit, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS), axis=1)
+    odd = [np.bincount((of[a:b] - lo) * BITS + bit[a:b], minlength=512 * BITS) & 1 for lo in range(0, n, 512) for a, b in [np.searchsorted(of, [lo, lo + 512])]]
+    return np.packbits(np.concatenate(odd)[: n * BITS].astype(np.uint8).reshape(n, BITS), axis=1)
 
 
 def _packed(tokens: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> bytes:
@@ -138,15 +141,18 @@ def _block_tokens(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> I
     """bucket, block, kind, data: of each block its distinct tokens by bucket, the tokens of several of its documents, and what is known of each document."""
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for _, _, sets, digests in sets_of(batch, width, 2 * BLOCK):
+        for _, _, sets, digests in sets_of(batch, width):
             chosen = {d: s for d, s in zip(digests, sets, strict=True) if len(s)}
             if not chosen:
                 continue
             block += 1
             sizes = np.array([len(s) for s in chosen.values()], np.int64)
             hashes, of = np.concatenate(list(chosen.values())), np.repeat(np.arange(len(sizes)), sizes)
+            digests = b"".join(chosen)
+            del sets, chosen
             bitmaps = parity(hashes, of, len(sizes))
             tokens = hashes >> _SHIFT
+            del hashes
             # sets are sorted, so equal tokens of one lie side by side
             new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (of[1:] != of[:-1])])
             tokens, of = tokens[new], of[new]
@@ -161,7 +167,7 @@ def _block_tokens(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> I
             cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
             rows = [(int(bucket[a]), block, _REST, _packed(alone[a:b], docs[a:b], count[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             home = (block * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - bits)
-            info = b"".join([sizes.astype(np.int64).tobytes(), short.astype(np.int64).tobytes(), b"".join(chosen), bitmaps.tobytes()])
+            info = b"".join([sizes.astype(np.int64).tobytes(), short.astype(np.int64).tobytes(), digests, bitmaps.tobytes()])
             rows += [(home, block, _INFO, info), (home, block, _SHARED, _packed(tokens[several], of[several], np.zeros(several.sum(), np.int64)))]
             yield _rows(rows)
 

@@ -1093,3 +1093,22 @@ def test_parity_bitmaps_never_leave_out_a_link():
         words, n = bits.view(np.uint64).reshape(2, -1), np.array([len(a), len(b)])
         if 100 * common >= 85 * (len(a) + len(b) - common):
             assert join.may_links(n, words, np.zeros(2, np.int64), 0, 2, 85).all()
+
+
+def test_frequent_words_keep_their_tokens_between_blocks(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 10)
+    encoder = bpe.Encoder(Q.vocabulary())
+    encoder.learn({f"word{k}" for k in range(30)})
+    encoder.learn({"the", "word1", "word2"})
+    assert {"the", "word1", "word2"} <= set(encoder.ids) and len(encoder.ids) < 20
+    kept = encoder.ids["word1"]
+    encoder.ids.update({f"{k}": b"" for k in range(20)})
+    monkeypatch.setattr(encoder.vocabulary, "encode_sorted", lambda words: iter([]) if not words else 1 / 0)
+    encoder.learn({"word1"})
+    assert encoder.ids["word1"] is kept
+
+
+def test_few_word_hashes_are_kept_between_texts():
+    for k in range(3):
+        join.word_hashes(b" ".join(b"w%d" % i for i in range(k * 100_000, k * 100_000 + 100_000)))
+    assert len(join._HASHES) <= join.KEPT_WORDS + 100_000
