@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sites import row_ids
-from .tables import cut
+from .tables import cut, shuffles
 
 #: Places of a leaf, and nodes under a node.
 FAN = 32
@@ -86,7 +86,8 @@ def nearest_site(new: DataFrame, reference: DataFrame, keep: list[str] | None =
     middle = {c: box[f"lo_{c}"] / 2 + box[f"hi_{c}"] / 2 for c in ("x", "y")}
     tree = cell_tree(places, (box["lo_x"], box["lo_y"]), span, depth(box["n"]))
 
-    asked = new.where(whole).select(scaled("var1"), scaled("var2")).distinct()
+    # few bytes but much work a place: dealt by a number, which windows and groups take as it is, so they are not gathered to fewer tasks on the way
+    asked = new.where(whole).select(scaled("var1"), scaled("var2")).distinct().withColumn("of", F.xxhash64("x", "y")).repartition(shuffles(new.sparkSession), "of")
     reach = F.greatest(*[F.abs(F.col(c) - middle[c]) for c in ("x", "y")])
     state = asked.withColumn("reach", reach).withColumn("far", F.col("reach") > FAR * span).withColumn("node", F.lit(0).cast("long"))
 
@@ -96,7 +97,7 @@ def nearest_site(new: DataFrame, reference: DataFrame, keep: list[str] | None =
         return F.when(F.col("far"), own * (own / F.col("reach")) - 2 * own * ((F.col(c) - middle[c]) / F.col("reach"))).otherwise(F.abs(at - F.col(c)))
 
     both = lambda a, b: F.when(F.col("far"), a + b).otherwise(F.hypot(a, b))
-    per_site = Window.partitionBy("x", "y")
+    per_site = Window.partitionBy("of", "x", "y")
     as_near = lambda c: F.when(F.col("far"), c + span * 2.0**-48).otherwise(c * (1 + 2.0**-50))  # noqa: E731  beyond rounding
 
     def sides(k: Column, c: str) -> tuple[Column, Column, Column]:
@@ -113,9 +114,11 @@ def nearest_site(new: DataFrame, reference: DataFrame, keep: list[str] | None =
     for level in reversed(tree[1:]):
         met = state.join(level, "node").withColumn("kids", F.transform("kids", judged)).withColumn("sure", F.array_min(F.transform("kids", lambda k: k["sure"])))
         met = met.withColumn("best", as_near(F.min("sure").over(per_site)))
-        state = met.select("x", "y", "reach", "far", F.explode(F.filter("kids", lambda k: k["least"] <= F.col("best"))).alias("kid")).select("x", "y", "reach", "far", "kid.node")
-    told = lambda k: F.struct(both(cost("x", k["x"]), cost("y", k["y"])).alias("cost"), k["row"].alias("row"), F.hypot(k["x"] - F.col("x"), k["y"] - F.col("y")).alias("d"))
-    found = state.join(tree[0], "node").groupBy("x", "y").agg(F.min(F.array_min(F.transform("kids", told))).alias("best"))
+        state = met.select("of", "x", "y", "reach", "far", F.explode(F.filter("kids", lambda k: k["least"] <= F.col("best"))).alias("kid")).select("of", "x", "y", "reach", "far", "kid.node")
+    k = F.col("kid")
+    told = F.struct(both(cost("x", k["x"]), cost("y", k["y"])).alias("cost"), k["row"].alias("row"), F.hypot(k["x"] - F.col("x"), k["y"] - F.col("y")).alias("d"))
+    found = state.join(tree[0], "node").select("of", "x", "y", "reach", "far", F.explode("kids").alias("kid")).select("of", "x", "y", told.alias("told"))
+    found = found.groupBy("of", "x", "y").agg(F.min("told").alias("best")).drop("of")
     rows = new.where(whole).select("ix", scaled("var1"), scaled("var2")).join(found, ["x", "y"])
     answers = rows.select("ix", F.col("best.row.ix").alias("near"), (F.col("best.d") / SCALE).alias("dist"), *[F.col("best.row")[c].alias(c) for c in keep])
     return answers.union(nothing(new.where(~whole)))

@@ -604,6 +604,33 @@ def test_values_of_pairs_are_rounded_as_before(spark):
         assert r["a"] == r["b"] or (r["v"] != r["v"] and r["b"] != r["b"])
 
 
+def test_small_blocks_are_predicted_by_several_tasks(spark):
+    """Few bytes, but much work: adaptive plans would leave them to one task."""
+    rng = np.random.default_rng(8)
+    x, y, w = rng.normal(size=(3, 400))
+    known = spark.createDataFrame([(k, float(x[k]), float(y[k]), k // 2, [float(w[k]), float(-w[k])]) for k in range(400)], "ix long, var1 double, var2 double, block int, w_draws array<double>")
+    new = spark.createDataFrame([(k, float(x[k]) + 0.1, float(y[k]), k // 2) for k in range(0, 400, 3)], "ix long, var1 double, var2 double, block int")
+    edges = spark.createDataFrame([(b, b - 1, 0) for b in range(1, 200, 2)], "child int, parent int, slot int")
+    found = gaussian.predict(new, known, edges, [(2.0, 1.5), (2.0, 1.5)]).select("*", F.spark_partition_id().alias("task")).collect()
+    assert len(found) == 2 * 134 and len({r["task"] for r in found}) > 3
+    cov = lambda a, b: 2.0 * np.exp(-1.5 * np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]))
+    for r in found:
+        b = r["ix"] // 2
+        near = [2 * b, 2 * b + 1] + ([2 * b - 2, 2 * b - 1] if b % 2 else [])
+        at, own = np.array([x[near], y[near]]).T, np.array([[x[r["ix"]] + 0.1, y[r["ix"]]]])
+        h = np.linalg.solve(cov(at, at), cov(at, own))[:, 0]
+        assert np.isclose(r["mean"], h @ w[near] * (1 - 2 * r["draw"]), atol=1e-9) and np.isclose(r["var"], 2.0 - h @ cov(at, own)[:, 0], atol=1e-9)
+
+
+def test_places_stay_dealt_down_the_tree(spark):
+    rows = spark.createDataFrame([(k, k % 41 / 41, k % 43 / 43) for k in range(1500)], "ix long, var1 double, var2 double")
+    found = neighbors.nearest_site(rows.where("ix % 3 = 0"), rows.where("ix % 3 <> 0"))
+    assert found.count() == 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.index("REPARTITION_BY_NUM")
+    assert "Window" in plan[:dealt] and "Window" not in plan[dealt : plan.index("Union", dealt) if "Union" in plan[dealt:] else None]
+
+
 def test_values_are_made_distinct_before_they_are_dealt(spark):
     plan = extra.values_left(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     join = plan[plan.index("Join LeftAnti") :]
