@@ -631,6 +631,16 @@ def test_places_stay_dealt_down_the_tree(spark):
     assert "Window" in plan[:dealt] and "Window" not in plan[dealt : plan.index("Union", dealt) if "Union" in plan[dealt:] else None]
 
 
+def test_homes_of_a_dissection_are_dealt_by_name(spark):
+    """Few bytes, but much work: adaptive plans would leave them to few tasks."""
+    rows = spark.createDataFrame([(k, k + 1, float(k), 0.0, (k % 7) / 7) for k in range(120)], "ix long, block int, var1 double, var2 double, y double")
+    edges = rows.where("block > 1").select(F.col("block").alias("child"), (F.col("block") - 1).alias("parent"), F.lit(0).alias("slot"))
+    whole = fronts.Dissection(rows, edges, leaf=8, within=32)
+    assert whole.tasks >= 4
+    found = whole.posterior((1.5, 2.0), 0.1)
+    assert found.count() == 120 and found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+
+
 def test_values_are_made_distinct_before_they_are_dealt(spark):
     plan = extra.values_left(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     join = plan[plan.index("Join LeftAnti") :]
