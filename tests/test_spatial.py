@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from gridloom.functions import covariance as cov
 from gridloom.functions import scalars as sc
@@ -641,6 +642,22 @@ def test_homes_of_a_dissection_are_dealt_by_name(spark):
     assert found.count() == 120 and found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
 
 
+def test_engine_takes_blocks_a_part_at_a_time():
+    """Each block of a part with its own messages alone, in whatever order they come; messages to blocks that are elsewhere are left."""
+    own = pd.DataFrame({"block": [4, 9, 2], "data": [b"4", b"9", b"2"]})
+    told = pd.DataFrame({"block": [2, 4, 7, 2], "member": [5, 1, 1, 3], "w": [[2.5], [4.1], [7.1], [2.3]]})
+    seen = []
+
+    def one(key, row, messages):
+        seen.append((key[0], list(row["data"]), list(messages["member"])))
+        return pd.DataFrame({"a": [key[0]] * len(messages), "b": [w[0] for w in messages["w"]]})
+
+    found = gaussian._each(one, "a int, b double")((0,), own, told)
+    assert seen == [(4, [b"4"], [1]), (9, [b"9"], []), (2, [b"2"], [3, 5])]
+    assert found.to_numpy().tolist() == [[4, 4.1], [2, 2.3], [2, 2.5]]
+    assert list(gaussian._each(one, "a int, b double")((0,), own.iloc[:0], told).columns) == ["a", "b"]
+
+
 def test_values_are_made_distinct_before_they_are_dealt(spark):
     plan = extra.values_left(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     join = plan[plan.index("Join LeftAnti") :]
