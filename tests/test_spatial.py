@@ -599,6 +599,19 @@ def test_pairs_are_turned_and_lie_in_the_order_of_their_values(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 7 * found.count()
 
 
+def test_pairs_of_components_are_whole_and_not_sorted(spark):
+    """Every pair of sites once for each pair of components, equal ids in both orders; four times as many rows as pairs are not sorted to lie well in files."""
+    rows = spark.createDataFrame([(i // 2 if i < 20 else i, i % 2, float(i % 17), float(i % 13), 1) for i in range(300)], "ix long, block int, var1 double, var2 double, mv_id int")
+    all_ = rows.collect()
+    want = Counter((a["ix"], b["ix"], r, s) for a in all_ for b in all_ if a["block"] == b["block"] and a["ix"] <= b["ix"] for r in (0, 1) for s in (0, 1))
+    got = Q._component_pairs(rows, 60, [[0.0, 0.8], [0.8, 0.0]]).select("i", "j", "r", "s", "v").collect()
+    assert Counter((r["i"], r["j"], r["r"], r["s"]) for r in got) == want and all(r["v"] == 0.8 * (r["r"] != r["s"]) for r in got)
+    same = spark.createDataFrame([(k // 3, 1, float(k), float(-k), 1) for k in range(150)], "ix long, block int, var1 double, var2 double, mv_id int")
+    found = Counter((r["i"], r["j"]) for r in Q._component_pairs(same, 30, [[0.0]]).select("i", "j").collect())
+    assert found == Counter((a // 3, b // 3) for a in range(150) for b in range(150) if a // 3 <= b // 3)
+    assert "Sort [" not in extra.cov_matrix_q2(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_values_of_pairs_are_rounded_as_before(spark):
     rows = spark.createDataFrame([(v,) for v in (0.0, 0.25, 1.2345675, 0.0000004, 0.9999996, 2.000001, float("nan"), None)], "v double")
     for r in rows.select("v", Q.six(F.col("v")).alias("a"), Q.six_of(F.col("v")).alias("b")).collect():
