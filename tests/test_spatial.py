@@ -599,6 +599,16 @@ def test_pairs_are_turned_and_lie_in_the_order_of_their_values(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 7 * found.count()
 
 
+def near_sites(spark, n=1500):
+    x, y = np.random.default_rng(5).normal(size=(2, n)) * 0.05
+    return spark.createDataFrame([(k, 1, float(x[k]), float(y[k]), k % 3 + 1) for k in range(n)], "ix long, block int, var1 double, var2 double, mv_id long")
+
+
+def written(df, path):
+    df.write.parquet(str(path))
+    return sum(f.stat().st_size for f in path.glob("*.parquet")) / df.count()
+
+
 def test_pairs_of_components_are_whole_and_not_sorted(spark):
     """Every pair of sites once for each pair of components, equal ids in both orders; four times as many rows as pairs are not sorted to lie well in files."""
     rows = spark.createDataFrame([(i // 2 if i < 20 else i, i % 2, float(i % 17), float(i % 13), 1) for i in range(300)], "ix long, block int, var1 double, var2 double, mv_id int")
@@ -612,6 +622,16 @@ def test_pairs_of_components_are_whole_and_not_sorted(spark):
     assert "Sort [" not in extra.cov_matrix_q2(spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_further_values_of_pairs_take_little(spark, tmp_path):
+    """Two values a pair: the second has few different ones for long where the nearest pairs come first."""
+    p = Q._paired(near_sites(spark), 2048)
+    of = lambda kind, params: Q.six_of(cov.model(kind, 2, 1, p["h"], F.lit(0.0), p["v"], [p["d1"], p["d2"]], params))
+    found = Q.lined_up(p.select("i", "j", of(0, [2.0, 1.5]).alias("c0"), of(1, [2.0, 1.5, 3.0]).alias("c1")), F.desc("c0"))
+    new, old = written(found, tmp_path / "new"), written(found.sortWithinPartitions("c0", "c1"), tmp_path / "old")
+    assert new < 0.95 * old, (new, old)
+    assert "DESC" in extra.cov_models(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_values_of_pairs_are_rounded_as_before(spark):
     rows = spark.createDataFrame([(v,) for v in (0.0, 0.25, 1.2345675, 0.0000004, 0.9999996, 2.000001, float("nan"), None)], "v double")
     for r in rows.select("v", Q.six(F.col("v")).alias("a"), Q.six_of(F.col("v")).alias("b")).collect():
