@@ -2,6 +2,7 @@
 
 import math
 import os
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -839,3 +840,45 @@ def test_a_latent_grid_is_the_dense_model(spark):
         assert np.isclose(xx[0, 0], (scale * x[m] ** 2).sum()) and np.isclose(xr[0], (scale * x[m] * (y - (h @ w)[m])).sum())
     draws = gaussian.fit(blocked, edges, colors, Settings(family=family, bounds=((0.1, 3.0),) * 6 + ((0.1, 30.0),) * 3 + ((0.01, 2.0),) * 2 + ((0.1, 30.0),) + ((0.01, 2.0),) * 3, keep=1), x=["x1"], data=placed)[1]
     assert draws.count() == len(rows)
+
+
+def dense_front(n=50, k=22):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(n, n))
+    return a @ a.T + n * np.eye(n), rng.normal(size=n), fronts._Front(4, [7, 9, 3, 5], [4, 4, 2, 1], [10, k - 10, 20, n - k - 20])
+
+
+def test_a_front_is_eliminated_in_place(monkeypatch):
+    """In panels of its lower triangle, which takes in and leaves some rows at a time: no task holds a second matrix of the front's size, no row of a table one."""
+    monkeypatch.setattr(fronts, "PANEL", 7)
+    monkeypatch.setattr(fronts, "NUMBERS", 60)
+    a, v, front = dense_front()
+    some = np.array([*range(10), *range(22, 50)])  # two pieces, one of which has no points of block 9
+    part = np.zeros_like(a)
+    part[np.ix_(some, some)] = a[np.ix_(some, some)] / 2
+    whole = fronts._Lower(50)
+    whole.add(a - part, 0, np.arange(50))
+    front.add([7, 9, 3, 5], [10, 12, 20, 8], whole.behind(0), v)
+    front.add([7, 3, 5], [10, 20, 8], [(0, part[np.ix_(some, some)])], np.zeros(38))
+    front.eliminate()
+    left = a[22:, 22:] - a[22:, :22] @ np.linalg.solve(a[:22, :22], a[:22, 22:])
+    rows = list(fronts._left(2, front))
+    assert len(rows) > 8 and max(len(r[8]) for r in rows) <= 60 * 8 and [r[9] != b"" for r in rows].count(True) == 1
+    found = fronts._Lower(28)
+    for r in pd.DataFrame(rows, columns=fronts._NAMES).itertuples():
+        found.add(fronts._numbers(r), r.first, np.arange(28))
+    assert np.allclose(found.times(np.eye(28)), left) and np.allclose(front.shift[22:], v[22:] - a[22:, :22] @ np.linalg.solve(a[:22, :22], v[:22]))
+    assert np.isclose(front.term, v[:22] @ np.linalg.solve(a[:22, :22], v[:22]) / 2 - np.linalg.slogdet(a[:22, :22])[1] / 2)
+
+
+def test_a_large_front_takes_little_more_than_its_triangle():
+    n, k = 3000, 800
+    tracemalloc.start()
+    front = fronts._Front(2, [1, 2], [2, 1], [k, n - k])
+    rows = ((i, np.eye(100, i + 100, i)) for i in range(0, n, 100))
+    front.add([1, 2], [k, n - k], rows, np.ones(n))
+    front.eliminate()
+    assert sum(len(r) for _, r in front.left()) == n - k
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.8 * n * n * 8
