@@ -882,3 +882,21 @@ def test_a_large_front_takes_little_more_than_its_triangle():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 0.8 * n * n * 8
+
+def test_the_inverse_over_a_front_is_sent_in_parts(monkeypatch):
+    monkeypatch.setattr(fronts, "PANEL", 7)
+    monkeypatch.setattr(fronts, "NUMBERS", 60)
+    a, v, front = dense_front()
+    front.add([7, 9, 3, 5], [10, 12, 20, 8], [(0, a)], v)
+    front.eliminate()
+    inverse, mean = np.linalg.inv(a), np.linalg.solve(a, v)
+    known = fronts._Lower(28)
+    known.add(inverse[22:, 22:], 0, np.arange(28))
+    found = fronts._Inverse(np.concatenate([rows for _, rows in front.factor()]), front.shift[:22], known, mean[22:])
+    assert np.allclose(found.own, inverse[:22, :22]) and np.allclose(found.mean, mean)
+    at = front.at([9, 3], [12, 20])
+    sent = fronts._Lower(32)
+    for first, rows in found.part(at):
+        assert rows.size <= 60
+        sent.add(rows, first, np.arange(32))
+    assert np.allclose(sent.times(np.eye(32)), inverse[np.ix_(at, at)])
